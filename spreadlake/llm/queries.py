@@ -31,6 +31,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"), shards=40)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import verdicts
 
@@ -53,7 +59,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op4_quality, op5_packing, op8_ngram_join, op9_token_counts)}
+    return {f.__name__: f for f in (op2_bpe, op3_sharding, op4_quality, op5_packing, op8_ngram_join, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
