@@ -19,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import top_k
+
+    table = _table(spark, sf_dir, "embeddings")
+    return top_k(table, table.where(F.col("vec_id") % 20 == 0), k=20, scale=64)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import encode_digests
 
@@ -59,10 +68,18 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op3_sharding, op4_quality, op5_packing, op8_ngram_join, op9_token_counts)}
+    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op8_ngram_join, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import quality
 
-    return {"op4_quality": quality.ORACLE}
+    op1 = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
+    return {"op1_topk_search": op1, "op4_quality": quality.ORACLE}
