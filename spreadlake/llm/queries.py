@@ -61,6 +61,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), end_id=1, size=2048)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import toxic_passages, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxic_passages(docs, train(docs, _table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parity_join import jaccard_components
 
@@ -68,7 +79,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op8_ngram_join, op9_token_counts)}
+    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op8_ngram_join, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
