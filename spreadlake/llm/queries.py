@@ -72,6 +72,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+SURROGATE_KEY = b"corpus surrogates"  # a deployment passes its own secret
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .surrogates import pseudonymise
+
+    done = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parity_join import jaccard_components
 
@@ -79,7 +91,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op8_ngram_join, op9_token_counts)}
+    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op7_pii, op8_ngram_join, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
