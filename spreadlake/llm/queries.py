@@ -90,8 +90,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op7_pii, op8_ngram_join, op9_token_counts)}
+    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op7_pii, op8_ngram_join, op9_token_counts, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
