@@ -1,15 +1,67 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, surrogates, packing."""
+"""Corpus pipeline over ``documents``: quality rules, line dedup, n-gram Jaccard join, surrogates, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a
+DataFrame; all but the last return the columns of ``documents``.  Stages are written as Parquet and read
+again by whoever runs them.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spreadlake.llm import line_dedup, packing, parity_join, quality, surrogates
+
+SURROGATE_KEY = b"corpus surrogates"  # a deployment passes its own secret
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failed lines and rejected documents go."""
+    return _sized(quality.clean(docs))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later matches of a line go; a document that loses all its lines stays, empty."""
+    return _sized(line_dedup.dedup(docs))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links join, the one with the smallest id stays; of rows that repeat an id, all."""
+    found = parity_join.jaccard_components(docs)
+    stay = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities get their surrogates."""
+    return _sized(surrogates.pseudonymise(docs, SURROGATE_KEY, out="__entities").drop("__entities"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences of 2,048."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), end_id=1, size=2048)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("ngram_join", ngram_join), ("pii", pii), ("packing", pack)]
 
-STAGES: list = []
+#: Surrogates are keyed hashes and pieces are ids of a tokenizer; SQL has neither.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
