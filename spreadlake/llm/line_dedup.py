@@ -31,8 +31,9 @@ RARITY = 1 << 17  # buckets of the table of word counts
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """doc_id, line_no, h: the hashes of a line's different words, in ascending order."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)).alias("line_no", "line")).where("doc_id is not null")
-    rows = rows.selectExpr("doc_id", "line_no", f"array_distinct(transform(regexp_extract_all(line, '{WORD}', 0), w -> xxhash64(w))) h").where(F.size("h") >= min_words)
-    return rows.withColumn("h", F.array_sort("h"))
+    rows = rows.selectExpr("doc_id", "line_no", f"array_distinct(transform(regexp_extract_all(line, '{WORD}', 0), w -> xxhash64(w))) h")
+    # A generator instead of a filter, which would be pushed below and split the line twice.
+    return rows.selectExpr("doc_id", "line_no", f"explode(if(size(h) >= {min_words}, array(array_sort(h)), array())) h")
 
 
 def _rarity(lines: DataFrame) -> bytes:

@@ -85,8 +85,10 @@ def verdicts(docs: DataFrame, text_col: str = "text", out: str = "q") -> DataFra
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The kept documents, their failed lines removed; columns as before."""
-    judged = verdicts(docs, text_col, "__q").where(F.col("__q.kept"))
-    return judged.select(*[F.col("__q.cleaned").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    judged = verdicts(docs, text_col, "__q")
+    # A generator instead of a filter, which would be pushed below the rules and evaluate them again.
+    kept = judged.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.explode(F.expr("if(__q.kept, array(__q.cleaned), array())")).alias("t"))
+    return kept.select(*[F.col("t").alias(c) if c == text_col else F.col("r").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = """
