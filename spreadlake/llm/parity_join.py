@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .batches import record, text_blocks
 from .components import components
-from .shared import cut, shuffle_partitions
+from .shared import cut, release, shuffle_partitions
 from .shingles import folded, mix, shingle_sets
 
 RARITY_BITS = 18  # of the table of block counts: 1 MB
 SKETCH_WORDS = 16  # of the sketch that travels with a node: 1,024 bits
+BLOCK = 2 << 20  # bytes of text that are hashed at once: some fifty times as much memory
 DEALT = 8  # buckets of sent blocks for each shuffle partition
 
 
@@ -126,7 +127,7 @@ def _scan(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
         for batch in batches:
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", BLOCK):
                 hashes, offsets = _sets(block, width)
                 for band in bands(np.diff(offsets), t):
                     keys, _ = block_keys(hashes, offsets, band)
@@ -165,7 +166,7 @@ def _send(docs: DataFrame, table, width: int, t: Fraction, buckets: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
         for batch in batches:
-            for block in text_blocks(batch, "text", 16 << 20):
+            for block in text_blocks(batch, "text", BLOCK):
                 hashes, offsets = _sets(block, width)
                 node = mix(folded(mix(hashes, 5), offsets, np.add), 1)
                 keys, owner = sent_keys(hashes, offsets, counts, t)
@@ -231,8 +232,11 @@ def _near(bits: np.ndarray, na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.n
     return (np.minimum(na, nb) * whole >= np.maximum(na, nb) * part) & (bits * (whole + part) <= total * (whole - part))
 
 
+NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int64())])
+
+
 def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes that their sizes and sketches allow."""
+    """Pairs (a, b) of nodes that their sizes and sketches allow, with the sketches' distance."""
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * t.denominator >= F.greatest("na", "nb") * t.numerator)
 
@@ -241,9 +245,10 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for c in ("sa", "sb"))
             bits = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_near(bits, na, nb, t)))
+            keep = _near(bits, na, nb, t)
+            yield record(NEAR, *(batch.column(c).filter(pa.array(keep)) for c in ("a", "b")), bits[keep])
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, bits long")
 
 
 def _across(members: DataFrame, t: Fraction) -> DataFrame:
@@ -313,9 +318,11 @@ def _items(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", BLOCK):
                 hashes, offsets = _sets(block, width)
-                yield record(schema, block.column("node"), [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)])
+                same = mix(folded(mix(hashes, 5), offsets, np.add), 1).view(np.int64) == block.column("node").to_numpy(zero_copy_only=False)  # an id may stand for several texts
+                rows = record(schema, block.column("node"), [hashes[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)])
+                yield rows.filter(pa.array(same))
 
     return docs.select("node", "text").mapInArrow(run, "node long, items binary")
 
@@ -333,16 +340,23 @@ def jaccard_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), w
         raise ValueError("two different shingle sets have the same 64-bit digest")
     table = spark.sparkContext.broadcast(counts)
     met = cut(_meet(_send(docs.where(F.col("doc_id").isNotNull()), table, width, t, DEALT * shuffle_partitions(spark))))
+    release(spark)
     pairs = met.where("grp is null").select("a", "b").distinct()
     near = cut(_sketched(pairs, classes, t))
     members = cut(met.where("grp is not null").select("grp", F.col("b").alias("node")).distinct())
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node")
-    sets = cut(_items(docs.join(wanted, "doc_id").dropDuplicates(["node"]), width))
-    links = cut(_verified(near, sets, t))
+    sets = cut(_items(docs.join(wanted, "doc_id"), width).dropDuplicates(["node"]))
+    release(spark)
+    # First the nearest of each node's partners, which mostly joins it to its component; of the rest only pairs that are still apart.
+    nearest = cut(near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
+    links = cut(_verified(nearest, sets, t))
     comp = components(links)
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    rest = near.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     placed = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
     split = placed.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    more = cut(_across(placed.join(split, "grp", "left_semi").join(classes.select("node", "n", "sketch"), "node"), t).distinct())
+    across = _across(placed.join(split, "grp", "left_semi").join(classes.select("node", "n", "sketch"), "node"), t)
+    more = cut(rest.unionByName(across).distinct().join(nearest, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(cut(_verified(more, sets, t)))
         comp = components(links)
