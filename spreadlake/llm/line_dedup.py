@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 RARITY = 1 << 17  # buckets of the table of word counts
@@ -33,26 +33,29 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)).alias("line_no", "line")).where("doc_id is not null")
     rows = rows.selectExpr("doc_id", "line_no", f"array_distinct(transform(regexp_extract_all(line, '{WORD}', 0), w -> xxhash64(w))) h")
     # A generator instead of a filter, which would be pushed below and split the line twice.
-    return rows.selectExpr("doc_id", "line_no", f"explode(if(size(h) >= {min_words}, array(array_sort(h)), array())) h")
+    return rows.selectExpr("doc_id", "line_no", f"explode(if(size(h) >= {min_words}, array(sort_array(h)), array())) h")
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """Two bytes for each bucket, greater for more frequent words; RARITY rows reach the driver at most."""
-    counts = lines.select(F.explode("h").alias("x")).groupBy(F.expr(f"cast(pmod(x, {RARITY}) as int)").alias("b")).agg(F.count("*").alias("n")).collect()
-    out = bytearray(2 * RARITY)
+def _rarity(docs: DataFrame, text_col: str) -> str:
+    """A number for each bucket of words, greater for more frequent ones; RARITY rows reach the driver at most."""
+    words = docs.select(F.explode(F.expr(f"regexp_extract_all(cast(`{text_col}` as string), '{WORD}', 0)")).alias("w"))
+    counts = words.groupBy(F.expr(f"cast(pmod(xxhash64(w), {RARITY}) as int)").alias("b")).agg(F.count("*").alias("n")).collect()
+    out = ["0"] * RARITY
     for r in counts:
-        out[2 * r["b"] : 2 * r["b"] + 2] = min(65535, round(1500 * math.log2(1 + r["n"]))).to_bytes(2, "big")
-    return bytes(out)
+        out[r["b"]] = str(min(32767, round(750 * math.log2(1 + r["n"]))))
+    return ",".join(out)
 
 
 def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no of every line to remove."""
     p, q = similarity.numerator, similarity.denominator
+    spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col, min_words)
-    table = F.lit(bytearray(_rarity(lines)))
-    rank = F.transform("h", lambda x: F.struct(F.substring(table, 2 * F.pmod(x, F.lit(RARITY)).cast("int") + 1, F.lit(2)).alias("r"), x.alias("x")))
+    table = F.split(F.lit(_rarity(docs, text_col)), ",").cast("array<int>")  # folded into a constant
+    low = (1 << 48) - 1
+    ranked = F.transform("h", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(RARITY)).cast("int")).cast("long"), 48).bitwiseOR(x.bitwiseAND(F.lit(low))))
     side = "aggregate(h, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int)))"
-    made = lines.withColumn("r", F.array_sort(rank)).selectExpr(
+    made = lines.withColumn("r", ranked).selectExpr(
         "doc_id",
         "line_no",
         "xxhash64(h) sid",
@@ -60,10 +63,12 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
         side.format("1L - (shiftright(x, 6) & 1L)") + " s0",
         side.format("shiftright(x, 6) & 1L") + " s1",
         # Similar sets share one of the first n - ceil(t n) + 1 words.
-        f"transform(slice(r, 1, size(h) - cast((size(h) * {p} + {q - 1}) div {q} as int) + 1), e -> cast(shiftright(e.x, 32) as int)) prefix",
+        f"transform(slice(sort_array(r), 1, size(h) - cast((size(h) * {p} + {q - 1}) div {q} as int) + 1), e -> cast(e & 2147483647 as int)) prefix",
     )
+    made = cut(made)
     nodes = made.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    release(spark)
     words = nodes.select("node", "n", "s0", "s1", F.posexplode("prefix").alias("k", "word"))
     a, b = words.alias("a"), words.alias("b")
     common = f"(({p} * (a.n + b.n) + {p + q - 1}) div {p + q})"  # the least overlap of similar sets
@@ -76,16 +81,17 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
         & F.expr(f"bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= a.n + b.n - 2 * {common}"),
     )
     pairs = cut(near.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
+    release(spark)
     # Whole sets of the nodes that pairs name, from the texts again.
     named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "at"), "node").select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     sets = texts.join(named, "doc_id").selectExpr("node", f"array_distinct(transform(regexp_extract_all(get(split(t, '\\n', -1), line_no), '{WORD}', 0), w -> xxhash64(w))) h").where("h is not null")
-    sets = cut(sets.join(nodes.select("node", "sid", "at"), "node").where("xxhash64(array_sort(h)) = sid").select("node", "at", "h").dropDuplicates(["node"]))
+    sets = cut(sets.join(nodes.select("node", "sid", "at"), "node").where("xxhash64(sort_array(h)) = sid").select("node", "at", "h").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("h").alias("hx"), F.col("at").alias("ax")), "x").join(sets.select(F.col("node").alias("y"), F.col("h").alias("hy"), F.col("at").alias("ay")), "y")
     both = both.withColumn("c", F.size(F.array_intersect("hx", "hy"))).where(f"c * {q} >= (size(hx) + size(hy) - c) * {p}")
     first = cut(both.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("ay").alias("other")), F.struct(F.col("y").alias("node"), F.col("ax").alias("other")))).alias("e")).select("e.*").groupBy("node").agg(F.min("other").alias("other")))
     start = nodes.select("node", "sid", "at").join(first, "node", "left").select("sid", F.least("at", F.coalesce("other", "at")).alias("start"))
-    placed = lines.select("doc_id", "line_no", F.xxhash64("h").alias("sid"))
+    placed = made.select("doc_id", "line_no", "sid")
     return placed.join(start, "sid").where(F.struct("doc_id", "line_no") > F.col("start")).select("doc_id", "line_no").distinct()
 
 
