@@ -55,7 +55,7 @@ def _(t):
 
 @query("src_08_filing_extract", "select cast(accession as bigint) as accession, form, items, cast(filed_at as date) as filed from filing_events where form in ('8-K', '6-K') and cast(filed_at as date) >= date '2024-01-10'")
 def _(t):
-    blocks = t.filing_events.withColumn("blk", F.expr("accession % 50")).groupBy("blk").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("accession", "form", "items", F.date_format("filed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")))), lambda x, c=c: x.getField(c)).alias(n) for c, n in (("accession", "accessionNumber"), ("form", "form"), ("at", "acceptanceDateTime"), ("items", "items"))])
+    blocks = t.filing_events.withColumn("blk", F.expr("accession % 50")).groupBy("blk").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("accession", "form", "items", F.date_format("filed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")))), _field(c)).alias(n) for c, n in (("accession", "accessionNumber"), ("form", "form"), ("at", "acceptanceDateTime"), ("items", "items"))])
     return filings.extract(blocks, ["8-K", "6-K"], "2024-01-10").select(F.col("accession").cast("long").alias("accession"), "form", "items", F.to_date("filed_at").alias("filed"))
 
 
@@ -70,9 +70,9 @@ def _(t):
     return t.part.select(S.normalized_ticker(F.concat("p_brand", F.lit(".b/c"))).alias("ticker")).distinct()
 
 
-@query("src_11_nav_rows", "select concat('X', upper(p_brand), 'X') as symbol, N(p_partkey) as k, R(p_retailprice - 1000) as nav from part where p_retailprice - 1000 > 0")
+@query("src_11_nav_rows", "select concat('X', upper(p_brand), 'X') as symbol, N(p_partkey) as k, R(p_retailprice - 950) as nav from part where p_retailprice - 950 > 0")
 def _(t):
-    return t.part.select(S.mirror_symbol(F.col("p_brand")).alias("symbol"), F.col("p_partkey").alias("k"), (F.col("p_retailprice") - 1000).alias("nav")).where("nav > 0")
+    return t.part.select(S.mirror_symbol(F.col("p_brand")).alias("symbol"), F.col("p_partkey").alias("k"), (F.col("p_retailprice") - 950).alias("nav")).where("nav > 0")
 
 
 @query("src_12_filing_scan", f"select symbol, accession, form from filing_events where symbol in {SYMS} and cast(filed_at as date) between date '2024-01-05' and date '2024-01-20' and form in ('8-K', '6-K')")
@@ -120,9 +120,9 @@ def _(t):
     return tables.latest(t.trades.where("run_id = 'BUILDING'"), ["symbol"], F.desc("id")).select("symbol", "id", "run_id", F.coalesce("price", F.lit(0.0)).alias("price"))
 
 
-@query("src_24_cache_slice", "select lead, lag, N(obs_id) as obs_id, R(coint_pvalue) as coint_pvalue, R(halflife_days) as halflife_days from observations where date = date '1995-03-15' and hold_days = 5")
+@query("src_24_cache_slice", "select lead, lag, N(obs_id) as obs_id, R(coint_pvalue) as coint_pvalue, R(halflife_days) as halflife_days from observations where date >= date '1995-03-15' and hold_days = 5")
 def _(t):
-    return t.observations.where("date = date '1995-03-15' and hold_days = 5").select("lead", "lag", "obs_id", "coint_pvalue", "halflife_days")
+    return t.observations.where("date >= date '1995-03-15' and hold_days = 5").select("lead", "lag", "obs_id", "coint_pvalue", "halflife_days")
 
 
 @query("src_25_snapshot_scan", "select day, R(pv) as pv from portfolio_snapshots where run_id = 'BUILDING'")
@@ -147,6 +147,10 @@ def _(t):
     return rows.withColumn("x", F.get_json_object("metrics", "$.holdout").cast("double")).where("x is not null").groupBy("study").agg(F.max_by("x", "o_orderkey").alias("score"))
 
 
+def _field(name):
+    return lambda x: x.getField(name)
+
+
 KEYED = "select o_orderkey % 4000 as k, o_orderkey as id, o_totalprice as v from orders"
 
 
