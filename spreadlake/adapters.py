@@ -26,8 +26,8 @@ VIEWS: dict[str, str] = {
   case event_type when 'purchase' then '8-K' when 'signup' then '8-K/A' when 'error' then '6-K' else '10-Q' end as form,
   case event_id % 6 when 0 then '2.02,9.01' when 1 then '1.01' when 2 then '5.02,7.01' when 3 then '4.02' when 4 then '' else '2.01,2.02' end as items, ts as filed_at from {events}""",
     "observations": """select c_mktsegment as fold, cast(o_orderdate as date) as date, concat('Brand#', cast(1 + o_custkey % 5 as varchar(4)), cast(1 + o_orderkey % 3 as varchar(4))) as lead, concat('Brand#', cast(1 + o_custkey % 5 as varchar(4)), cast(4 + o_orderkey % 2 as varchar(4))) as lag, o_orderkey as obs_id,
-  round((o_orderkey % 97) / 97.0, 6) as corr_long, round((o_custkey % 89) / 89.0, 6) as corr_short, case when o_orderkey % 3 = 0 then cast(0 as double) else round((o_orderkey % 53) / 53.0, 6) end as z_depth,
-  round((o_orderkey % 100) / 100.0, 6) as coint_pvalue, cast(1 + o_custkey % 80 as double) as halflife_days, o_totalprice / 100 - 1500 as gross, cast(1 + o_orderkey % 20 as int) as hold_days,
+  cast(o_orderkey % 97 as double) / 97 as corr_long, cast(o_custkey % 89 as double) / 89 as corr_short, case when o_orderkey % 3 = 0 then cast(0 as double) else cast(o_orderkey % 53 as double) / 53 end as z_depth,
+  cast(o_orderkey % 100 as double) / 100 as coint_pvalue, cast(1 + o_custkey % 80 as double) as halflife_days, o_totalprice / 100 - 1500 as gross, cast(1 + o_orderkey % 20 as int) as hold_days,
   case when o_orderkey % 4 = 0 then null else cast(1 + o_orderkey % 25 as int) end as next_results_t, case when o_orderkey % 7 = 0 then cast(1 + o_orderkey % 15 as int) end as surprise_t from {orders} join {customer} on o_custkey = c_custkey""",
 }
 # Fixed decimals of the quotients above are doubles on both sides.
