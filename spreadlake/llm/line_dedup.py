@@ -68,6 +68,8 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     made = cut(made)
     nodes = made.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    placed = cut(made.select("doc_id", "line_no", "sid"))
+    del made, lines, ranked
     release(spark)
     words = nodes.select("node", "n", "s0", "s1", F.posexplode("prefix").alias("k", "word"))
     a, b = words.alias("a"), words.alias("b")
@@ -80,7 +82,9 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
         & F.expr(f"1 + least(a.n - a.k, b.n - b.k) - 1 >= {common}")
         & F.expr(f"bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= a.n + b.n - 2 * {common}"),
     )
-    pairs = cut(near.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct())
+    pairs = near.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    pairs = cut(pairs)
+    del near, words, a, b
     release(spark)
     # Whole sets of the nodes that pairs name, from the texts again.
     named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "at"), "node").select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
@@ -91,7 +95,6 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     both = both.withColumn("c", F.size(F.array_intersect("hx", "hy"))).where(f"c * {q} >= (size(hx) + size(hy) - c) * {p}")
     first = cut(both.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("ay").alias("other")), F.struct(F.col("y").alias("node"), F.col("ax").alias("other")))).alias("e")).select("e.*").groupBy("node").agg(F.min("other").alias("other")))
     start = nodes.select("node", "sid", "at").join(first, "node", "left").select("sid", F.least("at", F.coalesce("other", "at")).alias("start"))
-    placed = made.select("doc_id", "line_no", "sid")
     return placed.join(start, "sid").where(F.struct("doc_id", "line_no") > F.col("start")).select("doc_id", "line_no").distinct()
 
 
