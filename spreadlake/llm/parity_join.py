@@ -39,7 +39,7 @@ from .shared import cut, release, shuffle_partitions
 from .shingles import folded, mix, shingle_sets
 
 RARITY_BITS = 18  # of the table of block counts: 1 MB
-SKETCH_WORDS = 16  # of the sketch that travels with a node: 1,024 bits
+LEAST_BAND = 4  # smaller sets have the sketch of this band: 1,024 bits
 BLOCK = 2 << 20  # bytes of text that are hashed at once: some fifty times as much memory
 DEALT = 8  # buckets of sent blocks for each shuffle partition
 
@@ -106,12 +106,29 @@ def sent_keys(hashes: np.ndarray, offsets: np.ndarray, table: np.ndarray, t: Fra
     return np.concatenate([k for k, _ in out]), np.concatenate([o for _, o in out])
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Parity sketches, a row of bytes for each set."""
-    bits = SKETCH_WORDS * 64
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    odd = np.bincount(owner * bits + (mix(hashes, 3) >> np.uint64(54)).astype(np.int64) % bits, minlength=(len(offsets) - 1) * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1)
+def sketch_bits(sizes: np.ndarray) -> np.ndarray:
+    """By size band, as many as the band's sets have shingles, or more."""
+    return 4 ** (np.maximum(band_of(sizes), LEAST_BAND).astype(np.int64) + 1)
+
+
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Parity sketches; XOR of its quarters makes a sketch that of the band below."""
+    bits = sketch_bits(np.diff(offsets))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(bits)), np.diff(offsets))
+    odd = np.bincount(first[owner] + (mix(hashes, 3) % bits[owner].astype(np.uint64)).astype(np.int64), minlength=int(first[-1])) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(first, first[1:], strict=False)]
+
+
+def folded_to(sketch: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0) if len(sketch) > size else sketch
+
+
+def distance(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded_to(x, size) ^ folded_to(y, size)).sum())
 
 
 def _sets(block: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +151,7 @@ def _scan(docs: DataFrame, width: int, t: Fraction) -> DataFrame:
                     counts += np.bincount((keys >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
                 node = mix(folded(mix(hashes, 5), offsets, np.add), 1).view(np.int64)
                 check = folded(mix(hashes, 6), offsets, np.bitwise_xor).view(np.int64)
-                rows = sketches(hashes, offsets)
-                yield record(SCANNED, block.column("doc_id"), np.diff(offsets), node, check, [r.tobytes() for r in rows], pa.nulls(len(node), pa.binary()))
+                yield record(SCANNED, block.column("doc_id"), np.diff(offsets), node, check, sketches(hashes, offsets), pa.nulls(len(node), pa.binary()))
         none = pa.nulls(1, pa.int64())
         yield record(SCANNED, none, none, none, none, pa.nulls(1, pa.binary()), [counts.tobytes()])
 
@@ -242,8 +258,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS) for c in ("sa", "sb"))
-            bits = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+            bits = np.array([distance(a, b) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], dtype=np.int64)
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
             keep = _near(bits, na, nb, t)
             yield record(NEAR, *(batch.column(c).filter(pa.array(keep)) for c in ("a", "b")), bits[keep])
@@ -254,16 +269,30 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
 def _across(members: DataFrame, t: Fraction) -> DataFrame:
     """Pairs of a group's members of different components that sizes and sketches allow."""
 
-    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
-        comp, node, n, sketch = comp[order], node[order], n[order], sketch[order]
+        comp, node, n = comp[order], node[order], n[order]
+        whole = [np.frombuffer(sketch[i], dtype=np.uint64) for i in order]
+        size = np.array([len(x) for x in whole])
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(n)]  # ascending sizes: bands lie together
+        own = {a: np.stack(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)}
         top = np.searchsorted(n * t.numerator, n * t.denominator, side="right")  # sizes that a set of n can be similar to, among the larger
-        for i in range(len(n) - 1):
-            to = slice(i + 1, int(top[i]))
-            bits = np.bitwise_count(sketch[to] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            hit = np.flatnonzero((comp[to] != comp[i]) & _near(bits, n[to], np.full(len(bits), n[i]), t)) + i + 1
-            if len(hit):
-                yield np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])], axis=1)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            here = own[a]
+            above = own.get(b)
+            if above is not None:
+                above = np.stack([folded_to(x, here.shape[1]) for x in above])
+            for i in range(a, b):
+                parts = [np.bitwise_count(here[i + 1 - a : min(top[i], b) - a] ^ here[i - a]).sum(axis=1, dtype=np.int64)] if min(top[i], b) > i + 1 else []
+                if above is not None and top[i] > b:
+                    parts.append(np.bitwise_count(above[: top[i] - b] ^ here[i - a]).sum(axis=1, dtype=np.int64))
+                if not parts:
+                    continue
+                bits = np.concatenate(parts)
+                to = slice(i + 1, i + 1 + len(bits))
+                hit = np.flatnonzero((comp[to] != comp[i]) & _near(bits, n[to], np.full(len(bits), n[i]), t)) + i + 1
+                if len(hit):
+                    yield np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -271,7 +300,7 @@ def _across(members: DataFrame, t: Fraction) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             comp, node, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            sketch = np.concatenate([p[3] for p in parts])
+            sketch = [x for p in parts for x in p[3]]
             got = [x for x in pairs(comp, node, n, sketch)]
             if got:
                 got = np.concatenate(got)
@@ -280,7 +309,7 @@ def _across(members: DataFrame, t: Fraction) -> DataFrame:
         for batch in batches:
             grp = batch.column("grp").to_numpy(zero_copy_only=False)
             comp, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "node", "n"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, SKETCH_WORDS)
+            sketch = batch.column("sketch").to_pylist()
             cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
