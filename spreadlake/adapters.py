@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # {name} is a driver table; JSON_K is the engine's way to read props.k.
 VIEWS: dict[str, str] = {
-    "prices": """select p_brand as symbol, cast(date_trunc('week', l_shipdate) as date) as day, round(avg(l_extendedprice / l_quantity), 4) as close, cast(sum(l_quantity) as bigint) as volume
+    "prices": """select p_brand as symbol, cast(date_trunc('week', l_shipdate) as date) as day, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double) / (100 * sum(l_quantity)) as close, cast(sum(l_quantity) as bigint) as volume
   from {lineitem} join {part} on l_partkey = p_partkey group by p_brand, cast(date_trunc('week', l_shipdate) as date)""",
     "ticker_metadata": """select p_brand as symbol, case substr(p_brand, 7, 1) when '1' then 'Technology' when '2' then 'Energy' when '3' then 'Health' when '4' then null else 'Finance' end as sector,
   substr(p_brand, 8, 1) = '5' as is_etf, cast(min(p_size) * 97 + cast(substr(p_brand, 7, 2) as int) * 170 as int) as sic_code, case when substr(p_brand, 8, 1) in ('1', '2') then 'NYSE' when substr(p_brand, 8, 1) = '3' then 'OTC' else 'NASDAQ' end as exchange,
