@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes an intermediate to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
@@ -20,7 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+    # What is written needs its shuffle files no more; without this they stay until the driver happens to collect its garbage.
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new execution, which reads the setting
+    finally:
+        spark.conf.set(CLEAN, before)
 
 
 def release(spark: SparkSession) -> None:
