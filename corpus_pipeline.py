@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later matches of a line go; a document that loses all its lines stays, empty."""
-    return _sized(line_dedup.dedup(docs))
+    return _sized(line_dedup.dedup(docs, min_words=1))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

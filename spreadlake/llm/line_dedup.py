@@ -8,7 +8,8 @@ the symmetric difference from parity sketches of 128 bits; what passes is verifi
 A word's rarity is the count of its bucket over all lines, a table of fixed size: it orders words, and
 any order gives the same pairs.
 
-Defined results: lines with fewer than ``min_words`` different words are left alone; a null text has no lines
+Defined results: lines with fewer than ``min_words`` different words are left alone (op10 and the pipeline pass 1, so only
+lines without a word are); a null text has no lines
 and stays null; repeated rows (same id) are ordered by line number alone, of their equal lines none is later
 than itself, so they are treated alike; a null id's lines are neither removed nor do they remove others; an empty
 table gives no rows; other columns pass through ``dedup`` untouched.

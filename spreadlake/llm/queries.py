@@ -93,7 +93,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import report
 
-    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def queries() -> dict[str, Query]:
