@@ -1,9 +1,12 @@
 """Sharding by balanced label propagation under the law ``rows`` (op3): DataFrame functions only.
 
-Documents of equal text are linked.  Shards start exactly even, by rank.  In every round each group looks
-at the shard that most of its members are in, and members elsewhere ask to go there; a shard accepts, the
-largest asks first, up to its quota of rows.  Members of a group are alike, so rounds work on counts per
-(group, shard), never on documents, and a group larger than a shard fills one shard after the other.
+Documents of equal text are linked.  Shards start exactly even, by rank.  Groups larger than an
+eighth of a shard go first, the largest one ahead, each into as few shards as the rooms allow: one larger
+than a shard fills one after the other.  Then, in every round, each group asks whole for the shard that most
+of its members start in, of those with room left; a shard accepts, the largest asks first, up to its quota of
+rows.  Who is refused asks again in the next round; from round ROUNDS on a shard also takes the part of a
+group that fills it, so rounds end, and no more of these groups are split than there are shards.  Members of
+a group are alike, so rounds work on counts per (group, shard), never on documents.
 Documents without links have nothing to lose and fill what the quotas leave, so that the counts of shards
 differ by one at most.  Ranks come from counts per bucket of ids, so neither a hot group nor the whole
 table ever meets in one task.
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 BUCKETS = 4096  # of ids, for ranks: the tables of their counts have so many rows at most
-ROUNDS = 4
+ROUNDS = 4  # in which groups are taken whole or not at all
+PART = 8  # groups over this part of a shard are seated first: little more than PART x shards of them
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
@@ -31,18 +35,47 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
-def propagate(held: DataFrame, quotas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(g, shard, n) after label propagation. quotas: shard, quota, one row for each shard."""
-    for _ in range(rounds):
-        target = held.groupBy("g").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("target"), F.max("n").alias("there"))
-        asks = held.join(target, "g").where("shard <> target")
-        room = quotas.join(held.groupBy("shard").agg(F.sum("n").alias("used")), "shard", "left").select(F.col("shard").alias("target"), (F.col("quota") - F.coalesce("used", F.lit(0))).alias("room"))
-        line = W.partitionBy("target").orderBy(F.desc("there"), F.desc("n"), "g", "shard").rowsBetween(W.unboundedPreceding, 0)
-        asks = asks.withColumn("upto", F.sum("n").over(line)).join(F.broadcast(room), "target")
-        moved = asks.withColumn("m", F.least("n", F.col("room") - F.col("upto") + F.col("n"))).where("m > 0")
-        moved = moved.select("g", F.explode(F.array(F.struct(F.col("target").alias("shard"), F.col("m").alias("n")), F.struct("shard", (-F.col("m")).alias("n")))).alias("x")).select("g", "x.*")
-        held = cut(held.unionByName(moved).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    return held
+def _seat_large(votes: dict[str, dict[int, int]], rooms: list[int]) -> list[tuple[str, int, int]]:
+    """(g, shard, n): whole shards first, the rest where the least room holds it; among equals where most members are. Takes from rooms."""
+    seats = []
+    for g in sorted(votes, key=lambda g: (-sum(votes[g].values()), g)):
+        left = sum(votes[g].values())
+        while left:
+            fits = [s for s, room in enumerate(rooms) if room >= left]
+            s = min(fits, key=lambda s: (rooms[s], -votes[g].get(s, 0), s)) if fits else max(range(len(rooms)), key=lambda s: (rooms[s], votes[g].get(s, 0), -s))
+            n = min(left, rooms[s])
+            seats.append((g, s, n))
+            rooms[s] -= n
+            left -= n
+    return seats
+
+
+def propagate(held: DataFrame, quotas: list[int]) -> DataFrame:
+    """(g, shard, n) after label propagation, all members of all groups seated within the quotas."""
+    spark = held.sparkSession
+    rooms = list(quotas)
+    sizes = cut(held.groupBy("g").agg(F.sum("n").alias("c")))
+    large = F.col("c") * PART > max(rooms)
+    votes: dict[str, dict[int, int]] = {}
+    for r in held.join(sizes.where(large), "g", "left_semi").collect():  # little more than PART x shards groups, an entry for each shard
+        votes.setdefault(r["g"], {})[r["shard"]] = r["n"]
+    seats = spark.createDataFrame(_seat_large(votes, rooms), "g string, shard int, n long")
+    left, turn = sizes.where(~large), 0
+    while not left.isEmpty():
+        room_left = [s for s, room in enumerate(rooms) if room > 0]
+        target = held.where(F.col("shard").isin(room_left)).join(left, "g", "left_semi").groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("target"))
+        other = F.get(F.array(*map(F.lit, room_left)), F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(len(room_left))).cast("int"))
+        asks = left.join(target, "g", "left").withColumn("target", F.coalesce("target", other))
+        line = W.partitionBy("target").orderBy(F.desc("c"), "g").rowsBetween(W.unboundedPreceding, 0)
+        room = F.get(F.array(*[F.lit(x).cast("long") for x in rooms]), F.col("target"))
+        free = room - F.sum("c").over(line) + F.col("c")
+        asks = asks.withColumn("free", free).withColumn("m", F.when(F.col("free") >= F.col("c"), F.col("c")).otherwise(F.greatest("free", F.lit(0)) if turn >= ROUNDS else F.lit(0)).cast("long"))
+        asks = cut(asks.select("g", "c", "target", "m"))
+        seats = seats.unionByName(asks.where("m > 0").select("g", F.col("target").alias("shard"), F.col("m").alias("n")))
+        for r in asks.groupBy("target").agg(F.sum("m").alias("m")).collect():
+            rooms[r["target"]] -= r["m"]
+        left, turn = asks.where("m < c").select("g", (F.col("c") - F.col("m")).alias("c")), turn + 1
+    return cut(seats)
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,8 +84,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BUCKETS)).cast("int").alias("bucket")))
     per_bucket = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")))
     total = per_bucket.agg(F.sum("n")).first()[0] or 0
-    spark = docs.sparkSession
-    quotas = spark.range(0, shards, 1, 1).select(F.col("id").cast("int").alias("shard"), F.expr(f"{total // shards}L + if(id < {total % shards}, 1L, 0L)").alias("quota"))
+    quotas = [total // shards + (s < total % shards) for s in range(shards)]
     # Ranks within a bucket, and within a group's part in the bucket; both on one exchange.
     dealt = rows.repartition("bucket")
     dealt = dealt.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "g")) - 1).withColumn("j", F.row_number().over(W.partitionBy("bucket", "g").orderBy("doc_id")) - 1)
@@ -74,7 +106,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     # Documents without links, by rank, into what is left of the quotas.
     frees, at = [], 0
     for s in range(shards):
-        room = total // shards + (s < total % shards) - taken.get(s, 0)
+        room = quotas[s] - taken.get(s, 0)
         frees.append((at + room, s, taken.get(s, 0) - at))
         at += room
     left = ", ".join(f"named_struct('upto', {u}L, 'shard', {s}, 'shift', {d}L)" for u, s, d in frees)
