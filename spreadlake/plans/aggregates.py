@@ -217,11 +217,18 @@ def _(t):
     return crosstab(t.observations.where("obs_id % 50 = 1"), F.col("surprise_t").isNotNull(), F.col("gross") < -1000).select("a", "b", "c", "d", "odds")
 
 
+@query("agg_27_crosstab_all", "with c as (select N(count(*) filter (where e and b)) as a, N(count(*) filter (where e and not b)) as b, N(count(*) filter (where not e and b)) as c, N(count(*) filter (where not e and not b)) as d from (select surprise_t is not null as e, gross < -1000 as b from observations)) select a, b, c, d, R(a * d / nullif(cast(b * c as double), 0)) as odds from c")
+def _(t):
+    from ..operators.inference import crosstab
+
+    return crosstab(t.observations, F.col("surprise_t").isNotNull(), F.col("gross") < -1000).select("a", "b", "c", "d", "odds")
+
+
 @query("agg_27_fisher_exact")
 def _(t):
     from ..operators.inference import crosstab, fisher_exact
 
-    return fisher_exact(crosstab(t.observations.where("obs_id % 50 = 1"), F.col("surprise_t").isNotNull(), F.col("gross") < -1000))
+    return fisher_exact(crosstab(t.observations, F.col("surprise_t").isNotNull(), F.col("gross") < -1000))
 
 
 @query("agg_28_bootstrap_rate_gap")

@@ -288,6 +288,11 @@ def _(t):
     return t.orders.where("o_orderkey <= 200").select(F.col("o_orderkey").alias("trial"), F.pmod("o_orderkey", F.lit(5)).cast("int").alias("worker"))
 
 
+@query("ctrl_06_fold_workers_all", "select N(o_orderkey) as trial, cast(o_orderkey % 5 as int) as worker from orders")
+def _(t):
+    return t.orders.select(F.col("o_orderkey").alias("trial"), F.pmod("o_orderkey", F.lit(5)).cast("int").alias("worker"))
+
+
 @query("ctrl_07_study_gate", f"with {RETURNS}, c as (select substr(lead, 1, 7) as g, lead, lag, corr(rl, rg) as rho from rt where rl is not null group by 1, 2, 3) select N(count(*) filter (where rho > 0.15)) as strong, R(avg(case when rho > 0 then 1.0 else 0.0 end)) as positive, avg(case when rho > 0 then 1.0 else 0.0 end) >= 0.5 as passed from c")
 def _(t):
     r = P.pair_returns(aligned(t)).where("rl is not null").groupBy("lead", "lag").agg(P.safe_corr("rl", "rg").alias("rho"))
