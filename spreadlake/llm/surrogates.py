@@ -1,7 +1,8 @@
 """Surrogates for personal data (op7): detected entities get keyed replacements of the same kind and format.
 
 Kinds: e-mail addresses, IPv4 addresses, telephone numbers, payment card numbers (13 to 19 digits with a
-valid check digit), secrets behind a name such as ``token =``, and names behind a title.  The surrogate
+valid check digit), secrets behind a name such as ``token =``, and names behind a title.  A name is taken part
+by part, and each part wherever else the document has it as a word of the same spelling.  The surrogate
 of an entity is a keyed permutation of the strings of its format: digits stay digits, letters keep case,
 script and whether they are vowels, separators stay, a check digit stays right, an IPv4 octet
 stays below 256, and a name keeps its title and ending and with them its gender.  So the same entity gets the same
@@ -95,7 +96,7 @@ def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
     free = [i for i, c in enumerate(entity) if len(_alphabet(c)) > 1 and (c.isalpha() or c.isdigit())]
     if kind == "card":
         free = free[1:-1]  # the issuer's digit stays, the check digit follows
-    elif kind == "name":
+    elif kind == "name":  # a part's ending stays
         ends = {m.end() - 1 for m in re.finditer(r"[^\W\d_]+", entity)}
         free = [i for i in free if i not in ends]
     elif kind == "email":
@@ -129,7 +130,10 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text)]
         found += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if check_sum(re.sub(r"\D", "", m[0])) == 0]
     if any(t in text for t in TITLES):
-        found += [(m.start(2), m.end(2), "name") for m in NAME.finditer(text)]
+        parts = {x for m in NAME.finditer(text) for x in re.findall(r"[^\W\d_]+", m[2])} - set(TITLES)
+        if parts:  # every mention of a part in the document, with a title or without
+            again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(parts, key=lambda x: (-len(x), x))) + r")(?!\w)")
+            found += [(m.start(), m.end(), "name") for m in again.finditer(text)]
     out, end = [], 0
     for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= end:
