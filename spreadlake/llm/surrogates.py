@@ -8,7 +8,8 @@ script and whether they are vowels, separators stay, a check digit stays right,
 stays below 256, and a name keeps its title and ending and with them its gender.  So the same entity gets the same
 surrogate wherever it occurs, in every run with the same key, and two entities of one format never get
 the same.  A surrogate that some document holds as a real entity would join two persons: such
-collisions are looked for over the whole corpus, and those entities take another permutation until none is left.
+collisions are looked for over the whole corpus, and those entities take another permutation, after
+some turns with a letter more, until none is left; what is left after the last turn is an error.
 
 Defined results: a null text has no entities and stays null, an empty one empty; texts are taken whole; repeated
 rows are treated alike; a null id stays; an empty table gives no rows; other columns pass through,
@@ -41,6 +42,7 @@ TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "
 NAME = re.compile(r"(?<!\w)((?:" + "|".join(TITLES) + r")\.? )([^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")
 VOWELS = set("aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýаеёиоуыэюяαεηιουωάέήίόύώ")
 ROUNDS = 8
+WIDEN = 8  # turns after which a name, address or secret gets one letter more, as its format may have no free string
 
 
 def check_sum(digits: str) -> int:
@@ -67,7 +69,8 @@ def _alphabet(c: str) -> str:
 
 def _permute(values: list[int], sizes: list[int], key: bytes, tweak: bytes) -> list[int]:
     """A keyed permutation of the tuples with these sizes: a Feistel network over two halves."""
-    if len(values) == 1:
+    n = len(values)
+    if n == 1:
         values, sizes = [values[0], 0], [sizes[0], 1]
     half = len(values) // 2
     parts, moduli = [0, 0], [1, 1]
@@ -85,7 +88,7 @@ def _permute(values: list[int], sizes: list[int], key: bytes, tweak: bytes) -> l
     for side, span in enumerate((range(half), range(half, len(values)))):
         for i in reversed(span):
             parts[side], out[i] = divmod(parts[side], sizes[i])
-    return out
+    return out[:n]
 
 
 def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
@@ -93,6 +96,9 @@ def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
     tweak = f"{kind}{turn or ''}".encode()
     if kind == "ipv4":
         return ".".join(map(str, _permute([int(x) for x in entity.split(".")], [256] * 4, key, tweak)))
+    if kind in ("name", "email", "secret"):  # all of a turn are widened alike, so different ones stay different
+        more = "n" * (turn // WIDEN)
+        entity = entity[:-1] + more + entity[-1] if kind == "name" else more + entity
     free = [i for i, c in enumerate(entity) if len(_alphabet(c)) > 1 and (c.isalpha() or c.isdigit())]
     if kind == "card":
         free = free[1:-1]  # the issuer's digit stays, the check digit follows
@@ -167,7 +173,8 @@ def _turned(collided: DataFrame, key: bytes, turn: int) -> DataFrame:
 def replacements(docs: DataFrame, key: bytes, turns: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """(kind, entity, made) of all different entities, and of those whose first surrogate is a real entity.
 
-    The latter take the permutation of the next turn, until what they get is neither real nor given to another.
+    The latter take the permutation of the next turn, until what they get is neither real, themselves included,
+    nor given to another; if some never do, an error says so.
     """
     real = cut(_entities(docs, key).distinct())
     taken = real.select("kind", F.col("entity").alias("made")).unionByName(real.select("kind", "made"))
@@ -177,10 +184,12 @@ def replacements(docs: DataFrame, key: bytes, turns: int = 64) -> tuple[DataFram
         if again.isEmpty():
             break
         moved = cut(_turned(again, key, turn))
-        again = cut(moved.join(taken, ["kind", "made"], "left_semi").select(*FOUND.names).where("entity <> made"))
+        again = cut(moved.join(taken, ["kind", "made"], "left_semi").select(*FOUND.names))
         done = cut(moved.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         taken = taken.unionByName(done.select("kind", "made"))
         settled = done if settled is None else settled.unionByName(done)
+    if not again.isEmpty():
+        raise ValueError(f"{again.count()} entities without a free surrogate after {turns} turns")
     return real, settled
 
 
