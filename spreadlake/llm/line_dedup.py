@@ -1,102 +1,176 @@
 """Line dedup by an exact set-similarity join (op10): DataFrame functions only.
 
 A line is the set of its words.  A line goes when an earlier one, by (id, line number), has a Jaccard
-similarity of at least the threshold.  Lines of equal sets are one node, placed at its first line.  A
-node's words are put in order of rarity, and the prefix that any similar set must meet goes into an
-equi-join on words, whose condition is the length filter, the positional filter, and a lower bound of
-the symmetric difference from parity sketches of 128 bits; what passes is verified on whole word sets.
-A word's rarity is the count of its bucket over all lines, a table of fixed size: it orders words, and
-any order gives the same pairs.
-
-Defined results: lines with fewer than ``min_words`` different words are left alone (op10 and the pipeline pass 1, so only
-lines without a word are); a null text has no lines
-and stays null; repeated rows (same id) are ordered by line number alone, of their equal lines none is later
-than itself, so they are treated alike; a null id's lines are neither removed nor do they remove others; an empty
-table gives no rows; other columns pass through ``dedup`` untouched.
+similarity of at least the threshold.  Lines of equal sets are one node.  A node's words are put in order of
+rarity; the prefix that any similar set must meet goes into an equi-join on words, whose condition is the
+length filter, the shorter prefix of the smaller set, the positional filter, and a lower bound of the
+symmetric difference from parity sketches of 128 bits.  A word's rarity is the count of its bucket over all
+lines, a table of fixed size: it orders words, and any order gives the same pairs.
+
+The join is a semi-join: it keeps the entries that have some partner, at most as many rows as go in, however
+large a group is.  A line needs one earlier match only, so partners are tried in rounds: first the earliest
+node of each of its words, the nearest by sketch; nodes that a round resolves leave it, and each word's next node
+leads the next round.  What ROUNDS rounds leave is held against all its earlier partners.  Partners are
+verified on whole sets of words, read again from the lines.
+
+Defined results: a line without a word stays; a null text has no lines and stays null; repeated rows (same id)
+are ordered by line number alone, of their equal lines none is later than itself, so they are treated alike; a
+null id's lines are neither removed nor do they remove others; equal positions aren't earlier than one another;
+texts and lines are taken whole; an empty table gives no rows; other columns pass through ``dedup`` untouched.
 """
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, release
+from .shared import cut, drop
 
-WORD = r"[^\\x20\\x09-\\x0D]+"
-RARITY = 1 << 17  # buckets of the table of word counts
+BUCKETS = 1 << 20  # of the table of word counts: a byte each
+CHUNK = 1 << 12  # buckets that a row of the table holds
+HASH_BITS = 55  # of a word, below its rank
+ROUNDS = 3
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc_id, line_no, h: the hashes of a line's different words, in ascending order."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n", -1)).alias("line_no", "line")).where("doc_id is not null")
-    rows = rows.selectExpr("doc_id", "line_no", f"array_distinct(transform(regexp_extract_all(line, '{WORD}', 0), w -> xxhash64(w))) h")
-    # A generator instead of a filter, which would be pushed below and split the line twice.
-    return rows.selectExpr("doc_id", "line_no", f"explode(if(size(h) >= {min_words}, array(sort_array(h)), array())) h")
+def _plain(text: Column) -> Column:
+    """The text with a blank for every other separator of words but the line feed."""
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
-def _rarity(docs: DataFrame, text_col: str) -> str:
-    """A number for each bucket of words, greater for more frequent ones; RARITY rows reach the driver at most."""
-    words = docs.select(F.explode(F.expr(f"regexp_extract_all(cast(`{text_col}` as string), '{WORD}', 0)")).alias("w"))
-    counts = words.groupBy(F.expr(f"cast(pmod(xxhash64(w), {RARITY}) as int)").alias("b")).agg(F.count("*").alias("n")).collect()
-    out = ["0"] * RARITY
-    for r in counts:
-        out[r["b"]] = str(min(32767, round(750 * math.log2(1 + r["n"]))))
-    return ",".join(out)
+def _bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no of every line to remove."""
-    p, q = similarity.numerator, similarity.denominator
+def _rarity(docs: DataFrame) -> bytes:
+    """A byte for each bucket of words, greater for more frequent ones. A row for CHUNK buckets reaches the driver."""
     spark = docs.sparkSession
-    lines = _lines(docs, id_col, text_col, min_words)
-    table = F.split(F.lit(_rarity(docs, text_col)), ",").cast("array<int>")  # folded into a constant
-    low = (1 << 48) - 1
-    ranked = F.transform("h", lambda x: F.shiftleft(F.get(table, F.pmod(x, F.lit(RARITY)).cast("int")).cast("long"), 48).bitwiseOR(x.bitwiseAND(F.lit(low))))
-    side = "aggregate(h, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int)))"
-    made = lines.withColumn("r", ranked).selectExpr(
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
+    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    rank = (F.least(F.round(4 * F.log2(1 + F.col("n"))), F.lit(126)) + 1).cast("int")
+    ranked = counts.select("b", rank.alias("rank")).unionByName(spark.range(BUCKETS).selectExpr("cast(id as int) b", "1 rank")).groupBy("b").agg(F.max("rank").alias("rank"))
+    chunks = ranked.groupBy(F.expr(f"b div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("b", "rank"))).alias("x"))
+    rows = chunks.select("chunk", F.expr("array_join(transform(x, e -> char(e.rank)), '')").alias("ranks")).collect()
+    return "".join(r["ranks"] for r in sorted(rows, key=lambda r: r["chunk"])).encode("ascii")
+
+
+def _ranked(words: Column, table: bytes) -> Column:
+    """The line's different words, rarest first, as numbers: rank, then hash."""
+    ranks = F.lit(bytearray(table))
+
+    def number(w: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, _bucket(w) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words, number)), number(F.lit(""))))
+
+
+def _lines(docs: DataFrame, table: bytes, p: int, q: int, min_words: int) -> DataFrame:
+    """doc_id, line_no, sid (name of the set), n (its size), s0, s1 (sketch), prefix: a row for each line with so many different words."""
+    lines = docs.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    ranked = lines.select("doc_id", "line_no", _ranked(F.split("line", " ", -1), table).alias("r"))
+    # A generator instead of a filter, which would be pushed below and rank the line twice.
+    some = ranked.selectExpr("doc_id", "line_no", f"explode(if(size(r) >= {max(1, min_words)}, array(r), array())) r")
+    side = "aggregate(r, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int)))"
+    return some.selectExpr(
         "doc_id",
         "line_no",
-        "xxhash64(h) sid",
-        "size(h) n",
-        side.format("1L - (shiftright(x, 6) & 1L)") + " s0",
-        side.format("shiftright(x, 6) & 1L") + " s1",
+        "xxhash64(r) sid",
+        "size(r) n",
+        side.format("shiftright(x, 6) & 1") + " s0",
+        side.format("1 ^ (shiftright(x, 6) & 1)") + " s1",
         # Similar sets share one of the first n - ceil(t n) + 1 words.
-        f"transform(slice(sort_array(r), 1, size(h) - cast((size(h) * {p} + {q - 1}) div {q} as int) + 1), e -> cast(e & 2147483647 as int)) prefix",
-    )
-    made = cut(made)
-    nodes = made.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("prefix").alias("prefix"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    placed = cut(made.select("doc_id", "line_no", "sid"))
-    del made, lines, ranked
-    release(spark)
-    words = nodes.select("node", "n", "s0", "s1", F.posexplode("prefix").alias("k", "word"))
-    a, b = words.alias("a"), words.alias("b")
-    common = f"(({p} * (a.n + b.n) + {p + q - 1}) div {p + q})"  # the least overlap of similar sets
-    near = a.join(
-        b,
-        (F.col("a.word") == F.col("b.word"))
-        & (F.col("a.node") < F.col("b.node"))
-        & F.expr(f"least(a.n, b.n) * {q} >= greatest(a.n, b.n) * {p}")
-        & F.expr(f"1 + least(a.n - a.k, b.n - b.k) - 1 >= {common}")
-        & F.expr(f"bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1) <= a.n + b.n - 2 * {common}"),
+        f"transform(slice(r, 1, size(r) - cast((size(r) * {p}L + {q - 1}) div {q} as int) + 1), e -> cast(e & 2147483647 as int)) prefix",
     )
-    pairs = near.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
-    pairs = cut(pairs)
-    del near, words, a, b
-    release(spark)
-    # Whole sets of the nodes that pairs name, from the texts again.
-    named = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "at"), "node").select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    sets = texts.join(named, "doc_id").selectExpr("node", f"array_distinct(transform(regexp_extract_all(get(split(t, '\\n', -1), line_no), '{WORD}', 0), w -> xxhash64(w))) h").where("h is not null")
-    sets = cut(sets.join(nodes.select("node", "sid", "at"), "node").where("xxhash64(sort_array(h)) = sid").select("node", "at", "h").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("h").alias("hx"), F.col("at").alias("ax")), "x").join(sets.select(F.col("node").alias("y"), F.col("h").alias("hy"), F.col("at").alias("ay")), "y")
-    both = both.withColumn("c", F.size(F.array_intersect("hx", "hy"))).where(f"c * {q} >= (size(hx) + size(hy) - c) * {p}")
-    first = cut(both.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("ay").alias("other")), F.struct(F.col("y").alias("node"), F.col("ax").alias("other")))).alias("e")).select("e.*").groupBy("node").agg(F.min("other").alias("other")))
-    start = nodes.select("node", "sid", "at").join(first, "node", "left").select("sid", F.least("at", F.coalesce("other", "at")).alias("start"))
-    return placed.join(start, "sid").where(F.struct("doc_id", "line_no") > F.col("start")).select("doc_id", "line_no").distinct()
+
+
+def _close(p: int, q: int) -> str:
+    """Whether the sets of sides a and b may be similar, by size and sketch."""
+    common = f"((a.n + b.n) * {p}L + {p + q - 1}) div {p + q}"  # the least overlap of similar sets
+    return f"least(a.n, b.n) * {q}L >= greatest(a.n, b.n) * {p}L and {DISTANCE} <= a.n + b.n - 2 * ({common})"
+
+
+DISTANCE = "bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)"
+
+
+def _meets(p: int, q: int) -> str:
+    """Whether the sets may first meet at this word: ``brief`` marks the shorter prefix, k words of which come before."""
+    return f"if(a.n <= b.n, a.brief, b.brief) and least(a.n - a.k, b.n - b.k) >= ((a.n + b.n) * {p}L + {p + q - 1}) div {p + q}"
+
+
+class _Verifier:
+    """Holds whole sets of words of the nodes that have partners."""
+
+    def __init__(self, docs: DataFrame, at: DataFrame, p: int, q: int):
+        self.p, self.q = p, q
+        # One row for each document, which names its lines; the texts follow it, and are moved only if it is too large to broadcast.
+        wanted = cut(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line_no", "sid")).alias("named")))
+        lines = docs.join(wanted, "doc_id").select(F.split(_plain(F.col("text")), "\n", -1).alias("lines"), F.explode("named").alias("e")).selectExpr("e.sid", "get(lines, e.line_no) line")
+        self.lines = lines.where("line is not null")
+
+    def write(self, table: bytes) -> None:
+        # An id may stand for several texts: the line must have the set's name.
+        named = self.lines.withColumn("name", F.xxhash64(_ranked(F.split("line", " ", -1), table)))
+        words = F.array_remove(F.array_distinct(F.split("line", " ", -1)), "")
+        self.sets = cut(named.where("name = sid").select("sid", words.alias("words")).dropDuplicates(["sid"]))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (x, y) whose sets are similar."""
+        of = lambda c: self.sets.select(F.col("sid").alias(c), F.col("words").alias(f"w{c}"))
+        both = pairs.join(of("x"), "x").join(of("y"), "y").withColumn("c", F.size(F.array_intersect("wx", "wy")))
+        return both.where(f"c * {self.q}L >= (size(wx) + size(wy) - c) * {self.p}L").select("x", "y")
+
+
+def _resolved(entries: DataFrame, verifier: _Verifier, p: int, q: int) -> DataFrame:
+    """sid of the nodes that an earlier node is similar to. entries: word, sid, n, k, brief, s0, s1, at."""
+    done, pool = None, entries
+    seen = None  # pairs that were verified
+
+    def left(df: DataFrame) -> DataFrame:
+        return df if done is None else df.join(done, "sid", "left_anti")
+
+    for _ in range(ROUNDS):
+        first = pool.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "s0", "s1")).alias("b"))
+        tried = left(entries).alias("a").join(first, "word").where(f"b.at < a.at and a.sid <> b.sid and {_close(p, q)}")
+        best = cut(tried.select(F.col("a.sid").alias("x"), F.struct(F.expr(DISTANCE).alias("d"), F.col("b.sid").alias("y")).alias("b")).groupBy("x").agg(F.min("b").alias("b")).select("x", "b.y"))
+        seen = best if seen is None else seen.unionByName(best)
+        found = cut(verifier.similar(best).select(F.col("x").alias("sid")))
+        if found.isEmpty():
+            break
+        done = found if done is None else cut(done.unionByName(found))
+        pool = pool.join(first.select("word", "b.sid"), ["word", "sid"], "left_anti")
+    a, b = left(entries).alias("a"), entries.alias("b")
+    rest = a.join(b, F.expr(f"a.word = b.word and b.at < a.at and a.sid <> b.sid and {_meets(p, q)} and {_close(p, q)}"))
+    rest = rest.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct().join(seen, ["x", "y"], "left_anti")
+    found = verifier.similar(rest).select(F.col("x").alias("sid")).distinct()
+    return cut(found if done is None else done.unionByName(found))
+
+
+def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line_no of every line to remove; lines of fewer than min_words different words are left alone."""
+    p, q = similarity.numerator, similarity.denominator
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    table = _rarity(docs)
+    made = cut(_lines(docs, table, p, q, min_words))
+    nodes = made.groupBy("sid").agg(*(F.min(c).alias(c) for c in ("n", "s0", "s1", "prefix")))
+    words = nodes.select("sid", "n", "s0", "s1", F.posexplode("prefix").alias("k", "word"))
+    # Of two similar sets the smaller one has a common word among even fewer of its first.
+    words = words.withColumn("brief", F.expr(f"k <= n - (n * {2 * p}L + {p + q - 1}) div {p + q}"))
+    met = F.expr(f"a.word = b.word and a.sid <> b.sid and {_meets(p, q)} and {_close(p, q)}")
+    near = cut(words.alias("a").join(words.alias("b"), met, "left_semi"))
+    placed = made.select("doc_id", "line_no", "sid")
+    at = cut(placed.join(near.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
+    verifier = _Verifier(docs, at, p, q)
+    verifier.write(table)
+    entries = cut(near.join(at, "sid"))
+    drop(near)
+    done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
+    # Of a set that no earlier one is similar to, the first line stays.
+    start = placed.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("c")).join(done, "sid", "left").where("c > 1 or gone").select("sid", "at", "gone")
+    return placed.join(start, "sid").where((F.struct("doc_id", "line_no") > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

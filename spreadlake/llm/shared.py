@@ -2,42 +2,57 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a session on one machine may go without: it gets a folder of its own. On a cluster that names
+    none this is an error, as executors would write where others can't read.
+    """
+    context = spark.sparkContext
+    if named := spark.conf.get(SETTING, None) or context.getConf().get(SETTING, None):
+        return named.rstrip("/")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} names no shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes an intermediate to the shared checkpoint folder, so that a lost executor costs no recomputation.
+    """Writes an intermediate as Parquet to the shared folder and reads it, so that a lost executor costs no recomputation.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where none is named,
-    as in tests on one machine, an own one is set.
+    As files, it has a known size: joins broadcast it only if Spark finds it small enough.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     # What is written needs its shuffle files no more; without this they stay until the driver happens to collect its garbage.
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a new execution, which reads the setting
+        df.write.parquet(folder)
     finally:
         spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._cut_folder = folder
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of the shuffle files of written intermediates, which else stay until the driver happens to collect its garbage."""
-    for _ in range(2):  # the driver's JVM hears of dropped references a moment after Python drops them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def drop(*written: DataFrame) -> None:
+    """Removes what ``cut`` wrote, once nothing reads it any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
