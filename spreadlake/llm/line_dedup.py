@@ -41,15 +41,11 @@ def _plain(text: Column) -> Column:
     return text
 
 
-def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
 def _rarity(docs: DataFrame) -> bytes:
     """A byte for each bucket of words, greater for more frequent ones. A row for CHUNK buckets reaches the driver."""
     spark = docs.sparkSession
     words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
-    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     rank = (F.least(F.round(4 * F.log2(1 + F.col("n"))), F.lit(126)) + 1).cast("int")
     ranked = counts.select("b", rank.alias("rank")).unionByName(spark.range(BUCKETS).selectExpr("cast(id as int) b", "1 rank")).groupBy("b").agg(F.max("rank").alias("rank"))
     chunks = ranked.groupBy(F.expr(f"b div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("b", "rank"))).alias("x"))
@@ -61,11 +57,12 @@ def _ranked(words: Column, table: bytes) -> Column:
     """The line's different words, rarest first, as numbers: rank, then hash."""
     ranks = F.lit(bytearray(table))
 
-    def number(w: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, _bucket(w) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    def number(h: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(words, number)), number(F.lit(""))))
+    different = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(different, number))
 
 
 def _lines(docs: DataFrame, table: bytes, p: int, q: int, min_words: int) -> DataFrame:
@@ -104,18 +101,14 @@ def _meets(p: int, q: int) -> str:
 class _Verifier:
     """Holds whole sets of words of the nodes that have partners."""
 
-    def __init__(self, docs: DataFrame, at: DataFrame, p: int, q: int):
+    def __init__(self, docs: DataFrame, at: DataFrame, table: bytes, p: int, q: int):
         self.p, self.q = p, q
-        # One row for each document, which names its lines; the texts follow it, and are moved only if it is too large to broadcast.
-        wanted = cut(at.groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line_no", "sid")).alias("named")))
-        lines = docs.join(wanted, "doc_id").select(F.split(_plain(F.col("text")), "\n", -1).alias("lines"), F.explode("named").alias("e")).selectExpr("e.sid", "get(lines, e.line_no) line")
-        self.lines = lines.where("line is not null")
-
-    def write(self, table: bytes) -> None:
+        named = cut(at.select("at.*", "sid"))
+        # Lines of the documents that are named; their texts are moved only if the names are too many to broadcast.
+        lines = docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
         # An id may stand for several texts: the line must have the set's name.
-        named = self.lines.withColumn("name", F.xxhash64(_ranked(F.split("line", " ", -1), table)))
-        words = F.array_remove(F.array_distinct(F.split("line", " ", -1)), "")
-        self.sets = cut(named.where("name = sid").select("sid", words.alias("words")).dropDuplicates(["sid"]))
+        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", F.split("line", " ", -1).alias("words")).withColumn("name", F.xxhash64(_ranked(F.col("words"), table)))
+        self.sets = cut(lines.where("name = sid").select("sid", F.array_remove(F.array_distinct("words"), "").alias("words")).dropDuplicates(["sid"]))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (x, y) whose sets are similar."""
@@ -163,8 +156,7 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     near = cut(words.alias("a").join(words.alias("b"), met, "left_semi"))
     placed = made.select("doc_id", "line_no", "sid")
     at = cut(placed.join(near.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
-    verifier = _Verifier(docs, at, p, q)
-    verifier.write(table)
+    verifier = _Verifier(docs, at, table, p, q)
     entries = cut(near.join(at, "sid"))
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))

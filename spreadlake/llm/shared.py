@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While an intermediate is written: its shuffle files go at once, not when the driver happens to collect its garbage,
+# and the driver keeps no long texts of its plan, which may hold a table as a literal.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "20000"}
 SETTING = "spark.checkpoint.dir"
 
 
@@ -35,13 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    # What is written needs its shuffle files no more; without this they stay until the driver happens to collect its garbage.
-    before = spark.conf.get(CLEAN, "false")
-    spark.conf.set(CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(folder)
     finally:
-        spark.conf.set(CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(folder)
     out._cut_folder = folder
     return out
