@@ -15,12 +15,15 @@ of that kind meet there.  So no link is lost.
 
 Documents of equal sets are one node.  Nodes that share a block make a group.  Each node of a group is
 first held against the group's smallest node; what then still lies in different components is compared
-across components within the group, by sketch, inside the task, and only survivors leave it.  Survivors are
-verified on whole sets.
+across components within the group, by sketch, inside the task.  Only the nearest node of another component
+leaves it and is verified on whole sets; components are found anew, and this goes on, with more
+partners each, until no untried pair across components is left.  So rows stay in proportion to the members,
+not to their pairs.  A group of more than UNIT nodes is compared part by part, each pair of parts in its own unit.
 
 Defined results: no words or a null text: an empty set, size 0, linked with nothing, its own component;
 repeated rows and equal texts are one component; an empty table gives no rows; ids are integers, a null id
-takes part in nothing and keeps a null component; other columns are not read.
+takes part in nothing and has a null component, also where its text equals others; texts are taken whole;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .batches import record, text_blocks
 from .components import components
-from .shared import cut, shuffle_partitions
+from .shared import cut, drop, shuffle_partitions
 from .shingles import folded, mix, shingle_sets
 
 RARITY_BITS = 18  # of the table of block counts: 1 MB
 LEAST_BAND = 4  # smaller sets have the sketch of this band: 1,024 bits
 BLOCK = 2 << 20  # bytes of text that are hashed at once: some fifty times as much memory
+UNIT = 4096  # nodes of a group that are compared in one task at most
 DEALT = 8  # buckets of sent blocks for each shuffle partition
 
 
@@ -266,63 +270,93 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, bits long")
 
 
-def _across(members: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of a group's members of different components that sizes and sketches allow."""
+FOUND = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bits", pa.int64())])
 
-    def pairs(comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> Iterator[np.ndarray]:
+
+def _units(members: DataFrame) -> DataFrame:
+    """members with the unit of comparison: a group of at most UNIT nodes, or a pair of such parts of a larger one; side tells the parts apart."""
+    sizes = members.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.expr(f"(count(*) + {UNIT - 1}) div {UNIT}").alias("parts"))
+    open_ = members.join(sizes.where("low <> high").select("grp", "parts"), "grp").withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
+    return open_.withColumn("u", F.explode(F.expr("transform(sequence(0L, parts - 1), j -> named_struct('ua', least(part, j), 'ub', greatest(part, j), 'side', if(part > j, 1, 0)))"))).select("grp", "u.*", "node", "comp")
+
+
+def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
+    """(x, y, bits): of each node the nearest ``most`` of the unit's nodes in a smaller component that sizes and sketches allow and x has not tried."""
+
+    def pairs(side: np.ndarray, comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes], tried: list) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
-        comp, node, n = comp[order], node[order], n[order]
+        side, comp, node, n = side[order], comp[order], node[order], n[order]
         whole = [np.frombuffer(sketch[i], dtype=np.uint64) for i in order]
         size = np.array([len(x) for x in whole])
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(n)]  # ascending sizes: bands lie together
-        own = {a: np.stack(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)}
-        top = np.searchsorted(n * t.numerator, n * t.denominator, side="right")  # sizes that a set of n can be similar to, among the larger
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            here = own[a]
-            above = own.get(b)
-            if above is not None:
-                above = np.stack([folded_to(x, here.shape[1]) for x in above])
+        stacks = {a: np.stack(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)}
+        halves = len(np.unique(side)) > 1
+        for at, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            # A node's partners lie in its own band and the next ones; the larger sketch is folded.
+            near = {a: stacks[a]}
+            if at:
+                near[cuts[at - 1]] = stacks[cuts[at - 1]]
+            if b < len(n):
+                near[b] = np.stack([folded_to(x, size[a]) for x in stacks[b]])
             for i in range(a, b):
-                parts = [np.bitwise_count(here[i + 1 - a : min(top[i], b) - a] ^ here[i - a]).sum(axis=1, dtype=np.int64)] if min(top[i], b) > i + 1 else []
-                if above is not None and top[i] > b:
-                    parts.append(np.bitwise_count(above[: top[i] - b] ^ here[i - a]).sum(axis=1, dtype=np.int64))
-                if not parts:
+                low, high = np.searchsorted(n * t.denominator, n[i] * t.numerator, side="left"), np.searchsorted(n * t.numerator, n[i] * t.denominator, side="right")
+                hits, dist = [], []
+                for first, stack in near.items():
+                    lo, hi = max(low, first), min(high, first + len(stack))
+                    if hi <= lo:
+                        continue
+                    use = comp[lo:hi] < comp[i]
+                    if halves:
+                        use &= side[lo:hi] != side[i]
+                    use = np.flatnonzero(use)
+                    if not len(use):
+                        continue
+                    mine = folded_to(whole[i], stack.shape[1])
+                    bits = np.bitwise_count(stack[use + lo - first] ^ mine).sum(axis=1, dtype=np.int64)
+                    keep = _near(bits, n[use + lo], np.full(len(use), n[i]), t)
+                    hits.append(node[use[keep] + lo])
+                    dist.append(bits[keep])
+                if not hits:
                     continue
-                bits = np.concatenate(parts)
-                to = slice(i + 1, i + 1 + len(bits))
-                hit = np.flatnonzero((comp[to] != comp[i]) & _near(bits, n[to], np.full(len(bits), n[i]), t)) + i + 1
-                if len(hit):
-                    yield np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])], axis=1)
+                hits, dist = np.concatenate(hits), np.concatenate(dist)
+                if tried[order[i]]:
+                    new = ~np.isin(hits, tried[order[i]])
+                    hits, dist = hits[new], dist[new]
+                best = np.lexsort((hits, dist))[:most]
+                if len(best):
+                    yield np.stack([np.full(len(best), node[i]), hits[best], dist[best]], axis=1)
+
+    columns = ("side", "comp", "node", "n", "sketch", "tried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         now, parts = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            comp, node, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            sketch = [x for p in parts for x in p[3]]
-            got = [x for x in pairs(comp, node, n, sketch)]
+            numbers = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            got = list(pairs(*numbers, *([x for p in parts for x in p[i]] for i in (4, 5))))
             if got:
                 got = np.concatenate(got)
-                yield record(schema, got[:, 0], got[:, 1])
+                yield record(FOUND, *got.T)
 
         for batch in batches:
-            grp = batch.column("grp").to_numpy(zero_copy_only=False)
-            comp, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "node", "n"))
-            sketch = batch.column("sketch").to_pylist()
-            cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
+            unit = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "ua", "ub")], axis=1)
+            have = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:4]] + [batch.column(c).to_pylist() for c in columns[4:]]
+            cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist(), len(unit)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if grp[a] != now and parts:
+                name = tuple(unit[a].tolist())
+                if name != now and parts:
                     yield from flush()
                     parts.clear()
-                now = grp[a]
-                parts.append((comp[a:b], node[a:b], n[a:b], sketch[a:b]))
+                now = name
+                parts.append([x[a:b] for x in have])
         if parts:
             yield from flush()
 
-    return members.repartition(shuffle_partitions(members.sparkSession), "grp").sortWithinPartitions("grp").select("grp", "comp", "node", "n", "sketch").mapInArrow(run, "a long, b long")
+    keys = ("grp", "ua", "ub")
+    dealt = units.repartition(shuffle_partitions(units.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, *columns).mapInArrow(run, "x long, y long, bits long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -371,23 +405,47 @@ def jaccard_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), w
     met = cut(_meet(_send(docs.where(F.col("doc_id").isNotNull()), table, width, t, DEALT * shuffle_partitions(spark))))
     pairs = met.where("grp is null").select("a", "b").distinct()
     near = cut(_sketched(pairs, classes, t))
-    members = cut(met.where("grp is not null").select("grp", F.col("b").alias("node")).distinct())
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node")
-    sets = cut(_items(docs.join(wanted, "doc_id"), width).dropDuplicates(["node"]))
-    # First the nearest of each node's partners, which mostly joins it to its component; of the rest only pairs that are still apart.
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
+        sets = cut(_items(docs.join(wanted, "doc_id"), width).dropDuplicates(["node"]))
+        links = cut(_verified(pairs, sets, t))
+        drop(wanted, sets)
+        return links
+
+    # First the nearest leader of each node, which mostly joins it to its component; then the other leaders that are still apart.
     nearest = cut(near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
-    links = cut(_verified(nearest, sets, t))
+    links = similar(nearest)
     comp = components(links)
-    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-    rest = near.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    placed = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-    across = _across(placed.join(split, "grp", "left_semi").join(classes.select("node", "n", "sketch"), "node"), t)
-    more = cut(rest.unionByName(across).distinct().join(nearest, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(cut(_verified(more, sets, t)))
+    rest = cut(_apart(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comp))
+    if not rest.isEmpty():
+        links = links.unionByName(similar(rest))
+        comp = components(links)
+    # Then the nearest nodes across components within a group: one each, and four times as many in every further round.
+    members = cut(met.where("grp is not null").select("grp", F.col("b").alias("node")).distinct())
+    drop(met)
+    tried = near.select(F.col("b").alias("x"), F.col("a").alias("y"))
+    most = 1
+    while True:
+        units = _units(members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp")))
+        known = tried.groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("tried"))
+        found = _across(units.join(classes.select("node", "n", "sketch"), "node").join(known, "node", "left"), t, most)
+        best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "y"))), 1, most).alias("e"))
+        found = cut(best.select("x", F.explode("e").alias("e")).select("x", "e.y"))
+        if found.isEmpty():
+            break
+        links = links.unionByName(similar(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
         comp = components(links)
+        tried = tried.unionByName(found)
+        most *= 4
     named = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = named.join(smallest, "comp").select("node", "component_id")
-    return rows.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) that lie in different components."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")

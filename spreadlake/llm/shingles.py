@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -17,22 +18,25 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_cache: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cache.get("power", ())) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        _cache["power"], _cache["back"] = _powers(size, BASE), _powers(size, inverse)
-    return _cache["power"], _cache["back"]
+LONG = 256  # bytes from which a word is hashed by itself
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, mixed eight bytes at a time; long ones by BLAKE2."""
+    size = end - start
+    out = mix(size.astype(np.uint64), 17)
+    lanes = np.ndarray(len(data), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+    at = np.arange(len(start))
+    for done in range(0, LONG, 8):
+        at = at[(size[at] > done) & (size[at] < LONG)]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - done, 8).astype(np.uint64)
+        lane = lanes[start[at] + done] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))
+        out[at] = mix((out[at] * STEP) ^ mix(lane, done + 1))
+    for i in np.flatnonzero(size >= LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +60,7 @@ def word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     before = before[before > 0] - 1
     stops[before] = inside[before]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    power, back = _tables(size)
-    sums = np.zeros(size + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * STEP), np.searchsorted(first, start, side="right") - 1
+    return _hashed(data, start, end), np.searchsorted(first, start, side="right") - 1
 
 
 def shingle_sets(texts: pa.StringArray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
