@@ -1,15 +1,24 @@
 """Surrogates for personal data (op7): detected entities get keyed replacements of the same kind and format.
 
-Kinds: e-mail addresses, IPv4 addresses, telephone numbers, payment card numbers (13 to 19 digits with a
-valid check digit), secrets behind a name such as ``token =``, and names behind a title.  A name is taken part
-by part, and each part wherever else the document has it as a word of the same spelling.  The surrogate
-of an entity is a keyed permutation of the strings of its format: digits stay digits, letters keep case,
-script and whether they are vowels, separators stay, a check digit stays right, an IPv4 octet
-stays below 256, and a name keeps its title and ending and with them its gender.  So the same entity gets the same
-surrogate wherever it occurs, in every run with the same key, and two entities of one format never get
-the same.  A surrogate that some document holds as a real entity would join two persons: such
-collisions are looked for over the whole corpus, and those entities take another permutation, after
-some turns with a letter more, until none is left; what is left after the last turn is an error.
+Kinds: e-mail, IPv4 and IPv6 addresses, telephone numbers, payment card numbers (13 to 19 digits with a valid check
+digit), bank accounts (IBAN with valid check digits), social security, insurance and identity numbers, street
+addresses, secrets behind a name such as ``token =``, and names behind a title, a salutation or an introduction.
+
+An entity is its canonical form: digits of a number, an address in lower case, a name part by part in lower case.
+So every spelling of it in the corpus gets the same surrogate, written in the format of the place: separators, country
+code, capitals, the address's words stay.  A name part is replaced wherever else its document has it as a word.
+
+Names and streets are drawn by a keyed hash from lists by script, names also by gender and by whether they are given or
+family names; a title's gender counts double against one guessed from the ending, and the corpus decides by majority
+what a part is, so it has one surrogate.  The other kinds take a keyed permutation of the strings of their format: digits
+stay digits, letters keep class and script, an issuer's digit, a country and a top-level domain stay, check digits are right.
+
+A surrogate that some document holds as a real entity, the entity itself included, or that another entity has got,
+would join two persons.  Such collisions are looked for over the whole corpus; those entities draw again,
+names with one more element of the list at each turn, others after some turns with a letter more, until none is left.
+A number's format can't be widened: if its strings are all taken after TURNS turns, an error says so.
+
+Not found: names that a document never introduces, names in scripts without capitals, inflected forms, initials.
 
 Defined results: a null text has no entities and stays null, an empty one empty; texts are taken whole; repeated
 rows are treated alike; a null id stays; an empty table gives no rows; other columns pass through,
@@ -20,13 +29,14 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import record, text_blocks
@@ -34,15 +44,52 @@ from .shared import cut
 
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)", re.ASCII)
+IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:{1,2}){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
 PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w)", re.ASCII)
 CARD = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d]|\.\d)", re.ASCII)
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII)
+SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])", re.ASCII)
+NINO = re.compile(r"(?<!\w)[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)", re.ASCII)
+DNI = re.compile(r"(?<!\w)\d{8}-?[A-HJ-NP-TV-Z](?!\w)", re.ASCII)
 SECRET = re.compile(r"(?i)(?<=\b)((?:api[_ -]?key|access[_ -]?key|secret(?:[_ -]?key)?|token|password|passwd|bearer)[\"']?\s*[:=]\s*[\"']?)([A-Za-z0-9_+/.=-]{8,})")
-# Titles before a name.
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra")
-NAME = re.compile(r"(?<!\w)((?:" + "|".join(TITLES) + r")\.? )([^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})")
+# Titles before a name and their gender; words that introduce one; what such words also precede; kinds of streets; check letters of DNI.
+TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f"}
+INTRODUCTIONS = ("My name is", "my name is", "Mein Name ist", "mein Name ist", "Ich heiße", "ich heiße", "Je m'appelle", "je m'appelle", "Mon nom est", "mon nom est", "Me llamo", "me llamo", "Mi nombre es", "mi nombre es", "Name:", "Nombre:", "Nom:", "Dear", "Liebe", "Lieber", "Cher", "Chère", "Querido", "Querida", "Estimado", "Estimada", "Sincerely,", "Regards,", "Grüßen,", "Cordialement,", "Atentamente,")
+GENDERED = {"Liebe": "f", "Lieber": "m", "Cher": "m", "Chère": "f", "Querido": "m", "Querida": "f", "Estimado": "m", "Estimada": "f"}
+NOT_NAMES = {"Sir", "Sirs", "Madam", "Customer", "Customers", "Team", "All", "Friend", "Friends", "Colleague", "Colleagues", "Reader", "Readers", "Kunde", "Kunden", "Freunde", "Client", "Clients", "Amis", "Cliente", "Clientes", "Amigos"}
+STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Terrace")
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_CAP = r"[^\W\d_a-zß-öø-ÿа-яά-ώ]"
+_PART = rf"{_CAP}[^\W\d_]+"
+_NAME = rf"({_PART}(?:(?: (?:von|van|de|del|della|di|da|der|den|la|du))*[ -]{_PART}){{0,2}})"
+NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.? " + _NAME)
+INTRODUCED = re.compile(r"(?<!\w)(" + "|".join(INTRODUCTIONS) + r")\s+(?:(" + "|".join(TITLES) + r")\.? )?" + _NAME)
+ADDRESS = re.compile(
+    rf"(?<![\w.,])(?P<n1>\d{{1,5}}) (?P<s1>{_PART}(?: {_PART}){{0,2}}) (?:{'|'.join(STREETS)})(?!\w)"
+    rf"|(?<!\w)(?P<s2>{_CAP}[^\W\d_]+)(?:straße|strasse|weg|gasse|allee|platz) (?P<n2>\d{{1,4}})(?!\w|[.,]\d)"
+    rf"|(?<![\w.,])(?P<n3>\d{{1,5}}),? (?:rue|avenue|boulevard|place|chemin) (?:de la |de |du |des )?(?P<s3>{_PART}(?: {_PART}){{0,2}})"
+    rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo) (?:de la |de |del |de los )?(?P<s4>{_PART}(?: {_PART}){{0,2}}),? (?P<n4>\d{{1,4}})(?!\w|[.,]\d)"
+)
+STREET_SIGNS = (*(f" {x}" for x in STREETS), "straße ", "strasse ", "weg ", "gasse ", "allee ", "platz ", "rue ", "avenue ", "boulevard ", "place ", "chemin ", "Calle ", "Avenida ", "Plaza ", "Paseo ")
+# Names to draw from.
+GIVEN = {
+    ("LATIN", "f"): "Alma Berta Clara Dora Elisa Flora Greta Hanna Irma Julia Karla Lena Marta Nora Olga Paula Rosa Sara Tina Vera".split(),
+    ("LATIN", "m"): "Anton Bruno Carlos Daniel Edgar Felix Gustav Hugo Ivan Julius Konrad Leon Martin Norman Oscar Paul Robert Simon Tomas Viktor".split(),
+    ("CYRILLIC", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга".split(),
+    ("CYRILLIC", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Олег".split(),
+    ("GREEK", "f"): "Άννα Δάφνη Ελένη Ζωή Θάλεια Ιωάννα Καλλιόπη Μαρία Νίκη Σοφία".split(),
+    ("GREEK", "m"): "Άγγελος Γιώργος Δήμος Ηλίας Θωμάς Κώστας Λεωνίδας Μάρκος Νίκος Πέτρος".split(),
+}
+FAMILY = {
+    "LATIN": "Abel Bauer Castel Dorn Eklund Ferrer Garnier Holt Iversen Jansen Keller Lindner Moreno Norden Ortega Palmer Quist Rivera Sander Talbot Ulrich Vidal Weber Zeller".split(),
+    "CYRILLIC": "Андреев Белов Волков Громов Дроздов Ершов Зимин Исаев Котов Лебедев Морозов Носов".split(),
+    "GREEK": "Αλεξίου Βασιλείου Γεωργίου Δημητρίου Ευσταθίου Ζαχαρίου Ιωάννου Κυριάκου Λουκά Μιχαήλ".split(),
+}
 VOWELS = set("aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýаеёиоуыэюяαεηιουωάέήίόύώ")
+NAMES = ("family", "given_f", "given_m")
 ROUNDS = 8
-WIDEN = 8  # turns after which a name, address or secret gets one letter more, as its format may have no free string
+WIDEN = 8  # turns after which an e-mail address or secret gets one letter more, as its format may have no free string
+TURNS = 64  # of a number: in a format half of whose strings are taken, one in 2^64 entities needs more
 
 
 def check_sum(digits: str) -> int:
@@ -53,6 +100,15 @@ def check_sum(digits: str) -> int:
     return total % 10
 
 
+def iban_rest(iban: str) -> int:
+    """The number of the account and country modulo 97: 1 for a valid IBAN."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def script_of(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0]
+
+
 @lru_cache(maxsize=512)
 def _alphabet(c: str) -> str:
     """The characters that a surrogate may have in this one's place: of the same case, script and sound."""
@@ -61,9 +117,8 @@ def _alphabet(c: str) -> str:
             return "0123456789"
         base = [x for x in "abcdefghijklmnopqrstuvwxyz" if (x in VOWELS) == (c.lower() in VOWELS)]
         return "".join(base).upper() if c.isupper() else "".join(base)
-    script = unicodedata.name(c, "?").split()[0]
     block = ord(c) & ~0xFF
-    kin = [x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == unicodedata.category(c) and unicodedata.name(x, "?").split()[0] == script and (x.lower() in VOWELS) == (c.lower() in VOWELS)]
+    kin = [x for x in map(chr, range(block, block + 256)) if unicodedata.category(x) == unicodedata.category(c) and script_of(x) == script_of(c) and (x.lower() in VOWELS) == (c.lower() in VOWELS)]
     return "".join(kin) if c in kin else c
 
 
@@ -91,22 +146,82 @@ def _permute(values: list[int], sizes: list[int], key: bytes, tweak: bytes) -> l
     return out[:n]
 
 
+def _drawn(names: list[str], n: int, key: bytes, tweak: bytes) -> str:
+    """n names of the list as one word, by a keyed hash."""
+    mac = int.from_bytes(hmac.new(key, tweak, hashlib.sha512).digest(), "big")
+    out = []
+    for _ in range(n):
+        mac, i = divmod(mac, len(names))
+        out.append(names[i])
+    return out[0] + "".join(x.lower() for x in out[1:])
+
+
+def country_code(digits: str) -> int:
+    """How many digits the country code of an international number has."""
+    if digits[:1] in ("1", "7"):
+        return 1
+    # The two-digit codes.
+    two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+    return 2 if digits[:2] in two.split() else 3
+
+
+def canonical(kind: str, mention: str) -> str:
+    """The entity that a mention names."""
+    if kind == "phone":
+        digits = re.sub(r"\D", "", mention)
+        return "+" + digits if "+" in mention else "+1" + digits if len(digits) == 10 and re.search(r"\D", mention) else digits
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", mention)
+    if kind in ("iban", "nino", "dni"):
+        return re.sub(r"[ -]", "", mention)
+    if kind == "ipv4":
+        return ".".join(str(int(x)) for x in mention.split("."))
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(mention).exploded
+    if kind == "address":
+        m = ADDRESS.fullmatch(mention)
+        number, street = (next(g for k, g in m.groupdict().items() if k[0] == x and g) for x in "ns")
+        return f"{number} {street.lower()}"
+    return mention if kind == "secret" else mention.lower()
+
+
 def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
-    """A string of the entity's kind and format: under each turn another permutation."""
+    """The canonical form that replaces a canonical entity: under each turn another one."""
     tweak = f"{kind}{turn or ''}".encode()
+    if kind in NAMES:
+        script = script_of(entity[0])
+        names = FAMILY.get(script) if kind == "family" else GIVEN.get((script, kind[-1]))
+        if names:
+            return _drawn(names, 1 + turn, key, tweak + entity.encode()).lower()
+        entity += entity[-1] * (turn // WIDEN)
+    if kind == "address":
+        number, _, street = entity.partition(" ")
+        names = FAMILY.get(script_of(street[0]), FAMILY["LATIN"])
+        first, *more = _permute([int(number[0]) - 1 if number[0] != "0" else 0, *map(int, number[1:])], [9] + [10] * (len(number) - 1), key, tweak)
+        return f"{first + 1}{''.join(map(str, more))} {_drawn(names, 1 + turn, key, tweak + entity.encode())}".lower()
     if kind == "ipv4":
         return ".".join(map(str, _permute([int(x) for x in entity.split(".")], [256] * 4, key, tweak)))
-    if kind in ("name", "email", "secret"):  # all of a turn are widened alike, so different ones stay different
-        more = "n" * (turn // WIDEN)
-        entity = entity[:-1] + more + entity[-1] if kind == "name" else more + entity
+    if kind == "ipv6":  # the first group says what sort of address it is
+        first, *groups = entity.split(":")
+        return ":".join([first, *(f"{x:04x}" for x in _permute([int(x, 16) for x in groups], [1 << 16] * 7, key, tweak))])
+    if kind in ("email", "secret"):  # all of a turn are widened alike, so different ones stay different
+        entity = "n" * (turn // WIDEN) + entity
     free = [i for i, c in enumerate(entity) if len(_alphabet(c)) > 1 and (c.isalpha() or c.isdigit())]
+    fixed = 0
     if kind == "card":
         free = free[1:-1]  # the issuer's digit stays, the check digit follows
-    elif kind == "name":  # a part's ending stays
-        ends = {m.end() - 1 for m in re.finditer(r"[^\W\d_]+", entity)}
-        free = [i for i in free if i not in ends]
+    elif kind == "phone" and entity.startswith("+"):
+        fixed = 1 + country_code(entity[1:])
+    elif kind == "iban":
+        fixed = 4
+    elif kind == "dni":
+        free = free[:8]
+    elif kind == "nino":
+        fixed = 2
+        free = free[:-1]
     elif kind == "email":
         free = [i for i in free if i < entity.rindex(".")]  # the top-level domain stays
+    free = [i for i in free if i >= fixed]
     if not free:
         return entity
     alphabets = [_alphabet(entity[i]) for i in free]
@@ -118,47 +233,135 @@ def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
     for i, a, v in zip(free, alphabets, got, strict=True):
         out[i] = a[v]
     if kind == "card":
-        last = max(i for i, c in enumerate(out) if c.isdigit())
-        digits = "".join(c for c in "".join(out[:last]) if c.isdigit())
-        out[last] = str((10 - check_sum(digits + "0")) % 10)
+        out[-1] = str((10 - check_sum("".join(out[:-1]) + "0")) % 10)
+    elif kind == "dni":
+        out[8] = DNI_LETTERS[int("".join(out[:8])) % 23]
+    elif kind == "iban":
+        out[2:4] = f"{98 - iban_rest(''.join(out[:2]) + '00' + ''.join(out[4:])):02d}"
     return "".join(out)
 
 
+def _filled(mention: str, made: str) -> str:
+    """The mention with its letters and digits, from the last, replaced by made's; what is left over goes ahead of them."""
+    left = list(made)
+    out = [left.pop() if c.isalnum() and left else c for c in reversed(mention)]
+    at = next((i for i, c in enumerate(reversed(out)) if c.isalnum()), 0)
+    out = out[::-1]
+    return "".join([*out[:at], *left, *out[at:]])
+
+
+def render(kind: str, mention: str, made: str) -> str:
+    """A canonical surrogate in the format of the mention."""
+    if kind in (*NAMES, "email"):
+        if mention.isupper():
+            return made.upper()
+        if kind == "email":
+            longer = len(made) - len(mention)
+            return made[:longer] + "".join(x.upper() if c.isupper() else x for x, c in zip(made[longer:], mention, strict=True))
+        return made if mention[0].islower() else made[0].upper() + made[1:]
+    if kind == "phone":
+        digits = sum(c.isdigit() for c in mention)
+        return _filled(mention, made[-digits:] if digits < len(made) else made)
+    if kind in ("card", "ssn", "iban", "nino", "dni"):
+        return _filled(mention, made)
+    if kind == "ipv6":
+        made = made if "::" not in mention else ipaddress.IPv6Address(made).compressed
+        return made.upper() if mention != mention.lower() else made
+    if kind == "address":
+        m = ADDRESS.fullmatch(mention)
+        number, street = (next(k for k, g in m.groupdict().items() if k[0] == x and g) for x in "ns")
+        new_number, _, new_street = made.partition(" ")
+        for group, new in sorted(((number, new_number), (street, new_street[0].upper() + new_street[1:])), key=lambda x: -m.start(x[0])):
+            mention = mention[: m.start(group)] + new + mention[m.end(group) :]
+        return mention
+    return made
+
+
+def _named(text: str) -> dict[str, tuple[str, int]]:
+    """Name parts that the text introduces, as they stand there, with their kind and the weight of its evidence."""
+    out: dict[str, tuple[str, int]] = {}
+    found = []
+    if any(t in text for t in TITLES):
+        found += [(m[2], TITLES[m[1]]) for m in NAME.finditer(text)]
+    if any(t in text for t in INTRODUCTIONS):
+        found += [(m[3], GENDERED.get(m[1], TITLES.get(m[2] or "", ""))) for m in INTRODUCED.finditer(text)]
+    for name, gender in found:
+        parts = [x for x in re.findall(_PART, name) if x not in TITLES and x not in NOT_NAMES]
+        for i, part in enumerate(parts):
+            sure = 2 if gender else 1
+            if i == len(parts) - 1 and (len(parts) > 1 or gender):
+                kind = "family"
+            else:
+                kind = "given_" + (gender or ("f" if part[-1].lower() in "aeiаяαη" else "m"))
+            if part not in out or out[part][1] < sure:
+                out[part] = kind, sure
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind), none overlapping; where two do, the one that begins first, then the longer."""
-    found = []
+    return [(a, b, kind) for a, b, kind, _ in _entities_of(text)]
+
+
+def _entities_of(text: str) -> list[tuple[int, int, str, int]]:
+    found: list[tuple[int, int, str, int]] = []
+
+    def add(kind: str, matches, group: int = 0) -> None:
+        found.extend((m.start(group), m.end(group), kind, 1) for m in matches)
+
     if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        add("email", EMAIL.finditer(text))
     if "=" in text or ":" in text:
-        found += [(m.start(2), m.end(2), "secret") for m in SECRET.finditer(text)]
+        add("secret", SECRET.finditer(text), 2)
+    if text.count(":") > 6 or "::" in text:
+        add("ipv6", (m for m in IPV6.finditer(text) if _is_ipv6(m[0])))
     if len(text) > 6 and re.search(r"\d\D?\d", text):
-        found += [(m.start(), m.end(), "ipv4") for m in IPV4.finditer(text)]
-        found += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text)]
-        found += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if check_sum(re.sub(r"\D", "", m[0])) == 0]
-    if any(t in text for t in TITLES):
-        parts = {x for m in NAME.finditer(text) for x in re.findall(r"[^\W\d_]+", m[2])} - set(TITLES)
-        if parts:  # every mention of a part in the document, with a title or without
-            again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(parts, key=lambda x: (-len(x), x))) + r")(?!\w)")
-            found += [(m.start(), m.end(), "name") for m in again.finditer(text)]
+        add("ipv4", IPV4.finditer(text))
+        add("phone", PHONE.finditer(text))
+        add("card", (m for m in CARD.finditer(text) if check_sum(re.sub(r"\D", "", m[0])) == 0))
+        add("iban", (m for m in IBAN.finditer(text) if iban_rest(m[0].replace(" ", "")) == 1))
+        add("ssn", SSN.finditer(text))
+        add("nino", NINO.finditer(text))
+        add("dni", (m for m in DNI.finditer(text) if DNI_LETTERS[int(m[0][:8]) % 23] == m[0][-1]))
+    if any(s in text for s in STREET_SIGNS):
+        add("address", ADDRESS.finditer(text))
+    if named := _named(text):  # every mention of a part in the document, with a title or without
+        kinds = {p.upper(): k for p, k in named.items()} | named
+        again = re.compile(r"(?<!\w)(?:" + "|".join(sorted(kinds, key=lambda x: (-len(x), x))) + r")(?!\w)")
+        found += [(m.start(), m.end(), *kinds[m[0]]) for m in again.finditer(text)]
     out, end = [], 0
-    for a, b, kind in sorted(found, key=lambda x: (x[0], -x[1])):
-        if a >= end:
-            out.append((a, b, kind))
-            end = b
+    for e in sorted(found, key=lambda x: (x[0], -x[1])):
+        if e[0] >= end:
+            out.append(e)
+            end = e[1]
     return out
 
 
+def _is_ipv6(s: str) -> bool:
+    try:
+        return len(re.findall(r"[0-9A-Fa-f]+", s)) > 2 and bool(ipaddress.IPv6Address(s))
+    except ValueError:
+        return False
+
+
 FOUND = pa.schema([("kind", pa.string()), ("entity", pa.string()), ("made", pa.string())])
+COUNTED = pa.schema([*FOUND, ("n", pa.int64())])
 
 
 def _entities(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, entity, made, n: the evidence for it; partial sums of a block of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                got = {(k, t[a:b]) for t in block.column("text").to_pylist() if t for a, b, k in entities(t)}
-                yield record(FOUND, [k for k, _ in got], [e for _, e in got], [surrogate(k, e, key) for k, e in got])
+                got: dict[tuple[str, str], int] = {}
+                for t in block.column("text").to_pylist():
+                    for a, b, kind, sure in _entities_of(t) if t else ():
+                        e = kind, canonical(kind, t[a:b])
+                        got[e] = got.get(e, 0) + sure
+                yield record(COUNTED, [k for k, _ in got], [e for _, e in got], [surrogate(k, e, key) for k, e in got], list(got.values()))
 
-    return docs.mapInArrow(run, "kind string, entity string, made string")
+    return docs.mapInArrow(run, "kind string, entity string, made string, n long")
 
 
 def _turned(collided: DataFrame, key: bytes, turn: int) -> DataFrame:
@@ -170,27 +373,45 @@ def _turned(collided: DataFrame, key: bytes, turn: int) -> DataFrame:
     return collided.select(*FOUND.names[:2]).mapInArrow(run, "kind string, entity string, made string")
 
 
-def replacements(docs: DataFrame, key: bytes, turns: int = 64) -> tuple[DataFrame, DataFrame | None]:
-    """(kind, entity, made) of all different entities, and of those whose first surrogate is a real entity.
+def _sort(kind: Column) -> Column:
+    """What must not meet: all names, or the entities of another kind."""
+    return F.when(kind.isin(*NAMES), "name").otherwise(kind)
+
+
+def _collided(moved: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows of moved whose surrogate is taken, or that share it with a smaller entity."""
+    held = moved.join(taken, ["sort", "made"], "left_semi")
+    owner = moved.groupBy("sort", "made").agg(F.min("entity").alias("owner"))
+    shared = moved.join(owner, ["sort", "made"]).where("entity <> owner").select(*moved.columns)
+    return held.unionByName(shared).distinct()
+
+
+def replacements(docs: DataFrame, key: bytes, turns: int = TURNS) -> tuple[DataFrame, DataFrame | None]:
+    """(kind, entity, made) of all different entities, and of those that don't get their first surrogate, None if there are none.
 
-    The latter take the permutation of the next turn, until what they get is neither real, themselves included,
-    nor given to another; if some never do, an error says so.
+    The latter draw again, turn by turn, until what they get is neither real, themselves included, nor given to another.
     """
-    real = cut(_entities(docs, key).distinct())
-    taken = real.select("kind", F.col("entity").alias("made")).unionByName(real.select("kind", "made"))
-    again = cut(real.join(real.select("kind", F.col("entity").alias("made")), ["kind", "made"], "left_semi").select(*FOUND.names))
-    settled = None
-    for turn in range(1, turns):
-        if again.isEmpty():
-            break
-        moved = cut(_turned(again, key, turn))
-        again = cut(moved.join(taken, ["kind", "made"], "left_semi").select(*FOUND.names))
-        done = cut(moved.join(again.select("kind", "entity"), ["kind", "entity"], "left_anti"))
-        taken = taken.unionByName(done.select("kind", "made"))
-        settled = done if settled is None else settled.unionByName(done)
-    if not again.isEmpty():
-        raise ValueError(f"{again.count()} entities without a free surrogate after {turns} turns")
-    return real, settled
+    counted = cut(_entities(docs, key).groupBy("kind", "entity", "made").agg(F.sum("n").alias("n")).withColumn("sort", _sort(F.col("kind"))))
+    # A name part is what most of the corpus takes it for.
+    chosen = counted.groupBy("sort", "entity").agg(F.max(F.struct("n", "kind", "made")).alias("x"))
+    real = cut(chosen.select("sort", "x.kind", "entity", "x.made"))
+    taken = real.select("sort", F.col("entity").alias("made"))
+    again = cut(_collided(real, taken))
+    settled = real.join(again.select("sort", "entity"), ["sort", "entity"], "left_anti")
+    taken = taken.unionByName(settled.select("sort", "made"))
+    turn = 0
+    while not again.isEmpty():
+        turn += 1
+        if turn == turns:
+            raise ValueError(f"{again.count()} entities without a free surrogate after {turns} turns")
+        moved = cut(_turned(again, key, turn).withColumn("sort", _sort(F.col("kind"))))
+        again = cut(_collided(moved, taken))
+        done = cut(moved.join(again.select("sort", "entity"), ["sort", "entity"], "left_anti"))
+        taken = taken.unionByName(done.select("sort", "made"))
+        settled = settled.unionByName(done.select(*settled.columns))
+    other = counted.select("sort", "kind", "entity", F.col("made").alias("first")).join(settled.select("sort", "entity", "made"), ["sort", "entity"]).where("made <> first")
+    other = cut(other.select("kind", "entity", "made"))
+    return real.select(*FOUND.names), None if other.isEmpty() else other
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("surrogate", pa.string())]))
@@ -204,10 +425,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", out: str =
     special = "cast(null as map<string, string>) as special"
     if settled is None:
         rows = rows.selectExpr("r", "text", special)
-    else:  # rare: the documents that hold such entities get them by an equi-join, a map for each document
+    else:  # the documents that hold such entities get them by an equi-join, a map for each document
         keyed = cut(rows.select("text").withColumn("h", F.md5("text")).dropDuplicates(["h"]))
         held = _held(keyed).join(settled.select(F.concat_ws("\x00", "kind", "entity").alias("e"), "made"), "e").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("e", "made"))).alias("special"))
-        rows = rows.withColumn("h", F.md5("text")).join(held, "h", "left").select("r", "text", "special")
+        rows = rows.withColumn("h", F.md5("text")).join(cut(held), "h", "left").select("r", "text", "special")
     kept = rows.schema["r"].dataType
     schema = f"r {kept.simpleString()}, text string, spans array<struct<kind: string, start: long, length: long, surrogate: string>>"
 
@@ -220,7 +441,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", out: str =
                     other = dict(special or ())
                     parts, at, marks = [], 0, []
                     for a, b, kind in got:
-                        made = other.get(f"{kind}\x00{text[a:b]}") or surrogate(kind, text[a:b], key)
+                        entity = canonical(kind, text[a:b])
+                        made = render(kind, text[a:b], other.get(f"{kind}\x00{entity}") or surrogate(kind, entity, key))
                         parts += [text[at:a], made]
                         marks.append({"kind": kind, "start": a, "length": b - a, "surrogate": made})
                         at = b
@@ -238,7 +460,7 @@ def _held(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks(batch, "text"):
-                pairs = {(h, f"{k}\x00{t[a:b]}") for h, t in zip(block.column("h").to_pylist(), block.column("text").to_pylist(), strict=True) if t for a, b, k in entities(t)}
+                pairs = {(h, f"{k}\x00{canonical(k, t[a:b])}") for h, t in zip(block.column("h").to_pylist(), block.column("text").to_pylist(), strict=True) if t for a, b, k in entities(t)}
                 yield record(schema, [h for h, _ in pairs], [e for _, e in pairs])
 
     return keyed.select("h", "text").mapInArrow(run, "h string, e string")
