@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .shared import cut, drop
 
-BUCKETS = 1 << 20  # of the table of word counts: a byte each
+BUCKETS = 1 << 18  # of the table of word counts: a byte each
 CHUNK = 1 << 12  # buckets that a row of the table holds
 HASH_BITS = 55  # of a word, below its rank
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _plain(text: Column) -> Column:
@@ -103,7 +103,7 @@ class _Verifier:
 
     def __init__(self, docs: DataFrame, at: DataFrame, table: bytes, p: int, q: int):
         self.p, self.q = p, q
-        named = cut(at.select("at.*", "sid"))
+        self.named = named = cut(at.select("at.*", "sid"))
         # Lines of the documents that are named; their texts are moved only if the names are too many to broadcast.
         lines = docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
         # An id may stand for several texts: the line must have the set's name.
@@ -160,6 +160,7 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     entries = cut(near.join(at, "sid"))
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
+    drop(entries, at, verifier.named, verifier.sets)
     # Of a set that no earlier one is similar to, the first line stays.
     start = placed.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("c")).join(done, "sid", "left").where("c > 1 or gone").select("sid", "at", "gone")
     return placed.join(start, "sid").where((F.struct("doc_id", "line_no") > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()

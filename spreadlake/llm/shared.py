@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,11 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop(*written: DataFrame) -> None:
-    """Removes what ``cut`` wrote, once nothing reads it any more."""
+    """Removes what ``cut`` wrote, once nothing reads it any more, and lets the driver's JVM forget the plans that did."""
+    gc.collect()
     for df in written:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
