@@ -26,3 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "comp")
         if not changed:
             return labels
+
+
+def merge(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) after more links (a, b): only labels that they join are worked on. A node that comp lacks is its own component."""
+    label = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    edges = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    joined = components(edges)
+    moved = comp.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return cut(moved.unionByName(joined.join(comp.select("node"), "node", "left_anti")))

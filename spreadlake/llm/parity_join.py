@@ -15,8 +15,8 @@ of that kind meet there.  So no link is lost.
 
 Documents of equal sets are one node.  Nodes that share a block make a group.  Each node of a group is
 first held against the group's smallest node; what then still lies in different components is compared
-across components within the group, by sketch, inside the task.  Only the nearest node of another component
-leaves it and is verified on whole sets; components are found anew, and this goes on, with more
+across components within the group, by sketch, inside the task.  Only the nearest nodes of the nearest components
+leave it and are verified on whole sets; components are merged, and this goes on, with more
 partners each, until no untried pair across components is left.  So rows stay in proportion to the members,
 not to their pairs.  A group of more than UNIT nodes is compared part by part, each pair of parts in its own unit.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import record, text_blocks
-from .components import components
+from .components import components, merge
 from .shared import cut, drop, shuffle_partitions
 from .shingles import folded, mix, shingle_sets
 
@@ -270,7 +270,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, bits long")
 
 
-FOUND = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bits", pa.int64())])
+FOUND = pa.schema([*((c, pa.int64()) for c in ("grp", "ua", "ub", "x", "y", "bits")), ("more", pa.bool_())])
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _units(members: DataFrame) -> DataFrame:
 
 
 def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
-    """(x, y, bits): of each node the nearest ``most`` of the unit's nodes in a smaller component that sizes and sketches allow and x has not tried."""
+    """Unit, x, y, bits, more: of each node x the nearest node of each smaller component in its unit that sizes and sketches allow and x has not tried, for the ``most`` nearest components; and whether x has further nodes to try."""
 
     def pairs(side: np.ndarray, comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes], tried: list) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
@@ -300,7 +300,7 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
                 near[b] = np.stack([folded_to(x, size[a]) for x in stacks[b]])
             for i in range(a, b):
                 low, high = np.searchsorted(n * t.denominator, n[i] * t.numerator, side="left"), np.searchsorted(n * t.numerator, n[i] * t.denominator, side="right")
-                hits, dist = [], []
+                hits, dist, of = [], [], []
                 for first, stack in near.items():
                     lo, hi = max(low, first), min(high, first + len(stack))
                     if hi <= lo:
@@ -316,15 +316,17 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
                     keep = _near(bits, n[use + lo], np.full(len(use), n[i]), t)
                     hits.append(node[use[keep] + lo])
                     dist.append(bits[keep])
+                    of.append(comp[use[keep] + lo])
                 if not hits:
                     continue
-                hits, dist = np.concatenate(hits), np.concatenate(dist)
+                hits, dist, of = (np.concatenate(v) for v in (hits, dist, of))
                 if tried[order[i]]:
                     new = ~np.isin(hits, tried[order[i]])
-                    hits, dist = hits[new], dist[new]
-                best = np.lexsort((hits, dist))[:most]
+                    hits, dist, of = hits[new], dist[new], of[new]
+                near_first = np.lexsort((hits, dist))
+                best = near_first[np.sort(np.unique(of[near_first], return_index=True)[1])[:most]]
                 if len(best):
-                    yield np.stack([np.full(len(best), node[i]), hits[best], dist[best]], axis=1)
+                    yield np.stack([np.full(len(best), node[i]), hits[best], dist[best], np.full(len(best), len(hits) > len(best))], axis=1)
 
     columns = ("side", "comp", "node", "n", "sketch", "tried")
 
@@ -335,8 +337,8 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
             numbers = (np.concatenate([p[i] for p in parts]) for i in range(4))
             got = list(pairs(*numbers, *([x for p in parts for x in p[i]] for i in (4, 5))))
             if got:
-                got = np.concatenate(got)
-                yield record(FOUND, *got.T)
+                got = np.concatenate(got).T
+                yield record(FOUND, *(np.full(got.shape[1], u) for u in now), *got[:3], got[3].astype(bool))
 
         for batch in batches:
             unit = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "ua", "ub")], axis=1)
@@ -356,7 +358,7 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
 
     keys = ("grp", "ua", "ub")
     dealt = units.repartition(shuffle_partitions(units.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, *columns).mapInArrow(run, "x long, y long, bits long")
+    return dealt.select(*keys, *columns).mapInArrow(run, "grp long, ua long, ub long, x long, y long, bits long, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -415,28 +417,30 @@ def jaccard_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), w
 
     # First the nearest leader of each node, which mostly joins it to its component; then the other leaders that are still apart.
     nearest = cut(near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
-    links = similar(nearest)
-    comp = components(links)
+    comp = components(similar(nearest))
     rest = cut(_apart(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comp))
     if not rest.isEmpty():
-        links = links.unionByName(similar(rest))
-        comp = components(links)
-    # Then the nearest nodes across components within a group: one each, and four times as many in every further round.
+        comp = merge(comp, similar(rest))
+    # Then the nearest nodes across components within a group, as far as they were not tried. A unit is done when none of its nodes has more to try.
     members = cut(met.where("grp is not null").select("grp", F.col("b").alias("node")).distinct())
     drop(met)
+    placed = lambda: members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
+    units = _units(placed()).drop("comp")
     tried = near.select(F.col("b").alias("x"), F.col("a").alias("y"))
-    most = 1
+    most = 4
     while True:
-        units = _units(members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp")))
         known = tried.groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("tried"))
-        found = _across(units.join(classes.select("node", "n", "sketch"), "node").join(known, "node", "left"), t, most)
-        best = found.groupBy("x").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "y"))), 1, most).alias("e"))
-        found = cut(best.select("x", F.explode("e").alias("e")).select("x", "e.y"))
+        now = units.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "n", "sketch"), "node").join(known, "node", "left")
+        found = cut(_across(now, t, most))
+        pairs = found.select("x", "y").distinct()
         if found.isEmpty():
             break
-        links = links.unionByName(similar(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
-        comp = components(links)
-        tried = tried.unionByName(found)
+        comp = merge(comp, similar(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        left = found.where("more").select("grp", "ua", "ub").distinct()
+        if left.isEmpty():
+            break
+        units = cut(units.join(left, ["grp", "ua", "ub"], "left_semi"))
+        tried = tried.unionByName(pairs)
         most *= 4
     named = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
