@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, drop
 
+WORD = r"[^\\x20\\x09-\\x0D]"  # a character of a word, as in a SQL string
 BUCKETS = 1 << 18  # of the table of word counts: a byte each
 CHUNK = 1 << 12  # buckets that a row of the table holds
 HASH_BITS = 55  # of a word, below its rank
@@ -105,7 +106,8 @@ class _Verifier:
         self.p, self.q = p, q
         self.named = named = cut(at.select("at.*", "sid"))
         # Lines of the documents that are named; their texts are moved only if the names are too many to broadcast.
-        lines = docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
+        self.ids = cut(named.select("doc_id").distinct())  # written, so its size is known before the texts are read
+        lines = docs.join(self.ids, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
         # An id may stand for several texts: the line must have the set's name.
         lines = lines.join(named, ["doc_id", "line_no"]).select("sid", F.split("line", " ", -1).alias("words")).withColumn("name", F.xxhash64(_ranked(F.col("words"), table)))
         self.sets = cut(lines.where("name = sid").select("sid", F.array_remove(F.array_distinct("words"), "").alias("words")).dropDuplicates(["sid"]))
@@ -160,7 +162,7 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     entries = cut(near.join(at, "sid"))
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
-    drop(entries, at, verifier.named, verifier.sets)
+    drop(entries, at, verifier.named, verifier.ids, verifier.sets)
     # Of a set that no earlier one is similar to, the first line stays.
     start = placed.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("c")).join(done, "sid", "left").where("c > 1 or gone").select("sid", "at", "gone")
     return placed.join(start, "sid").where((F.struct("doc_id", "line_no") > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
@@ -180,10 +182,13 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     return rows.select("doc_id", F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the removed lines; columns as before."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **options) -> DataFrame:
+    """docs without the removed lines; columns as before. drop_emptied: a document that loses lines and has no word left goes."""
     gone = removals(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__r"), F.col(f"`{id_col}`").cast("long").alias("__id")).join(gone, F.col("__id") == F.col("__doc"), "left")
     rows = rows.withColumn("__gone", F.coalesce("__gone", F.expr("cast(array() as array<int>)")))
     text = F.expr(f"if(size(__gone) = 0, __r.`{text_col}`, array_join(filter(split(__r.`{text_col}`, '\\n', -1), (l, i) -> not array_contains(__gone, i)), '\\n'))")
+    if drop_emptied:  # a generator instead of a filter, which would cut the text twice
+        rows = rows.select("__r", F.size("__gone").alias("__n"), text.alias("__t")).select("__r", F.explode(F.expr(f"if(__n > 0 and not rlike(__t, '{WORD}'), array(), array(__t))")).alias("__t"))
+        text = F.col("__t")
     return rows.select(*[text.alias(c) if c == text_col else F.col("__r").getField(c).alias(c) for c in docs.columns])
