@@ -35,3 +35,14 @@ def merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(edges)
     moved = comp.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
     return cut(moved.unionByName(joined.join(comp.select("node"), "node", "left_anti")))
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """(node, comp) of links (a, b) with a < b and one a for each b: b's parent. Labels jump to their own label until they are roots."""
+    labels = cut(links.select(F.col("b").alias("node"), F.col("a").alias("comp")))
+    while True:
+        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+        new = cut(labels.join(up, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"), F.col("far").isNotNull().alias("moved")))
+        labels = new.select("node", "comp")
+        if new.where("moved").isEmpty():
+            return labels.unionByName(labels.select(F.col("comp").alias("node"), "comp").distinct())

@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import record, text_blocks
-from .components import components, merge
-from .shared import cut, drop, shuffle_partitions
+from .components import forest, merge
+from .shared import LARGE_ROWS, cut, drop, shuffle_partitions
 from .shingles import folded, mix, shingle_sets
 
 RARITY_BITS = 18  # of the table of block counts: 1 MB
@@ -411,13 +411,13 @@ def jaccard_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), w
     def similar(pairs: DataFrame) -> DataFrame:
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("rep").alias("doc_id")), "node"))
         sets = cut(_items(docs.join(wanted, "doc_id"), width).dropDuplicates(["node"]))
-        links = cut(_verified(pairs, sets, t))
+        links = cut(_verified(pairs, sets, t), LARGE_ROWS)
         drop(wanted, sets)
         return links
 
     # First the nearest leader of each node, which mostly joins it to its component; then the other leaders that are still apart.
     nearest = cut(near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"))
-    comp = components(similar(nearest))
+    comp = cut(forest(similar(nearest)))  # a leader is smaller than its group, and each node has one nearest
     rest = cut(_apart(near.select("a", "b").join(nearest, ["a", "b"], "left_anti"), comp))
     if not rest.isEmpty():
         comp = merge(comp, similar(rest))

@@ -31,16 +31,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: For steps whose rows hold whole sets: Python gets few of them at a time.
+LARGE_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+
+
+def cut(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """Writes an intermediate as Parquet to the shared folder and reads it, so that a lost executor costs no recomputation.
 
-    As files, it has a known size: joins broadcast it only if Spark finds it small enough.
+    As files, it has a known size: joins broadcast it only if Spark finds it small enough. settings: of the session while it is written.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in WRITING}
+    using = WRITING | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in using}
     try:
-        for k, v in WRITING.items():
+        for k, v in using.items():
             spark.conf.set(k, v)
         df.write.parquet(folder)
     finally:
