@@ -2,16 +2,18 @@
 
 Vectors are dealt into blocks by descending length.  A rotation from the eigenvectors of their second
 moments (a d x d matrix, summed over all vectors) moves most of every length into the first coordinates.
-A block of queries is first held against the longest block, which gives each query a threshold, the k-th
-best so far.  By Cauchy-Schwarz a block whose greatest length times the query's cannot reach the
-threshold is not visited.  Inside a visited block the partial sum over the first coordinates plus the
-product of the residual lengths bounds every score; pairs above the threshold are scored exactly in
-integers.  Thresholds only ever drop pairs that cannot be among the k best.
+Blocks are visited in bands of growing size, the longest vectors first.  After each band every query's threshold is
+the k-th best score so far; by Cauchy-Schwarz a later block whose greatest length times the query's cannot reach it is
+not visited by the query's block.  Inside a visited block the partial sum over the first coordinates plus the product of
+the residual lengths bounds every score; pairs that may reach the threshold are scored exactly in integers.  Thresholds
+only ever drop pairs that cannot be among the k best.  Blocks keep the narrowest integers that hold their components.
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part, neither
-as queries nor as candidates; so do vectors of another dimension than most have (the dimension must be one:
-a second one raises).  Equal scores go to the smaller id; repeated rows are candidates each.  A query with
-fewer than k candidates gets all.  An empty table gives no rows.  Other columns are not read.
+as queries nor as candidates; nor do empty ones, ones whose squared length reaches 2^62, as their products may not fit
+64-bit scores, and ones of another dimension than most have (the smaller of two as frequent ones).  Equal scores go to the
+smaller id; repeated rows are candidates each, and a query id that stands on several rows is answered for each of
+them.  A candidate with the query's id is its own, whatever its vector.  A null id takes no part.  A query with fewer than k
+candidates gets all.  An empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from .batches import record
 from .shared import cut
 
 CANDIDATES = 4096  # vectors of a block
-QUERIES = 512  # queries of a block
+QUERIES = 2048  # queries of a block
+TOGETHER = 256  # queries that are held against a block at once
 HEAD = 16  # rotated coordinates of the partial sum
+BAND = 4  # each band of blocks is so many times as large as the one before
 
 VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("norm2", pa.float64()), ("d", pa.int32())])
 
@@ -45,11 +49,11 @@ def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: int) ->
                 if i is None or not x.is_valid or x.values.null_count:
                     continue
                 v = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if not len(v) or not np.isfinite(v).all():
+                with np.errstate(over="ignore"):
+                    norm2 = float(v @ v)
+                if not len(v) or not norm2 < 2.0**62:  # also of a component that isn't finite
                     continue
-                if np.abs(v).max() >= 2.0**62:
-                    raise OverflowError("a component does not fit 64-bit scores")
-                ids.append(i), rows.append(v.astype(np.int64).tobytes()), norms.append(float(v @ v)), dims.append(len(v))
+                ids.append(i), rows.append(v.astype(np.int64).tobytes()), norms.append(norm2), dims.append(len(v))
             yield record(VECTORS, ids, rows, norms, dims)
 
     return table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(run, "id long, v binary, norm2 double, d int")
@@ -62,7 +66,7 @@ def _moments(vectors: DataFrame, d: int) -> np.ndarray:
         total = np.zeros((d, d))
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column("v"), d).astype(np.float64)
+                x = np.frombuffer(b"".join(batch.column("v").to_pylist()), dtype=np.int64).reshape(-1, d).astype(np.float64)
                 total += x.T @ x
         yield pa.RecordBatch.from_pydict({"m": [total.tobytes()]}, schema=pa.schema([("m", pa.binary())]))
 
@@ -77,15 +81,24 @@ def _moments(vectors: DataFrame, d: int) -> np.ndarray:
     return np.frombuffer(got[0]["m"]).reshape(d, d) if got else np.zeros((d, d))
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64).reshape(-1, d)
+def _packed(m: np.ndarray) -> tuple[int, bytes]:
+    """Width in bytes of the narrowest integers that hold all components, and the components."""
+    for width in (1, 2, 4):
+        low, high = -(1 << (8 * width - 1)), (1 << (8 * width - 1)) - 1
+        if not m.size or (m.min() >= low and m.max() <= high):
+            return width, m.astype(f"<i{width}").tobytes()
+    return 8, m.tobytes()
 
 
-BLOCKS = pa.schema([("top", pa.float64()), ("ids", pa.binary()), ("m", pa.binary())])
+def _matrix(width: int, raw: bytes, d: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<i{width}").reshape(-1, d).astype(np.int64)
+
+
+BLOCKS = pa.schema([("top", pa.float64()), ("ids", pa.binary()), ("width", pa.int32()), ("m", pa.binary())])
 
 
 def _blocks(vectors: DataFrame, d: int, size: int) -> DataFrame:
-    """Blocks of vectors by descending length: number, greatest length, ids, components."""
+    """Blocks of vectors by descending length: number, greatest length, ids, width, components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -93,7 +106,8 @@ def _blocks(vectors: DataFrame, d: int, size: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            return record(BLOCKS, [float(np.sqrt(pc.max(t["norm2"]).as_py()))], [t["id"].to_numpy().tobytes()], [b"".join(t["v"].to_pylist())])
+            width, m = _packed(np.frombuffer(b"".join(t["v"].to_pylist()), dtype=np.int64))
+            return record(BLOCKS, [float(np.sqrt(pc.max(t["norm2"]).as_py()))], [t["id"].to_numpy().tobytes()], [width], [m])
 
         for batch in batches:
             at = 0
@@ -109,17 +123,15 @@ def _blocks(vectors: DataFrame, d: int, size: int) -> DataFrame:
             yield out()
 
     n = vectors.count()
-    dealt = vectors.repartitionByRange(max(1, -(-n // size)), F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id").mapInArrow(run, "top double, ids binary, m binary")
+    dealt = vectors.repartitionByRange(max(1, -(-n // size)), F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id").mapInArrow(run, "top double, ids binary, width int, m binary")
     return dealt.withColumn("block", F.monotonically_increasing_id())
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact products: by floating point where every partial sum is an exact integer, else in integers."""
+    """Exact products: by floating point where every partial sum is an exact integer, else in integers, which hold every product."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if most < 2.0**53:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    if most >= 2.0**63:
-        raise OverflowError("a score does not fit 64 bits")
     return q @ v.T
 
 
@@ -150,58 +162,68 @@ def _visit(qid: np.ndarray, q: np.ndarray, tau: np.ndarray, vid: np.ndarray, v:
     return r[rank < k], vid[c[rank < k]], s[rank < k]
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("q", pa.int64()), ("i", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def top_k(table: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest integer products of each query with every row but its own id."""
     vectors = cut(integer_vectors(table, id_col, vec_col, scale))
-    dims = vectors.groupBy("d").count().limit(2).collect()
-    if len(dims) > 1:
-        raise ValueError("vectors of more than one dimension")
     spark = table.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not dims:
-        return empty
-    d = dims[0]["d"]
+    common = vectors.groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    if common is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    d = common["d"]
+    vectors = vectors.where(F.col("d") == d)
     _, rotation = np.linalg.eigh(_moments(vectors, d))
     turn = spark.sparkContext.broadcast(np.ascontiguousarray(rotation[:, ::-1]))
-    asked = integer_vectors(queries, id_col, vec_col, scale)
-    qs = cut(_blocks(cut(asked), d, QUERIES).withColumnRenamed("block", "q"))
+    asked = cut(integer_vectors(queries, id_col, vec_col, scale).where(F.col("d") == d))
+    qs = cut(_blocks(asked, d, QUERIES).select(F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("width").alias("qwidth"), F.col("m").alias("qm")))
     vs = cut(_blocks(vectors, d, CANDIDATES))
-    lead = vs.agg(F.min_by("block", F.struct(-F.col("top"), "block"))).first()[0]
+    # Numbers of blocks by descending length: a row for each block of CANDIDATES vectors.
+    places = vs.select("block", "top", (F.row_number().over(W.orderBy(F.desc("top"), "block")) - 1).alias("place"))
+    n_blocks = places.count()
+    places = cut(places)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for qids, qm, tau, ids, m in zip(*(batch.column(c).to_pylist() for c in ("qids", "qm", "tau", "ids", "m")), strict=True):
+            for q, qids, qwidth, qm, tau, ids, width, m in zip(*(batch.column(c).to_pylist() for c in ("q", "qids", "qwidth", "qm", "tau", "ids", "width", "m")), strict=True):
                 qid, vid = np.frombuffer(qids, dtype=np.int64), np.frombuffer(ids, dtype=np.int64)
+                x, v = _matrix(qwidth, qm, d), _matrix(width, m, d)
                 low = np.frombuffer(tau) if tau else np.full(len(qid), -np.inf)
-                r, c, s = _visit(qid, np.frombuffer(qm, dtype=np.int64).reshape(-1, d), low, vid, np.frombuffer(m, dtype=np.int64).reshape(-1, d), turn.value, k)
-                yield record(FOUND, qid[r], c, s)
+                for a in range(0, len(qid), TOGETHER):
+                    part = slice(a, a + TOGETHER)
+                    r, c, s = _visit(qid[part], x[part], low[part], vid, v, turn.value, k)
+                    r = r + a
+                    yield record(FOUND, np.full(len(r), q), r.astype(np.int32), qid[r], c, s)
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("q", pa.int64()), ("tau", pa.binary()), ("least", pa.float64()), ("qids", pa.binary()), ("qm", pa.binary())])
+        """q, tau (of every query of the block), least: the length below which no vector can reach any of them."""
+        schema = pa.schema([("q", pa.int64()), ("tau", pa.binary()), ("least", pa.float64())])
         for batch in batches:
-            for q, qids, qm, ids, m in zip(*(batch.column(c).to_pylist() for c in ("q", "qids", "qm", "ids", "m")), strict=True):
-                qid, vid = np.frombuffer(qids, dtype=np.int64), np.frombuffer(ids, dtype=np.int64)
-                x = np.frombuffer(qm, dtype=np.int64).reshape(-1, d)
-                r, _, s = _visit(qid, x, np.full(len(qid), -np.inf), vid, np.frombuffer(m, dtype=np.int64).reshape(-1, d), turn.value, k)
-                tau = np.full(len(qid), -np.inf)
-                full = np.flatnonzero(np.bincount(r, minlength=len(qid)) == k)
-                last = np.searchsorted(r, full, side="right") - 1
-                tau[full] = s[last]
-                norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
-                # The least length with which a vector can reach some query's threshold.
+            for q, qwidth, qm, kth in zip(*(batch.column(c).to_pylist() for c in ("q", "qwidth", "qm", "kth")), strict=True):
+                x = _matrix(qwidth, qm, d).astype(np.float64)
+                tau = np.full(len(x), -np.inf)
+                for e in kth or ():
+                    tau[e["i"]] = e["score"]
+                norm = np.sqrt((x**2).sum(axis=1))
                 need = np.where(norm > 0, tau / np.maximum(norm, 1e-300), np.where(tau > 0, np.inf, -np.inf))
-                yield record(schema, [q], [tau.tobytes()], [float(need.min() * (1 - 1e-9) - 1e-6)], [qids], [qm])
-
-    qs = qs.select("q", F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    first = vs.where(F.col("block") == lead).select("ids", "m", F.lit(0).alias("at"))
-    low = cut(qs.withColumn("at", F.lit(0)).join(F.broadcast(first), "at").select("q", "qids", "qm", "ids", "m").mapInArrow(thresholds, "q long, tau binary, least double, qids binary, qm binary"))
-    # Which blocks a query block visits: numbers only; the blocks follow by an equi-join on their number.
-    tops = vs.select("block", "top").withColumn("near", F.lit(0))
-    visits = low.select("q", "least").withColumn("near", F.lit(0)).join(F.broadcast(tops.groupBy("near").agg(F.collect_list(F.struct("block", "top")).alias("b"))), "near").select("q", F.explode(F.expr("filter(b, x -> x.top >= least)")).alias("x")).select("q", "x.block")
-    work = visits.join(low, "q").join(vs, "block").select("qids", "qm", "tau", "ids", "m").repartition(max(1, spark.sparkContext.defaultParallelism * 4))
-    found = work.mapInArrow(visit, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # limited before the shuffle too
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield record(schema, [q], [tau.tobytes()], [float(need.min() * (1 - 1e-9) - 1e-6)])
+
+    best = W.partitionBy("q", "i").orderBy(F.desc("score"), "vec_id")
+    found, low = None, qs.select("q", F.lit(None).cast("binary").alias("tau"), F.lit(float("-inf")).alias("least"))
+    start, size = 0, 1
+    while start < n_blocks:
+        band = places.where(F.col("place").between(start, start + size - 1)).withColumn("all", F.lit(0))
+        # Which blocks a query block visits: numbers only; the blocks follow by an equi-join on their number.
+        near = band.groupBy("all").agg(F.collect_list(F.struct("block", "top")).alias("b"))
+        visits = low.withColumn("all", F.lit(0)).join(F.broadcast(near), "all").select("q", "tau", F.explode(F.expr("filter(b, x -> x.top >= least)")).alias("x")).select("q", "tau", "x.block")
+        work = visits.join(qs, "q").join(vs.select("block", "ids", "width", "m"), "block").select("q", "qids", "qwidth", "qm", "tau", "ids", "width", "m")
+        new = work.repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(visit, "q long, i int, query_id long, vec_id long, score long")
+        both = new if found is None else found.unionByName(new)
+        found = cut(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))  # limited before the shuffle too
+        start, size = start + size, size * BAND
+        if start < n_blocks:
+            kth = found.groupBy("q", "i").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") == k).groupBy("q").agg(F.collect_list(F.struct("i", "score")).alias("kth"))  # QUERIES at most
+            low = cut(qs.join(kth, "q", "left").select("q", "qwidth", "qm", "kth").mapInArrow(thresholds, "q long, tau binary, least double"))
+    ranked = found.withColumn("rank", F.row_number().over(best))
+    return ranked.select("query_id", "rank", "vec_id", "score")
