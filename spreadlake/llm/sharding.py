@@ -8,29 +8,44 @@ rows.  Who is refused asks again in the next round; from round ROUNDS on a shard
 group that fills it, so rounds end, and no more of these groups are split than there are shards.  Members of
 a group are alike, so rounds work on counts per (group, shard), never on documents.
 Documents without links have nothing to lose and fill what the quotas leave, so that the counts of shards
-differ by one at most.  Ranks come from counts per bucket of ids, so neither a hot group nor the whole
-table ever meets in one task.
+differ by one at most.  Ranks come from counts per bucket of ids, whose number grows with the table, and sums over
+earlier groups from parts of groups, so neither a hot group nor a shard nor the whole table ever meets in one task.
 
 Defined results: a null text has size 16, the CRC of no bytes, and is linked with empty texts; repeated rows
-are linked and counted each; a null id is an id like others; fewer documents than shards leave shards empty;
-an empty table gives no rows; columns other than id and text are not read.
+are linked and counted each; a null id is an id like others; texts are taken whole; ties go by group name and id; fewer documents than shards leave shards empty;
+an empty table gives no rows; columns other than id and text, also those with names used here, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import cut
 
-BUCKETS = 4096  # of ids, for ranks: the tables of their counts have so many rows at most
+ROWS = 50_000  # documents of a bucket of ids, about: the tables of the buckets' counts have a row for each
+DIGITS = 3  # of a group's name that part the groups of a shard, for sums over earlier groups
 ROUNDS = 4  # in which groups are taken whole or not at all
 PART = 8  # groups over this part of a shard are seated first: little more than PART x shards of them
 
 
+def _before(df: DataFrame, keys: list[str], order: list[Column], named: list[str], n: str, out: str) -> DataFrame:
+    """Adds the sum of n over the rows of the same keys that come earlier by (order, g).
+
+    Parts of equal order and of equal first digits of g are summed first; only inside a part are rows sorted. named: order's columns.
+    """
+    parted = df.withColumn("__part", F.substring("g", 1, DIGITS))
+    parts = parted.groupBy(*keys, *named, "__part").agg(F.sum(n).alias("__n"))
+    earlier = W.partitionBy(*keys).orderBy(*order, "__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*keys, *named, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    inside = W.partitionBy(*keys, *named, "__part").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
+    both = parted.join(parts, [*keys, *named, "__part"])
+    return both.withColumn(out, F.col("__off") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__part", "__off")
+
+
 def _offsets(counts: DataFrame) -> DataFrame:
-    """bucket, n -> bucket, before; BUCKETS rows at most, so one task and a broadcast will do."""
+    """bucket, n -> bucket, before; a row for each bucket, so one task will do."""
     before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     return counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
@@ -66,10 +81,9 @@ def propagate(held: DataFrame, quotas: list[int]) -> DataFrame:
         target = held.where(F.col("shard").isin(room_left)).join(left, "g", "left_semi").groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("target"))
         other = F.get(F.array(*map(F.lit, room_left)), F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(len(room_left))).cast("int"))
         asks = left.join(target, "g", "left").withColumn("target", F.coalesce("target", other))
-        line = W.partitionBy("target").orderBy(F.desc("c"), "g").rowsBetween(W.unboundedPreceding, 0)
         room = F.get(F.array(*[F.lit(x).cast("long") for x in rooms]), F.col("target"))
-        free = room - F.sum("c").over(line) + F.col("c")
-        asks = asks.withColumn("free", free).withColumn("m", F.when(F.col("free") >= F.col("c"), F.col("c")).otherwise(F.greatest("free", F.lit(0)) if turn >= ROUNDS else F.lit(0)).cast("long"))
+        asks = _before(asks, ["target"], [F.desc("c")], ["c"], "c", "ahead")
+        asks = asks.withColumn("free", room - F.col("ahead")).withColumn("m", F.when(F.col("free") >= F.col("c"), F.col("c")).otherwise(F.greatest("free", F.lit(0)) if turn >= ROUNDS else F.lit(0)).cast("long"))
         asks = cut(asks.select("g", "c", "target", "m"))
         seats = seats.unionByName(asks.where("m > 0").select("g", F.col("target").alias("shard"), F.col("m").alias("n")))
         for r in asks.groupBy("target").agg(F.sum("m").alias("m")).collect():
@@ -81,20 +95,20 @@ def propagate(held: DataFrame, quotas: list[int]) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BUCKETS)).cast("int").alias("bucket")))
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("g"), F.xxhash64(F.col(id_col).cast("long")).alias("hash")))
+    total = rows.count()
+    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(max(64, 1 << (total // ROWS).bit_length()))).cast("int")).drop("hash")
     per_bucket = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")))
-    total = per_bucket.agg(F.sum("n")).first()[0] or 0
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     # Ranks within a bucket, and within a group's part in the bucket; both on one exchange.
     dealt = rows.repartition("bucket")
     dealt = dealt.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "g")) - 1).withColumn("j", F.row_number().over(W.partitionBy("bucket", "g").orderBy("doc_id")) - 1)
-    ranked = cut(dealt.join(F.broadcast(_offsets(per_bucket)), "bucket").withColumn("start", F.pmod(F.col("k") + F.col("before"), F.lit(shards)).cast("int")).drop("k", "before"))
+    ranked = cut(dealt.join(_offsets(per_bucket), "bucket").withColumn("start", F.pmod(F.col("k") + F.col("before"), F.lit(shards)).cast("int")).drop("k", "before"))
     held = ranked.groupBy("g", F.col("start").alias("shard")).agg(F.count("*").alias("n"))
     linked = held.groupBy("g").agg(F.sum("n").alias("c")).where("c > 1").select("g")
     held = propagate(cut(held.join(linked, "g", "left_semi")), quotas)
     # Where each group's members go: intervals of their ranks, and the slot of an interval's first.
-    slot = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = held.withColumn("slot", slot)
+    placed = _before(held, ["shard"], [], [], "n", "slot")
     plan = placed.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("shard", "n", "slot"))).alias("x"))  # as many entries as shards at most
     upto = "aggregate(slice(x, 1, i + 1), 0L, (a, e) -> a + e.n)"
     plan = plan.selectExpr("g", f"transform(x, (e, i) -> named_struct('upto', {upto}, 'shard', e.shard, 'shift', e.slot + e.n - {upto})) plan")
@@ -112,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     left = ", ".join(f"named_struct('upto', {u}L, 'shard', {s}, 'shift', {d}L)" for u, s, d in frees)
     free = joined.where("free")
     offsets = _offsets(free.groupBy("bucket").agg(F.count("*").alias("n")))
-    free = free.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "g")) - 1).join(F.broadcast(offsets), "bucket")
+    free = free.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("doc_id", "g")) - 1).join(offsets, "bucket")
     free = free.selectExpr("doc_id", "size", "text_crc32", "k + before r", "e").selectExpr("doc_id", "size", "text_crc32", "r", f"filter(array({left}), f -> r < f.upto)[0] e")
     both = joined.where("not free").select("doc_id", "size", "text_crc32", "r", "e").unionByName(free)
     return both.selectExpr("doc_id", "size", "text_crc32", "'rows' law", "e.shard shard", "cast(r + e.shift as long) slot", "cast(null as int) grown_shard")
