@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import regex
+from tokenizers import Regex, Tokenizer, normalizers
 
 
 def byte_alphabet() -> list[str]:
@@ -121,12 +122,44 @@ class PairIndexEncoder:
 
 
 NOTHING = (b"", "")
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class of ascending code points."""
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(f"\\U{points[i]:08x}-\\U{points[j]:08x}")
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+def odd_characters(normalizer: normalizers.Normalizer) -> re.Pattern | None:
+    """Characters that the library and Python, whose Unicode versions differ, class, compose or lower-case differently, or that Python doesn't know."""
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i) not in "|\x01"]
+    text = "".join(chars)
+    odd = {c for c in chars if unicodedata.category(c) == "Cn"}
+    for name in CLASSES:
+        pairs = zip(chars, normalizers.Replace(Regex(name), "\x01").normalize_str(text), regex.sub(name, "\x01", text), strict=True)
+        odd.update(c for c, a, b in pairs if a != b)
+    pairs = zip(chars, normalizer.normalize_str("|".join(chars)).split("|"), strict=True)
+    odd.update(c for c, a in pairs if a != _normal(c) and not c.isspace())
+    return re.compile(_ranges(sorted(map(ord, odd)))) if odd else None
+
+
+def _normal(text: str) -> str:
+    """Composed and lower-cased letter by letter, without the rule for a final sigma."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 class WordTokenizer:
     """The tokenizer of a ``tokenizers`` JSON file with lower-cased, byte-level words: texts to ids and back.
 
-    Added tokens that a text contains are taken as such before anything else, as the library does by default.
+    Added tokens that a text contains are taken as such before anything else, as the library does by default.  A chunk
+    with a character that the library's Unicode version sees differently is parted into words by the library.
     """
 
     def __init__(self, path: str, keep_words: int = 1_000_000):
@@ -143,6 +176,8 @@ class WordTokenizer:
         self.words = regex.compile(pattern)
         self.runs, self.separators = regex.compile(r"[^\s]+"), re.compile("[\x1c-\x1f]")  # str.split() also parts at these
         self.names = {i: s for s, i in (vocab | self.added).items()}
+        self.library = Tokenizer.from_file(path)
+        self.odd = odd_characters(self.library.normalizer) if self.lower else None
         self.keep = keep_words
         self.known: dict[str, tuple[bytes, str]] = {}  # of a chunk: ids, decoded
 
@@ -157,9 +192,12 @@ class WordTokenizer:
         return self.runs.findall(text) if self.separators.search(text) else text.split()
 
     def _words(self, chunk: str) -> list[str]:
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # letter by letter, without the rule for a final sigma
-        return self.words.findall(chunk.lower() if self.lower else chunk)
+        if chunk.isascii():
+            return self.words.findall(chunk.lower() if self.lower else chunk)
+        if self.odd and self.odd.search(chunk):
+            text = self.library.normalizer.normalize_str(chunk)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return self.words.findall(_normal(chunk) if self.lower else unicodedata.normalize("NFC", chunk))
 
     def learn(self, chunks: list[list[str]]) -> None:
         """Encodes the words of a block's chunks that are not known yet, all together."""
