@@ -91,9 +91,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from .line_dedup import report
 
-    return report(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    told = report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return told.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
 def queries() -> dict[str, Query]:
@@ -111,4 +114,25 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_z
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
-    return {"op1_topk_search": op1, "op4_quality": quality.ORACLE}
+    op8 = """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) end as s from d),
+e as (select doc_id, len(s) as n, unnest(s) as x from s), f as (select x, count(*) as f from e group by x),
+p as (select * from (select doc_id, n, x, row_number() over (partition by doc_id order by f, x) as k from e join f using (x)) where k <= n - cast(ceil(n * 3 / 4.0) as bigint) + 1),
+c as (select distinct a.doc_id as a, b.doc_id as b from p a join p b on a.x = b.x and a.doc_id < b.doc_id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+l as (select a, b from (select a, b, len(list_intersect(x.s, y.s)) as i, len(x.s) as m, len(y.s) as n from c join s x on x.doc_id = a join s y on y.doc_id = b) where 100 * i >= 75 * (m + n - i)),
+both_ as (select a, b from l union all select b, a from l), r as (select doc_id as a, doc_id as b from s union select r.a, both_.b from r join both_ on both_.a = r.b)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.b) as component_id from s join r on r.a = s.doc_id group by s.doc_id, s.s
+"""
+    op10 = """
+with l as (select doc_id, i - 1 as line_no, string_split(text, chr(10))[i] as line from (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)),
+w as (select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) as s from l), g as (select * from w where len(s) > 0),
+q as (select s, row_number() over (order by min((doc_id, line_no))) as id, min((doc_id, line_no)) as at from g group by s), e as (select id, len(s) as n, unnest(s) as x from q), f as (select x, count(*) as f from e group by x),
+p as (select * from (select id, n, x, row_number() over (partition by id order by f, x) as k from e join f using (x)) where k <= n - cast(ceil(n * 3 / 4.0) as bigint) + 1),
+c as (select distinct a.id as a, b.id as b from p a join p b on a.x = b.x and a.id < b.id and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+m as (select distinct b as id from (select b, len(list_intersect(x.s, y.s)) as i, len(x.s) as m, len(y.s) as n from c join q x on x.id = a join q y on y.id = b where x.at < y.at) where 4 * i >= 3 * (m + n - i)),
+gone as (select g.doc_id, g.line_no from g join q using (s) where (g.doc_id, g.line_no) > q.at or q.id in (select id from m)),
+r as (select doc_id, count(*) as n, string_agg(cast(line_no as varchar), ',' order by line_no) as removed from gone group by doc_id)
+select d.doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, cast(coalesce(r.n, 0) as bigint) as n_removed, coalesce(removed, '') as removed from documents d left join r using (doc_id)
+"""
+    return {"op1_topk_search": op1, "op4_quality": quality.ORACLE, "op8_ngram_join": op8, "op10_line_dedup": op10}

@@ -22,6 +22,8 @@ def test_short_lines(spark, tmp_path):
                     gone[i].append(k)
                 seen.append(w)
     rows = entry.queries()["op10_line_dedup"](spark, str(tmp_path)).collect()
-    assert {r["doc_id"]: list(r["removed"]) for r in rows} == gone
+    assert {r["doc_id"]: [int(k) for k in r["removed"].split(",") if k] for r in rows} == gone
+    assert all(r["n_removed"] == len(gone[r["doc_id"]]) and r["n_lines"] == len((texts[r["doc_id"]] or "").split("\n")) * (texts[r["doc_id"]] is not None) for r in rows)
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()}
-    assert left == {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)}
+    cut = {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)}
+    assert left == {i: t for i, t in cut.items() if not gone[i] or t.split()}  # documents that lose all they said go
