@@ -1,13 +1,17 @@
 """Corpus pipeline over ``documents``: quality rules, line dedup, n-gram Jaccard join, surrogates, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a
-DataFrame; all but the last return the columns of ``documents``.  Stages are written as Parquet and read
-again by whoever runs them.
+DataFrame; all but the last return the columns of ``documents``, and columns beyond those too.  Stages are written
+as Parquet and read again by whoever runs them.
+
+Defined results: a null or empty text fails the quality rules.  A null id's lines neither go nor make others go, and it
+is no copy of another document; its entities are replaced and it is packed.  Rows that repeat an id and a text are copies
+of one another for lines at equal positions, which therefore stay; all rows of the id that a group keeps stay.  Texts are
+taken whole, however long.  An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlake.llm import line_dedup, packing, parity_join, quality, surrogates
+from spreadlake.llm.shared import shared_folder
 
 SURROGATE_KEY = b"corpus surrogates"  # a deployment passes its own secret
 
@@ -25,13 +30,13 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failed lines and rejected documents go."""
+    """Failed lines and rejected documents go; what has too few words goes too, so no document without text is left."""
     return _sized(quality.clean(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later matches of a line go; a document that loses all its lines stays, empty."""
-    return _sized(line_dedup.dedup(docs, min_words=1))
+    """Later matches of a line go, and documents that have no word left after it: all they said stands in others."""
+    return _sized(line_dedup.dedup(docs, drop_emptied=True))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the whole table, the outcome of each written to the shared folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
