@@ -15,9 +15,9 @@ of that kind meet there.  So no link is lost.
 
 Documents of equal sets are one node.  Nodes that share a block make a group.  Each node of a group is
 first held against the group's smallest node; what then still lies in different components is compared
-across components within the group, by sketch, inside the task.  Only the nearest nodes of the nearest components
-leave it and are verified on whole sets; components are merged, and this goes on, with more
-partners each, until no untried pair across components is left.  So rows stay in proportion to the members,
+across components within the group, by sketch, inside the task.  Only each node's nearest one
+leaves it and is verified on whole sets; components are merged, and this goes on, with GROWTH times as many
+partners each, in the parts of groups where some are left untried.  So rows stay in proportion to the members,
 not to their pairs.  A group of more than UNIT nodes is compared part by part, each pair of parts in its own unit.
 
 Defined results: no words or a null text: an empty set, size 0, linked with nothing, its own component;
@@ -44,6 +44,7 @@ from .shingles import folded, mix, shingle_sets
 RARITY_BITS = 18  # of the table of block counts: 1 MB
 LEAST_BAND = 4  # smaller sets have the sketch of this band: 1,024 bits
 BLOCK = 2 << 20  # bytes of text that are hashed at once: some fifty times as much memory
+GROWTH = 8  # of the partners that a node tries, from round to round
 UNIT = 4096  # nodes of a group that are compared in one task at most
 DEALT = 8  # buckets of sent blocks for each shuffle partition
 
@@ -270,7 +271,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, bits long")
 
 
-FOUND = pa.schema([*((c, pa.int64()) for c in ("grp", "ua", "ub", "x", "y", "bits")), ("more", pa.bool_())])
+FOUND = pa.schema([*((c, pa.int64()) for c in ("grp", "ua", "ub", "x", "y")), ("more", pa.bool_())])
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def _units(members: DataFrame) -> DataFrame:
 
 
 def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
-    """Unit, x, y, bits, more: of each node x the nearest node of each smaller component in its unit that sizes and sketches allow and x has not tried, for the ``most`` nearest components; and whether x has further nodes to try."""
+    """Unit, x, y, more: of each node x the ``most`` nearest nodes of smaller components in its unit that sizes and sketches allow and x has not tried; and whether x has further ones to try."""
 
     def pairs(side: np.ndarray, comp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes], tried: list) -> Iterator[np.ndarray]:
         order = np.argsort(n, kind="stable")
@@ -300,7 +301,7 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
                 near[b] = np.stack([folded_to(x, size[a]) for x in stacks[b]])
             for i in range(a, b):
                 low, high = np.searchsorted(n * t.denominator, n[i] * t.numerator, side="left"), np.searchsorted(n * t.numerator, n[i] * t.denominator, side="right")
-                hits, dist, of = [], [], []
+                hits, dist = [], []
                 for first, stack in near.items():
                     lo, hi = max(low, first), min(high, first + len(stack))
                     if hi <= lo:
@@ -316,17 +317,15 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
                     keep = _near(bits, n[use + lo], np.full(len(use), n[i]), t)
                     hits.append(node[use[keep] + lo])
                     dist.append(bits[keep])
-                    of.append(comp[use[keep] + lo])
                 if not hits:
                     continue
-                hits, dist, of = (np.concatenate(v) for v in (hits, dist, of))
+                hits, dist = np.concatenate(hits), np.concatenate(dist)
                 if tried[order[i]]:
                     new = ~np.isin(hits, tried[order[i]])
-                    hits, dist, of = hits[new], dist[new], of[new]
-                near_first = np.lexsort((hits, dist))
-                best = near_first[np.sort(np.unique(of[near_first], return_index=True)[1])[:most]]
+                    hits, dist = hits[new], dist[new]
+                best = np.lexsort((hits, dist))[:most]
                 if len(best):
-                    yield np.stack([np.full(len(best), node[i]), hits[best], dist[best], np.full(len(best), len(hits) > len(best))], axis=1)
+                    yield np.stack([np.full(len(best), node[i]), hits[best], np.full(len(best), len(hits) > len(best))], axis=1)
 
     columns = ("side", "comp", "node", "n", "sketch", "tried")
 
@@ -338,7 +337,7 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
             got = list(pairs(*numbers, *([x for p in parts for x in p[i]] for i in (4, 5))))
             if got:
                 got = np.concatenate(got).T
-                yield record(FOUND, *(np.full(got.shape[1], u) for u in now), *got[:3], got[3].astype(bool))
+                yield record(FOUND, *(np.full(got.shape[1], u) for u in now), *got[:2], got[2].astype(bool))
 
         for batch in batches:
             unit = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "ua", "ub")], axis=1)
@@ -358,7 +357,7 @@ def _across(units: DataFrame, t: Fraction, most: int) -> DataFrame:
 
     keys = ("grp", "ua", "ub")
     dealt = units.repartition(shuffle_partitions(units.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, *columns).mapInArrow(run, "grp long, ua long, ub long, x long, y long, bits long, more boolean")
+    return dealt.select(*keys, *columns).mapInArrow(run, "grp long, ua long, ub long, x long, y long, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
@@ -427,7 +426,7 @@ def jaccard_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), w
     placed = lambda: members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
     units = _units(placed()).drop("comp")
     tried = near.select(F.col("b").alias("x"), F.col("a").alias("y"))
-    most = 4
+    most = 1
     while True:
         known = tried.groupBy(F.col("x").alias("node")).agg(F.collect_set("y").alias("tried"))
         now = units.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(classes.select("node", "n", "sketch"), "node").join(known, "node", "left")
@@ -440,8 +439,8 @@ def jaccard_components(docs: DataFrame, similarity: Fraction = Fraction(3, 4), w
         if left.isEmpty():
             break
         units = cut(units.join(left, ["grp", "ua", "ub"], "left_semi"))
-        tried = tried.unionByName(pairs)
-        most *= 4
+        tried = cut(tried.unionByName(pairs))
+        most *= GROWTH
     named = classes.select("node", "rep").join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = named.join(smallest, "comp").select("node", "component_id")
