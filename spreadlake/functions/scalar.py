@@ -37,7 +37,8 @@ def finite(x: Column) -> Column:
 
 
 def clip(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(x, F.lit(high)))
+    """x within [low, high]; greatest and least alone would make a bound of a null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(x, F.lit(high))))
 
 
 def half_life_score(days: Column, most: float) -> Column:
@@ -108,3 +109,22 @@ def normalized_ticker(s: Column) -> Column:
 
 def mirror_symbol(s: Column) -> Column:
     return F.concat(F.lit("X"), F.upper(s), F.lit("X"))
+
+
+# A prime below 2^31 and multipliers of the seeded order.
+PRIME, STEPS = 2147483647, (48271, 69621, 16807)
+
+
+def mixed(seed: int, draw: Column, key: Column) -> Column:
+    """A number in [0, PRIME) that orders the rows of each draw differently; plain integer arithmetic, so any engine gives the same."""
+    a, b, c = STEPS
+    line = F.pmod(F.pmod(key.cast("long"), F.lit(PRIME)) * F.pmod(draw.cast("long") * a + (seed * b + 1), F.lit(PRIME)) + draw.cast("long") * c + seed, F.lit(PRIME))
+    square = F.pmod(line * line, F.lit(PRIME))
+    return F.pmod(square * b + line, F.lit(PRIME))
+
+
+def mixed_sql(seed: int, draw: str, key: str) -> str:
+    """The same in SQL."""
+    a, b, c = STEPS
+    line = f"((({key}) % {PRIME}) * ((({draw}) * {a} + {seed * b + 1}) % {PRIME}) + ({draw}) * {c} + {seed}) % {PRIME}"
+    return f"((((({line}) * ({line})) % {PRIME}) * {b} + ({line})) % {PRIME})"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import date
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -101,18 +106,73 @@ def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
     return labels
 
 
+def distances(names: list[str], pairs: pd.DataFrame) -> np.ndarray:
+    """1 - rho within [0, 2] of sorted names; 1 without a correlation, 0 to itself. pairs: a, b, rho."""
+    d = np.ones((len(names), len(names)))
+    np.fill_diagonal(d, 0.0)
+    known = pairs[pairs["rho"].notna()]
+    i, j = (np.searchsorted(names, known[c].to_numpy(dtype=object)) for c in ("a", "b"))
+    d[i, j] = d[j, i] = np.clip(1 - known["rho"].to_numpy(dtype=float), 0.0, 2.0)
+    return d
+
+
+def kept_components(corr: DataFrame, symbols: DataFrame, share: float = 0.9) -> DataFrame:
+    """partition, symbols, components: how many directions hold so much of the variance of a partition's distances."""
+    pairs = symbols.select("partition", F.col("symbol").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("rho")).unionByName(corr.select("partition", "a", "b", "rho"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(g["a"][g["b"].isna()])
+        kept = keep_variance(distances(names, g[g["b"].notna()]), share)
+        return pd.DataFrame({"partition": g["partition"].iloc[:1], "symbols": len(names), "components": kept.shape[1]})
+
+    return pairs.groupBy("partition").applyInPandas(run, "partition string, symbols long, components long")
+
+
+def sane(labels: DataFrame, corr: DataFrame, least: float) -> DataFrame:
+    """labels with clusters of one symbol, or of a median correlation below ``least``, dissolved into noise (-1). labels: partition, symbol, label; corr: a < b."""
+    inner = _inner(labels, corr).groupBy("partition", "label").agg(F.median("rho").alias("m"))  # a cluster's pairs
+    good = inner.where(F.col("m") >= least).select("partition", "label", F.lit(True).alias("good"))
+    x = labels.join(good, ["partition", "label"], "left")
+    return x.select("partition", "symbol", F.when(F.col("good") & (F.col("label") >= 0), F.col("label")).otherwise(-1).alias("label"))
+
+
+def _inner(labels: DataFrame, corr: DataFrame) -> DataFrame:
+    a = labels.select("partition", F.col("symbol").alias("a"), F.col("label").alias("la"))
+    b = labels.select("partition", F.col("symbol").alias("b"), F.col("label").alias("lb"))
+    return corr.join(a, ["partition", "a"]).join(b, ["partition", "b"]).where("la = lb and la >= 0").select("partition", F.col("la").alias("label"), "rho")
+
+
+@dataclass
+class Clustered:
+    """The last clusters, and for which universe and day they were computed."""
+
+    clusters: DataFrame | None = None
+    universe: tuple[int, str] | None = None
+    at: date | None = None
+
+
+def universe_name(symbols: DataFrame) -> tuple[int, str]:
+    """Number of different symbols, and the sum of their hashes: the same for every order."""
+    r = symbols.select("symbol").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("symbol").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")).first()
+    return r["n"], r["h"]
+
+
+def clusters_as_of(last: Clustered, symbols: DataFrame, at: date, compute: Callable[[DataFrame, date], DataFrame], recompute_days: int | None = None) -> Clustered:
+    """The last clusters, or new ones: when there are none, the universe has changed, or so many days have gone by (None: never for age)."""
+    name = universe_name(symbols)
+    old = last.at is not None and recompute_days is not None and (at - last.at).days >= recompute_days
+    if last.clusters is not None and last.universe == name and not old:
+        return last
+    return Clustered(compute(symbols, at), name, at)
+
+
 def cluster_symbols(corr: DataFrame, symbols: DataFrame, min_size: int = 3, min_samples: int = 2) -> DataFrame:
     """partition, symbol, label; corr: partition, a, b, rho; symbols: partition, symbol. A partition of symbols is one group: its square is what the distances take."""
     pairs = symbols.select("partition", F.col("symbol").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("double").alias("rho")).unionByName(corr.select("partition", "a", "b", "rho"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(g["a"][g["b"].isna()])
-        at = {s: i for i, s in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        np.fill_diagonal(d, 0.0)
-        for a, b, r in g[g["b"].notna()][["a", "b", "rho"]].itertuples(index=False):
-            if r == r:
-                d[at[a], at[b]] = d[at[b], at[a]] = min(max(1 - r, 0.0), 2.0)
+        d = distances(names, g[g["b"].notna()])
         labels = density_labels(d, min_size, min_samples)
         if (labels < 0).all():
             labels = density_labels(d, min(3, min_size), 1)
@@ -127,13 +187,12 @@ def cluster_symbols(corr: DataFrame, symbols: DataFrame, min_size: int = 3, min_
 
 
 def ranked_clusters(labels: DataFrame, corr: DataFrame) -> DataFrame:
-    """partition, label, symbol, cluster_rank by mean correlation times size; noise last."""
-    from pyspark.sql import Window as W
-
-    a = labels.select("partition", F.col("symbol").alias("a"), F.col("label").alias("la"))
-    b = labels.select("partition", F.col("symbol").alias("b"), F.col("label").alias("lb"))
-    inner = corr.join(a, ["partition", "a"]).join(b, ["partition", "b"]).where("la = lb and la >= 0").groupBy("partition", F.col("la").alias("label")).agg(F.avg("rho").alias("rho"))
-    size = labels.groupBy("partition", "label").agg(F.count("*").alias("n"))
+    """partition, label, symbol, cluster_rank by mean correlation times size; the noise of all partitions is the last cluster."""
+    inner = _inner(labels, corr).groupBy("partition", "label").agg(F.avg("rho").alias("rho"))
+    size = labels.where("label >= 0").groupBy("partition", "label").agg(F.count("*").alias("n"))
     gain = size.join(inner, ["partition", "label"], "left").withColumn("gain", F.round(F.coalesce("rho", F.lit(0.0)) * F.col("n"), 9))
-    rank = F.row_number().over(W.orderBy(F.col("label") < 0, F.desc("gain"), "partition", "label"))  # one row for each cluster
-    return labels.join(F.broadcast(gain.withColumn("cluster_rank", rank).select("partition", "label", "cluster_rank")), ["partition", "label"])
+    rank = F.row_number().over(W.orderBy(F.desc("gain"), "partition", "label"))  # one row for each cluster
+    ranked = gain.withColumn("cluster_rank", rank).select("partition", "label", "cluster_rank")
+    last = ranked.agg((F.count("*") + 1).cast("int").alias("last"))
+    x = labels.join(ranked, ["partition", "label"], "left").join(F.broadcast(last), F.col("symbol").isNotNull())  # one row
+    return x.select("partition", "label", "symbol", F.coalesce("cluster_rank", "last").alias("cluster_rank"))

@@ -69,8 +69,8 @@ def coint_p(lead: np.ndarray, lag: np.ndarray, least: int = 20) -> float | None:
     return unit_root_p(adf_tau(lead - x @ beta, constant=False), 2)
 
 
-def cointegration(aligned: DataFrame, ceiling: float = 0.20, least: int = 20) -> DataFrame:
-    """lead, lag, coint_pvalue, coint_score: a group holds one pair's rows, whose number is that of the trading days."""
+def cointegration(aligned: DataFrame, ceiling: float = 0.20, least: int = 20, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """keys, coint_pvalue, coint_score: a group holds one pair's rows, whose number is that of the trading days."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pos")
@@ -80,9 +80,11 @@ def cointegration(aligned: DataFrame, ceiling: float = 0.20, least: int = 20) ->
         except (ValueError, np.linalg.LinAlgError):
             p = 1.0
         p = 1.0 if p is None else p
-        return pd.DataFrame({"lead": [g["lead"].iloc[0]], "lag": [g["lag"].iloc[0]], "coint_pvalue": [p], "coint_score": [max(0.0, 1 - p / ceiling)]})
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "coint_pvalue": [p], "coint_score": [max(0.0, 1 - p / ceiling)]})
 
-    return aligned.select("lead", "lag", "pos", "pl", "pg").groupBy(*PAIR).applyInPandas(run, "lead string, lag string, coint_pvalue double, coint_score double")
+    rows = aligned.select(*keys, "pos", "pl", "pg")
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandas(run, f"{types}, coint_pvalue double, coint_score double")
 
 
 def spread_unit_root(spread: DataFrame) -> DataFrame:

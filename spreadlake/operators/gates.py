@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def penny_gate(pairs: DataFrame, prices: DataFrame, least: float) -> DataFrame:
     """Pairs whose legs both closed at ``least`` or more on their last day."""
@@ -25,6 +27,13 @@ def without_legs(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
     return pairs.select("lead", "lag")
 
 
+def without_mirrors(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs neither of whose legs is held the other way round: the lag short, or the lead long. held: symbol, leg."""
+    for leg, other in (("lag", "short"), ("lead", "long")):
+        pairs = pairs.join(held.where(F.col("leg") == other).select(F.col("symbol").alias(leg)), leg, "left_anti")
+    return pairs.select("lead", "lag")
+
+
 def overlapping(windows: DataFrame, start: str, end: str, low: str = "ws", high: str = "we") -> DataFrame:
     return windows.where((F.col(low) <= F.lit(end).cast("date")) & (F.col(high) >= F.lit(start).cast("date")))
 
@@ -60,10 +69,12 @@ def complete_days(prices: DataFrame) -> DataFrame:
 
 
 def left_out_screen(df: DataFrame, group: str, x: str, p: float) -> DataFrame:
-    """Rows at or above the p-quantile of x over the other groups: a threshold for each group, of which there are few."""
-    folds = df.select(F.col(group).alias("__g")).distinct()
-    others = F.broadcast(folds).join(df.select(group, x), F.col("__g") != F.col(group)).groupBy("__g").agg(F.percentile(x, p).alias("__t"))
-    return df.join(F.broadcast(others), F.col(group) == F.col("__g")).where(F.col(x) >= F.col("__t")).drop("__g", "__t")
+    """Rows at or above the p-quantile of x over the other groups, of which there are few: each value counts for a group as often as it stands in the others."""
+    own = df.where(F.col(x).isNotNull()).groupBy(group, x).agg(F.count(F.lit(1)).alias("own"))
+    groups = df.select(F.col(group).alias("__g")).distinct().agg(F.collect_set("__g").alias("__gs"))
+    each = own.join(F.broadcast(groups), F.col("own") > 0).select(F.explode("__gs").alias("__g"), group, x, "own").where(F.col("__g") != F.col(group))  # one row
+    least = quantiles(each, ["__g"], x, {"__t": p}, weight=F.col("own"))
+    return df.join(F.broadcast(least), F.col(group) == F.col("__g")).where(F.col(x) >= F.col("__t")).drop("__g", "__t")
 
 
 def top_unique(df: DataFrame, key: str, k: int, *order) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import PRIME, mixed, mixed_sql
+
 
 def crosstab(df: DataFrame, row: Column, col: Column) -> DataFrame:
     """a, b, c, d of the two-by-two table, and the odds ratio."""
@@ -82,17 +84,32 @@ def correlation_test(df: DataFrame, keys: list[str], x: str, y: str) -> DataFram
     return g.withColumn("p_pearson", _p_value(F.col("pearson"), F.col("n"))).withColumn("p_spearman", _p_value(F.col("rho"), F.col("n")))
 
 
-def poisson_weight(seed: int, draw: Column, *row: Column) -> Column:
-    """A Poisson(1) draw from the hash of its arguments."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), draw, *row), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    out, total, p = F.lit(0), 0.0, math.exp(-1)
+def _poisson_steps() -> list[float]:
+    """P(X < k) of a Poisson(1) number for k = 1..8."""
+    out, total, p = [], 0.0, math.exp(-1)
     for k in range(1, 9):
         total += p
-        out = F.when(u > total, k).otherwise(out) if k == 1 else F.when(u > total, F.lit(k)).otherwise(out)
+        out.append(total)
         p /= k
     return out
 
 
+def poisson_weight(seed: int, draw: Column, key: Column) -> Column:
+    """A Poisson(1) number for each draw and integer key, by the seeded order."""
+    u = (mixed(seed, draw, key) + 0.5) / float(PRIME)
+    out = F.lit(0)
+    for k, step in enumerate(_poisson_steps(), 1):
+        out = F.when(u > step, F.lit(k)).otherwise(out)
+    return out
+
+
+def poisson_weight_sql(seed: int, draw: str, key: str) -> str:
+    """The same in SQL."""
+    u = f"(({mixed_sql(seed, draw, key)} + 0.5) / cast({PRIME} as double))"
+    steps = " ".join(f"when u > cast({step!r} as double) then {k}" for k, step in reversed(list(enumerate(_poisson_steps(), 1))))
+    return f"(select case {steps} else 0 end from (select {u} as u))"
+
+
 def _draws(df: DataFrame, draws: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
@@ -106,8 +123,9 @@ def bootstrap_rate_gap(df: DataFrame, group: Column, event: Column, draws: int,
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, x: str, draws: int, seed: int) -> DataFrame:
-    """95 % interval of the mean of x when whole clusters are drawn: clusters are summed first."""
-    sums = df.groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    d = _draws(sums, draws).withColumn("w", poisson_weight(seed, F.col("draw"), F.col(cluster).cast("string")))
+    """95 % interval of the mean of x when whole clusters, days or integers, are drawn: clusters are summed first."""
+    key = F.datediff(cluster, F.lit("1970-01-01").cast("date")) if dict(df.dtypes)[cluster] == "date" else F.col(cluster)
+    sums = df.groupBy(key.cast("long").alias("__key")).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
+    d = _draws(sums, draws).withColumn("w", poisson_weight(seed, F.col("draw"), F.col("__key")))
     means = d.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")).cast("double"), F.lit(0.0))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

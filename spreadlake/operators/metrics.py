@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .panel import safe_corr, spearman
+from .panel import top_k
+from .ranks import rank_table
 
 
 def round_trips(trades: DataFrame) -> DataFrame:
@@ -60,13 +61,18 @@ def fisher_pool(rhos: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:
     return rhos.where((w > 0) & F.col(rho).isNotNull()).agg(F.tanh(m).alias("pooled"), F.tanh(m - 1.96 * se).alias("low"), F.tanh(m + 1.96 * se).alias("high"))
 
 
-def auc(df: DataFrame, label: str, x: str) -> DataFrame:
-    """Mann-Whitney: the chance that a row of label 1 lies above one of label 0, ties half."""
-    from .panel import average_rank
-
-    r = df.withColumn("__one", F.lit(1)).withColumn("__r", average_rank(x, ["__one"]))
-    n1, n0 = F.sum(label), F.sum(1 - F.col(label))
-    return r.agg(((F.sum(F.when(F.col(label) == 1, F.col("__r"))) - n1 * (n1 + 1) / 2.0) / (n1 * n0)).alias("auc"))
+def trimmed_means(df: DataFrame, group: str, x: str, key: str, k: int) -> DataFrame:
+    """group, mean, trimmed (without the k lowest), worst_share of the loss that these hold: from totals less the k rows."""
+    loss = F.least(F.col(x), F.lit(0.0))
+    total = df.groupBy(group).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(loss).alias("l"))
+    worst = top_k(df.where(F.col(x).isNotNull()), [group], k, x, key).groupBy(group).agg(F.count(x).alias("wn"), F.sum(x).alias("ws"), F.sum(loss).alias("wl"))
+    y = total.join(worst, group)
+    return y.select(group, (F.col("s") / F.col("n")).alias("mean"), ((F.col("s") - F.col("ws")) / F.nullif(F.col("n") - F.col("wn"), F.lit(0))).alias("trimmed"), (F.col("wl") / F.nullif(F.col("l"), F.lit(0.0))).alias("worst_share"))
 
 
-__all__ = ["auc", "first_match", "fisher_pool", "pair_pnl", "round_trips", "run_metrics", "run_score", "safe_corr", "spearman"]
+def auc(df: DataFrame, label: str, x: str) -> DataFrame:
+    """Mann-Whitney: the chance that a row of label 1 lies above one of label 0, ties half. Ranks are needed per value only."""
+    t = rank_table(df.where(F.col(label).isNotNull()), [], x, ones=F.sum(F.col(label).cast("long")))
+    n1, n0 = F.sum("ones"), F.sum(F.col("n") - F.col("ones"))
+    ranks = F.sum(F.col("ones") * (F.col("before") + (F.col("n") + 1) / 2.0))
+    return t.agg(((ranks - n1 * (n1 + 1) / 2.0) / (n1 * n0)).alias("auc"))

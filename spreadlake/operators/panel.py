@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered, with_average_rank
+
 PAIR = ("lead", "lag")
 
 
@@ -94,16 +98,11 @@ def last_row(df: DataFrame, keys, order: str, *cols: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in cols])
 
 
-def average_rank(x: str, keys) -> Column:
-    """Rank with ties sharing their mean."""
-    w = W.partitionBy(*keys)
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, x)) - 1) / 2.0
-
-
-def spearman(df: DataFrame, keys, x: str, y: str, out: str = "rho") -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """Rank correlation of each group; null with fewer than 3 rows or constant input. Also n."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__a", average_rank(x, keys)).withColumn("__b", average_rank(y, keys))
-    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, safe_corr("__a", "__b")).alias(out))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    r = with_average_rank(with_average_rank(both, keys, x, "__a"), keys, y, "__b")
+    return (r.groupBy(*keys) if keys else r).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, safe_corr("__a", "__b")).alias(out))
 
 
 def top_k(df: DataFrame, keys, k: int, *order) -> DataFrame:
@@ -111,9 +110,41 @@ def top_k(df: DataFrame, keys, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def quantile_bin(df: DataFrame, keys, order: list, bins: int, out: str = "bin") -> DataFrame:
-    """Bins 0.. of rows numbered by ``order``, with the linear-interpolated edges of the row numbers; not ntile, whose remainders lie elsewhere."""
-    w = W.partitionBy(*keys)
-    i, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    pos = (i - 1) * F.lit(bins) / F.greatest(n - 1, F.lit(1))
-    return df.withColumn(out, F.greatest(F.ceil(pos).cast("int") - 1, F.lit(0)))
+def quantile_bin(df: DataFrame, keys: list[str], x: str, key: str, bins: int, out: str = "bin") -> DataFrame:
+    """Bins 0.. of rows numbered by (x, key), with the linear-interpolated edges of the row numbers; not ntile, whose remainders lie elsewhere."""
+    y = numbered(df, keys, x, key, "__i", "__n")
+    pos = (F.col("__i") - 1) * F.lit(bins) / F.greatest(F.col("__n") - 1, F.lit(1))
+    return y.withColumn(out, F.greatest(F.ceil(pos).cast("int") - 1, F.lit(0))).drop("__i", "__n")
+
+
+def correlation_blocks(returns: DataFrame, symbol: str = "symbol", day: str = "day", x: str = "ret", size: int = 256) -> DataFrame:
+    """a < b, rho over the days on which both have a value, for all symbols.
+
+    Symbols lie in blocks; a pair of blocks is one group, which sums products of its two matrices. So a day is sent once for
+    each pair of blocks, never as a row for each pair of symbols.
+    """
+    names = returns.select(symbol).distinct().withColumn("block", F.floor((F.row_number().over(W.orderBy(symbol)) - 1) / size).cast("int"))  # a row for each symbol
+    n_blocks = names.agg((F.max("block") + 1).alias("blocks"))
+    placed = returns.where(F.col(x).isNotNull()).join(names, symbol).join(F.broadcast(n_blocks), F.col("blocks") > F.col("block"))  # one row
+    to = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("bi"), F.greatest("block", j).alias("bj"))))
+    units = placed.select(F.col(symbol).alias("symbol"), F.col(day).alias("day"), F.col(x).cast("double").alias("x"), "block", to.alias("u")).select("u.*", "symbol", "day", "x", "block")
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        wide = g.pivot(index="day", columns="symbol", values="x")
+        side = g.drop_duplicates("symbol").set_index("symbol")["block"]
+        rows, cols = (sorted(side.index[side == b]) for b in key)
+        v = (wide - wide.mean()).fillna(0.0)
+        m = wide.notna().astype(float)
+        xa, ma, xb, mb = (f[c].to_numpy() for c, f in ((rows, v), (rows, m), (cols, v), (cols, m)))
+        n = ma.T @ mb
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sx, sy = xa.T @ mb / n, ma.T @ xb / n
+            cov = xa.T @ xb / n - sx * sy
+            vx, vy = (xa**2).T @ mb / n - sx**2, ma.T @ xb**2 / n - sy**2
+            rho = np.where((n > 1) & (vx > 1e-18) & (vy > 1e-18), cov / np.sqrt(vx * vy), np.nan)
+        a, b = np.meshgrid(rows, cols, indexing="ij")
+        out = pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "rho": rho.ravel(), "n": n.ravel()})
+        return out[(out["a"] < out["b"]) & (out["n"] > 0)][["a", "b", "rho"]]
+
+    got = units.groupBy("bi", "bj").applyInPandas(run, "a string, b string, rho double")
+    return got.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))

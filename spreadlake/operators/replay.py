@@ -11,21 +11,25 @@ from .panel import PAIR, log_floor, ordered, rows
 
 
 def frozen_spread(aligned: DataFrame, entry: int, window: int) -> DataFrame:
-    """Adds s with the hedge of rows up to ``entry``, its rolling z, t = pos - entry, s0 and z0. Nothing after the entry enters hedge or z0."""
+    """Adds s with the hedge of rows up to ``entry``, its rolling z, the legs' rolling correlation, t = pos - entry, s0 and z0. Nothing after the entry enters hedge or z0."""
     whole = W.partitionBy(*PAIR)
     x = aligned.withColumn("ll", log_floor(F.col("pl"))).withColumn("lg", log_floor(F.col("pg")))
     before = F.col("pos") <= entry
     x = x.withColumn("hedge", F.regr_slope(F.when(before, F.col("lg")), F.when(before, F.col("ll"))).over(whole)).withColumn("s", F.col("lg") - F.col("hedge") * F.col("ll"))
     w = rows(PAIR, "pos", window - 1)
     x = x.withColumn("z", F.when(F.count("s").over(w) >= window, (F.col("s") - F.avg("s").over(w)) / F.nullif(F.stddev_samp("s").over(w), F.lit(0.0))))
+    step = ordered(PAIR, "pos")
+    x = x.withColumn("rl", F.col("ll") - F.lag("ll").over(step)).withColumn("rg", F.col("lg") - F.lag("lg").over(step))
+    sd = F.stddev_samp("rl").over(w) * F.stddev_samp("rg").over(w)
+    x = x.withColumn("corr", F.when(F.count("rl").over(w) >= window, F.covar_samp("rl", "rg").over(w) / F.nullif(sd, F.lit(0.0))))
     at = lambda c: F.max(F.when(F.col("pos") == entry, F.col(c))).over(whole)
     return x.withColumn("t", F.col("pos") - entry).withColumn("s0", at("s")).withColumn("z0", at("z"))
 
 
 def forward_paths(aligned: DataFrame, entry: int, window: int, horizon: int) -> DataFrame:
-    """Rows t = 0..horizon of each pair: t, hedge, z0, z (absolute), gross in basis points."""
+    """Rows t = 0..horizon of each pair: t, hedge, z0, z (absolute), corr, gross in basis points."""
     x = frozen_spread(aligned, entry, window).where(F.col("t").between(0, horizon) & F.col("z0").isNotNull())
-    return x.select(*PAIR, "t", "hedge", "z0", F.abs("z").alias("z"), S.forward_bps(F.col("z0"), F.col("s0"), F.col("s"), F.col("hedge")).alias("gross"))
+    return x.select(*PAIR, "t", "hedge", "z0", F.abs("z").alias("z"), "corr", S.forward_bps(F.col("z0"), F.col("s0"), F.col("s"), F.col("hedge")).alias("gross"))
 
 
 def first_passage(paths: DataFrame, exit_z: float, cap: int) -> DataFrame:
@@ -65,5 +69,3 @@ def convergence(paths: DataFrame, days=(3, 5, 10, 20)) -> DataFrame:
     at = [(1 - F.max(F.when(F.col("t") == k, F.col("z") / F.abs("z0")))).alias(f"conv_{k}") for k in days]
     return paths.groupBy(*PAIR).agg(*at, F.coalesce(F.bool_or((F.col("t").between(1, 20)) & half), F.lit(False)).alias("hit20"), F.min(F.when((F.col("t") >= 1) & half, F.col("t"))).alias("days_to_half"))
 
-
-__all__ = ["convergence", "first_passage", "fixed_exit", "forward_paths", "frozen_spread", "net_of_costs", "oracle_exit", "ordered", "stops"]

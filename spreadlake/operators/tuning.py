@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import mixed
 from . import panel as P
 from .inference import poisson_weight
+from .ranks import quantiles, with_average_rank
 
 
 def folds(spark: SparkSession, start: str, end: str, train: int, test: int) -> DataFrame:
@@ -37,37 +41,70 @@ def causality_violations(splits: DataFrame, embargo: int) -> DataFrame:
 
 def unit_signal(df: DataFrame, group: str, x: str, y: str, draws: int, seed: int, key: str) -> DataFrame:
     """Rank correlation of each group and the 95 % interval of its bootstrap: draws of the ranks' correlation, weighted."""
-    r = df.withColumn("a", P.average_rank(x, [group])).withColumn("b", P.average_rank(y, [group]))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, key, x, y)
+    r = with_average_rank(with_average_rank(both, [group], x, "a"), [group], y, "b")
     d = r.select(group, key, "a", "b", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", poisson_weight(seed, F.col("draw"), F.col(key)))
     sw = F.sum("w")
     cov = lambda u, v: F.sum(F.col("w") * F.col(u) * F.col(v)) / sw - F.sum(F.col("w") * F.col(u)) / sw * (F.sum(F.col("w") * F.col(v)) / sw)
     rho = d.groupBy(group, "draw").agg((cov("a", "b") / F.nullif(F.sqrt(F.greatest(cov("a", "a") * cov("b", "b"), F.lit(0.0))), F.lit(0.0))).alias("rho"))
-    ci = rho.groupBy(group).agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))
+    ci = rho.groupBy(group).agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))  # a row for each draw
     return P.spearman(df, [group], x, y).join(ci, group).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def holdout_gap(df: DataFrame, group: str, fit, evaluate) -> list[dict]:
-    """For each group, of which there are few: fit on the others, evaluate on them and on the group."""
-    out = []
-    for (g,) in sorted(df.select(group).distinct().collect()):
-        rest, held = df.where(F.col(group) != F.lit(g)), df.where(F.col(group) == F.lit(g))
-        model = fit(rest)
-        a, b = evaluate(model, rest), evaluate(model, held)
-        out.append({"group": g, "train": a, "holdout": b, "gap": a - b})
-    return out
+def holdout_gap(df: DataFrame, group: str, sums: dict[str, Column], fit: Callable[[Callable[[str], Column]], dict[str, Column]], evaluate: Callable[[Callable[[str], Column], dict[str, Column]], Column]) -> DataFrame:
+    """group, train, holdout, gap: for each group, a model fitted on the others, scored there and on the group itself.
+
+    One pass: ``sums`` are aggregates that add up over groups; fit and evaluate are given a lookup of a side's sums. What the
+    others hold is the total less the group's own.
+    """
+    own = df.groupBy(group).agg(*[c.alias(f"own_{k}") for k, c in sums.items()])
+    w = W.partitionBy()  # a row for each group
+    both = own.select("*", *[(F.sum(f"own_{k}").over(w) - F.col(f"own_{k}")).alias(f"rest_{k}") for k in sums])
+    rest, held = (lambda k: F.col(f"rest_{k}")), (lambda k: F.col(f"own_{k}"))
+    fitted = both.select("*", *[c.alias(f"fit_{k}") for k, c in fit(rest).items()])
+    model = {c.removeprefix("fit_"): F.col(c) for c in fitted.columns if c.startswith("fit_")}
+    return fitted.select(F.col(group).alias("group"), evaluate(rest, model).alias("train"), evaluate(held, model).alias("holdout")).withColumn("gap", F.col("train") - F.col("holdout"))
+
+
+def line(x: str, y: str) -> tuple[dict[str, Column], Callable, Callable]:
+    """sums, fit and evaluate of ``holdout_gap`` for the least-squares line of y on x; scored by the share of variance that it explains."""
+    a, b = F.col(x), F.col(y)
+    sums = {"n": F.count(F.lit(1)), "x": F.sum(a), "y": F.sum(b), "xx": F.sum(a * a), "xy": F.sum(a * b), "yy": F.sum(b * b)}
+
+    def fit(s: Callable[[str], Column]) -> dict[str, Column]:
+        slope = (s("n") * s("xy") - s("x") * s("y")) / F.nullif(s("n") * s("xx") - s("x") * s("x"), F.lit(0.0))
+        return {"slope": slope, "intercept": (s("y") - slope * s("x")) / s("n")}
 
+    def evaluate(s: Callable[[str], Column], m: dict[str, Column]) -> Column:
+        u, v = m["slope"], m["intercept"]
+        error = s("yy") - 2 * u * s("xy") - 2 * v * s("y") + u * u * s("xx") + 2 * u * v * s("x") + v * v * s("n")
+        return 1 - error / F.nullif(s("yy") - s("y") * s("y") / s("n"), F.lit(0.0))
 
-def null_baseline(df: DataFrame, cell: str, score: str, outcome: str, k: int, draws: int, seed: int, key: str) -> DataFrame:
-    """Mean outcome of the k best of each cell, and where it lies among k drawn at random."""
-    real = P.top_k(df, [cell], k, F.desc(score), key).agg(F.avg(outcome).alias("real"))
-    d = df.select(cell, outcome, key, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    null = P.top_k(d, [cell, "draw"], k, F.xxhash64(F.lit(seed), "draw", key), key).groupBy("draw").agg(F.avg(outcome).alias("m"))
-    x = null.join(F.broadcast(real), F.col("draw").isNotNull())  # one row
-    return x.agg(F.first("real").alias("real"), F.avg("m").alias("null_mean"), (100.0 * F.avg(F.when(F.col("m") <= F.col("real"), 1.0).otherwise(0.0))).alias("percentile"), ((F.first("real") - F.avg("m")) / F.nullif(F.stddev_samp("m"), F.lit(0.0))).alias("z"))
+    return sums, fit, evaluate
+
+
+def null_baseline(df: DataFrame, cells: list[str], score: str, outcome: str, k: int, draws: int, seed: int, key: str) -> DataFrame:
+    """null (random, shuffle), real, mean, sd, z, percentile: the mean over cells of the k best rows' mean outcome, against two nulls.
+
+    random: k rows of each cell in a seeded order. shuffle: outcomes permuted over all rows, selection as it was: the selected
+    rows, in order, take the first outcomes of a seeded order of all rows.
+    """
+    best = P.top_k(df, cells, k, F.desc(score), key)
+    pooled = lambda x, by: x.groupBy(*by, *cells).agg(F.avg("o").alias("m")).groupBy(*by).agg(F.avg("m").alias("m"))
+    real = best.select(*cells, F.col(outcome).alias("o")).groupBy(*cells).agg(F.avg("o").alias("m")).agg(F.avg("m").alias("real"))
+    drawn = df.select(*cells, key, F.col(outcome).alias("o"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("at", mixed(seed, F.col("draw"), F.col(key)))
+    random = pooled(P.top_k(drawn, [*cells, "draw"], k, "at", key), ["draw"]).select(F.lit("random").alias("null"), "m")
+    slots = best.select(*cells, F.row_number().over(W.orderBy(*cells, "rank")).alias("slot"))  # k rows for each cell
+    first = P.top_k(drawn, ["draw"], slots.count(), "at", key).withColumnRenamed("rank", "slot")  # limited before the shuffle
+    shuffled = pooled(first.select("draw", "slot", "o").join(slots, "slot"), ["draw"]).select(F.lit("shuffle").alias("null"), "m")
+    x = random.unionByName(shuffled).join(F.broadcast(real), F.col("m").isNotNull())  # one row
+    r, m = F.first("real"), F.avg("m")
+    return x.groupBy("null").agg(r.alias("real"), m.alias("mean"), F.stddev_samp("m").alias("sd"), ((r - m) / F.nullif(F.stddev_samp("m"), F.lit(0.0))).alias("z"), (100.0 * F.avg(F.when(F.col("m") <= F.col("real"), 1.0).otherwise(0.0))).alias("percentile"))
 
 
 def seed_stability(runs: DataFrame, by: list[str], x: str) -> DataFrame:
-    return runs.groupBy(*by).agg(F.min(x).alias("low"), F.median(x).alias("median_"), F.max(x).alias("high"), (F.max(x) - F.min(x)).alias("range_"))
+    range_ = runs.groupBy(*by).agg(F.min(x).alias("low"), F.max(x).alias("high"), (F.max(x) - F.min(x)).alias("range_"))
+    return range_.join(quantiles(runs, by, x, {"median_": 0.5}), by)
 
 
 # Parameters with their bounds; equal types.
@@ -84,16 +121,89 @@ def suggest(seed: int, space: dict = SPACE) -> dict:
     return {k: (v / total if k.startswith("w_") else v) for k, v in p.items()}
 
 
-def report_panel(rows: list[dict]) -> str:
-    """A line for each guard: name, value, verdict."""
-    return "\n".join(f"{r['guard']:<24}{r['value']:>12.4f}  {'ok' if r['ok'] else 'FAIL'}" for r in rows)
+def report_panel(*, complexity: dict | None = None, unit_signal: list[dict] | None = None, null: dict | None = None, holdout: list[dict] | None = None, stability: dict | None = None, least_percentile: float = 90.0) -> list[dict]:
+    """guard, verdict, value of the guards that are given, in a fixed order.
 
-
-def study(obs: DataFrame, trials: int, seed: int, k: int = 20) -> DataFrame:
-    """Trials of weights in one pass: trial, objective = half the mean and half the worst of the folds' top-k outcome."""
-    points = [suggest(seed + i) for i in range(trials)]
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(p[w]).alias(w) for w in ("w_corr_long", "w_corr_short", "w_z_depth")]) for i, p in enumerate(points)]))
-    x = obs.select("fold", "obs_id", "gross", "corr_long", "corr_short", "z_depth", grid.alias("p")).select("*", "p.*").drop("p")
-    x = x.withColumn("score", F.round(F.col("w_corr_long") * F.col("corr_long") + F.col("w_corr_short") * F.col("corr_short") + F.col("w_z_depth") * F.col("z_depth"), 9))
-    m = P.top_k(x, ["trial", "fold"], k, F.desc("score"), "obs_id").groupBy("trial", "fold").agg(F.avg("gross").alias("m"))
-    return m.groupBy("trial").agg((0.5 * F.avg("m") + 0.5 * F.min("m")).alias("objective"))
+    complexity: ratio, flagged. unit_signal: rows with excludes_zero. null: percentile. holdout: rows with holdout and gap; passes
+    with a mean holdout above 0 that the mean gap does not exceed. stability: range_, and flagged if it is unstable.
+    """
+    out = []
+    if complexity is not None:
+        out.append(("complexity", "RED" if complexity["flagged"] else "GREEN", float(complexity["ratio"])))
+    if unit_signal is not None:
+        n = sum(bool(r["excludes_zero"]) for r in unit_signal)
+        out.append(("unit signal", "PASS" if n else "FAIL", float(n)))
+    if null is not None:
+        p = null["percentile"]
+        out.append(("null baseline", "PASS" if p is not None and p >= least_percentile else "FAIL", float("nan") if p is None else float(p)))
+    if holdout is not None:
+        mean = lambda c: sum(r[c] for r in holdout) / len(holdout) if holdout else float("nan")
+        out.append(("holdout gap", "PASS" if mean("holdout") > 0 and mean("gap") <= abs(mean("holdout")) else "FAIL", mean("gap")))
+    if stability is not None:
+        out.append(("seed stability", "FAIL" if stability["flagged"] else "PASS", float(stability["range_"])))
+    return [{"guard": g, "verdict": v, "value": x} for g, v, x in out]
+
+
+def battery(results: DataFrame, warmth: DataFrame, label: str, warm_only: bool = True) -> DataFrame:
+    """label, regime, status (done, cold, error), score of every regime; a cold one is left out if only warm ones shall run.
+
+    results: regime, score (null: the run failed). warmth: regime, warm.
+    """
+    x = warmth.join(results, "regime", "left")
+    cold = F.lit(warm_only) & ~F.col("warm")
+    return x.select(F.lit(label).alias("label"), "regime", F.when(cold, "cold").when(F.col("score").isNull(), "error").otherwise("done").alias("status"), F.when(~cold, F.col("score")).alias("score"))
+
+
+def battery_report(a: DataFrame, b: DataFrame, margin: float = 0.01) -> DataFrame:
+    """regime, score_a, score_b, winner: a side wins by more than the margin; SKIP where one is cold, N/A where one has no score."""
+    side = lambda x, s: x.select("regime", F.col("status").alias(f"st_{s}"), F.col("score").alias(f"score_{s}"))
+    x = side(a, "a").join(side(b, "b"), "regime", "full")
+    cold = lambda s: F.coalesce(F.col(f"st_{s}") == "cold", F.lit(True))
+    p, q = F.col("score_a"), F.col("score_b")
+    winner = F.when(cold("a") | cold("b"), "SKIP").when(p.isNull() | q.isNull(), "N/A").when(p > q + margin, "a").when(q > p + margin, "b").otherwise("TIE")
+    return x.select("regime", "score_a", "score_b", winner.alias("winner"))
+
+
+def battery_gate(good: DataFrame, bad: DataFrame, least_wins: int = 3) -> DataFrame:
+    """completed, wins, verdict: regimes that both ended, and in how many of them the good side has the greater score; INCONCLUSIVE without any."""
+    done = lambda x, s: x.where("status = 'done'").select("regime", F.col("score").alias(s))
+    x = done(good, "g").join(done(bad, "b"), "regime").agg(F.count("*").alias("completed"), F.count_if(F.col("g") > F.col("b")).alias("wins"))
+    return x.withColumn("verdict", F.when(F.col("completed") == 0, "INCONCLUSIVE").when(F.col("wins") >= least_wins, "PASS").otherwise("FAIL"))
+
+
+def best_trial(trials: DataFrame, study: str) -> DataFrame:
+    """The study's best completed trial. trials: study, trial, state, value, and parameters."""
+    return trials.where((F.col("study") == study) & (F.col("state") == "COMPLETE") & F.col("value").isNotNull()).orderBy(F.desc("value"), "trial").limit(1)
+
+
+def study_base(trials: DataFrame, study: str, defaults: dict, weights: tuple[str, ...]) -> dict:
+    """The fixed base of a further study: defaults, then the best trial's parameters, weights normalised, no short leg. An error without the study or a completed trial."""
+    if trials.where(F.col("study") == study).isEmpty():
+        raise LookupError(f"no study {study}")
+    best = best_trial(trials, study).first()  # one row
+    if best is None:
+        raise LookupError(f"study {study} has no completed trial")
+    base = {**defaults, **{k: v for k, v in best.asDict().items() if k not in ("study", "trial", "state", "value") and v is not None}}
+    total = sum(base[w] for w in weights)
+    return {**base, **{w: base[w] / total if total > 0 else 1 / len(weights) for w in weights}, "short_leg_fraction": 0.0}
+
+
+def phase_gate(trials: DataFrame, study: str, baseline: DataFrame) -> DataFrame:
+    """best, baseline, delta, verdict: whether the best trial beats the baseline's score; no row without a completed trial or a baseline. baseline: score."""
+    best = best_trial(trials, study).select(F.col("value").alias("best"))
+    x = best.join(F.broadcast(baseline.where("score is not null").select(F.col("score").alias("baseline"))), F.col("best").isNotNull())  # one row each
+    return x.withColumn("delta", F.col("best") - F.col("baseline")).withColumn("verdict", F.when(F.col("delta") > 0, "PASS").otherwise("FAIL"))
+
+
+def run_by_token(runs: DataFrame, token: str) -> DataFrame:
+    """The completed run whose settings hold the token; no other will do. runs: run_id, mode, started_at, completed_at, settings."""
+    hit = (F.get_json_object("settings", "$.tuning_trial_token") == token) & F.col("completed_at").isNotNull()
+    return runs.where(hit).orderBy("run_id").limit(1).select("run_id", F.lit("token").alias("how"))
+
+
+def latest_run(runs: DataFrame, snapshots: DataFrame, after: str, least: int = 5) -> DataFrame:
+    """The last backtest that began at or after a time: completed ones first, else one without an end that has enough snapshots."""
+    recent = runs.where((F.col("started_at") >= F.lit(after).cast("timestamp_ntz")) & (F.col("mode") == "backtest"))
+    n = snapshots.groupBy("run_id").agg(F.count("*").alias("n"))
+    x = recent.join(n, "run_id", "left").withColumn("done", F.col("completed_at").isNotNull()).where(F.col("done") | (F.col("n") >= least))
+    return x.orderBy(F.desc("done"), F.desc("started_at"), "run_id").limit(1).select("run_id", F.when(F.col("done"), "completed").otherwise("partial").alias("how"))

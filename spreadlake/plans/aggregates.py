@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
+from ..operators import inference as I
 from ..operators import metrics as M
 from ..operators import panel as P
+from ..operators.ranks import quantiles
 from ..registry import query
 
 PAIRS = "pairs_ as (select a.symbol as lead, b.symbol as lag from ticker_metadata a join ticker_metadata b on substr(a.symbol, 1, 7) = substr(b.symbol, 1, 7) and a.symbol < b.symbol)"
@@ -36,9 +39,7 @@ def _(t):
 
 @query("agg_03_corr_matrix", "with r as (select symbol, day, ln(close) - lag(ln(close)) over (partition by symbol order by day) as r from prices) select a.symbol as a, b.symbol as b, R(corr(a.r, b.r)) as rho from r a join r b using (day) where a.symbol < b.symbol and a.r is not null and b.r is not null group by 1, 2")
 def _(t):
-    r = P.log_returns(t.prices).where("ret is not null")
-    both = r.select("day", F.col("symbol").alias("a"), F.col("ret").alias("ra")).join(r.select("day", F.col("symbol").alias("b"), F.col("ret").alias("rb")), "day").where("a < b")
-    return both.groupBy("a", "b").agg(P.safe_corr("ra", "rb").alias("rho"))
+    return P.correlation_blocks(P.log_returns(t.prices), size=16)
 
 
 @query("agg_04_hedge", f"with {ALIGNED} select lead, lag, R(regr_slope(ln(pg), ln(pl))) as hedge from al group by lead, lag")
@@ -92,7 +93,7 @@ def _(t):
 
 @query("agg_11_blended_score", f"with {SCORE}, q as ({RHO}) select run_id, R(case when n >= 5 then 0.4 * rho + 0.6 * greatest(-1, least(1, score / 3)) else score end) as score from sc left join q on fold = run_id")
 def _(t):
-    rho = P.spearman(t.observations, [F.col("fold")], "corr_long", "gross").withColumnRenamed("fold", "run_id")
+    rho = P.spearman(t.observations, ["fold"], "corr_long", "gross").withColumnRenamed("fold", "run_id")
     x = _scores(t).join(rho, "run_id", "left")
     blend = 0.4 * F.col("rho") + 0.6 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / 3))
     return x.select("run_id", F.when(F.col("n") >= 5, blend).otherwise(F.col("score")).alias("score"))
@@ -114,15 +115,15 @@ def _(t):
     return d.agg(F.avg("s").alias("dispersion"), F.count("*").alias("days_"))
 
 
-@query("agg_15_warmth", "select symbol, min(day) as lo, max(day) as hi, N(count(distinct day)) as days_, min(day) <= date '1992-02-01' and max(day) >= date '1998-10-01' and count(distinct day) >= 300 as warm from prices group by symbol")
+@query("agg_15_warmth", "select symbol, min(day) as lo, max(day) as hi, N(count(distinct day)) as days_, min(day) <= date '1995-02-01' and max(day) >= date '2001-10-01' and count(distinct day) >= 354 as warm from prices group by symbol")
 def _(t):
     x = t.prices.groupBy("symbol").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.countDistinct("day").alias("days_"))
-    return x.withColumn("warm", (F.col("lo") <= "1992-02-01") & (F.col("hi") >= "1998-10-01") & (F.col("days_") >= 300))
+    return x.withColumn("warm", (F.col("lo") <= "1995-02-01") & (F.col("hi") >= "2001-10-01") & (F.col("days_") >= 354))
 
 
 @query("agg_16_pool_corr", "select R(median(corr_short)) as pool from observations where z_depth > 0")
 def _(t):
-    return t.observations.where("z_depth > 0").agg(F.median("corr_short").alias("pool"))
+    return quantiles(t.observations.where("z_depth > 0"), [], "corr_short", {"pool": 0.5})
 
 
 CORR = f"with {RETURNS}, c as (select substr(lead, 1, 7) as cluster, lead, lag, corr(rl, rg) as rho from rt where rl is not null group by 1, 2, 3)"
@@ -150,7 +151,9 @@ BIN = "select *, greatest(cast(ceil((row_number() over (partition by fold order
 @query("agg_19_tercile_outcomes", f"select fold, bin, N(count(*)) as n, R(avg(gross)) as mean, R(median(gross)) as median_, R(avg(case when gross > 0 then 1.0 else 0.0 end)) as win_rate, R(avg(gross) filter (where gross > 0)) as win_size, R(avg(case when gross < -1000 then 1.0 else 0.0 end)) as cat from ({BIN.format(x='corr_long', n=3)}) group by fold, bin")
 def _(t):
     g = F.col("gross")
-    return P.quantile_bin(t.observations, ["fold"], ["corr_long", "obs_id"], 3).groupBy("fold", "bin").agg(F.count("*").alias("n"), F.avg(g).alias("mean"), F.median(g).alias("median_"), F.avg(F.when(g > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(g > 0, g)).alias("win_size"), F.avg(F.when(g < -1000, 1.0).otherwise(0.0)).alias("cat"))
+    x = P.quantile_bin(t.observations.select("fold", "obs_id", "corr_long", "gross"), ["fold"], "corr_long", "obs_id", 3)
+    means = x.groupBy("fold", "bin").agg(F.count("*").alias("n"), F.avg(g).alias("mean"), F.avg(F.when(g > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(g > 0, g)).alias("win_size"), F.avg(F.when(g < -1000, 1.0).otherwise(0.0)).alias("cat"))
+    return means.join(quantiles(x, ["fold", "bin"], "gross", {"median_": 0.5}), ["fold", "bin"])
 
 
 TIMING = "case when next_results_t is null then 'none' when next_results_t <= 5 then 'near' when next_results_t <= hold_days then 'inside' else 'after' end"
@@ -178,7 +181,9 @@ def _class():
 
 @query("agg_21_profile_medians", f"select {CLASS} as class, R(median(halflife_days)) as hl, R(median(corr_short)) as cs, R(median(hold_days)) as hold from observations group by 1")
 def _(t):
-    return t.observations.groupBy(_class().alias("class")).agg(F.median("halflife_days").alias("hl"), F.median("corr_short").alias("cs"), F.median("hold_days").cast("double").alias("hold"))
+    x = t.observations.select(_class().alias("class"), "halflife_days", "corr_short", "hold_days")
+    hl, cs, hold = (quantiles(x, ["class"], c, {out: 0.5}) for c, out in (("halflife_days", "hl"), ("corr_short", "cs"), ("hold_days", "hold")))
+    return hl.join(cs, "class").join(hold, "class")
 
 
 @query("agg_22_composition", "select least(a, b) || '+' || greatest(a, b) as combo, N(count(*)) as n, R(avg(gross)) as mean from (select gross, case when l.is_etf then 'etf' else 'stock' end as a, case when g.is_etf then 'etf' else 'stock' end as b from observations join ticker_metadata l on l.symbol = lead join ticker_metadata g on g.symbol = lag) group by 1")
@@ -200,9 +205,7 @@ def _(t):
 
 @query("agg_25_trimmed_means", "select fold, R(avg(gross)) as mean, R(avg(gross) filter (where k > 5)) as trimmed, R(sum(least(gross, 0)) filter (where k <= 5) / sum(least(gross, 0))) as worst_share from (select *, row_number() over (partition by fold order by gross, obs_id) as k from observations) group by fold")
 def _(t):
-    x = t.observations.withColumn("k", F.row_number().over(W.partitionBy("fold").orderBy("gross", "obs_id")))
-    loss = F.least(F.col("gross"), F.lit(0.0))
-    return x.groupBy("fold").agg(F.avg("gross").alias("mean"), F.avg(F.when(F.col("k") > 5, F.col("gross"))).alias("trimmed"), (F.sum(F.when(F.col("k") <= 5, loss)) / F.sum(loss)).alias("worst_share"))
+    return M.trimmed_means(t.observations, "fold", "gross", "obs_id", 5)
 
 
 @query("agg_26_auc", "with r as (select case when gross > 0 then 1 else 0 end as y, rank() over (order by corr_long) + (count(*) over (partition by corr_long) - 1) / 2.0 as r from observations) select R((sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y))) as auc from r")
@@ -210,14 +213,7 @@ def _(t):
     return M.auc(t.observations.withColumn("y", F.when(F.col("gross") > 0, 1).otherwise(0)), "y", "corr_long")
 
 
-@query("agg_27_crosstab", "with c as (select N(count(*) filter (where e and b)) as a, N(count(*) filter (where e and not b)) as b, N(count(*) filter (where not e and b)) as c, N(count(*) filter (where not e and not b)) as d from (select surprise_t is not null as e, gross < -1000 as b from observations where obs_id % 50 = 1)) select a, b, c, d, R(a * d / cast(b * c as double)) as odds from c")
-def _(t):
-    from ..operators.inference import crosstab
-
-    return crosstab(t.observations.where("obs_id % 50 = 1"), F.col("surprise_t").isNotNull(), F.col("gross") < -1000).select("a", "b", "c", "d", "odds")
-
-
-@query("agg_27_crosstab_all", "with c as (select N(count(*) filter (where e and b)) as a, N(count(*) filter (where e and not b)) as b, N(count(*) filter (where not e and b)) as c, N(count(*) filter (where not e and not b)) as d from (select surprise_t is not null as e, gross < -1000 as b from observations)) select a, b, c, d, R(a * d / nullif(cast(b * c as double), 0)) as odds from c")
+@query("agg_27_crosstab", "with c as (select N(count(*) filter (where e and b)) as a, N(count(*) filter (where e and not b)) as b, N(count(*) filter (where not e and b)) as c, N(count(*) filter (where not e and not b)) as d from (select surprise_t is not null as e, gross < -1000 as b from observations)) select a, b, c, d, R(a * d / nullif(cast(b * c as double), 0)) as odds from c")
 def _(t):
     from ..operators.inference import crosstab
 
@@ -231,14 +227,14 @@ def _(t):
     return fisher_exact(crosstab(t.observations, F.col("surprise_t").isNotNull(), F.col("gross") < -1000))
 
 
-@query("agg_28_bootstrap_rate_gap")
+@query("agg_28_bootstrap_rate_gap", f"with x as (select draw, surprise_t is not null as g, case when gross < -1000 then 1.0 else 0.0 end as e, {I.poisson_weight_sql(7, 'draw', 'obs_id')} as w from observations, (select unnest(range(1, 201)) as draw)), y as (select draw, sum(w * e) filter (where g) / nullif(sum(w) filter (where g), 0) - sum(w * e) filter (where not g) / nullif(sum(w) filter (where not g), 0) as gap from x group by draw) select R(avg(gap)) as mean, R(quantile_cont(gap, 0.025)) as low, R(quantile_cont(gap, 0.975)) as high from y")
 def _(t):
     from ..operators.inference import bootstrap_rate_gap
 
     return bootstrap_rate_gap(t.observations, F.col("surprise_t").isNotNull(), F.col("gross") < -1000, draws=200, seed=7)
 
 
-@query("agg_29_date_bootstrap")
+@query("agg_29_date_bootstrap", f"with c as (select cast(date - date '1970-01-01' as bigint) as k, sum(gross) as s, count(gross) as n from observations group by 1), x as (select draw, s, n, {I.poisson_weight_sql(7, 'draw', 'k')} as w from c, (select unnest(range(1, 101)) as draw)), y as (select draw, sum(w * s) / nullif(sum(w * n), 0) as m from x group by draw) select R(avg(m)) as mean, R(quantile_cont(m, 0.025)) as low, R(quantile_cont(m, 0.975)) as high from y")
 def _(t):
     from ..operators.inference import clustered_bootstrap
 
@@ -247,7 +243,7 @@ def _(t):
 
 @query("agg_30_halflife_calibration", "select fold, R(median(hold_days / halflife_days)) as ratio from observations group by fold")
 def _(t):
-    return t.observations.groupBy("fold").agg(F.median(F.col("hold_days") / F.col("halflife_days")).alias("ratio"))
+    return quantiles(t.observations.select("fold", (F.col("hold_days") / F.col("halflife_days")).alias("r")), ["fold"], "r", {"ratio": 0.5})
 
 
 TRIPS = "r as (select b.run_id, s.exit_reason, (s.price - b.price) * b.quantity - s.slippage as pnl, epoch(s.filled_at - b.filled_at) / 86400 as hold_days from trades b join trades s on s.run_id = b.run_id and s.symbol = b.symbol and s.pair_id = b.pair_id and s.side = 'sell' and s.filled_at > b.filled_at where b.side = 'buy')"
@@ -255,7 +251,9 @@ TRIPS = "r as (select b.run_id, s.exit_reason, (s.price - b.price) * b.quantity
 
 @query("agg_31_trade_funnel", f"with {TRIPS} select run_id, exit_reason, N(count(*)) as n, R(avg(case when pnl > 0 then 1.0 else 0.0 end)) as win_rate, R(avg(pnl)) as mean, R(median(hold_days)) as hold from r group by 1, 2")
 def _(t):
-    return M.round_trips(t.trades).groupBy("run_id", "exit_reason").agg(F.count("*").alias("n"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("pnl").alias("mean"), F.median("hold_days").alias("hold"))
+    trips = M.round_trips(t.trades)
+    means = trips.groupBy("run_id", "exit_reason").agg(F.count("*").alias("n"), F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg("pnl").alias("mean"))
+    return means.join(quantiles(trips, ["run_id", "exit_reason"], "hold_days", {"hold": 0.5}), ["run_id", "exit_reason"])
 
 
 @query("agg_32_sector_pairs", "select case when a.sector is null or b.sector is null then 'unknown' when a.sector = b.sector then a.sector else 'cross' end as label, N(count(*)) as n, R(avg(gross)) as mean from observations join ticker_metadata a on a.symbol = lead join ticker_metadata b on b.symbol = lag group by 1 having count(*) >= 3")
@@ -321,15 +319,36 @@ DEPTH = "case when z_depth = 0 then 'none' when z_depth < 1 then 'partial' else
 @query("agg_41_live_entries", f"select {DEPTH} as depth, N(count(*)) as n, R(count(*) / cast(sum(count(*)) over () as double)) as share, R(avg(gross)) as mean, R(median(gross)) as median_ from observations where exists (select 1 from trades where id = obs_id and side = 'buy') group by 1")
 def _(t):
     z = F.col("z_depth")
-    live = t.observations.join(t.trades.where("side = 'buy'").select(F.col("id").alias("obs_id")), "obs_id", "left_semi")
-    x = live.groupBy(F.when(z == 0, "none").when(z < 1, "partial").otherwise("full").alias("depth")).agg(F.count("*").alias("n"), F.avg("gross").alias("mean"), F.median("gross").alias("median_"))
-    return x.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    live = _live(t).withColumn("depth", F.when(z == 0, "none").when(z < 1, "partial").otherwise("full"))
+    x = live.groupBy("depth").agg(F.count("*").alias("n"), F.avg("gross").alias("mean")).join(quantiles(live, ["depth"], "gross", {"median_": 0.5}), "depth")
+    return x.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))  # three rows
+
+
+def _live(t):
+    return t.observations.join(t.trades.where("side = 'buy'").select(F.col("id").alias("obs_id")), "obs_id", "left_semi")
+
 
+LIVE_RHO = "select {g} as fold, N(count(*)) as n, R(corr(a, b)) as rho from (select *, rank() over (partition by {k} order by score) + (count(*) over (partition by {k}, score) - 1) / 2.0 as a, rank() over (partition by {k} order by gross) + (count(*) over (partition by {k}, gross) - 1) / 2.0 as b from live) group by 1"
 
-@query("agg_42_rankers", "select ranker, R(avg(gross)) as mean from (select ranker, gross, row_number() over (partition by fold, ranker order by x desc, obs_id) as k from (unpivot (select fold, obs_id, gross, corr_long, corr_short, z_depth from observations) on corr_long, corr_short, z_depth into name ranker value x)) where k <= 20 group by ranker")
+
+@query("agg_41_live_rank_correlation", "with live as (select fold, gross, 1 as one, round(0.3 * corr_long + 0.3 * corr_short + 0.4 * z_depth, 9) as score from observations where exists (select 1 from trades where id = obs_id and side = 'buy')) " + LIVE_RHO.format(g="fold", k="fold") + " union all " + LIVE_RHO.format(g="'pooled'", k="one"))
 def _(t):
-    long = t.observations.unpivot(["fold", "obs_id", "gross"], ["corr_long", "corr_short", "z_depth"], "ranker", "x")
-    return P.top_k(long, ["fold", "ranker"], 20, F.desc("x"), "obs_id").groupBy("ranker").agg(F.avg("gross").alias("mean"))
+    score = F.round(S.composite_score(F.col("corr_long"), F.col("corr_short"), F.col("z_depth")), 9)
+    live = _live(t).select("fold", "gross", score.alias("score"))
+    return P.spearman(live, ["fold"], "score", "gross").unionByName(P.spearman(live, [], "score", "gross").withColumn("fold", F.lit("pooled")))
+
+
+RANKERS = ("composite", "corr_long", "corr_short", "z_depth", "z_entry", "neg_halflife", "random")
+
+
+@query("agg_42_rankers", f"with o as (select cast(date_trunc('month', date) as date) as mon, obs_id, gross, round(0.3 * corr_long + 0.3 * corr_short + 0.4 * z_depth, 9) as composite, corr_long, corr_short, z_depth, z_entry, -halflife_days as neg_halflife, cast({S.mixed_sql(3, '0', 'obs_id')} as double) as random from observations) select ranker, R(avg(gross)) as mean, R(median(gross)) as median_, R(avg(case when gross < -1000 then 1.0 else 0.0 end)) as cat, R(avg(gross) filter (where gross > 0)) as win_size from (select ranker, gross, row_number() over (partition by mon, ranker order by x desc, obs_id) as k from (unpivot (select * from o) on {', '.join(RANKERS)} into name ranker value x)) where k <= 20 group by ranker")
+def _(t):
+    o = t.observations.withColumn("at", F.to_date(F.date_trunc("month", "date"))).withColumn("composite", F.round(S.composite_score(F.col("corr_long"), F.col("corr_short"), F.col("z_depth")), 9))
+    o = o.withColumn("neg_halflife", -F.col("halflife_days")).withColumn("random", S.mixed(3, F.lit(0), F.col("obs_id")).cast("double"))
+    top = P.top_k(o.unpivot(["at", "obs_id", "gross"], list(RANKERS), "ranker", "x"), ["at", "ranker"], 20, F.desc("x"), "obs_id")
+    g = F.col("gross")
+    means = top.groupBy("ranker").agg(F.avg(g).alias("mean"), F.avg(F.when(g < -1000, 1.0).otherwise(0.0)).alias("cat"), F.avg(F.when(g > 0, g)).alias("win_size"))
+    return means.join(quantiles(top, ["ranker"], "gross", {"median_": 0.5}), "ranker")
 
 
 @query("agg_43_duration_control", "select N(hold_days // 5) as bucket, R(avg(case when surprise_t <= hold_days then 1.0 else 0.0 end)) as rate, N(count(*)) as n from observations where gross >= -1000 group by 1")
@@ -348,8 +367,8 @@ def _(t):
 
 @query("agg_47_weight_share", "with q as (select o_custkey, o_totalprice as v, p_size / cast(p_size + 10 as double) as share from orders join part on p_partkey = 1 + o_orderkey % 2000) select R(corr(a, b)) as rho from (select rank() over (order by share) + (count(*) over (partition by share) - 1) / 2.0 as a, rank() over (order by v) + (count(*) over (partition by v) - 1) / 2.0 as b from q)")
 def _(t):
-    q = t.orders.withColumn("p_partkey", 1 + F.col("o_orderkey") % 2000).join(t.part, "p_partkey").select(F.lit(1).alias("k"), (F.col("p_size") / (F.col("p_size") + 10)).alias("share"), F.col("o_totalprice").alias("v"))
-    return P.spearman(q, ["k"], "share", "v").select("rho")
+    q = t.orders.withColumn("p_partkey", 1 + F.col("o_orderkey") % 2000).join(t.part, "p_partkey").select((F.col("p_size") / (F.col("p_size") + 10)).alias("share"), F.col("o_totalprice").alias("v"))
+    return P.spearman(q, [], "share", "v").select("rho")
 
 
 @query("agg_48_histogram", "select N(greatest(0, least(21, floor((greatest(-2000, least(2000, gross)) + 2000) / 200.0) + 1))) as bin, N(count(*)) as n from observations group by 1")
@@ -374,7 +393,7 @@ def _(t):
 
 @query("agg_51_decile_error", f"select fold, bin, R(avg(gross)) as mean, R(stddev_samp(gross) / sqrt(count(*))) as se from ({BIN.format(x='corr_short', n=10)}) group by fold, bin")
 def _(t):
-    return P.quantile_bin(t.observations, ["fold"], ["corr_short", "obs_id"], 10).groupBy("fold", "bin").agg(F.avg("gross").alias("mean"), (F.stddev_samp("gross") / F.sqrt(F.count("*"))).alias("se"))
+    return P.quantile_bin(t.observations.select("fold", "obs_id", "corr_short", "gross"), ["fold"], "corr_short", "obs_id", 10).groupBy("fold", "bin").agg(F.avg("gross").alias("mean"), (F.stddev_samp("gross") / F.sqrt(F.count("*"))).alias("se"))
 
 
 @query("agg_52_friction", "select N(cost) as cost, R(avg(gross) - cost) as net from observations, (values (10), (30)) v(cost) group by cost")
@@ -382,12 +401,12 @@ def _(t):
     return t.observations.select("gross", F.explode(F.array(F.lit(10), F.lit(30))).alias("cost")).groupBy("cost").agg((F.avg("gross") - F.col("cost")).alias("net")).withColumn("cost", F.col("cost").cast("long"))
 
 
-@query("agg_53_sampled_coverage")
+@query("agg_53_sampled_coverage", f"select R(avg(case when surprise_t is not null then 1.0 else 0.0 end)) as rate, N(count(*)) as n from (select surprise_t from observations order by {S.mixed_sql(7, '0', 'obs_id')}, obs_id limit 200)")
 def _(t):
-    picked = t.observations.orderBy(F.xxhash64(F.lit(7), "obs_id"), "obs_id").limit(200)
+    picked = t.observations.orderBy(S.mixed(7, F.lit(0), F.col("obs_id")), "obs_id").limit(200)
     return picked.agg(F.avg(F.when(F.col("surprise_t").isNotNull(), 1.0).otherwise(0.0)).alias("rate"), F.count("*").alias("n"))
 
 
-@query("smp_01_sample_per_fold")
+@query("smp_01_sample_per_fold", f"select fold, N(obs_id) as obs_id from observations qualify row_number() over (partition by fold order by {S.mixed_sql(7, '0', 'obs_id')}, obs_id) <= 200")
 def _(t):
-    return P.top_k(t.observations, ["fold"], 200, F.xxhash64(F.lit(7), "obs_id"), "obs_id").select("fold", "obs_id")
+    return P.top_k(t.observations, ["fold"], 200, S.mixed(7, F.lit(0), F.col("obs_id")), "obs_id").select("fold", "obs_id")

@@ -16,9 +16,9 @@ def _(t):
     return G.penny_gate(pairs, t.prices, 1400.0)
 
 
-@query("flt_02_without_failed", "select symbol from ticker_metadata where symbol not in (select symbol from filing_events where form = '6-K' and accession % 50 = 0)")
+@query("flt_02_without_failed", "select symbol from ticker_metadata where symbol not in (select symbol from prices group by symbol having arg_max(close, day) < 1500)")
 def _(t):
-    return t.ticker_metadata.select("symbol").join(t.filing_events.where("form = '6-K' and accession % 50 = 0").select("symbol"), "symbol", "left_anti")
+    return t.ticker_metadata.select("symbol").join(t.prices.groupBy("symbol").agg(F.max_by("close", "day").alias("c")).where("c < 1500"), "symbol", "left_anti")
 
 
 FAILED = "with f as (select o_custkey % 50 as symbol, cast(o_orderdate as date) as ws, cast(o_orderdate as date) + 30 as we, o_orderkey % 10 = 0 as sentinel from orders)"
@@ -28,9 +28,9 @@ def _failed(t):
     return t.orders.select((F.col("o_custkey") % 50).alias("symbol"), F.to_date("o_orderdate").alias("ws"), F.date_add(F.to_date("o_orderdate"), 30).alias("we"), (F.col("o_orderkey") % 10 == 0).alias("sentinel"))
 
 
-@query("flt_03_failed_in_window", f"{FAILED} select distinct symbol from f where ws <= date '1993-03-10' and we >= date '1993-02-01'")
+@query("flt_03_failed_in_window", f"{FAILED} select distinct symbol from f where ws <= date '1996-03-10' and we >= date '1996-02-01'")
 def _(t):
-    return G.overlapping(_failed(t), "1993-02-01", "1993-03-10").select("symbol").distinct()
+    return G.overlapping(_failed(t), "1996-02-01", "1996-03-10").select("symbol").distinct()
 
 
 @query("flt_04_failed_global", f"{FAILED} select symbol, N(count(*)) as n from f where sentinel group by symbol")
@@ -96,11 +96,11 @@ def _(t):
     return G.left_out_screen(t.observations, "fold", "corr_long", 0.8).select("obs_id")
 
 
-@query("flt_17_best_run", "with r as (select run_id, min(day) as lo, max(day) as hi, count(*) as n from portfolio_snapshots where length(run_id) > 8 or day < date '1995-01-01' group by run_id) select run_id, case when hi >= date '1998-07-01' then 'complete' else 'partial' end as status from r where lo <= date '1992-01-15' and hi >= date '1995-01-01' - 100 order by case when hi >= date '1998-07-01' then 0 else 1 end, n desc, run_id limit 1")
+@query("flt_17_best_run", "with r as (select run_id, min(day) as lo, max(day) as hi, count(*) as n from portfolio_snapshots group by run_id) select run_id, case when hi >= date '2001-07-01' then 'complete' else 'partial' end as status from r where lo <= date '1995-01-15' and hi >= date '1998-01-01' - 100 order by case when hi >= date '2001-07-01' then 0 else 1 end, n desc, run_id limit 1")
 def _(t):
-    runs = t.portfolio_snapshots.where("length(run_id) > 8 or day < date '1995-01-01'").groupBy("run_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n"))
-    full = F.col("hi") >= "1998-07-01"
-    ok = runs.where((F.col("lo") <= "1992-01-15") & (F.col("hi") >= F.date_sub(F.lit("1995-01-01").cast("date"), 100)))
+    runs = t.portfolio_snapshots.groupBy("run_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("*").alias("n"))
+    full = F.col("hi") >= "2001-07-01"
+    ok = runs.where((F.col("lo") <= "1995-01-15") & (F.col("hi") >= F.date_sub(F.lit("1998-01-01").cast("date"), 100)))
     return ok.orderBy(F.when(full, 0).otherwise(1), F.desc("n"), "run_id").limit(1).select("run_id", F.when(full, "complete").otherwise("partial").alias("status"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import panel as P
-from ..operators.gates import with_legs  # noqa: F401
 from ..registry import query
 
 
@@ -68,60 +67,12 @@ def _(t):
     return p.join(pair_pnl(t.trades.where("leg = 'long'")), "pair_id").select("fold", "pair_id", "z", "pnl")
 
 
-@query("join_10_asof_backward", "select N(obs_id) as obs_id, max(p.day) as day from observations o join prices p on p.symbol = o.lead and p.day <= o.date where o.obs_id % 10 = 1 group by obs_id")
-def _(t):
-    from ..operators.asof import asof
-
-    obs = t.observations.where("obs_id % 10 = 1").select("obs_id", F.col("lead").alias("symbol"), F.col("date").alias("at"))
-    return asof(obs, t.prices.select("symbol", "day"), ["symbol"], "at", "day").where("day is not null").select("obs_id", "day")
-
-
-@query("join_11_asof_forward", "select N(obs_id) as obs_id, min(p.day) as day from observations o join prices p on p.symbol = o.lead and p.day >= o.date - 100 where o.obs_id % 10 = 1 group by obs_id")
-def _(t):
-    from ..operators.asof import asof
-
-    obs = t.observations.where("obs_id % 10 = 1").select("obs_id", F.col("lead").alias("symbol"), F.date_sub("date", 100).alias("at"))
-    return asof(obs, t.prices.select("symbol", "day"), ["symbol"], "at", "day", forward=True).where("day is not null").select("obs_id", "day")
-
-
-HELD = "select obs_id, lead, lag, cast(date '2024-01-01' + cast(obs_id % 25 as int) as date) as entry, cast(date '2024-01-01' + cast(obs_id % 25 as int) + hold_days as date) as exit from observations where obs_id % 5 = 2"
-
-
-def _held(t):
-    entry = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("obs_id") % 25).cast("int"))
-    return t.observations.where("obs_id % 5 = 2").select("obs_id", "lead", "lag", entry.alias("entry"), F.date_add(entry, F.col("hold_days")).alias("exit"))
-
-
-@query("join_12_events_in_hold", f"with h as ({HELD}), e as (select symbol, cast(filed_at as date) as day, starts_with(form, '8-K') and contains(items, '4.02') as restatement, form = '6-K' and accession % 40 = 0 as rare from filing_events where accession % 20 < 3) select N(obs_id) as obs_id, coalesce(bool_or(restatement), false) as restatement, coalesce(bool_or(rare), false) as rare from h left join e on e.symbol in (lead, lag) and day > entry - 7 and day <= exit group by obs_id")
-def _(t):
-    ev = t.filing_events.where("accession % 20 < 3").select("symbol", F.to_date("filed_at").alias("day"), (F.col("form").startswith("8-K") & F.col("items").contains("4.02")).alias("restatement"), ((F.col("form") == "6-K") & (F.col("accession") % 40 == 0)).alias("rare"))
-    return E.events_in_hold(_held(t), ev, "obs_id")
-
-
-@query("join_13_hold_classes", f"with h as ({HELD}), e as (select distinct symbol, cast(filed_at as date) as day from filing_events where accession % 97 = 5) select N(obs_id) as obs_id, coalesce(bool_or(day > entry), false) as hold, coalesce(bool_or(day <= entry), false) as pre, coalesce(string_agg(distinct cast(day as varchar), ',' order by cast(day as varchar)), '') as hits from h left join e on e.symbol in (lead, lag) and day >= entry - 7 and day <= exit group by obs_id")
-def _(t):
-    ev = t.filing_events.where("accession % 97 = 5").select("symbol", F.to_date("filed_at").alias("day")).distinct()
-    return E.hold_classes(_held(t), ev, "obs_id")
-
-
 @query("join_14_remapped", "select case symbol when 'Brand#11' then 'Brand#22' else symbol end as symbol, N(count(*)) as n from filing_events group by 1")
 def _(t):
     return E.remap(t.filing_events, "symbol", {"Brand#11": "Brand#22"}).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("join_15_next_event_offset", "with c as (select symbol, day, row_number() over (partition by symbol order by day) as pos from prices where symbol in ('Brand#11', 'Brand#12')), e as (select symbol, cast('1994-01-01' as date) + cast(accession % 700 as int) as d from filing_events where accession % 400 = 1 and symbol in ('Brand#11', 'Brand#12')), f as (select e.symbol, e.d, min(pos) as pos from e join c on c.symbol = e.symbol and c.day >= e.d group by 1, 2) select N(min(pos)) as t, d from f group by d")
-def _(t):
-    w = P.ordered(["symbol"], "day")
-    cal = t.prices.where("symbol in ('Brand#11', 'Brand#12')").withColumn("pos", F.row_number().over(w)).select("symbol", "day", "pos")
-    ev = t.filing_events.where("accession % 400 = 1 and symbol in ('Brand#11', 'Brand#12')").select("symbol", F.date_add(F.lit("1994-01-01").cast("date"), (F.col("accession") % 700).cast("int")).alias("d"))
-    first = ev.join(cal, "symbol").where("day >= d").groupBy("symbol", "d").agg(F.min("pos").alias("pos"))
-    return first.groupBy("d").agg(F.min("pos").cast("long").alias("t"))
-
-
-# The queries above named join_10 to join_13 and join_15 are held to SQL over a part of the rows; these take all rows.
-
-
-@query("join_10_asof_backward_all", "select N(obs_id) as obs_id, max(p.day) as day from observations o join prices p on p.symbol = o.lead and p.day <= o.date group by obs_id")
+@query("join_10_asof_backward", "select N(obs_id) as obs_id, max(p.day) as day from observations o join prices p on p.symbol = o.lead and p.day <= o.date group by obs_id")
 def _(t):
     from ..operators.asof import asof
 
@@ -129,7 +80,7 @@ def _(t):
     return asof(obs, t.prices.select("symbol", "day"), ["symbol"], "at", "day").where("day is not null").select("obs_id", "day")
 
 
-@query("join_11_asof_forward_all", "select N(obs_id) as obs_id, min(p.day) as day from observations o join prices p on p.symbol = o.lead and p.day >= o.date - 100 group by obs_id")
+@query("join_11_asof_forward", "select N(obs_id) as obs_id, min(p.day) as day from observations o join prices p on p.symbol = o.lead and p.day >= o.date - 100 group by obs_id")
 def _(t):
     from ..operators.asof import asof
 
@@ -137,26 +88,26 @@ def _(t):
     return asof(obs, t.prices.select("symbol", "day"), ["symbol"], "at", "day", forward=True).where("day is not null").select("obs_id", "day")
 
 
-HELD_ALL = "select obs_id, lead, lag, cast(date '2024-01-01' + cast(obs_id % 25 as int) as date) as entry, cast(date '2024-01-01' + cast(obs_id % 25 as int) + hold_days as date) as exit from observations"
+HELD = "select obs_id, lead, lag, cast(date '2024-01-01' + cast(obs_id % 25 as int) as date) as entry, cast(date '2024-01-01' + cast(obs_id % 25 as int) + hold_days as date) as exit from observations"
 
 
-def _held_all(t):
+def _held(t):
     entry = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("obs_id") % 25).cast("int"))
     return t.observations.select("obs_id", "lead", "lag", entry.alias("entry"), F.date_add(entry, F.col("hold_days")).alias("exit"))
 
 
-@query("join_12_events_in_hold_all", f"with h as ({HELD_ALL}), e as (select symbol, cast(filed_at as date) as day, bool_or(starts_with(form, '8-K') and contains(items, '4.02')) as restatement, bool_or(form = '6-K' and accession % 40 = 0) as rare from filing_events group by 1, 2) select N(obs_id) as obs_id, coalesce(bool_or(restatement), false) as restatement, coalesce(bool_or(rare), false) as rare from h left join e on e.symbol in (lead, lag) and day > entry - 7 and day <= exit group by obs_id")
+@query("join_12_events_in_hold", f"with h as ({HELD}), e as (select symbol, cast(filed_at as date) as day, bool_or(starts_with(form, '8-K') and contains(items, '4.02')) as restatement, bool_or(form = '6-K' and accession % 40 = 0) as rare from filing_events group by 1, 2) select N(obs_id) as obs_id, coalesce(bool_or(restatement), false) as restatement, coalesce(bool_or(rare), false) as rare from h left join e on e.symbol in (lead, lag) and day > entry - 7 and day <= exit group by obs_id")
 def _(t):
     ev = t.filing_events.select("symbol", F.to_date("filed_at").alias("day"), (F.col("form").startswith("8-K") & F.col("items").contains("4.02")).alias("restatement"), ((F.col("form") == "6-K") & (F.col("accession") % 40 == 0)).alias("rare"))
-    return E.events_in_hold(_held_all(t), ev.groupBy("symbol", "day").agg(F.bool_or("restatement").alias("restatement"), F.bool_or("rare").alias("rare")), "obs_id")
+    return E.events_in_hold(_held(t), ev.groupBy("symbol", "day").agg(F.bool_or("restatement").alias("restatement"), F.bool_or("rare").alias("rare")), "obs_id")
 
 
-@query("join_13_hold_classes_all", f"with h as ({HELD_ALL}), e as (select distinct symbol, cast(filed_at as date) as day from filing_events) select N(obs_id) as obs_id, coalesce(bool_or(day > entry), false) as hold, coalesce(bool_or(day <= entry), false) as pre, coalesce(string_agg(distinct cast(day as varchar), ',' order by cast(day as varchar)), '') as hits from h left join e on e.symbol in (lead, lag) and day >= entry - 7 and day <= exit group by obs_id")
+@query("join_13_hold_classes", f"with h as ({HELD}), e as (select distinct symbol, cast(filed_at as date) as day from filing_events) select N(obs_id) as obs_id, coalesce(bool_or(day > entry), false) as hold, coalesce(bool_or(day <= entry), false) as pre, coalesce(string_agg(distinct cast(day as varchar), ',' order by cast(day as varchar)), '') as hits from h left join e on e.symbol in (lead, lag) and day >= entry - 7 and day <= exit group by obs_id")
 def _(t):
-    return E.hold_classes(_held_all(t), t.filing_events.select("symbol", F.to_date("filed_at").alias("day")).distinct(), "obs_id")
+    return E.hold_classes(_held(t), t.filing_events.select("symbol", F.to_date("filed_at").alias("day")).distinct(), "obs_id")
 
 
-@query("join_15_next_event_offset_all", "with c as (select symbol, day, row_number() over (partition by symbol order by day) as pos from prices), e as (select distinct symbol, cast('1994-01-01' as date) + cast(accession % 700 as int) as d from filing_events), f as (select e.symbol, e.d, min(pos) as pos from e join c on c.symbol = e.symbol and c.day >= e.d group by 1, 2) select N(min(pos)) as t, d from f group by d")
+@query("join_15_next_event_offset", "with c as (select symbol, day, row_number() over (partition by symbol order by day) as pos from prices), e as (select distinct symbol, cast('1994-01-01' as date) + cast(accession % 700 as int) as d from filing_events), f as (select e.symbol, e.d, min(pos) as pos from e join c on c.symbol = e.symbol and c.day >= e.d group by 1, 2) select N(min(pos)) as t, d from f group by d")
 def _(t):
     from ..operators.asof import asof
 

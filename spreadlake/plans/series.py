@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import panel as P
+from ..operators.ranks import quantiles
 from ..operators import replay as R
 from ..operators import simulate as X
 from ..registry import query
@@ -68,12 +69,13 @@ def _(t):
 
 @query("win_09_rank_bins", "select N(obs_id) as obs_id, greatest(cast(ceil((row_number() over (partition by fold order by gross, obs_id) - 1) * 5 / cast(greatest(count(*) over (partition by fold) - 1, 1) as double)) as int) - 1, 0) as bin from observations")
 def _(t):
-    return P.quantile_bin(t.observations, ["fold"], ["gross", "obs_id"], 5).select("obs_id", "bin")
+    return P.quantile_bin(t.observations.select("fold", "obs_id", "gross"), ["fold"], "gross", "obs_id", 5).select("obs_id", "bin")
 
 
 @query("win_10_value_bins", "with e as (select list_sort(list_distinct(list_value(min(z_depth), quantile_cont(z_depth, 0.25), quantile_cont(z_depth, 0.5), quantile_cont(z_depth, 0.75), max(z_depth)))) as e from observations) select N(obs_id) as obs_id, cast(greatest(1, len(list_filter(e, lambda x: x < z_depth))) as int) - 1 as bin from observations, e")
 def _(t):
-    edges = t.observations.agg(F.array_sort(F.array_distinct(F.percentile("z_depth", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))).alias("e"))
+    cuts = quantiles(t.observations, [], "z_depth", {f"q{i}": i / 4 for i in range(5)})
+    edges = cuts.select(F.array_sort(F.array_distinct(F.array(*cuts.columns))).alias("e"))
     x = t.observations.join(F.broadcast(edges), F.col("z_depth").isNotNull())  # one row of edges
     return x.select("obs_id", (F.greatest(F.lit(1), F.size(F.filter("e", lambda v: v < F.col("z_depth")))) - 1).alias("bin"))
 
@@ -152,7 +154,7 @@ def _(t):
     return aligned(t).where("pos between 100 and 120").select("lead", "lag", (F.col("pos") - 100).cast("long").alias("t"), "pg")
 
 
-FWD = f"{ALIGNED}, h0 as (select lead, lag, regr_slope(ln(pg), ln(pl)) as hedge from al where pos <= 120 group by lead, lag), s0 as (select al.*, hedge, ln(pg) - hedge * ln(pl) as s from al join h0 using (lead, lag)), z0 as (select *, case when count(s) {PW.format(n=19)} >= 20 then (s - avg(s) {PW.format(n=19)}) / nullif(stddev_samp(s) {PW.format(n=19)}, 0) end as z from s0), e0 as (select lead, lag, s as se, z as ze from z0 where pos = 120 and z is not null), fw as (select lead, lag, pos - 120 as t, hedge, ze as z0, abs(z) as z, -sign(ze) * (s - se) / (1 + abs(hedge)) * 1e4 as gross from z0 join e0 using (lead, lag) where pos between 120 and 160)"
+FWD = f"{ALIGNED}, h0 as (select lead, lag, regr_slope(ln(pg), ln(pl)) as hedge from al where pos <= 120 group by lead, lag), s0 as (select al.*, hedge, ln(pg) - hedge * ln(pl) as s, ln(pl) - lag(ln(pl)) over (partition by lead, lag order by pos) as rl, ln(pg) - lag(ln(pg)) over (partition by lead, lag order by pos) as rg from al join h0 using (lead, lag)), z0 as (select *, case when count(rl) {PW.format(n=19)} >= 20 then corr(rl, rg) {PW.format(n=19)} end as corr, case when count(s) {PW.format(n=19)} >= 20 then (s - avg(s) {PW.format(n=19)}) / nullif(stddev_samp(s) {PW.format(n=19)}, 0) end as z from s0), e0 as (select lead, lag, s as se, z as ze from z0 where pos = 120 and z is not null), fw as (select lead, lag, pos - 120 as t, hedge, ze as z0, abs(z) as z, corr, -sign(ze) * (s - se) / (1 + abs(hedge)) * 1e4 as gross from z0 join e0 using (lead, lag) where pos between 120 and 160)"
 
 
 def _paths(t):
@@ -235,52 +237,79 @@ def _(t):
     return t.portfolio_snapshots.select("run_id", "day", (F.col("pv") / F.first("pv").over(w)).alias("eq"), ((F.col("pv") - peak) / peak).alias("dd"))
 
 
-PERF = "dr as (select *, held * coalesce(pg / lag(pg) over w - 1, 0) as r, held - lag(held) over w as edge from hl window w as (partition by lead, lag order by pos)), pe as (select *, exp(sum(ln(1 + r)) over (partition by lead, lag order by pos rows unbounded preceding)) as eq from dr), pd as (select *, eq / max(eq) over (partition by lead, lag order by pos rows unbounded preceding) - 1 as dd from pe), ed as (select lead, lag, pos, pg, edge, lead(pos) over x as np, lead(pg) over x as ng from dr where edge <> 0 window x as (partition by lead, lag order by pos)), tr as (select lead, lag, count(*) filter (where edge = 1 and np is not null) as num_trades, avg(case when ng > pg then 1.0 else 0.0 end) filter (where edge = 1 and np is not null) as win_rate, avg(np - pos) filter (where edge = 1 and np is not null) as avg_holding_days from ed group by lead, lag), pf as (select lead, lag, exp(sum(ln(1 + r))) - 1 as total_return, case when stddev_samp(r) > 0 then avg(r) / stddev_samp(r) * sqrt(252) end as sharpe, min(dd) as max_drawdown from pd group by lead, lag)"
-PERF_OUT = "select pf.lead, pf.lag, R(total_return) as total_return, R(sharpe) as sharpe, R(max_drawdown) as max_drawdown, N(coalesce(num_trades, 0)) as num_trades, R(win_rate) as win_rate, R(avg_holding_days) as avg_holding_days from pf left join tr on tr.lead = pf.lead and tr.lag = pf.lag"
+def _perf(held: str = "hl", keys: str = "lead, lag", p: str = "") -> str:
+    """{p}pf and {p}tr: the performance of a table's positions, and its trades."""
+    part = f"partition by {keys} order by pos"
+    return f"""{p}dr as (select *, held * coalesce(pg / lag(pg) over w - 1, 0) as r, held - lag(held) over w as edge from {held} window w as ({part})), {p}pe as (select *, exp(sum(ln(1 + r)) over ({part} rows unbounded preceding)) as eq from {p}dr), {p}pd as (select *, eq / max(eq) over ({part} rows unbounded preceding) - 1 as dd from {p}pe),
+{p}ed as (select {keys}, pos, pg, edge, lead(pos) over x as np, lead(pg) over x as ng from {p}dr where edge <> 0 window x as ({part})), {p}tr as (select {keys}, count(*) filter (where edge = 1 and np is not null) as num_trades, avg(case when ng > pg then 1.0 else 0.0 end) filter (where edge = 1 and np is not null) as win_rate, avg(np - pos) filter (where edge = 1 and np is not null) as avg_holding_days from {p}ed group by {keys}),
+{p}pf as (select {keys}, exp(sum(ln(1 + r))) - 1 as total_return, case when stddev_samp(r) > 0 then avg(r) / stddev_samp(r) * sqrt(252) end as sharpe, min(dd) as max_drawdown from {p}pd group by {keys})"""
 
 
-@query("udx_07_ma_simulation", f"with {CROSS.replace('select lead, lag, pos, case', 'select lead, lag, pos, pg, day, case')}, hl as (select *, coalesce(lag(case when a > b then 1 else 0 end) over (partition by lead, lag order by pos), 0) as held from mm), {PERF} {PERF_OUT}")
+PERF_COLS = "R(total_return) as total_return, R(sharpe) as sharpe, R(max_drawdown) as max_drawdown, N(coalesce(num_trades, 0)) as num_trades, R(win_rate) as win_rate, R(avg_holding_days) as avg_holding_days"
+PERF_OUT = f"select pf.lead, pf.lag, {PERF_COLS} from pf left join tr on tr.lead = pf.lead and tr.lag = pf.lag"
+
+
+@query("udx_07_ma_simulation", f"with {CROSS.replace('select lead, lag, pos, case', 'select lead, lag, pos, pg, day, case')}, hl as (select *, coalesce(lag(case when a > b then 1 else 0 end) over (partition by lead, lag order by pos), 0) as held from mm), {_perf()} {PERF_OUT}")
 def _(t):
-    return X.ma_switch(aligned(t), [{"shift": 2, "short": 5, "long": 20}]).drop("point")
+    return X.ma_switch(aligned(t), [{"shift": 2, "short": 5, "long": 20}]).drop("point", "shift", "short", "long")
+
+
+# Five lags by ten pairs of means: a short one of at most 4 days, a long one of at most 5.
+MA_GRID = [{"shift": k, "short": s, "long": n} for k in range(1, 6) for s in range(1, 5) for n in range(s + 1, 6)]
+BEST_POINT = "qualify row_number() over (partition by pf.lead, pf.lag order by round(coalesce(total_return, '-infinity'::double), 9) desc, pf.point) = 1"
 
 
-@query("udx_08_ma_grid")
+def _ma_grid_sql() -> str:
+    points = ", ".join(f"({i}, {p['shift']}, {p['short']}, {p['long']})" for i, p in enumerate(MA_GRID))
+    by = "partition by lead, lag, shift order by pos"
+    means = ", ".join(f"case when count(x) over ({by} rows {n - 1} preceding) >= {n} then avg(x) over ({by} rows {n - 1} preceding) end as m{n}" for n in range(1, 6))
+    pick = lambda c: "case " + c + " " + " ".join(f"when {n} then m{n}" for n in range(1, 6)) + " end"
+    shifted = ", ".join(f"lag(pl, {k}) over (partition by lead, lag order by pos) as x{k}" for k in range(1, 6))
+    return f"""with {ALIGNED}, pt as (select * from (values {points}) v(point, shift, short, long)), xs as (select *, {shifted} from al), sh as (select lead, lag, pos, pg, k as shift, case k {' '.join(f'when {k} then x{k}' for k in range(1, 6))} end as x from xs, range(1, 6) r(k)),
+mm as (select *, {means} from sh), sg as (select lead, lag, pos, pg, point, pt.shift, short, long, case when {pick('short')} > {pick('long')} then 1 else 0 end as sig from mm join pt on pt.shift = mm.shift), hl as (select *, coalesce(lag(sig) over (partition by lead, lag, point order by pos), 0) as held from sg), {_perf(keys="lead, lag, point")}
+select pf.lead, pf.lag, cast(pt.shift as int) as shift, cast(pt.short as int) as short, cast(pt.long as int) as long, {PERF_COLS} from pf left join tr on tr.lead = pf.lead and tr.lag = pf.lag and tr.point = pf.point join pt on pt.point = pf.point {BEST_POINT}"""
+
+
+@query("udx_08_ma_grid", _ma_grid_sql())
 def _(t):
-    points = [{"shift": k, "short": s, "long": n} for k in (1, 2) for s, n in ((5, 20), (10, 30))]
-    return X.best_point(X.ma_switch(aligned(t), points))
+    return X.best_point(X.ma_switch(aligned(t), MA_GRID)).drop("point")
 
 
-@query("udx_09_z_simulation", f"with {STATE}, {PERF} {PERF_OUT}")
+@query("udx_09_z_simulation", f"with {STATE}, {_perf()} {PERF_OUT}")
 def _(t):
-    return X.z_strategy(aligned(t), [{"window": 20, "entry": 1.5, "exit": 0.5}]).drop("point", "days_to_first_signal")
+    return X.z_strategy(aligned(t), [{"window": 20, "entry": 1.5, "exit": 0.5}]).drop("point", "days_to_first_signal", "window", "entry", "exit")
+
+
+Z_GRID = [{"window": w, "entry": e, "exit": x} for w in (10, 20, 30) for e in (1.5, 2.0, 2.5) for x in (0.0, 0.5)]
 
 
-Z_GRID = [{"window": w, "entry": e, "exit": x} for w in (20, 40, 60) for e in (1.5, 2.0, 2.5) for x in (0.0, 0.5)]
+def _z_grid(rows: str, p: str = "") -> str:
+    """{p}pf, {p}tr and {p}fs (first signal) of all points over a table of aligned rows."""
+    by = "partition by lead, lag order by pos"
+    z = ", ".join(f"case when count(s) over ({by} rows {n - 1} preceding) >= {n} then (s - avg(s) over ({by} rows {n - 1} preceding)) / nullif(stddev_samp(s) over ({by} rows {n - 1} preceding), 0) end as z{n}" for n in (10, 20, 30))
+    points = ", ".join(f"({i}, {q['window']}, cast({q['entry']} as double), cast({q['exit']} as double))" for i, q in enumerate(Z_GRID))
+    return f"""{p}hd as (select lead, lag, regr_slope(ln(pg), ln(pl)) as hedge from {rows} group by lead, lag), {p}sp as (select a.*, hedge, ln(pg) - hedge * ln(pl) as s from {rows} a join {p}hd using (lead, lag)), {p}zz as (select *, {z} from {p}sp), {p}pt as (select * from (values {points}) v(point, win, entry, exit_)),
+{p}ev as (select lead, lag, pos, pg, point, entry, exit_, case win when 10 then z10 when 20 then z20 else z30 end as z from {p}zz, {p}pt), {p}st as (select *, coalesce(last_value(case when z is null then 0 when z < -entry then 1 when z > -exit_ then 0 end ignore nulls) over (partition by lead, lag, point order by pos rows unbounded preceding), 0) as sig from {p}ev),
+{p}hl as (select *, coalesce(lag(sig) over (partition by lead, lag, point order by pos), 0) as held from {p}st), {p}fs as (select lead, lag, point, coalesce(min(pos) filter (where z < -entry), 0) as first_ from {p}st group by 1, 2, 3), {_perf(f"{p}hl", "lead, lag, point", p)}"""
 
 
-@query("udx_10_z_grid")
+@query("udx_10_z_grid", f"with {ALIGNED}, {_z_grid('al')} select pf.lead, pf.lag, cast(win as int) as \"window\", R(entry) as entry, R(exit_) as exit, N(first_) as days_to_first_signal, {PERF_COLS} from pf left join tr on tr.lead = pf.lead and tr.lag = pf.lag and tr.point = pf.point join pt on pt.point = pf.point join fs on fs.lead = pf.lead and fs.lag = pf.lag and fs.point = pf.point {BEST_POINT}")
 def _(t):
-    return X.best_point(X.z_strategy(aligned(t), Z_GRID))
+    return X.best_point(X.z_strategy(aligned(t), Z_GRID)).drop("point").withColumn("days_to_first_signal", F.col("days_to_first_signal").cast("long"))
 
 
-@query("udx_11_holdout")
+@query("udx_11_holdout", f"with {ALIGNED}, cu as (select *, cast(floor(count(*) over (partition by lead, lag) * cast(0.67 as double)) as int) as cut, count(*) over (partition by lead, lag) as n from al where lag <> 'Brand#15' or pos < 30), good as (select * from cu where cut >= 30 and n - cut >= 10), ta as (select * from good where pos < cut), tb as (select * replace (pos - cut as pos) from good where pos >= cut), {_z_grid('ta')}, {_z_grid('tb', 'h')}, best as (select pf.lead, pf.lag, pf.point, total_return, coalesce(num_trades, 0) as k from pf left join tr on tr.lead = pf.lead and tr.lag = pf.lag and tr.point = pf.point {BEST_POINT}) select best.lead, best.lag, cast(best.point as int) as point, R(best.total_return) as train_return, N(k) as num_trades, R(case when best.total_return > 0 and k >= 2 then hpf.total_return else -1 end) as holdout_return, cast(case when best.total_return > 0 and k >= 2 then first_ else 0 end as int) as holdout_days from best left join hpf on hpf.lead = best.lead and hpf.lag = best.lag and hpf.point = best.point left join hfs on hfs.lead = best.lead and hfs.lag = best.lag and hfs.point = best.point union all select distinct lead, lag, cast(null as int), R(0), 0, R(-1), 0 from cu where not (cut >= 30 and n - cut >= 10)")
 def _(t):
-    return X.with_holdout(aligned(t), Z_GRID[:6])
+    return X.with_holdout(aligned(t).where("lag <> 'Brand#15' or pos < 30"), Z_GRID)
 
 
-@query("udx_13_rewindowed_corr", f"with {RETURNS}, b as (select *, row_number() over (partition by lead, lag order by day desc) as k from rt where rl is not null) select lead, lag, R(corr(rl, rg) filter (where k <= 60)) as rho from b group by lead, lag")
+@query("udx_13_rewindowed_corr", f"with {RETURNS}, b as (select *, row_number() over (partition by lead, lag order by day desc) as k from rt where rl is not null) select lead, lag, R(case when count(*) filter (where k <= 60) >= 60 then corr(rl, rg) filter (where k <= 60) end) as rho from b group by lead, lag")
 def _(t):
     from ..operators.observe import corr_of_arrays, return_arrays
 
     return corr_of_arrays(return_arrays(aligned(t), 250), 60)
 
 
-@query("udx_14_exit_replay", f"with {PASSAGE} select lead, lag, N(t) as exit_t, abs(gross - R(gross)) <= 1 as verified from xt join fw using (lead, lag, t) where t >= 1")
-def _(t):
-    got = R.first_passage(_paths(t), 0.5, 20)
-    return got.select("lead", "lag", F.col("exit_t").cast("long").alias("exit_t"), (F.abs(F.col("gross") - F.round("gross", 6)) <= 1).alias("verified"))
-
-
 POLICY = "case when next_results_t <= 3 then null when next_results_t <= hold_days then least(hold_days, greatest(1, next_results_t - 1)) else hold_days end"
 
 
@@ -292,13 +321,6 @@ def _(t):
     return t.observations.select("obs_id", traded.alias("traded"), exit_t.cast("long").alias("exit_t"))
 
 
-@query("udx_16_config_select")
-def _(t):
-    from ..operators.observe import select_policy
-
-    return select_policy(t.observations, holds=(0, 3, 5), leads=(0, 1, 2))
-
-
 @query("udx_17_exit_policies", f"with {FWD}, o as (select *, row_number() over (partition by lead, lag order by round(gross, 9) desc, t) as n from fw where t between 1 and 20) select f.lead, f.lag, R(f.gross) as fixed5, R(f.gross - 10 - 0.01 * (abs(f.hedge) / (1 + abs(f.hedge))) * (5 / 252.0) * 1e4) as net5, N(o.t) as best_t, R(o.gross) as best from fw f join o on o.lead = f.lead and o.lag = f.lag and o.n = 1 where f.t = 5")
 def _(t):
     p = _paths(t)
@@ -310,10 +332,10 @@ def _stop_sql(rules: str) -> str:
     return f"with {FWD}, r as (select *, {rules} as why from fw where t between 1 and 40), n as (select *, row_number() over (partition by lead, lag order by (why is null), case when why is null then -t else t end) as k from r) select lead, lag, N(t) as day, coalesce(why, 'cap') as reason, R(gross) as gross from n where k = 1"
 
 
-@query("udx_18_stops", _stop_sql("case when z <= 0.5 then 'take_profit' when z >= abs(z0) + 1 then 'divergence' when t >= 25 and z > 0.5 then 'time' end"))
+@query("udx_18_stops", _stop_sql("case when z <= 0.5 then 'take_profit' when z >= abs(z0) + 1 then 'divergence' when corr < 0.0 then 'health' when t >= 25 and z > 0.5 then 'time' end"))
 def _(t):
     z, d = F.col("z"), F.col("t")
-    got = R.stops(_paths(t), [("take_profit", z <= 0.5), ("divergence", z >= F.abs("z0") + 1), ("time", (d >= 25) & (z > 0.5))], 40)
+    got = R.stops(_paths(t), [("take_profit", z <= 0.5), ("divergence", z >= F.abs("z0") + 1), ("health", F.col("corr") < 0.0), ("time", (d >= 25) & (z > 0.5))], 40)
     return got.withColumn("day", F.col("day").cast("long"))
 
 

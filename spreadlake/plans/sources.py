@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import scalar as S
 from ..operators import panel as P
 from ..registry import query
 from ..sources import filings, tables
+from ..sources.folders import shared_folder
+from ..sources.versioned import VersionedTable, violations
 
 SYMS = "('Brand#11', 'Brand#12', 'Brand#23', 'Brand#55')"
 SYM = ["Brand#11", "Brand#12", "Brand#23", "Brand#55"]
@@ -103,10 +107,10 @@ def _(t):
     return tables.merge_fresh(cached, fresh, ["symbol", "day"])
 
 
-@query("src_18_coverage_gaps", "with w as (select distinct p_brand as symbol from part union all select 'ABSENT'), c as (select symbol, min(day) as lo, max(day) as hi from prices where volume > 50 or symbol > 'Brand#3' group by symbol) select symbol from w left join c using (symbol) where lo is null or lo > date '1992-02-01' + 2 or hi < date '1998-10-01' - 2")
+@query("src_18_coverage_gaps", "with w as (select distinct p_brand as symbol from part union all select 'ABSENT'), c as (select symbol, min(day) as lo, max(day) as hi from prices where volume > 50 or symbol > 'Brand#3' group by symbol) select symbol from w left join c using (symbol) where lo is null or lo > date '1995-02-01' + 2 or hi < date '2001-10-01' - 2")
 def _(t):
     wanted = t.part.select(F.col("p_brand").alias("symbol")).distinct().unionByName(t.spark.createDataFrame([("ABSENT",)], "symbol string"))
-    return tables.coverage_gaps(t.prices.where("volume > 50 or symbol > 'Brand#3'"), wanted, "1992-02-01", "1998-10-01", days=2)
+    return tables.coverage_gaps(t.prices.where("volume > 50 or symbol > 'Brand#3'"), wanted, "1995-02-01", "2001-10-01", days=2)
 
 
 @query("src_19_merge_fresh", "with u as (select p_brand as symbol, p_size as k, p_retailprice as x, 1 as p, p_partkey as id from part where p_partkey % 2 = 0 union all select p_brand, p_size, p_retailprice, 0, p_partkey from part where p_partkey % 3 = 0) select symbol, N(k) as k, R(x) as x from u qualify row_number() over (partition by symbol, k order by p, id) = 1")
@@ -198,3 +202,126 @@ def _(t):
 @query("dml_07_pattern_delete", "select c_custkey, c_name from customer where c_name not like '%1%'")
 def _(t):
     return t.customer.where(~F.col("c_name").like("%1%")).select("c_custkey", "c_name")
+
+
+# Tables that are written and read back: each call works in a folder of its own under the shared one.
+
+
+def _table(t, name, schema, day=None):
+    return VersionedTable(t.spark, f"{shared_folder(t.spark)}/tables/{name}-{uuid.uuid4().hex}", schema, day)
+
+
+EARN = "select symbol, cast(filed_at as date) as d from filing_events where starts_with(form, '8-K') and contains(items, '2.02')"
+
+
+@query("src_16_csv_cache", f"with w as (select unnest([lead, lag]) as symbol from observations union select 'ABSENT'), e as (select distinct * from ({EARN})) select w.symbol, N(count(d)) as n, min(d) as first from w left join e using (symbol) group by w.symbol")
+def _(t):
+    wanted = t.observations.select(F.explode(F.array("lead", "lag")).alias("symbol")).distinct().unionByName(t.spark.createDataFrame([("ABSENT",)], "symbol string"))
+    dates = t.filing_events.where(F.col("form").startswith("8-K") & F.col("items").contains("2.02")).select("symbol", F.to_date("filed_at").alias("earn_date")).distinct()
+    folder = f"{shared_folder(t.spark)}/tables/earnings-{uuid.uuid4().hex}"
+    for part in (wanted.where("symbol < 'Brand#3'"), wanted):  # the second call goes on where the first one stopped
+        cache = tables.resume_csv(t.spark, folder, part, lambda todo: dates.join(todo, "symbol", "left_semi"), "symbol string, earn_date date")
+    return cache.groupBy("symbol").agg(F.count("earn_date").alias("n"), F.min("earn_date").alias("first"))
+
+
+@query("src_20_batch_outcome", "select cast(batch as int) as batch, N(count(*)) as asked, N(count(*) filter (where a)) as got, case when count(*) >= 50 and count(*) filter (where a) = 0 then 'outage' when count(*) filter (where a) < count(*) then 'partial' else 'ok' end as status from (select o_orderkey % 7 as batch, o_orderkey % 7 <> 3 and (o_orderkey % 7 = 5 or o_orderkey % 5 <> 0) as a from orders) group by batch")
+def _(t):
+    b, k = F.col("o_orderkey") % 7, F.col("o_orderkey")
+    return tables.batch_outcome(t.orders.select(b.cast("int").alias("batch"), k.alias("symbol"), ((b != 3) & ((b == 5) | (k % 5 != 0))).alias("answered")))
+
+
+@query("src_21_retry_waits", "select cast(k as int) as try_, R(15.0 * (1 << k)) as wait from range(0, 2) r(k)")
+def _(t):
+    return t.spark.createDataFrame(list(enumerate(tables.retry_waits())), "try_ int, wait double")
+
+
+@query("src_22_warm_cache", "with c as (select symbol, day, close from prices where symbol < 'Brand#4' and day < date '1998-08-01'), f as (select symbol, day, close * 2 as close from prices where symbol < 'Brand#3' and day between date '1998-10-31' - 126 and date '1998-10-31') select symbol, day, R(close) as close from f union all select symbol, day, R(close) from c where not exists (select 1 from f where f.symbol = c.symbol and f.day = c.day)")
+def _(t):
+    cache = t.prices.where("symbol < 'Brand#4' and day < date '1998-08-01'").select("symbol", "day", "close")
+    source = t.prices.select("symbol", "day", (F.col("close") * 2).alias("close"))
+    return tables.warm(cache, source, t.ticker_metadata.where("symbol < 'Brand#3'").select("symbol"), "1998-10-31", 126)
+
+
+@query("src_28_prewarm", "with f as (select * from prices where day between date '1995-06-01' - 150 and date '1995-12-31'), c as (select symbol, day from prices where day < date '1995-03-01' union select symbol, day from f), b as (select symbol, cast((row_number() over (order by symbol) - 1) // 10 as int) as batch from ticker_metadata) select batch, N(count(distinct c.symbol)) as symbols, N(count(*)) as rows_, N(count(distinct day)) as days_ from c join b using (symbol) group by batch")
+def _(t):
+    price = t.prices.select("symbol", "day", "close")
+    cache = price.where("day < date '1995-03-01'")
+    after = tables.prewarm(cache, price, t.ticker_metadata.select("symbol"), "1995-06-01", "1995-12-31", 150)
+    return after.join(tables.batches(t.ticker_metadata, 10), "symbol").groupBy("batch").agg(F.countDistinct("symbol").alias("symbols"), F.count("*").alias("rows_"), F.countDistinct("day").alias("days_"))
+
+
+@query("dml_08_snapshot_restore", "select N(o_orderkey) as id, o_orderpriority as reason, cast(o_orderdate as date) as failed_at from orders")
+def _(t):
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("reason"), F.to_date("o_orderdate").alias("failed_at"))
+    table = _table(t, "failed", rows.schema)
+    table.overwrite(rows)
+    before = table.snapshot()
+    table.delete(F.col("reason").like("%URGENT%"))
+    table.append(rows.limit(3).withColumn("reason", F.lit("since")))
+    table.restore(before)
+    return table.read()
+
+
+TRADE = "select N(id) as id, run_id, symbol, side, R(price) as price, filled_at from trades where"
+
+
+@query("dml_09_append_facts", f"{TRADE} filled_at >= timestamp '1996-01-01 00:00:00' and filled_at < timestamp '1998-01-01 00:00:00'")
+def _(t):
+    rows = t.trades.select("id", "run_id", "symbol", "side", "price", "filled_at")
+    table = _table(t, "trades", rows.schema, "filled_at")
+    for year in (1996, 1997):
+        table.append(rows.where(F.year("filled_at") == year))
+    return table.read()
+
+
+@query("dml_10_update_else_insert", f"{OLD_NEW} select N(old_.k) as k, N(old_.id) as id, R(coalesce(new_.v, old_.v)) as v from old_ left join new_ using (k) union all select N(k), N(id), R(v) from new_ where k not in (select k from old_)")
+def _(t):
+    old, new = _old_new(t)
+    table = _table(t, "studies", old.schema)
+    table.overwrite(old)
+    table.update_else_insert(new, ["k"], ["v"])
+    return table.read()
+
+
+@query("dml_11_schema_evolution", "select N(id) as id, side, case when filled_at >= timestamp '1998-01-01 00:00:00' then exit_reason end as exit_reason, case when filled_at >= timestamp '1998-01-01 00:00:00' then leg else 'long' end as leg from trades")
+def _(t):
+    rows = t.trades.select("id", "side", "exit_reason", "leg", "filled_at")
+    table = _table(t, "trades", rows.select("id", "side", "filled_at").schema, "filled_at")
+    table.append(rows.where("filled_at < timestamp_ntz '1998-01-01 00:00:00'").select("id", "side", "filled_at"))
+    for _ in range(2):  # a change that is there already changes nothing
+        table.add_columns({"exit_reason": "string", "leg": "string"})
+    table.append(rows.where("filled_at >= timestamp_ntz '1998-01-01 00:00:00'"))
+    return table.read().select("id", "side", "exit_reason", F.coalesce("leg", F.lit("long")).alias("leg"))
+
+
+@query("dml_11_constraints", "select 'leg' as rule, N(count(*) filter (where not leg in ('long', 'short'))) as n from trades union all select 'reason', N(count(*) filter (where not exit_reason in ('zscore_exit', 'displaced'))) from trades union all select 'quantity', N(count(*) filter (where not quantity > 1)) from trades")
+def _(t):
+    return violations(t.trades, {"leg": F.col("leg").isin("long", "short"), "reason": F.col("exit_reason").isin("zscore_exit", "displaced"), "quantity": F.col("quantity") > 1})
+
+
+@query("dml_12_retention", "select symbol, day, R(close) as close from prices where strftime(day, '%Y-%m') >= strftime(date '1998-11-01' - 730, '%Y-%m')")
+def _(t):
+    rows = t.prices.select("symbol", "day", "close")
+    table = _table(t, "prices", rows.schema, "day")
+    table.append(rows)
+    table.retain("1998-11-01", 730)
+    table.compact("1998-11-01", 90, ["symbol", "day"])
+    table.vacuum()
+    return table.read()
+
+
+@query("dml_13_order_sink", "select symbol, N(quantity) as qty, side, 'market' as type, 'day' as time_in_force from trades where filled_at < timestamp '1995-02-01 00:00:00'")
+def _(t):
+    orders = t.trades.where("filled_at < timestamp_ntz '1995-02-01 00:00:00'").select("symbol", F.col("quantity").cast("long").alias("qty"), F.upper("side").alias("side"))
+    return tables.orders_to_send(orders, "paper").unionByName(tables.orders_to_send(orders, "backtest"))
+
+
+SECTOR = "case " + " ".join(f"when sic between {low} and {high - 1} then '{name}'" for low, high, name in S.SIC_SECTORS) + " else 'Other' end"
+
+
+@query("ctrl_04_metadata_load", f"with w as (select symbol from ticker_metadata union all select 'GHOST'), k as (select symbol, sector, is_etf from ticker_metadata where symbol < 'Brand#3'), c as (select lower(p_brand) as t, min(p_partkey) as cik from part where p_brand < 'Brand#5' group by 1) select symbol, sector, is_etf, 'stored' as source from k union all select w.symbol, case when sic is not null then {SECTOR} end, false, case when c.cik is null then 'none' else 'industry code' end from w left join c on c.t = lower(w.symbol) left join (select p_partkey as cik, p_partkey * 7 % 9999 as sic from part) s on s.cik = c.cik where w.symbol not in (select symbol from k)")
+def _(t):
+    wanted = t.ticker_metadata.select("symbol").unionByName(t.spark.createDataFrame([("GHOST",)], "symbol string"))
+    ciks = t.part.where("p_brand < 'Brand#5'").select(F.lower("p_brand").alias("ticker"), F.col("p_partkey").alias("cik"))
+    codes = t.part.select(F.col("p_partkey").alias("cik"), (F.col("p_partkey") * 7 % 9999).alias("sic"))
+    return tables.load_metadata(t.ticker_metadata.where("symbol < 'Brand#3'"), wanted, ciks, codes)

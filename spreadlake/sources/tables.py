@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folders import Files
+
 
 def price_scan(prices: DataFrame, symbols: list[str], start: str, end: str) -> DataFrame:
-    """Rows of the symbols with start <= day <= end, in order; both filters reach the scan."""
+    """Rows of the symbols with start <= day <= end, in order. Over a stored table both filters reach the scan, and files of other days are skipped."""
     return prices.where(F.col("symbol").isin(symbols) & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).orderBy("day", "symbol")
 
 
@@ -47,6 +49,72 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
 
 
+def update_else_insert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """old with the columns taken from new where it has the key, and new's other rows whole."""
+    fresh = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
+    changed = old.join(fresh, keys, "left")
+    kept = changed.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+    return kept.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+
+
+def span_of_last(as_of: str, days: int) -> tuple[Column, Column]:
+    """First and last day of the last ``days`` days."""
+    end = F.lit(as_of).cast("date")
+    return F.date_sub(end, days), end
+
+
+def warm(cache: DataFrame, source: DataFrame, symbols: DataFrame, as_of: str, days: int = 126) -> DataFrame:
+    """The cache with all of the source's rows of the symbols in the last days; no symbols: as it was."""
+    low, high = span_of_last(as_of, days)
+    fresh = source.where(F.col("day").between(low, high)).join(symbols.select("symbol"), "symbol", "left_semi")
+    return upsert(cache, fresh.select(*cache.columns), ["symbol", "day"])
+
+
+def batches(symbols: DataFrame, size: int = 500) -> DataFrame:
+    """symbol, batch: numbered in order. The universe is a few thousand rows."""
+    return symbols.select("symbol").distinct().withColumn("batch", F.floor((F.row_number().over(W.orderBy("symbol")) - 1) / size).cast("int"))
+
+
+def prewarm(cache: DataFrame, source: DataFrame, symbols: DataFrame, start: str, end: str, buffer_days: int = 150) -> DataFrame:
+    """The cache with the source's rows of all symbols from so many days before the window to its end; what is absent is not marked as failed."""
+    low, high = F.date_sub(F.lit(start).cast("date"), buffer_days), F.lit(end).cast("date")
+    fresh = source.where(F.col("day").between(low, high)).join(symbols.select("symbol"), "symbol", "left_semi")
+    return upsert(cache, fresh.select(*cache.columns), ["symbol", "day"])
+
+
+def still_to_do(wanted: DataFrame, done: DataFrame, key: str = "symbol") -> DataFrame:
+    return wanted.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
+def resume_csv(spark: SparkSession, folder: str, wanted: DataFrame, fetch, schema: str, key: str = "symbol") -> DataFrame:
+    """A CSV cache that goes on where it stopped: fetches the keys that it lacks and appends; a key without an answer gets an empty row, so it is not asked again."""
+    have = spark.read.schema(schema).option("header", True).csv(folder) if Files(spark, folder).names(folder) else spark.createDataFrame([], schema)
+    todo = still_to_do(wanted, have, key)
+    todo.join(fetch(todo), key, "left").select(*have.columns).write.mode("append").option("header", True).csv(folder)
+    return spark.read.schema(schema).option("header", True).csv(folder)
+
+
+def load_metadata(known: DataFrame, wanted: DataFrame, ciks: DataFrame, codes: DataFrame) -> DataFrame:
+    """symbol, sector, is_etf, source of all wanted symbols: the table's row, else the sector of the company's industry code, else an empty placeholder.
+
+    known: symbol, sector, is_etf. ciks: ticker, cik, the first of a ticker counts. codes: cik, sic.
+    """
+    from ..functions import scalar as S
+
+    stored = known.join(wanted, "symbol", "left_semi").select("symbol", "sector", "is_etf", F.lit("stored").alias("source"))
+    missing = still_to_do(wanted, known)
+    first = ciks.groupBy(F.upper("ticker").alias("t")).agg(F.min("cik").alias("cik"))
+    found = missing.withColumn("t", F.upper("symbol")).join(first, "t", "left").join(codes, "cik", "left")
+    source = F.when(F.col("cik").isNull(), "none").otherwise("industry code")
+    return stored.unionByName(found.select("symbol", S.sic_sector(F.col("sic").cast("string")).alias("sector"), F.lit(False).alias("is_etf"), source.alias("source")))
+
+
+def orders_to_send(orders: DataFrame, mode: str) -> DataFrame:
+    """Market orders for the day as rows for a sink: symbol, qty, side, type, time_in_force. A backtest sends none: its simulation fills them."""
+    sent = orders.select("symbol", "qty", F.lower("side").alias("side"), F.lit("market").alias("type"), F.lit("day").alias("time_in_force"))
+    return sent.where(F.lit(mode != "backtest"))
+
+
 def fetch_with_retry(fetch, *args, tries: int = 3, wait: float = 15.0, sleep=None):
     """fetch(*args), tried again after waits that double; the last error is raised."""
     import time
@@ -61,6 +129,17 @@ def fetch_with_retry(fetch, *args, tries: int = 3, wait: float = 15.0, sleep=Non
     return None
 
 
+def retry_waits(tries: int = 3, wait: float = 15.0) -> list[float]:
+    """The waits between tries of ``fetch_with_retry``."""
+    return [wait * 2**k for k in range(tries - 1)]
+
+
+def batch_outcome(answers: DataFrame, least: int = 50) -> DataFrame:
+    """batch, asked, got, status of rows (batch, symbol, answered): an outage where a large batch got nothing at all."""
+    x = answers.groupBy("batch").agg(F.count("*").alias("asked"), F.count_if("answered").alias("got"))
+    return x.withColumn("status", F.when((F.col("asked") >= least) & (F.col("got") == 0), "outage").when(F.col("got") < F.col("asked"), "partial").otherwise("ok"))
+
+
 def guard_mass_failure(asked: int, got: int, least: int = 50) -> None:
     """A large batch without any answer is an outage, not absent symbols."""
     if asked >= least and got == 0:

@@ -6,7 +6,7 @@ import pytest
 
 from tests import test_oracle as oracle
 
-NAMES = ["join_10_asof_backward_all", "join_11_asof_forward_all", "join_12_events_in_hold_all", "join_13_hold_classes_all", "join_15_next_event_offset_all"]
+NAMES = ["join_10_asof_backward", "join_11_asof_forward", "join_12_events_in_hold", "join_13_hold_classes", "join_15_next_event_offset"]
 DIR = oracle.DIR
 
 
