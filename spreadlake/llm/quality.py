@@ -3,7 +3,7 @@
 Rules look at one line at a time and remove it when it fails:
 
 * punctuation: a tenth of its characters or more are symbols ``#*$%&|<>``, or it has three ``!!``;
-* navigation: two bars or more part it;
+* navigation: two bars or more part it, or it holds two web addresses or more;
 * boilerplate: it holds a phrase of the list below.
 
 A document is rejected when base rules fail (fewer than 10 words; more than a fifth of its words in
@@ -21,7 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Phrases of lines that belong to a site, not to its text.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "licensed under", "general public license", "click here", "subscribe to our", "sign in to", "log in to", "enable javascript")
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "licensed under", "general public license", "click here", "subscribe to our", "sign in to", "log in to", "enable javascript",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici", "abonnez-vous",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "haga clic aquí", "suscríbete",
+)
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -45,6 +50,7 @@ def verdicts(docs: DataFrame, text_col: str = "text", out: str = "q") -> DataFra
               'symbols', length(l) - length(regexp_replace(l, '[#*$%&|<>]', '')),
               'bars', length(l) - length(replace(l, '|', '')),
               'bangs', length(l) - length(replace(l, '!!', '!')),
+              'links', length(l) - length(replace(l, '://', ':/')),
               'phrase', {phrases})) facts""",
     )
     row = row.selectExpr(
@@ -52,7 +58,7 @@ def verdicts(docs: DataFrame, text_col: str = "text", out: str = "q") -> DataFra
         "lines",
         "n_words",
         "facts",
-        "transform(facts, f -> f.chars > 0 and (f.phrase or f.bars >= 2 or f.bangs >= 3 or 10 * f.symbols >= f.chars)) fails",
+        "transform(facts, f -> f.chars > 0 and (f.phrase or f.bars >= 2 or f.links >= 2 or f.bangs >= 3 or 10 * f.symbols >= f.chars)) fails",
         "if(size(array_distinct(h)) < size(h), array_sort(transform(h, (x, i) -> named_struct('h', x, 'i', i))), null) s",
     )
     row = row.selectExpr(
@@ -99,11 +105,11 @@ dup as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc
 cov as (select doc_id, cast(sum(least(5, i - p)) as bigint) as n from (select doc_id, i, lag(i, 1, -5) over (partition by doc_id order by i) as p from dup) group by doc_id),
 ln as (select doc_id, unnest(string_split(t, chr(10))) as l from base),
 fact as (select doc_id, l, length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) as chars,
-  length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) as symbols, length(l) - length(replace(l, '|', '')) as bars, length(l) - length(replace(l, '!!', '!')) as bangs,
+  length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) as symbols, length(l) - length(replace(l, '|', '')) as bars, length(l) - length(replace(l, '!!', '!')) as bangs, length(l) - length(replace(l, '://', ':/')) as links,
   (PHRASES) as phrase from ln),
 sums as (select doc_id, cast(sum(chars) as bigint) as word_chars, cast(sum(symbols) as bigint) as n_symbols,
   cast(count(case when chars > 0 then 1 end) - count(distinct case when chars > 0 then l end) as bigint) as n_dup_lines,
-  cast(sum(case when chars > 0 and (phrase or bars >= 2 or bangs >= 3 or 10 * symbols >= chars) then chars else 0 end) as bigint) as lost_chars from fact group by doc_id),
+  cast(sum(case when chars > 0 and (phrase or bars >= 2 or links >= 2 or bangs >= 3 or 10 * symbols >= chars) then chars else 0 end) as bigint) as lost_chars from fact group by doc_id),
 r as (select w.doc_id, cast(len(w.w) as bigint) as n_words, word_chars, n_symbols, n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, lost_chars from w join sums using (doc_id) left join cov using (doc_id))
 select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * lost_chars <= 50 * word_chars as kept from r
