@@ -59,13 +59,14 @@ def _(t):
 
 @query("src_08_filing_extract", "select cast(accession as bigint) as accession, form, items, cast(filed_at as date) as filed from filing_events where form in ('8-K', '6-K') and cast(filed_at as date) >= date '2024-01-10'")
 def _(t):
-    blocks = t.filing_events.withColumn("blk", F.expr("accession % 50")).groupBy("blk").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("accession", "form", "items", F.date_format("filed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")))), _field(c)).alias(n) for c, n in (("accession", "accessionNumber"), ("form", "form"), ("at", "acceptanceDateTime"), ("items", "items"))])
+    blocks = t.filing_events.withColumn("blk", F.expr("accession div 1000")).groupBy("blk").agg(*[F.transform(F.sort_array(F.collect_list(F.struct("accession", "form", "items", F.date_format("filed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")))), _field(c)).alias(n) for c, n in (("accession", "accessionNumber"), ("form", "form"), ("at", "acceptanceDateTime"), ("items", "items"))])
     return filings.extract(blocks, ["8-K", "6-K"], "2024-01-10").select(F.col("accession").cast("long").alias("accession"), "form", "items", F.to_date("filed_at").alias("filed"))
 
 
-@query("src_09_page_pruning", "with pages_ as (select accession % 7 as page, max(cast(filed_at as date)) as filing_to from filing_events where accession % 7 <> 3 or cast(filed_at as date) < date '2024-01-05' group by 1) select N(page) as page, filing_to from pages_ where filing_to >= date '2024-01-10'")
+@query("src_09_page_pruning", "with pages_ as (select accession % 7 as page, case when accession % 7 = 3 then least(max(cast(filed_at as date)), date '2024-01-05') else max(cast(filed_at as date)) end as filing_to from filing_events group by accession % 7) select N(page) as page, filing_to from pages_ where filing_to >= date '2024-01-10'")
 def _(t):
-    pages = t.filing_events.where("accession % 7 <> 3 or to_date(filed_at) < date '2024-01-05'").groupBy((F.col("accession") % 7).alias("page")).agg(F.max(F.to_date("filed_at")).alias("filing_to"))
+    last = t.filing_events.groupBy((F.col("accession") % 7).alias("page")).agg(F.max(F.to_date("filed_at")).alias("last"))
+    pages = last.select("page", F.when(F.col("page") == 3, F.least("last", F.lit("2024-01-05").cast("date"))).otherwise(F.col("last")).alias("filing_to"))  # one page ends early
     return filings.pages_since(pages, "2024-01-10")
 
 
