@@ -163,8 +163,10 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
     drop(entries, at, verifier.named, verifier.ids, verifier.sets)
-    # Of a set that no earlier one is similar to, the first line stays.
-    start = placed.groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("c")).join(done, "sid", "left").where("c > 1 or gone").select("sid", "at", "gone")
+    # Of a set that no earlier one is similar to, the first line stays. Only sets on several lines need to know which that is.
+    several = placed.groupBy("sid").agg(F.count("*").alias("c")).where("c > 1").select("sid")
+    first = placed.join(cut(several), "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    start = cut(first.join(done, "sid", "full").select("sid", "at", "gone"))
     return placed.join(start, "sid").where((F.struct("doc_id", "line_no") > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
 
 
