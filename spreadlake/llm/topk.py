@@ -34,6 +34,7 @@ CANDIDATES = 4096  # vectors of a block
 QUERIES = 2048  # queries of a block
 TOGETHER = 256  # queries that are held against a block at once
 HEAD = 16  # rotated coordinates of the partial sum
+MARKS = 1024  # lengths of blocks that the driver knows at most
 BAND = 4  # each band of blocks is so many times as large as the one before
 
 VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("norm2", pa.float64()), ("d", pa.int32())])
@@ -181,8 +182,10 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id
     vs = cut(_blocks(vectors, d, CANDIDATES))
     # Numbers of blocks by descending length: a row for each block of CANDIDATES vectors.
     places = vs.select("block", "top", (F.row_number().over(W.orderBy(F.desc("top"), "block")) - 1).alias("place"))
-    n_blocks = places.count()
     places = cut(places)
+    n_blocks = places.count()
+    step = max(1, -(-n_blocks // MARKS))
+    marks = [r["top"] for r in places.where(F.col("place") % step == 0).orderBy("place").select("top").collect()]  # MARKS at most
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,10 +216,12 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id
     found, low = None, qs.select("q", F.lit(None).cast("binary").alias("tau"), F.lit(float("-inf")).alias("least"))
     start, size = 0, 1
     while start < n_blocks:
-        band = places.where(F.col("place").between(start, start + size - 1)).withColumn("all", F.lit(0))
-        # Which blocks a query block visits: numbers only; the blocks follow by an equi-join on their number.
-        near = band.groupBy("all").agg(F.collect_list(F.struct("block", "top")).alias("b"))
-        visits = low.withColumn("all", F.lit(0)).join(F.broadcast(near), "all").select("q", "tau", F.explode(F.expr("filter(b, x -> x.top >= least)")).alias("x")).select("q", "tau", "x.block")
+        # Which blocks a query block visits: the longest ones, as many as reach its least length, by the marks a few more; numbers only,
+        # the blocks follow by equi-joins.
+        reach = F.size(F.filter(F.array(*map(F.lit, marks)), lambda top: top >= F.col("least"))) * step
+        last = F.least(reach, F.lit(start + size)) - 1
+        visits = low.withColumn("last", last).where(F.col("last") >= start).select("q", "tau", "least", F.explode(F.sequence(F.lit(start), F.col("last"))).alias("place"))
+        visits = visits.join(places, "place").where("top >= least").select("q", "tau", "block")
         work = visits.join(qs, "q").join(vs.select("block", "ids", "width", "m"), "block").select("q", "qids", "qwidth", "qm", "tau", "ids", "width", "m")
         new = work.repartition(max(1, spark.sparkContext.defaultParallelism * 4)).mapInArrow(visit, "q long, i int, query_id long, vec_id long, score long")
         both = new if found is None else found.unionByName(new)
