@@ -63,11 +63,11 @@ class Tables:
         return self._stored(name, df) if name in STORED else df
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        """The view as Parquet in the shared folder, sorted by day within ranges of days; anew if its tables have changed."""
+        """The view as Parquet in the shared folder, sorted by day within ranges of days; anew if its tables have changed or it is gone."""
         files = Files(self.spark, self.dir)
         stamp = tuple(files.fs.getFileStatus(files.path(f"{self.dir}/{t}.parquet")).getModificationTime() for t in STORED[name])
         key = (self.spark.sparkContext.applicationId, self.dir, name, stamp)
-        if key not in _written:
+        if key not in _written or not Files(self.spark, _written[key]).exists(f"{_written[key]}/_SUCCESS"):
             folder = f"{shared_folder(self.spark)}/views/{name}-{uuid.uuid4().hex}"
             df.repartitionByRange("day").sortWithinPartitions("day", "symbol").write.parquet(folder)
             _written[key] = folder

@@ -34,6 +34,9 @@ class Files:
     def names(self, folder: str) -> list[str]:
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self.path(folder))) if self.fs.exists(self.path(folder)) else []
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.path(name))
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:

@@ -1,5 +1,7 @@
 """Tables with versions, caches that resume, and guards of fetches."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,17 @@ def test_retry_and_outage():
     tables.guard_mass_failure(49, 0), tables.guard_mass_failure(500, 1)
     with pytest.raises(RuntimeError):
         tables.guard_mass_failure(50, 0)
+
+
+def test_stored_view_is_written_anew_when_gone(spark, tmp_path):
+    from spreadlake import adapters
+    from spreadlake.sources.folders import Files
+
+    spark.createDataFrame([(1, dt.datetime(2020, 1, 7), 10.0, 2.0)], "l_partkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "b")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    t = adapters.Tables(spark, str(tmp_path))
+    first = t.prices
+    assert [tuple(r) for r in first.collect()] == [("b", dt.date(2020, 1, 6), 5.0, 2)] and t.prices.inputFiles() == first.inputFiles()
+    folder = next(v for k, v in adapters._written.items() if k[1] == str(tmp_path))
+    Files(spark, folder).delete(folder)
+    assert t.prices.count() == 1 and t.prices.inputFiles() != first.inputFiles()
