@@ -220,7 +220,11 @@ def _(t):
     return crosstab(t.observations, F.col("surprise_t").isNotNull(), F.col("gross") < -1000).select("a", "b", "c", "d", "odds")
 
 
-@query("agg_27_fisher_exact")
+LN_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - ({1}) + 1))"
+LN_TABLE = f"{LN_CHOOSE.format('k', 'x')} + {LN_CHOOSE.format('n - k', 'r - x')} - {LN_CHOOSE.format('n', 'r')}"
+
+
+@query("agg_27_fisher_exact", f"with c as (select N(count(*) filter (where e and b)) as a, N(count(*) filter (where e and not b)) as b, N(count(*) filter (where not e and b)) as c, N(count(*) filter (where not e and not b)) as d from (select surprise_t is not null as e, gross < -1000 as b from observations)), m as (select *, a + b as r, a + c as k, a + b + c + d as n from c), t as (select m.*, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) as x from m), l as (select *, {LN_TABLE} as ln_p from t), h as (select ln_p as here from l where x = a) select any_value(a) as a, any_value(b) as b, any_value(c) as c, any_value(d) as d, R(any_value(a * d / nullif(cast(b * c as double), 0))) as odds, R(least(1, sum(exp(ln_p)))) as p from l, h where ln_p <= here + 1e-7")
 def _(t):
     from ..operators.inference import crosstab, fisher_exact
 
