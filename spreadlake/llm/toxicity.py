@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     odds = F.log(with1 / F.nullif(n1 + PRIOR - with1, F.lit(0.0))) - F.log(with0 / F.nullif(n0 + PRIOR - with0, F.lit(0.0)))
     score = odds - F.sqrt(1 / with1 + 1 / with0)
     chosen = counts.where(y1 > (y1 + y0) * pi).where(ratio > 2 * math.log(max(size, 2) / CHANCE)).select("token", "clean", score.alias("s"))
-    evidence = [(r["token"], r["s"], r["clean"]) for r in chosen.where("s > 0").collect()]
+    evidence = [(r["token"], r["s"], r["clean"]) for r in chosen.where(F.col("s") > LOSS).collect()]  # what does not outweigh one other word is none
     model = Model(tokens={t: s for t, s, _ in evidence})
     # The law of a clean text: scores of evidence at the rate at which it stands there, the loss elsewhere.
     words = counts.where("not endswith(token, '*')").agg(F.sum("clean")).first()[0] or 1
