@@ -30,7 +30,8 @@ from .shared import cut, drop
 
 WORD = r"[^\\x20\\x09-\\x0D]"  # a character of a word, as in a SQL string
 BUCKETS = 1 << 18  # of the table of word counts: a byte each
-CHUNK = 1 << 12  # buckets that a row of the table holds
+CHUNK = 1 << 12  # bytes of a table that a row holds on its way to the driver
+MARKS = 1 << 18  # bytes of the table of document ids
 HASH_BITS = 55  # of a word, below its rank
 ROUNDS = 2
 
@@ -42,24 +43,47 @@ def _plain(text: Column) -> Column:
     return text
 
 
+def _bytes(values: DataFrame, size: int) -> bytes:
+    """The values (b, v), 0 <= v < 128, as a byte for each b below size; 0 where there is none. A row for CHUNK bytes reaches the driver."""
+    zeros = values.sparkSession.range(size).selectExpr("cast(id as int) b", "0 v")
+    full = values.select("b", "v").unionByName(zeros).groupBy("b").agg(F.max("v").alias("v"))
+    chunks = full.groupBy(F.expr(f"b div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("x"))
+    rows = chunks.select("chunk", F.expr("array_join(transform(x, e -> char(e.v)), '')").alias("v")).collect()
+    return "".join(r["v"] for r in sorted(rows, key=lambda r: r["chunk"])).encode("ascii")
+
+
+def _byte(table: bytes, at: Column) -> Column:
+    return F.ascii(F.substring(F.lit(bytearray(table)), at + 1, F.lit(1)).cast("string"))
+
+
+def _marks(ids: DataFrame) -> bytes:
+    """Bits of the ids' hashes, seven in a byte: which documents may be among them."""
+    at = ids.select(_mark(F.col("doc_id")).alias("h")).select((F.col("h") / 7).cast("int").alias("b"), (F.col("h") % 7).cast("int").alias("bit"))
+    return _bytes(at.groupBy("b").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("v")), MARKS)
+
+
+def _mark(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(7 * MARKS))
+
+
+def _marked(doc_id: Column, marks: bytes) -> Column:
+    h = _mark(doc_id)
+    return F.getbit(_byte(marks, (h / 7).cast("int")), (h % 7).cast("int")) == 1
+
+
 def _rarity(docs: DataFrame) -> bytes:
-    """A byte for each bucket of words, greater for more frequent ones. A row for CHUNK buckets reaches the driver."""
-    spark = docs.sparkSession
+    """A byte for each bucket of words, greater for more frequent ones."""
     words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    rank = (F.least(F.round(4 * F.log2(1 + F.col("n"))), F.lit(126)) + 1).cast("int")
-    ranked = counts.select("b", rank.alias("rank")).unionByName(spark.range(BUCKETS).selectExpr("cast(id as int) b", "1 rank")).groupBy("b").agg(F.max("rank").alias("rank"))
-    chunks = ranked.groupBy(F.expr(f"b div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("b", "rank"))).alias("x"))
-    rows = chunks.select("chunk", F.expr("array_join(transform(x, e -> char(e.rank)), '')").alias("ranks")).collect()
-    return "".join(r["ranks"] for r in sorted(rows, key=lambda r: r["chunk"])).encode("ascii")
+    rank = F.least(F.round(4 * F.log2(1 + F.col("n"))), F.lit(127)).cast("int")
+    return _bytes(counts.select("b", rank.alias("v")), BUCKETS)
 
 
 def _ranked(words: Column, table: bytes) -> Column:
     """The line's different words, rarest first, as numbers: rank, then hash."""
-    ranks = F.lit(bytearray(table))
 
     def number(h: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        rank = _byte(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     different = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
@@ -105,12 +129,14 @@ class _Verifier:
     def __init__(self, docs: DataFrame, at: DataFrame, table: bytes, p: int, q: int):
         self.p, self.q = p, q
         self.named = named = cut(at.select("at.*", "sid"))
-        # Lines of the documents that are named; their texts are moved only if the names are too many to broadcast.
-        self.ids = cut(named.select("doc_id").distinct())  # written, so its size is known before the texts are read
-        lines = docs.join(self.ids, "doc_id", "left_semi").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
-        # An id may stand for several texts: the line must have the set's name.
+        # Lines of documents that may be named: bits of fixed number tell most of the others, so their texts are not moved.
+        marks = _marks(named.select("doc_id").distinct())
+        lines = docs.where(_marked(F.col("doc_id"), marks)).select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
         lines = lines.join(named, ["doc_id", "line_no"]).select("sid", F.split("line", " ", -1).alias("words")).withColumn("name", F.xxhash64(_ranked(F.col("words"), table)))
-        self.sets = cut(lines.where("name = sid").select("sid", F.array_remove(F.array_distinct("words"), "").alias("words")).dropDuplicates(["sid"]))
+        # An id may stand for several texts: the line must have the set's name. A generator instead of a filter, which would become a key
+        # of the join and be worked out for all lines.
+        lines = lines.select("sid", F.explode(F.expr("if(name = sid, array(words), array())")).alias("words"))
+        self.sets = cut(lines.select("sid", F.array_remove(F.array_distinct("words"), "").alias("words")).dropDuplicates(["sid"]))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (x, y) whose sets are similar."""
@@ -162,7 +188,7 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     entries = cut(near.join(at, "sid"))
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
-    drop(entries, at, verifier.named, verifier.ids, verifier.sets)
+    drop(entries, at, verifier.named, verifier.sets)
     # Of a set that no earlier one is similar to, the first line stays. Only sets on several lines need to know which that is.
     several = placed.groupBy("sid").agg(F.count("*").alias("c")).where("c > 1").select("sid")
     first = placed.join(cut(several), "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
