@@ -36,7 +36,7 @@ class UnitTokenizer:
     JSON file of the same vocabulary.  A special string in a text is its id, as the library has it by default.
     """
 
-    def __init__(self, rank_path: str, pattern: str, special: tuple[tuple[str, int], ...], keep_units: int = 1_500_000):
+    def __init__(self, rank_path: str, pattern: str, special: tuple[tuple[str, int], ...], keep_units: int = 500_000):
         import tiktoken
 
         with open(rank_path, "rb") as f:
