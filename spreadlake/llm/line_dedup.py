@@ -189,11 +189,12 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
     drop(entries, at, verifier.named, verifier.sets)
-    # Of a set that no earlier one is similar to, the first line stays. Only sets on several lines need to know which that is.
-    several = placed.groupBy("sid").agg(F.count("*").alias("c")).where("c > 1").select("sid")
-    first = placed.join(cut(several), "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    start = cut(first.join(done, "sid", "full").select("sid", "at", "gone"))
-    return placed.join(start, "sid").where((F.struct("doc_id", "line_no") > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
+    # Of a set that no earlier one is similar to, the first line stays. A position is one number, so that a set's lines are reduced
+    # where they are read: a line that a third of all documents share is one row for each of their partitions.
+    position = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+    several = placed.groupBy("sid").agg(F.min(position).alias("at"), F.count("*").alias("c")).where("c > 1").select("sid", "at")
+    start = cut(several.join(done, "sid", "full").select("sid", "at", "gone"))
+    return placed.join(start, "sid").where((position > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
