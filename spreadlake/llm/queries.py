@@ -99,8 +99,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .decontaminate import report
+
+    told = report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    return told.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+
+    table = _table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull())
+    table = table.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(table, table.where(F.col("vec_id") % 100 == 0), positives=5, negatives=5, low=(80, 100), scale=256)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import rebuilt, trie, turns
+
+    return trie(rebuilt(turns(_table(spark, sf_dir, "conversations")), block=20, most=4))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op7_pii, op8_ngram_join, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_bpe, op3_sharding, op4_quality, op5_packing, op6_toxicity, op7_pii, op8_ngram_join, op9_token_counts, op10_line_dedup, op11_decontamination, op12_hard_negatives, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -135,4 +160,29 @@ gone as (select g.doc_id, g.line_no from g join q using (s) where (g.doc_id, g.l
 r as (select doc_id, count(*) as n, string_agg(cast(line_no as varchar), ',' order by line_no) as removed from gone group by doc_id)
 select d.doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, cast(coalesce(r.n, 0) as bigint) as n_removed, coalesce(removed, '') as removed from documents d left join r using (doc_id)
 """
-    return {"op1_topk_search": op1, "op4_quality": quality.ORACLE, "op8_ngram_join": op8, "op10_line_dedup": op10}
+    op11 = """
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+k as (select item_id, w, least(len(w), 10) as n from b where len(w) > 0),
+g as (select distinct item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) as x from k),
+sizes as (select distinct n from g),
+places as (select r, n, unnest(range(1, len(w) - n + 2)) as i, w from d join sizes on len(w) >= n),
+hit as (select r, i, p.n, item_id from places p join g on p.n = g.n and array_to_string(list_slice(w, i, i + p.n - 1), ' ') = x),
+words as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + n)) as j from hit) group by r),
+items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, cast(item_id as varchar) as item from hit where item_id is not null) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)
+"""
+    op12 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+    from . import prefix_trie
+
+    return {"op11_decontamination": op11, "op12_hard_negatives": op12, "op13_prefix_trie": prefix_trie.ORACLE, "op1_topk_search": op1, "op4_quality": quality.ORACLE, "op8_ngram_join": op8, "op10_line_dedup": op10}
