@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import merged_windows, overlap_join
 from .ranks import quantiles
 
 
@@ -38,6 +39,15 @@ def overlapping(windows: DataFrame, start: str, end: str, low: str = "ws", high:
     return windows.where((F.col(low) <= F.lit(end).cast("date")) & (F.col(high) >= F.lit(start).cast("date")))
 
 
+def failed_for_requests(requests: DataFrame, failed: DataFrame, keys: list[str], span: tuple[str, str] = ("low", "high"), windows: tuple[str, str] = ("ws", "we")) -> DataFrame:
+    """keys (of a request), symbol: each symbol with a stored window that overlaps the request's, once.
+
+    A symbol's windows are merged first, as which of them it was doesn't count; then requests and windows meet by blocks of days.
+    """
+    merged = merged_windows(failed, ["symbol"], *windows)
+    return overlap_join(requests.select(*keys, *span), merged, span, windows).select(*keys, "symbol").distinct()
+
+
 def universe_health(counts: DataFrame, large: int = 500, share: int = 5) -> DataFrame:
     """counts: raw, left_; fails when nothing is left, or less than a fifth of many."""
     raw, left = F.col("raw"), F.col("left_")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .folders import Files
+from .folders import Files, shared_folder
 
 
 def price_scan(prices: DataFrame, symbols: list[str], start: str, end: str) -> DataFrame:
@@ -57,6 +60,42 @@ def update_else_insert(old: DataFrame, new: DataFrame, keys: list[str], columns:
     return kept.unionByName(new.join(old.select(*keys), keys, "left_anti"))
 
 
+def insert_or_get_id(old: DataFrame, new: DataFrame, keys: list[str], scope: str | None = None, id_: str = "id") -> DataFrame:
+    """new with the id of its key: old's where it has the key, else the next free one, in the order of the keys; rows of one key share it.
+
+    scope: of the keys, the one whose rows are unique only where it isn't null: each row without it gets an id of its own, after the others, and
+    never an old one.  Other nulls in keys are values like any other.  Ids are counted within ranges of keys, whose sizes give the offsets.
+    """
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__{k}")) for k in keys]
+    held = old.groupBy(*keys).agg(F.min(id_).alias("__old")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__old")
+    last = old.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("__last"))
+    lone = F.col(f"`{scope}`").isNull() if scope else F.lit(False)
+    known = new.join(held, same, "left").withColumn("__old", F.when(~lone, F.col("__old"))).drop(*[f"__{k}" for k in keys])
+    missing = known.where(F.col("__old").isNull())
+    named = missing.where(~lone).select(*keys).distinct()
+    ranges = _counted(named.select(*keys, F.lit(0).alias("__lone")), keys)
+    found = known.where(~lone).join(ranges.drop("__lone").select(*[F.col(k).alias(f"__{k}") for k in keys], "__n"), same, "left").drop(*[f"__{k}" for k in keys])
+    out = found.crossJoin(last).withColumn(id_, F.coalesce("__old", F.col("__n") + F.col("__last"))).drop("__old", "__n", "__last")  # one row
+    if not scope:
+        return out
+    free = named.count()
+    alone = _counted(new.where(lone), [c for c in new.columns if c != scope]).crossJoin(last)
+    return out.unionByName(alone.withColumn(id_, F.col("__n") + F.col("__last") + free).drop("__n", "__last"))
+
+
+def _counted(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds __n, the row's number from 1 in the order: rows are dealt to ranges, and the sizes of the ranges before one are added."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    order = [F.col(f"`{c}`") for c in order]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__at", T.LongType())])).parquet(folder).withColumn("__part", F.shiftright("__at", 33))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__k"), F.min("__at").alias("__first"))  # a row for each range
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__off"))
+    return rows.join(offsets, "__part").withColumn("__n", F.col("__at") - F.col("__first") + F.col("__off") + 1).drop("__at", "__part", "__first", "__off")
+
+
 def span_of_last(as_of: str, days: int) -> tuple[Column, Column]:
     """First and last day of the last ``days`` days."""
     end = F.lit(as_of).cast("date")

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from spreadlake.sources.versioned import VersionedTable
 from spreadlake.streaming import filings
 
 SCHEMA = "symbol string, accession long, filed_at timestamp, items string"
@@ -36,7 +37,7 @@ def test_weekly_counts(spark, stream, tmp_path):
 
 
 def test_upsert(spark, stream, tmp_path):
-    filings.upsert_stream(stream, f"{tmp_path}/table", ["accession"], f"{tmp_path}/ck").awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "table").iterdir())
-    got = {r["accession"]: r["items"] for r in spark.read.parquet(f"{tmp_path}/table/v{last}").collect()}
+    table = VersionedTable(spark, f"{tmp_path}/table", spark.createDataFrame([], SCHEMA).schema, "filed_at")
+    filings.upsert_stream(stream, table, ["accession"], f"{tmp_path}/ck").awaitTermination()
+    got = {r["accession"]: r["items"] for r in table.read().collect()}
     assert set(got) == {1, 2, 3, 4} and got[2] == "y" and got[4] == "far"
