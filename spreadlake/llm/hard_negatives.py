@@ -246,8 +246,10 @@ class Visit:
             ok = ok[_first(r[ok], ids[c[ok]], s[ok], self.k)]
             out.append((r[ok], np.full(len(ok), j), ids[c[ok]], s[ok]))
         r, j, i, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        if s.dtype == object and any(abs(v) >= 2**63 for v in s):
-            raise OverflowError("a score among the best does not fit a long")
+        if s.dtype == object:
+            if any(v >= 2**63 for v in s):
+                raise OverflowError("a score among the best does not fit a long")
+            s = np.array([max(v, -(2**63)) for v in s], dtype=object)  # below 0 a positive has no negatives and is not returned
         return record(FOUND, r.astype(np.int32), j.astype(np.int32), i, s.astype(np.int64))
 
 
