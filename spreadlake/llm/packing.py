@@ -8,12 +8,14 @@ into new packs.  The patterns and their counts then join back to the pieces by a
 the pieces of its length: a pattern's slot holds an interval of ranks.
 
 Defined results: a null or empty text is the closing id alone, a piece of length 1; equal texts are
-packed one by one; an empty table gives no rows; columns other than id and text are not read.
+packed one by one; a row with a null id is packed like any other, its pieces without an id; an empty table gives no
+rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -26,21 +28,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import record, text_blocks, texts_of
+from .bpe import byte_alphabet
 from .shared import cut, with_offsets
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Each token's bytes and its id, from a JSON file of a byte-level vocabulary, whose merges must stand in the order of their ids, or from a file of ranks."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    vocab, merges, special = whole["model"]["vocab"], whole["model"]["merges"], {t["content"] for t in whole["added_tokens"]}
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    if made != sorted(made):
+        raise ValueError("merges are not in the order of their ids")
+    byte = {c: b for b, c in enumerate(byte_alphabet())}
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+
+
 class UnitTokenizer:
     """Byte-level ids by the unit: white space and the run after it, which no word of the split pattern crosses.
 
-    Units seen before are looked up; the ranks of the rank file make the rest, which are those of the
-    JSON file of the same vocabulary.  A special string in a text is its id, as the library has it by default.
+    Units seen before are looked up; the vocabulary's merges by rank make the rest.  A special string in a text is its id, as the library has it by default.
     """
 
     def __init__(self, rank_path: str, pattern: str, special: tuple[tuple[str, int], ...], keep_units: int = 500_000):
         import tiktoken
 
-        with open(rank_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = byte_ranks(rank_path)
         self.coder = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = dict(special)
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")

@@ -58,7 +58,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), end_id=1, size=2048)
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), end_id=1, size=2048)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_packing(spark, docs):
 
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     size = 512
-    rows = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, (("<|endoftext|>", 50256),), end_id=1, size=size).collect()
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, (("<|endoftext|>", 50256),), end_id=1, size=size).collect()
     pieces, packs = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r["doc_id"]].append(r)
@@ -91,3 +91,7 @@ def test_empty_tables(spark, docs):
     assert tokens.encode_digests(none, P.path("word_bpe_49k.json")).count() == 0
     assert tokens.token_counts(none, P.path("piece_bpe_32k.model")).count() == 0
     assert packing.pack(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, (("<|endoftext|>", 50256),)).count() == 0
+
+
+def test_ranks_of_both_files():
+    assert packing.byte_ranks(P.path("byte_bpe_50k.json")) == packing.byte_ranks(P.path("byte_bpe_50k.tiktoken"))
