@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 # Phrases of lines that belong to a site, not to its text.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "licensed under", "general public license", "click here", "subscribe to our", "sign in to", "log in to", "enable javascript",
@@ -91,9 +93,10 @@ def verdicts(docs: DataFrame, text_col: str = "text", out: str = "q") -> DataFra
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The kept documents, their failed lines removed; columns as before."""
-    judged = verdicts(docs, text_col, "__q")
+    q = fresh(docs.columns, "q")
+    judged = verdicts(docs, text_col, q)
     # A generator instead of a filter, which would be pushed below the rules and evaluate them again.
-    kept = judged.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.explode(F.expr("if(__q.kept, array(__q.cleaned), array())")).alias("t"))
+    kept = judged.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.explode(F.expr(f"if(`{q}`.kept, array(`{q}`.cleaned), array())")).alias("t"))
     return kept.select(*[F.col("t").alias(c) if c == text_col else F.col("r").getField(c).alias(c) for c in docs.columns])
 
 

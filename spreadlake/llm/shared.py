@@ -66,6 +66,14 @@ def drop(*written: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -38,6 +38,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import record, text_blocks
 from .shared import cut
@@ -430,7 +431,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", out: str =
         held = _held(keyed).join(settled.select(F.concat_ws("\x00", "kind", "entity").alias("e"), "made"), "e").groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("e", "made"))).alias("special"))
         rows = rows.withColumn("h", F.md5("text")).join(cut(held), "h", "left").select("r", "text", "special")
     kept = rows.schema["r"].dataType
-    schema = f"r {kept.simpleString()}, text string, spans array<struct<kind: string, start: long, length: long, surrogate: string>>"
+    spans_type = T._parse_datatype_string("array<struct<kind: string, start: long, length: long, surrogate: string>>")
+    schema = T.StructType([T.StructField("r", kept), T.StructField("text", T.StringType()), T.StructField("spans", spans_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -46,7 +46,8 @@ def empty(spark, tmp_path_factory, table):
     folder = tmp_path_factory.mktemp("empty")
     for name in ("documents", "labels"):
         spark.read.parquet(f"{table[0]}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
-    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    for name, schema in {"embeddings": "vec_id long, embedding array<float>, label int", "benchmark": "item_id long, text string", "conversations": "conv_id long, turn long, role string, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
