@@ -35,7 +35,7 @@ def test_hysteresis_with_late_rows_and_a_restart(spark, tmp_path):
     # Within a batch rows come in any order, and some come up to two hours late, in the next batch.
     parts = [rows[:100], rows[100:200], rows[200:]]
     for k in (0, 1):
-        end = parts[k][-1][2]
+        end = max(r[2] for r in parts[k])
         late = [r for r in parts[k] if r[2] > end - dt.timedelta(minutes=100) and rng.random() < 0.5]
         parts[k] = [r for r in parts[k] if r not in late]
         parts[k + 1] = parts[k + 1] + late
