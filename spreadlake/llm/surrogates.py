@@ -8,14 +8,16 @@ An entity is its canonical form: digits of a number, an address in lower case, a
 So every spelling of it in the corpus gets the same surrogate, written in the format of the place: separators, country
 code, capitals, the address's words stay.  A name part is replaced wherever else its document has it as a word.
 
-Names and streets are drawn by a keyed hash from lists by script, names also by gender and by whether they are given or
-family names; a title's gender counts double against one guessed from the ending, and the corpus decides by majority
-what a part is, so it has one surrogate.  The other kinds take a keyed permutation of the strings of their format: digits
+Names are given by a keyed hash, by script, gender and whether they are given or family names: first one of like
+length of a short list, and whoever shares that with another gets one composed of the script's sounds, as long as the name itself and with an ending of its
+kind.  Apostrophes and hyphens stay where they are.  Streets are drawn from the lists.  A title's gender counts double against one
+guessed from the ending, a lone name behind a title is a family name, and the corpus decides by majority what a part is, so it has
+one surrogate.  The other kinds take a keyed permutation of the strings of their format: digits
 stay digits, letters keep class and script, an issuer's digit, a country and a top-level domain stay, check digits are right.
 
 A surrogate that some document holds as a real entity, the entity itself included, or that another entity has got,
 would join two persons.  Such collisions are looked for over the whole corpus; those entities draw again,
-names with one more element of the list at each turn, others after some turns with a letter more, until none is left.
+names and others after some turns with a letter more, streets with one more element of the list at each, until none is left.
 A number's format can't be widened: if its strings are all taken after TURNS turns, an error says so.
 
 Not found: names that a document never introduces, names in scripts without capitals, inflected forms, initials.
@@ -61,10 +63,12 @@ NOT_NAMES = {"Sir", "Sirs", "Madam", "Customer", "Customers", "Team", "All", "Fr
 STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Boulevard", "Blvd", "Court", "Square", "Terrace")
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 _CAP = r"[^\W\d_a-zß-öø-ÿа-яά-ώ]"
-_PART = rf"{_CAP}[^\W\d_]+"
+_APOSTROPHE = "['’]"
+_PART = rf"{_CAP}(?:{_APOSTROPHE}{_CAP})?[^\W\d_]+(?:{_APOSTROPHE}[^\W\d_]{{2,}})?"
 _NAME = rf"({_PART}(?:(?: (?:von|van|de|del|della|di|da|der|den|la|du))*[ -]{_PART}){{0,2}})"
-NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.? " + _NAME)
-INTRODUCED = re.compile(r"(?<!\w)(" + "|".join(INTRODUCTIONS) + r")\s+(?:(" + "|".join(TITLES) + r")\.? )?" + _NAME)
+_TITLED = r"((?:(?:" + "|".join(TITLES) + r")\.? )+)"
+NAME = re.compile(r"(?<!\w)" + _TITLED + _NAME)
+INTRODUCED = re.compile(r"(?<!\w)(" + "|".join(INTRODUCTIONS) + r")\s+" + _TITLED + "?" + _NAME)
 ADDRESS = re.compile(
     rf"(?<![\w.,])(?P<n1>\d{{1,5}}) (?P<s1>{_PART}(?: {_PART}){{0,2}}) (?:{'|'.join(STREETS)})(?!\w)"
     rf"|(?<!\w)(?P<s2>{_CAP}[^\W\d_]+)(?:straße|strasse|weg|gasse|allee|platz) (?P<n2>\d{{1,4}})(?!\w|[.,]\d)"
@@ -86,6 +90,12 @@ FAMILY = {
     "CYRILLIC": "Андреев Белов Волков Громов Дроздов Ершов Зимин Исаев Котов Лебедев Морозов Носов".split(),
     "GREEK": "Αλεξίου Βασιλείου Γεωργίου Δημητρίου Ευσταθίου Ζαχαρίου Ιωάννου Κυριάκου Λουκά Μιχαήλ".split(),
 }
+# Sounds that names are composed of, consonants and vowels, and endings by kind.
+SOUNDS = {
+    "LATIN": ("bdfghklmnprstvwz", "aeiou", {"family": ("er", "en", "in", "ov", "ard", "el", "and", "ez"), "given_f": ("a", "ia", "ina", "e"), "given_m": ("an", "o", "us", "in")}),
+    "CYRILLIC": ("бвгдзклмнпрст", "аеиоу", {"family": ("ов", "ев", "ин", "енко"), "given_f": ("а", "ия", "ина"), "given_m": ("ан", "ей", "ил")}),
+    "GREEK": ("βγδζθκλμνπρσ", "αειου", {"family": ("ου", "ιδης", "ακης"), "given_f": ("α", "η", "ια"), "given_m": ("ος", "ης", "ας")}),
+}
 VOWELS = set("aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýаеёиоуыэюяαεηιουωάέήίόύώ")
 NAMES = ("family", "given_f", "given_m")
 ROUNDS = 8
@@ -157,6 +167,34 @@ def _drawn(names: list[str], n: int, key: bytes, tweak: bytes) -> str:
     return out[0] + "".join(x.lower() for x in out[1:])
 
 
+def _composed(kind: str, script: str, length: int, key: bytes, tweak: bytes) -> str:
+    """A name of so many letters in turns of consonant and vowel, with an ending of its kind where there is room."""
+    consonants, vowels, endings = SOUNDS[script]
+    mac = int.from_bytes(hashlib.shake_256(hmac.new(key, b"sounds" + tweak, hashlib.sha512).digest()).digest(length + 32), "big")
+
+    def pick(of):
+        nonlocal mac
+        mac, i = divmod(mac, len(of))
+        return of[i]
+
+    ending = pick(endings[kind])
+    out = ending if len(ending) + 1 < length else pick(vowels if kind == "given_f" else consonants)
+    while len(out) < length:
+        out = pick(consonants if out[0] in VOWELS else vowels) + out
+    return out
+
+
+def _name(kind: str, entity: str, script: str, key: bytes, turn: int) -> str:
+    """Each run of letters for itself; what stands between them stays, and later turns lengthen the last run."""
+    tweak = f"{kind}{turn or ''}{entity}".encode()
+    names = [x for x in (FAMILY[script] if kind == "family" else GIVEN[script, kind[-1]]) if abs(len(x) - len(entity)) < 2]
+    runs = re.split(f"({_APOSTROPHE})", entity)
+    if names and not turn and len(runs) == 1:
+        return _drawn(names, 1, key, f"{kind}{entity}".encode()).lower()
+    last = len(runs) - 1
+    return "".join(x if i % 2 else _composed(kind if i == last else "family", script, max(1, len(x)) + (turn // WIDEN if i == last else 0), key, tweak + bytes([i % 256])) for i, x in enumerate(runs))
+
+
 def country_code(digits: str) -> int:
     """How many digits the country code of an international number has."""
     if digits[:1] in ("1", "7"):
@@ -191,9 +229,8 @@ def surrogate(kind: str, entity: str, key: bytes, turn: int = 0) -> str:
     tweak = f"{kind}{turn or ''}".encode()
     if kind in NAMES:
         script = script_of(entity[0])
-        names = FAMILY.get(script) if kind == "family" else GIVEN.get((script, kind[-1]))
-        if names:
-            return _drawn(names, 1 + turn, key, tweak + entity.encode()).lower()
+        if script in SOUNDS:
+            return _name(kind, entity, script, key, turn)
         entity += entity[-1] * (turn // WIDEN)
     if kind == "address":
         number, _, street = entity.partition(" ")
@@ -259,7 +296,10 @@ def render(kind: str, mention: str, made: str) -> str:
         if kind == "email":
             longer = len(made) - len(mention)
             return made[:longer] + "".join(x.upper() if c.isupper() else x for x, c in zip(made[longer:], mention, strict=True))
-        return made if mention[0].islower() else made[0].upper() + made[1:]
+        if mention[0].islower():
+            return made
+        large = re.search(f"{_APOSTROPHE}{_CAP}", mention)
+        return re.sub(f"(^|{_APOSTROPHE})(.)" if large else "(^)(.)", lambda m: m[1] + m[2].upper(), made)
     if kind == "phone":
         digits = sum(c.isdigit() for c in mention)
         return _filled(mention, made[-digits:] if digits < len(made) else made)
@@ -278,24 +318,32 @@ def render(kind: str, mention: str, made: str) -> str:
     return made
 
 
+def _gender(titles: str) -> str:
+    """Of a chain of titles, the first that tells."""
+    return next((TITLES[t] for t in re.findall(r"\w+", titles) if TITLES[t]), "")
+
+
 def _named(text: str) -> dict[str, tuple[str, int]]:
     """Name parts that the text introduces, as they stand there, with their kind and the weight of its evidence."""
     out: dict[str, tuple[str, int]] = {}
     found = []
     if any(t in text for t in TITLES):
-        found += [(m[2], TITLES[m[1]]) for m in NAME.finditer(text)]
+        found += [(m[2], _gender(m[1]), True) for m in NAME.finditer(text)]
     if any(t in text for t in INTRODUCTIONS):
-        found += [(m[3], GENDERED.get(m[1], TITLES.get(m[2] or "", ""))) for m in INTRODUCED.finditer(text)]
-    for name, gender in found:
-        parts = [x for x in re.findall(_PART, name) if x not in TITLES and x not in NOT_NAMES]
-        for i, part in enumerate(parts):
-            sure = 2 if gender else 1
-            if i == len(parts) - 1 and (len(parts) > 1 or gender):
-                kind = "family"
-            else:
-                kind = "given_" + (gender or ("f" if part[-1].lower() in "aeiаяαη" else "m"))
-            if part not in out or out[part][1] < sure:
-                out[part] = kind, sure
+        found += [(m[3], GENDERED.get(m[1], _gender(m[2] or "")), bool(m[2])) for m in INTRODUCED.finditer(text)]
+    for name, gender, titled in found:
+        # A word is a part, or several with hyphens between, which are of one kind.
+        spoken = [[x for x in re.findall(_PART, w) if x not in TITLES and x not in NOT_NAMES] for w in name.split(" ")]
+        spoken = [parts for parts in spoken if parts]
+        for i, parts in enumerate(spoken):
+            for part in parts:
+                sure = 2 if gender else 1
+                if i == len(spoken) - 1 and (len(spoken) > 1 or gender or titled):
+                    kind = "family"
+                else:
+                    kind = "given_" + (gender or ("f" if part[-1].lower() in "aeiаяαη" else "m"))
+                if part not in out or out[part][1] < sure:
+                    out[part] = kind, sure
     return out
 
 
