@@ -27,64 +27,86 @@ def keep_variance(x: np.ndarray, share: float) -> np.ndarray:
 
 
 def density_labels(dist: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
-    """Labels from 0, -1 for noise: minimum spanning tree of mutual reachability, its tree condensed to clusters of min_size, the most stable kept."""
+    """Labels from 0, -1 for noise: minimum spanning tree of mutual reachability, its tree condensed to clusters of min_size, the most stable kept.
+
+    Of edges with equal weights the one with the smaller ends comes first, so there is one tree.
+    """
     n = len(dist)
     if n < max(min_size, 2):
         return np.full(n, -1)
     core = np.sort(dist, axis=1)[:, min(min_samples, n - 1)]
     reach = np.maximum(np.maximum(dist, core[:, None]), core)
+    every = np.arange(n)
     inside, best, near, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
+    ends = lambda a, b: np.minimum(a, b) * n + np.maximum(a, b)
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < best)
+        closer = ~inside & ((reach[at] < best) | ((reach[at] == best) & (ends(at, every) < ends(near, every))))
         best[closer], near[closer] = reach[at][closer], at
-        nxt = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((float(best[nxt]), int(near[nxt]), nxt))
+        out = np.flatnonzero(~inside)
+        least = out[best[out] == best[out].min()]
+        nxt = int(least[np.argmin(ends(near[least], least))])
+        edges.append((float(best[nxt]), int(min(near[nxt], nxt)), int(max(near[nxt], nxt))))
         at = nxt
-    parent, members, kids, height = list(range(n)), {i: [i] for i in range(n)}, {}, {}
-    find = lambda i: i if parent[i] == i else find(parent[i])
-    for w, a, b in sorted(edges):
-        a, b, new = find(a), find(b), len(parent)
-        parent.append(new)
-        parent[a] = parent[b] = new
-        members[new], kids[new], height[new] = members[a] + members[b], (a, b), w
-    clusters: list[dict] = []
-
-    def grow(node: int, born: float, up: int | None) -> int:
-        me = len(clusters)
-        clusters.append({"up": up, "nodes": members[node], "gain": 0.0, "kids": []})
+    return tree_labels(n, edges, min_size)
+
+
+def tree_labels(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
+    """Labels of n points from the edges (weight, smaller end, larger end) of their spanning tree: merged by weight, condensed to clusters of min_size, the most stable kept. Takes time and room for n points."""
+    if n < max(min_size, 2):
+        return np.full(n, -1)
+    parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
+    kids, height = np.zeros((n - 1, 2), int), np.zeros(n - 1)
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, (w, a, b) in enumerate(sorted(edges)):
+        a, b = find(a), find(b)
+        parent[a] = parent[b] = n + k
+        kids[k], height[k], size[n + k] = (a, b), w, size[a] + size[b]
+    # Clusters in the order in which they are born, the larger ones first: where each begins in the merge tree, its parent, its gain.
+    root, up, gain, below = [2 * n - 2], [-1], [0.0], [[]]
+    born, at = [0.0], 0
+    while at < len(root):
+        node = root[at]
         while node >= n:
-            level = 1 / max(height[node], 1e-12)
-            big = [k for k in kids[node] if len(members[k]) >= min_size]
-            if len(big) == 1:
-                clusters[me]["gain"] += (len(members[node]) - len(members[big[0]])) * (level - born)
-                node = big[0]
-                continue
-            clusters[me]["gain"] += len(members[node]) * (level - born)
-            if len(big) == 2:
-                clusters[me]["kids"] = [grow(k, level, me) for k in big]
-            break
-        return me
-
-    grow(len(parent) - 1, 0.0, None)
-    chosen: set[int] = set()
-    value = [0.0] * len(clusters)
-    for i in reversed(range(len(clusters))):
-        below = sum(value[k] for k in clusters[i]["kids"])
-        if i and clusters[i]["gain"] >= below or (not i and not clusters[i]["kids"]):
-            value[i] = clusters[i]["gain"]
-            stack = list(clusters[i]["kids"])
-            while stack:
-                k = stack.pop()
-                chosen.discard(k)
-                stack += clusters[k]["kids"]
-            chosen.add(i)
-        else:
-            value[i] = below
-    labels = np.full(n, -1)
-    for label, i in enumerate(sorted(chosen)):
-        labels[clusters[i]["nodes"]] = label
+            level = 1 / max(height[node - n], 1e-12)
+            big = [int(k) for k in kids[node - n] if size[k] >= min_size]
+            lost = size[node] - (size[big[0]] if len(big) == 1 else 0)
+            gain[at] += lost * (level - born[at])
+            if len(big) != 1:
+                for k in big:
+                    below[at].append(len(root))
+                    root.append(k), up.append(at), gain.append(0.0), below.append([]), born.append(level)
+                break
+            node = big[0]
+        at += 1
+    value, taken = [0.0] * len(root), [False] * len(root)
+    for i in reversed(range(len(root))):
+        inner = sum(value[k] for k in below[i])
+        taken[i] = gain[i] >= inner if i else not below[i]
+        value[i] = gain[i] if taken[i] else inner
+    labels, label = np.full(n, -1), 0
+    # The topmost clusters that are taken, numbered as a walk from the root meets them.
+    walk = [0]
+    while walk:
+        i = walk.pop()
+        if not taken[i]:
+            walk += reversed(below[i])
+            continue
+        points = [root[i]]
+        while points:
+            p = points.pop()
+            if p < n:
+                labels[p] = label
+            else:
+                points += kids[p - n].tolist()
+        label += 1
     return labels
 
 

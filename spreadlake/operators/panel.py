@@ -117,6 +117,19 @@ def quantile_bin(df: DataFrame, keys: list[str], x: str, key: str, bins: int, ou
     return y.withColumn(out, F.greatest(F.ceil(pos).cast("int") - 1, F.lit(0))).drop("__i", "__n")
 
 
+def pairwise_correlation(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rho, n) of every column of x with every column of y over the rows in which both have a value; NaN where there are fewer than two or nothing varies."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = lambda v: np.where(np.isfinite(v).any(axis=0), np.nansum(v, axis=0) / np.isfinite(v).sum(axis=0), 0.0)
+        ma, mb = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
+        xa, xb = np.nan_to_num(x - mean(x)), np.nan_to_num(y - mean(y))
+        n = ma.T @ mb
+        sx, sy = xa.T @ mb / n, ma.T @ xb / n
+        cov = xa.T @ xb / n - sx * sy
+        vx, vy = (xa**2).T @ mb / n - sx**2, ma.T @ xb**2 / n - sy**2
+        return np.where((n > 1) & (vx > 1e-18) & (vy > 1e-18), cov / np.sqrt(vx * vy), np.nan), n
+
+
 def correlation_blocks(returns: DataFrame, symbol: str = "symbol", day: str = "day", x: str = "ret", size: int = 256) -> DataFrame:
     """a < b, rho over the days on which both have a value, for all symbols.
 
@@ -133,15 +146,7 @@ def correlation_blocks(returns: DataFrame, symbol: str = "symbol", day: str = "d
         wide = g.pivot(index="day", columns="symbol", values="x")
         side = g.drop_duplicates("symbol").set_index("symbol")["block"]
         rows, cols = (sorted(side.index[side == b]) for b in key)
-        v = (wide - wide.mean()).fillna(0.0)
-        m = wide.notna().astype(float)
-        xa, ma, xb, mb = (f[c].to_numpy() for c, f in ((rows, v), (rows, m), (cols, v), (cols, m)))
-        n = ma.T @ mb
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sx, sy = xa.T @ mb / n, ma.T @ xb / n
-            cov = xa.T @ xb / n - sx * sy
-            vx, vy = (xa**2).T @ mb / n - sx**2, ma.T @ xb**2 / n - sy**2
-            rho = np.where((n > 1) & (vx > 1e-18) & (vy > 1e-18), cov / np.sqrt(vx * vy), np.nan)
+        rho, n = pairwise_correlation(wide[rows].to_numpy(), wide[cols].to_numpy())
         a, b = np.meshgrid(rows, cols, indexing="ij")
         out = pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "rho": rho.ravel(), "n": n.ravel()})
         return out[(out["a"] < out["b"]) & (out["n"] > 0)][["a", "b", "rho"]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import clustering as C
 from ..operators import cointegration as K
+from ..operators import density as D
 from ..operators import inference as I
 from ..operators import loop as L
 from ..operators import observe as O
@@ -161,17 +162,16 @@ def _(t):
     return K.spread_unit_root(P.spread(aligned(t)))
 
 
-def _partitioned(t):
+def _blocks(t):
+    """partition, symbol; and the returns of each partition's symbols in blocks."""
     meta = t.ticker_metadata.select("symbol", C.partition_of(F.col("sector"), F.col("is_etf")).alias("partition"))
-    r = P.log_returns(t.prices).where("ret is not null").join(F.broadcast(meta), "symbol")  # a row for each symbol
-    a, b = r.select("partition", "day", F.col("symbol").alias("a"), F.col("ret").alias("ra")), r.select("partition", "day", F.col("symbol").alias("b"), F.col("ret").alias("rb"))
-    return meta, a.join(b, ["partition", "day"]).where("a < b").groupBy("partition", "a", "b").agg(P.safe_corr("ra", "rb").alias("rho"))
+    return meta, D.return_blocks(P.log_returns(t.prices), meta)
 
 
 @query("udx_03_clusters")
 def _(t):
-    meta, corr = _partitioned(t)
-    return C.cluster_symbols(corr, meta)
+    meta = t.ticker_metadata.select("symbol", C.partition_of(F.col("sector"), F.col("is_etf")).alias("partition"))
+    return D.cluster_returns(P.log_returns(t.prices), meta)
 
 
 @query("udx_05_partitions", "select symbol, case when is_etf then 'ETF' else coalesce(sector, 'Unknown') end as partition from ticker_metadata")
@@ -181,14 +181,15 @@ def _(t):
 
 @query("udx_06_ranked_clusters")
 def _(t):
-    meta, corr = _partitioned(t)
-    return C.ranked_clusters(C.sane(C.cluster_symbols(corr, meta), corr, 0.0), corr)
+    meta, blocks = _blocks(t)
+    corr = D.pair_correlations(blocks)
+    return C.ranked_clusters(C.sane(D.cluster_returns(P.log_returns(t.prices), meta), corr, 0.0), corr)
 
 
 @query("udx_04_kept_components")
 def _(t):
-    meta, corr = _partitioned(t)
-    return C.kept_components(corr, meta, 0.9)
+    meta, blocks = _blocks(t)
+    return C.kept_components(D.pair_correlations(blocks), meta, 0.9)
 
 
 GROUPS = "with r as (select symbol, day, ln(close) - lag(ln(close)) over (partition by symbol order by day) as r from prices), c as (select substr(a.symbol, 1, 7) as partition, a.symbol as a, b.symbol as b, corr(a.r, b.r) as rho from r a join r b on a.day = b.day and substr(a.symbol, 1, 7) = substr(b.symbol, 1, 7) and a.symbol < b.symbol where a.r is not null and b.r is not null group by 1, 2, 3), m as (select partition, median(rho) as m, avg(rho) as y from c group by partition), g as (select substr(symbol, 1, 7) as partition, symbol, count(*) over (partition by substr(symbol, 1, 7)) as n from ticker_metadata)"
