@@ -84,7 +84,7 @@ def oracle(sql: str) -> str:
             body = f"select * replace ({', '.join(f'cast({c} as double) as {c}' for c in DOUBLES[v])}) from ({body})"
         parts.append(f"{v} as ({body})")
     sql = sql.strip()
-    if sql.lower().startswith("with "):
-        parts.append(sql[5:])
-        return "with " + ",\n".join(parts)
+    for word in ("with recursive ", "with "):
+        if sql.lower().startswith(word):
+            return word + ",\n".join([*parts, sql[len(word) :]])
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + sql

@@ -1,4 +1,4 @@
-"""Cointegration and mean reversion of pairs. The unit-root test needs a lag search per pair, so it is a grouped function over Arrow; the rest is SQL."""
+"""Cointegration and mean reversion of pairs: unit-root tests from sums over each pair's rows. ``coint_p`` and ``adf_tau`` are the same tests of one series at a time, which tests hold them against."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .panel import PAIR, ordered
+from .unit_root import statistics
 
 # Response surface of the p-value for two series and a constant (and one series, constant).
 SURFACES = {
@@ -69,33 +70,38 @@ def coint_p(lead: np.ndarray, lag: np.ndarray, least: int = 20) -> float | None:
     return unit_root_p(adf_tau(lead - x @ beta, constant=False), 2)
 
 
-def cointegration(aligned: DataFrame, ceiling: float = 0.20, least: int = 20, keys: tuple[str, ...] = PAIR) -> DataFrame:
-    """keys, coint_pvalue, coint_score: a group holds one pair's rows, whose number is that of the trading days."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        logs = [np.log(np.maximum(g[c].to_numpy(dtype=float), 1e-9)) for c in ("pl", "pg")]
-        try:
-            p = coint_p(*logs, least=least)
-        except (ValueError, np.linalg.LinAlgError):
-            p = 1.0
-        p = 1.0 if p is None else p
-        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "coint_pvalue": [p], "coint_score": [max(0.0, 1 - p / ceiling)]})
+def _p_of(tau: Column, series: int) -> Column:
+    @F.pandas_udf("double")
+    def p(t: pd.Series) -> pd.Series:
+        return pd.Series([None if math.isnan(x) else unit_root_p(x, series) for x in t.astype(float)], dtype="float64")
 
-    rows = aligned.select(*keys, "pos", "pl", "pg")
-    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandas(run, f"{types}, coint_pvalue double, coint_score double")
+    return p(tau)
 
 
-def spread_unit_root(spread: DataFrame) -> DataFrame:
-    """lead, lag, p: the unit-root test of the spread, with a constant."""
+def residuals(aligned: DataFrame, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """keys, pos, s: what the logarithm of the lead is beyond a line of the lag's; and of each pair ok (all prices are there) and flat (nothing is left)."""
+    rows = aligned.select(*keys, "pos", F.log(F.greatest(F.col("pl").cast("double"), F.lit(1e-9))).alias("y"), F.log(F.greatest(F.col("pg").cast("double"), F.lit(1e-9))).alias("x"), (F.col("pl").isNotNull() & F.col("pg").isNotNull()).alias("there"))
+    left = F.regr_syy("y", "x") - F.coalesce(F.regr_sxy("y", "x") ** 2 / F.nullif(F.regr_sxx("y", "x"), F.lit(0.0)), F.lit(0.0))
+    fit = rows.groupBy(*keys).agg(
+        F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.bool_and(F.col("there") & ~F.isnan("x") & ~F.isnan("y")).alias("ok"), (left < 1e-12 * F.greatest(F.sum(F.col("y") * F.col("y")), F.lit(1e-300))).alias("flat"),
+    )
+    return rows.join(fit, list(keys)).select(*keys, "pos", (F.col("y") - F.col("my") - F.col("slope") * (F.col("x") - F.col("mx"))).alias("s"), "ok", "flat")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        s = g.sort_values("pos")["s"].to_numpy(dtype=float)
-        p = unit_root_p(adf_tau(s, constant=True), 1) if len(s) >= 20 and np.isfinite(s).all() else None
-        return pd.DataFrame({"lead": [g["lead"].iloc[0]], "lag": [g["lag"].iloc[0]], "p": [p]})
 
-    return spread.select("lead", "lag", "pos", "s").groupBy(*PAIR).applyInPandas(run, "lead string, lag string, p double")
+def cointegration(aligned: DataFrame, ceiling: float = 0.20, least: int = 20, keys: tuple[str, ...] = PAIR) -> DataFrame:
+    """keys, coint_pvalue, coint_score of every pair: 1 for fewer rows than ``least`` or missing prices, 0 for a line without residual."""
+    rest = residuals(aligned, keys)
+    how = rest.groupBy(*keys).agg(F.bool_and("ok").alias("ok"), F.bool_and("flat").alias("flat"))
+    told = statistics(rest, list(keys), "pos", "s", constant=False).join(how, list(keys))
+    p = F.when((F.col("n") < least) | ~F.col("ok"), 1.0).when(F.col("flat"), 0.0).otherwise(F.coalesce(_p_of(F.col("tau"), 2), F.lit(1.0)))
+    return told.select(*keys, p.alias("coint_pvalue")).withColumn("coint_score", F.greatest(F.lit(0.0), 1 - F.col("coint_pvalue") / ceiling))
+
+
+def spread_unit_root(spread: DataFrame, least: int = 20) -> DataFrame:
+    """lead, lag, p: the unit-root test of the spread, with a constant; null for fewer rows than ``least`` or a missing value."""
+    told = statistics(spread.select(*PAIR, "pos", "s"), list(PAIR), "pos", "s", constant=True)
+    return told.select(*PAIR, F.when(F.col("n") >= least, _p_of(F.col("tau"), 1)).alias("p"))
 
 
 def half_life(spread: DataFrame) -> DataFrame:

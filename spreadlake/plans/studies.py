@@ -13,10 +13,11 @@ from ..operators import loop as L
 from ..operators import observe as O
 from ..operators import panel as P
 from ..operators import tuning as T
+from ..operators import unit_root as U
 from ..operators.ranks import quantiles
 from ..registry import query
-from .aggregates import RETURNS, aligned
-from .series import ZS
+from .aggregates import ALIGNED, RETURNS, aligned
+from .series import SPREAD, ZS
 
 SIC = "case " + " ".join(f"when sic_code between {low} and {high - 1} then '{name}'" for low, high, name in S.SIC_SECTORS) + " else 'Other' end"
 
@@ -152,6 +153,34 @@ def _(t):
     return t.trades.select("id", F.datediff(F.to_date("filled_at"), start).cast("long").alias("day_"))
 
 
+def _tau_sql(series: str, c: int) -> str:
+    """lead, lag, n, lags, tau of a table ser (lead, lag, day, s): regressions by elimination in matrices of products; c: 1 with a constant."""
+    one = "[1.0::double]" if c else "[]::double[]"
+    step = "list_transform(range(1, w * w + 1), lambda x: case when (x - 1) // w >= k + 1 and (x - 1) % w >= k + 1 and m[k * w + k + 1] > 0 then m[x] - m[(x - 1) // w * w + k + 1] * m[k * w + (x - 1) % w + 1] / m[k * w + k + 1] else m[x] end)"
+    return f"""with recursive {series},
+rw as (select lead, lag, s, row_number() over p as r, count(*) over (partition by lead, lag) as n, lag(s) over p as level, s - lag(s) over p as d from ser window p as (partition by lead, lag order by day)),
+ar as (select lead, lag, any_value(n) as n, greatest(least(cast(ceil(12 * pow(any_value(n) / 100.0, 0.25)) as int), any_value(n) // 2 - 2 - {c}), 0) as most, list(d order by r) as d, list(level order by r) as l from rw group by lead, lag),
+cv as (select lead, lag, n, most, r, list_concat([l[r]], {one}, list_transform(range(1, most + 1), lambda k: d[r - k]), [d[r]]) as v from (select *, unnest(range(most + 2, n + 1)) as r from ar)),
+cm as (select lead, lag, any_value(n) as n, any_value(most) as most, i, j, sum(v[i] * v[j]) as m from (select *, unnest(range(1, len(v) + 1)) as i from cv), unnest(range(1, len(v) + 1)) q(j) group by lead, lag, i, j),
+el as (select lead, lag, any_value(n) as n, any_value(most) as most, max(i) as w, 0 as k, list(m order by i, j) as m from cm group by lead, lag union all select lead, lag, n, most, w, k + 1, {step} from el where k < w - 1),
+best as (select lead, lag, n, k - 1 - {c} as p from el where k >= 1 + {c} qualify row_number() over (partition by lead, lag order by (n - 1 - most) * ln(greatest(m[w * w], 1e-300) / (n - 1 - most)) + 2 * k, k) = 1),
+fv as (select lead, lag, n, p, list_concat(list_transform(range(1, p + 1), lambda k: d[r - k]), {one}, [l[r]], [d[r]]) as v from (select ar.*, p, unnest(range(p + 2, ar.n + 1)) as r from ar join best using (lead, lag))),
+fm as (select lead, lag, any_value(n) as n, any_value(p) as p, i, j, sum(v[i] * v[j]) as m from (select *, unnest(range(1, len(v) + 1)) as i from fv), unnest(range(1, len(v) + 1)) q(j) group by lead, lag, i, j),
+fe as (select lead, lag, any_value(n) as n, any_value(p) as p, max(i) as w, 0 as k, list(m order by i, j) as m from fm group by lead, lag union all select lead, lag, n, p, w, k + 1, {step} from fe where k < w - 2),
+z as (select lead, lag, n, p, m[w * w] as yy, m[w * w - 1] as sy, m[w * w - w - 1] as ss, greatest(n - 1 - p - (w - 1), 1) as df from fe where k = w - 2)
+select lead, lag, N(n) as n, cast(p as int) as lags, R(sy / ss / sqrt((yy - sy * sy / ss) / df / ss)) as tau from z"""
+
+
+@query("udx_01_unit_root_tau", _tau_sql(f"{ALIGNED}, ft as (select lead, lag, regr_slope(ln(pl), ln(pg)) as u, avg(ln(pl)) as my, avg(ln(pg)) as mx from al group by lead, lag), ser as (select lead, lag, day, ln(pl) - my - u * (ln(pg) - mx) as s from al join ft using (lead, lag))", 0))
+def _(t):
+    return U.statistics(K.residuals(aligned(t)), ["lead", "lag"], "pos", "s", constant=False)
+
+
+@query("udx_02_unit_root_tau", _tau_sql(f"{SPREAD}, ser as (select lead, lag, day, s from sp)", 1))
+def _(t):
+    return U.statistics(P.spread(aligned(t)), ["lead", "lag"], "pos", "s", constant=True)
+
+
 @query("udx_01_cointegration")
 def _(t):
     return K.cointegration(aligned(t))
