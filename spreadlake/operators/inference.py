@@ -1,18 +1,22 @@
 """Tests and intervals: exact table tests, slope and correlation tests, seeded bootstraps.
 
-Bootstraps weigh rows with Poisson draws that a hash of (seed, draw, row) makes, so that a draw is one
-aggregation over all rows, needs no resampled copy, and gives the same in every run.
+Bootstraps weigh rows with Poisson draws that a hash of (seed, draw, row) makes, so that no draw needs a resampled copy, all
+draws are sums that one pass over the rows adds up, and every run gives the same.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalar import PRIME, mixed, mixed_sql
+from ..functions.scalar import PRIME, STEPS, mixed, mixed_sql
 
 
 def crosstab(df: DataFrame, row: Column, col: Column) -> DataFrame:
@@ -22,12 +26,34 @@ def crosstab(df: DataFrame, row: Column, col: Column) -> DataFrame:
 
 
 def fisher_p(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided: the tables with these margins that are no likelier."""
+    """Two-sided: the tables with these margins that are no likelier, summed outward from both sides of the likeliest until nothing more is added."""
     n, r, k = a + b + c + d, a + b, a + c
+    low, high = max(0, r + k - n), min(r, k)
     ln = lambda m, j: math.lgamma(m + 1) - math.lgamma(j + 1) - math.lgamma(m - j + 1)
     p = lambda x: ln(k, x) + ln(n - k, r - x) - ln(n, r)
-    here = p(a)
-    return min(1.0, sum(math.exp(p(x)) for x in range(max(0, r + k - n), min(r, k) + 1) if p(x) <= here + 1e-7))
+    most, mode = p(a) + 1e-7, min(high, max(low, (r + 1) * (k + 1) // (n + 2)))
+
+    def tail(step: int, end: int) -> float:
+        """What lies beyond the mode on one side and is no likelier; likelihood falls away from it."""
+        near, far = (mode if step < 0 else mode + 1), end
+        if (far - near) * step < 0 or p(far) > most:
+            return 0.0
+        while near != far:  # the first that is no likelier
+            mid = near + (far - near) // 2 if step > 0 else near - (near - far) // 2
+            if p(mid) <= most:
+                far = mid
+            else:
+                near = mid + step
+        total, x = 0.0, near
+        while (end - x) * step >= 0:
+            term = math.exp(p(x))
+            total += term
+            if term <= total * 1e-18:
+                break
+            x += step
+        return total
+
+    return min(1.0, tail(-1, low) + tail(1, high))
 
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
@@ -110,22 +136,100 @@ def poisson_weight_sql(seed: int, draw: str, key: str) -> str:
     return f"(select case {steps} else 0 end from (select {u} as u))"
 
 
-def _draws(df: DataFrame, draws: int) -> DataFrame:
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+def _weights(seed: int, draws: int, keys: np.ndarray) -> np.ndarray:
+    """poisson_weight of every key (rows) in every draw from 1 (columns)."""
+    a, b, c = STEPS
+    draw = np.arange(1, draws + 1, dtype=np.int64)
+    line = ((keys % PRIME)[:, None] * ((draw * a + seed * b + 1) % PRIME) + draw * c + seed) % PRIME
+    order = ((line * line) % PRIME * b + line) % PRIME
+    return np.searchsorted(np.array(_poisson_steps()), (order + 0.5) / float(PRIME), side="left").astype(np.float64)
+
+
+AT_ONCE = 2048  # rows whose weights are held at a time
+GROUPS = 512  # groups that a task sums at a time
+
+
+def weighted_sums(df: DataFrame, groups: list[str], sums: dict[str, Column], draws: int, seed: int, key: Column) -> DataFrame:
+    """groups, draw, and of each named number its sum over the group's rows in that draw, weighted by ``poisson_weight``; nulls count as 0.
+
+    A task adds its rows to one vector of sums for each group, draws times names long; vectors are added up in pieces and then as a
+    whole, so what is shuffled is a row for each group and task, whatever the number of draws.
+    """
+    kept = df.select(F.struct(*groups, F.lit(0).alias("__")).alias("__g"), key.cast("long").alias("__key"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__x{i}") for i, c in enumerate(sums.values())])
+    columns = list(sums)
+    names = [f"__x{i}" for i in range(len(columns))]
+    width = len(names) * draws
+
+    def out(g: list, held: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g, type=schema.field("__g").type), pa.array([h.tobytes() for h in held], type=pa.binary())], names=["__g", "__v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            group = batch.column("__g").to_pylist()
+            keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            of: dict[tuple, int] = {}
+            code = np.array([of.setdefault(tuple(g.items()), len(of)) for g in group], dtype=np.int64)
+            for at in range(0, len(keys), AT_ONCE):
+                part = slice(at, at + AT_ONCE)
+                w = _weights(seed, draws, keys[part])
+                for g, k in of.items():
+                    mine = code[part] == k
+                    if mine.any():
+                        held[g] = held.get(g, 0.0) + x[:, part][:, mine] @ w[mine]
+            if len(held) > GROUPS:
+                yield out([dict(g) for g in held], list(held.values()), batch.schema)
+                held.clear()
+            schema = batch.schema
+        if held:
+            yield out([dict(g) for g in held], list(held.values()), schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a group follow one another."""
+        last, total = None, None
+        for batch in batches:
+            for g, v in zip(batch.column("__g").to_pylist(), batch.column("__v").to_pylist(), strict=True):
+                if g != last:
+                    if last is not None:
+                        yield out([last], [total], batch.schema)
+                    last, total = g, np.zeros(width)
+                total = total + np.frombuffer(v)
+            schema = batch.schema
+        if last is not None:
+            yield out([last], [total], schema)
+
+    types = T.StructType([kept.schema["__g"], T.StructField("__v", T.BinaryType())])
+    vectors = kept.mapInArrow(add, types)
+    for by in ([F.col("__g"), F.pmod(F.xxhash64("__v"), F.lit(64))], [F.col("__g")]):
+        vectors = vectors.repartition(*by).sortWithinPartitions("__g").mapInArrow(merge, types)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, v in zip(batch.column("__g"), batch.column("__v").to_pylist(), strict=True):
+                m = np.frombuffer(v).reshape(len(names), draws)
+                yield pa.RecordBatch.from_arrays([pa.array([g.as_py()] * draws, type=g.type), pa.array(np.arange(1, draws + 1), type=pa.int32()), *map(pa.array, m)], names=["__g", "__draw", *names])
+
+    schema = T.StructType([kept.schema["__g"], T.StructField("__draw", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return vectors.mapInArrow(spread, schema).select(*[F.col("__g")[c].alias(c) for c in groups], F.col("__draw").alias("draw"), *[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
+
+
+def _interval(draws: DataFrame, x: Column) -> DataFrame:
+    """mean, low and high of 95 % over a row for each draw."""
+    return draws.select(x.alias("x")).agg(F.avg("x").alias("mean"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
 
 
 def bootstrap_rate_gap(df: DataFrame, group: Column, event: Column, draws: int, seed: int, key: str = "obs_id") -> DataFrame:
     """95 % interval of the event's rate in the group less that outside."""
-    x = _draws(df.select(group.alias("g"), event.cast("double").alias("e"), key), draws).withColumn("w", poisson_weight(seed, F.col("draw"), F.col(key)))
-    rate = lambda c: F.sum(F.when(c, F.col("w") * F.col("e"))) / F.nullif(F.sum(F.when(c, F.col("w"))).cast("double"), F.lit(0.0))
-    gaps = x.groupBy("draw").agg((rate(F.col("g")) - rate(~F.col("g"))).alias("gap"))
-    return gaps.agg(F.avg("gap").alias("mean"), F.percentile("gap", 0.025).alias("low"), F.percentile("gap", 0.975).alias("high"))
+    inside, e = group.cast("double"), event.cast("double")
+    sums = weighted_sums(df, [], {"ge": inside * e, "g": inside, "oe": (1 - inside) * e, "o": 1 - inside}, draws, seed, F.col(key))
+    rate = lambda n, d: F.col(n) / F.nullif(F.col(d), F.lit(0.0))
+    return _interval(sums, rate("ge", "g") - rate("oe", "o"))
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, x: str, draws: int, seed: int) -> DataFrame:
     """95 % interval of the mean of x when whole clusters, days or integers, are drawn: clusters are summed first."""
     key = F.datediff(cluster, F.lit("1970-01-01").cast("date")) if dict(df.dtypes)[cluster] == "date" else F.col(cluster)
-    sums = df.groupBy(key.cast("long").alias("__key")).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
-    d = _draws(sums, draws).withColumn("w", poisson_weight(seed, F.col("draw"), F.col("__key")))
-    means = d.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")).cast("double"), F.lit(0.0))).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    clusters = df.groupBy(key.cast("long").alias("__key")).agg(F.sum(x).alias("s"), F.count(x).alias("n"))
+    sums = weighted_sums(clusters.where("__key is not null"), [], {"s": F.col("s"), "n": F.col("n")}, draws, seed, F.col("__key"))
+    return _interval(sums, F.col("s") / F.nullif(F.col("n"), F.lit(0.0)))

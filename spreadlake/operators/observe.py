@@ -174,12 +174,13 @@ def dropped_one(rows: DataFrame, group: str) -> DataFrame:
     return select_policy(policy_metrics(rest.where("n > 0")), [group])
 
 
-def shifted_calendar_null(obs: DataFrame, chosen: DataFrame, draws: int, seed: int, horizon: int, most: int = 120, number: str = "cast(substr({0}, 7, 2) as int)") -> DataFrame:
+def shifted_calendar_null(obs: DataFrame, chosen: DataFrame, draws: int, seed: int, horizon: int, most: int = 120) -> DataFrame:
     """real (gain in mean of the chosen policy), null_p90 over calendars shifted by a seeded number of days for each symbol, passed.
 
     An observation's events move by the lesser offset of its legs; those moved out of the horizon vanish. chosen: h, l, r, one row.
     """
-    off = lambda leg: F.pmod(S.mixed(seed, F.col("draw"), F.expr(number.format(leg))), F.lit(2 * most + 1)) - most
+    number = lambda leg: F.conv(F.substring(F.md5(leg), 1, 7), 16, 10).cast("long")  # noqa: E731  of a symbol, however it is spelt
+    off = lambda leg: F.pmod(S.mixed(seed, F.col("draw"), number(leg)), F.lit(2 * most + 1)) - most
     policy = chosen.select("h", "l", "r")
     x = obs.drop("zs", "corrs", "ret_lead", "ret_lag").join(F.broadcast(policy), F.col("n") >= 0)  # one row
     each = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))  # 0: as it was

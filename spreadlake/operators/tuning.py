@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import mixed
+from ..functions.scalar import mixed, mixed_sql
+from ..sources.tables import counted
 from . import panel as P
-from .inference import poisson_weight
+from .inference import weighted_sums
 from .ranks import quantiles, with_average_rank
 
 
@@ -43,10 +44,12 @@ def unit_signal(df: DataFrame, group: str, x: str, y: str, draws: int, seed: int
     """Rank correlation of each group and the 95 % interval of its bootstrap: draws of the ranks' correlation, weighted."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, key, x, y)
     r = with_average_rank(with_average_rank(both, [group], x, "a"), [group], y, "b")
-    d = r.select(group, key, "a", "b", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", poisson_weight(seed, F.col("draw"), F.col(key)))
-    sw = F.sum("w")
-    cov = lambda u, v: F.sum(F.col("w") * F.col(u) * F.col(v)) / sw - F.sum(F.col("w") * F.col(u)) / sw * (F.sum(F.col("w") * F.col(v)) / sw)
-    rho = d.groupBy(group, "draw").agg((cov("a", "b") / F.nullif(F.sqrt(F.greatest(cov("a", "a") * cov("b", "b"), F.lit(0.0))), F.lit(0.0))).alias("rho"))
+    a, b = F.col("a"), F.col("b")
+    d = weighted_sums(r, [group], {"sw": F.lit(1.0), "sa": a, "sb": b, "ab": a * b, "aa": a * a, "bb": b * b}, draws, seed, F.col(key))
+    m = lambda c: F.col(c) / F.nullif(F.col("sw"), F.lit(0.0))
+    cov = lambda uv, u, v: m(uv) - m(u) * m(v)
+    sd = F.sqrt(F.greatest(cov("aa", "sa", "sa") * cov("bb", "sb", "sb"), F.lit(0.0)))
+    rho = d.select(group, (cov("ab", "sa", "sb") / F.nullif(sd, F.lit(0.0))).alias("rho"))
     ci = rho.groupBy(group).agg(F.percentile("rho", 0.025).alias("low"), F.percentile("rho", 0.975).alias("high"))  # a row for each draw
     return P.spearman(df, [group], x, y).join(ci, group).withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
 
@@ -83,21 +86,53 @@ def line(x: str, y: str) -> tuple[dict[str, Column], Callable, Callable]:
     return sums, fit, evaluate
 
 
+def permuted(x: Column, size: Column, seed: int, draw: Column, most: int = 48) -> Column:
+    """Where x in [0, size) goes in the draw's permutation of these numbers.
+
+    A Feistel network of four rounds over pairs below a = ceil(sqrt(size)), walked on until it is back below size: a step leaves it
+    for at most half of the a * a numbers, and for few if size is large.
+    """
+    a = F.ceil(F.sqrt(size.cast("double"))).cast("long")
+    turns = lambda s, k: F.struct(s["r"].alias("l"), F.pmod(s["l"] + F.pmod(mixed(seed, draw * 4 + k, s["r"]), a), a).alias("r"))
+    pair = lambda l, r: F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"))  # noqa: E731, E741
+    once = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(3)), s, turns)
+    at = lambda s: s["l"] * a + s["r"]
+    first = once(pair(F.floor(x / a), F.pmod(x.cast("long"), a)))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, lambda s, _: F.when(at(s) < size, s).otherwise(once(s)))
+    return F.when(at(walked) < size, at(walked)).otherwise(F.raise_error(F.lit("a permutation did not come back")).cast("long"))
+
+
+def permuted_sql(rows: str, seed: int) -> str:
+    """The body of a recursive table (id, draw, size, l, r, i) over rows (id, draw, size, spot); its rows where ``ARRIVED`` holds give the place l * a + r."""
+    a = "cast(ceil(sqrt(cast(size as double))) as bigint)"
+    return f"select id, draw, size, spot // {a} as l, spot % {a} as r, 0 as i from {rows} union all select id, draw, size, r, (l + ({mixed_sql(seed, 'draw * 4 + i % 4', 'r')}) % {a}) % {a}, i + 1 from walk where not ({ARRIVED})"
+
+
+ARRIVED = "i > 0 and i % 4 = 0 and l * cast(ceil(sqrt(cast(size as double))) as bigint) + r < size"
+
+
 def null_baseline(df: DataFrame, cells: list[str], score: str, outcome: str, k: int, draws: int, seed: int, key: str) -> DataFrame:
     """null (random, shuffle), real, mean, sd, z, percentile: the mean over cells of the k best rows' mean outcome, against two nulls.
 
-    random: k rows of each cell in a seeded order. shuffle: outcomes permuted over all rows, selection as it was: the selected
-    rows, in order, take the first outcomes of a seeded order of all rows.
+    random: k rows of each cell, drawn anew. shuffle: outcomes permuted over all rows, selection as it was. Rows are numbered
+    once, by cell and key; a draw is a keyed permutation of the numbers, of which only the selected places are worked out, so an
+    equi-join on few numbers takes the place of an order of all rows.
     """
-    best = P.top_k(df, cells, k, F.desc(score), key)
+    rows = counted(df.select(*cells, key, F.col(score).alias("__score"), F.col(outcome).alias("o")), [*cells, key])
+    best = P.top_k(rows, cells, k, F.desc("__score"), key)
     pooled = lambda x, by: x.groupBy(*by, *cells).agg(F.avg("o").alias("m")).groupBy(*by).agg(F.avg("m").alias("m"))
-    real = best.select(*cells, F.col(outcome).alias("o")).groupBy(*cells).agg(F.avg("o").alias("m")).agg(F.avg("m").alias("real"))
-    drawn = df.select(*cells, key, F.col(outcome).alias("o"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("at", mixed(seed, F.col("draw"), F.col(key)))
-    random = pooled(P.top_k(drawn, [*cells, "draw"], k, "at", key), ["draw"]).select(F.lit("random").alias("null"), "m")
-    slots = best.select(*cells, F.row_number().over(W.orderBy(*cells, "rank")).alias("slot"))  # k rows for each cell
-    first = P.top_k(drawn, ["draw"], slots.count(), "at", key).withColumnRenamed("rank", "slot")  # limited before the shuffle
-    shuffled = pooled(first.select("draw", "slot", "o").join(slots, "slot"), ["draw"]).select(F.lit("shuffle").alias("null"), "m")
-    x = random.unionByName(shuffled).join(F.broadcast(real), F.col("m").isNotNull())  # one row
+    real = best.groupBy(*cells).agg(F.avg("o").alias("m")).agg(F.avg("m").alias("real"))
+    draw = F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
+    # A row for each cell, with the numbers of its rows.
+    cell = rows.groupBy(*cells).agg(F.min("__n").alias("first"), F.count("*").alias("size")).withColumn("no", F.row_number().over(W.orderBy(*cells)) - 1)
+    places = cell.select(*cells, "first", "size", "no", draw).select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("size")) - 1)).alias("at"))
+    inside = places.select(F.lit("random").alias("null"), "draw", *cells, (F.col("first") + permuted(F.col("at"), F.col("size"), seed, F.col("draw") + draws * F.col("no"))).alias("__n"))
+    total = cell.agg(F.sum("size").alias("size"))
+    slots = best.select(*cells, (F.row_number().over(W.orderBy(*cells, "rank")) - 1).alias("at"))  # k rows for each cell
+    every = slots.select(*cells, "at", draw).join(total, F.col("size") > 0)  # one row
+    over = every.select(F.lit("shuffle").alias("null"), "draw", *cells, (1 + permuted(F.col("at"), F.col("size"), seed, F.col("draw"))).alias("__n"))
+    taken = inside.unionByName(over).join(rows.select("__n", "o"), "__n")
+    x = pooled(taken, ["null", "draw"]).join(real, F.col("m").isNotNull())  # one row
     r, m = F.first("real"), F.avg("m")
     return x.groupBy("null").agg(r.alias("real"), m.alias("mean"), F.stddev_samp("m").alias("sd"), ((r - m) / F.nullif(F.stddev_samp("m"), F.lit(0.0))).alias("z"), (100.0 * F.avg(F.when(F.col("m") <= F.col("real"), 1.0).otherwise(0.0))).alias("percentile"))
 

@@ -99,7 +99,7 @@ def _(t):
 
 
 @query("udx_34_calendar_shift_null", f"""with {EVENTS}, {_policies()}, m as (select h, l, r, {SUMMED} from po group by h, l, r), ch as (select h, l, r from m order by {BEST} limit 1),
-dr as (select oe.*, ch.*, d, case when d > 0 then least({S.mixed_sql(7, 'd', 'cast(substr(lead, 7, 2) as bigint)')} % 241 - 120, {S.mixed_sql(7, 'd', 'cast(substr(lag, 7, 2) as bigint)')} % 241 - 120) else 0 end as o from oe, ch, range(0, 201) k(d)),
+dr as (select oe.*, ch.*, d, case when d > 0 then least({S.mixed_sql(7, 'd', "cast('0x' || substr(md5(lead), 1, 7) as bigint)")} % 241 - 120, {S.mixed_sql(7, 'd', "cast('0x' || substr(md5(lag), 1, 7) as bigint)")} % 241 - 120) else 0 end as o from oe, ch, range(0, 201) k(d)),
 sh as (select * replace (case when next_results_t + o between 1 and 40 then next_results_t + o end as next_results_t, case when surprise_t + o between 1 and 40 then surprise_t + o end as surprise_t) from dr),
 s1 as (select *, case when next_results_t <= exit_t then least(exit_t, greatest(1, next_results_t - l)) else exit_t end as x from sh),
 s2 as (select * replace (least(n, case when r and surprise_t <= x then least(n, surprise_t + 1) else x end) as x), not coalesce(next_results_t <= h, false) as traded from s1),

@@ -276,16 +276,17 @@ def _(t):
     return T.holdout_gap(t.observations, "fold", *T.line("corr_long", "gross"))
 
 
-NULLS = f"""with o as (select fold, cast(date_trunc('year', date) as date) as yr, obs_id, corr_long, gross from observations),
+NULLS = f"""with recursive o as (select *, row_number() over (order by fold, yr, obs_id) as n from (select fold, cast(date_trunc('year', date) as date) as yr, obs_id, corr_long, gross from observations)),
 best as (select *, row_number() over (partition by fold, yr order by corr_long desc, obs_id) as k from o qualify k <= 20),
 real as (select avg(m) as real from (select avg(gross) as m from best group by fold, yr)),
-dr as (select o.*, draw, {S.mixed_sql(7, 'draw', 'obs_id')} as place from o, (select unnest(range(1, 51)) as draw)),
-rk as (select * from dr qualify row_number() over (partition by fold, yr, draw order by place, obs_id) <= 20),
-rn as (select 'random' as "null", draw, avg(m) as m from (select draw, avg(gross) as m from rk group by fold, yr, draw) group by draw),
-sl as (select fold, yr, row_number() over (order by fold, yr, k) as slot from best),
-fi as (select draw, gross, row_number() over (partition by draw order by place, obs_id) as slot from dr),
-sh as (select 'shuffle' as "null", draw, avg(m) as m from (select draw, avg(gross) as m from fi join sl using (slot) group by fold, yr, draw) group by draw),
-al as (select * from rn union all select * from sh)
+cells as (select fold, yr, min(n) as first, count(*) as size, row_number() over (order by fold, yr) - 1 as no from o group by fold, yr),
+dr as (select unnest(range(1, 51)) as d),
+pr as (select 'random' as "null", d, d + 50 * no as draw, fold, yr, first, size, unnest(range(0, least(20, size))) as spot from cells, dr),
+ps as (select 'shuffle', d, d, fold, yr, 1, (select count(*) from o), row_number() over (partition by d order by fold, yr, k) - 1 from best, dr),
+pk as materialized (select *, row_number() over (order by "null", d, fold, yr, spot) as id from (select * from pr union all select * from ps)),
+walk as ({T.permuted_sql('pk', 7)}),
+wk as (select id, l * cast(ceil(sqrt(cast(size as double))) as bigint) + r as place from walk where {T.ARRIVED}),
+al as (select "null", d, avg(m) as m from (select "null", d, avg(gross) as m from pk join wk using (id) join o on o.n = first + place group by pk.fold, pk.yr, "null", d) group by "null", d)
 select "null", R(any_value(real)) as real, R(avg(m)) as mean, R(stddev_samp(m)) as sd, R((any_value(real) - avg(m)) / stddev_samp(m)) as z, R(100 * avg(case when m <= real then 1.0 else 0.0 end)) as percentile from al, real group by 1"""
 
 

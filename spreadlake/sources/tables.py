@@ -73,18 +73,18 @@ def insert_or_get_id(old: DataFrame, new: DataFrame, keys: list[str], scope: str
     known = new.join(held, same, "left").withColumn("__old", F.when(~lone, F.col("__old"))).drop(*[f"__{k}" for k in keys])
     missing = known.where(F.col("__old").isNull())
     named = missing.where(~lone).select(*keys).distinct()
-    ranges = _counted(named.select(*keys, F.lit(0).alias("__lone")), keys)
+    ranges = counted(named.select(*keys, F.lit(0).alias("__lone")), keys)
     found = known.where(~lone).join(ranges.drop("__lone").select(*[F.col(k).alias(f"__{k}") for k in keys], "__n"), same, "left").drop(*[f"__{k}" for k in keys])
     out = found.crossJoin(last).withColumn(id_, F.coalesce("__old", F.col("__n") + F.col("__last"))).drop("__old", "__n", "__last")  # one row
     if not scope:
         return out
     free = named.count()
-    alone = _counted(new.where(lone), [c for c in new.columns if c != scope]).crossJoin(last)
+    alone = counted(new.where(lone), [c for c in new.columns if c != scope]).crossJoin(last)
     return out.unionByName(alone.withColumn(id_, F.col("__n") + F.col("__last") + free).drop("__n", "__last"))
 
 
-def _counted(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds __n, the row's number from 1 in the order: rows are dealt to ranges, and the sizes of the ranges before one are added."""
+def counted(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows, written, with __n, the row's number from 1 in the order: rows are dealt to ranges, and the sizes of the ranges before one are added."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
     order = [F.col(f"`{c}`") for c in order]
