@@ -1,12 +1,15 @@
 """The daily loop: scoring, selection, execution and indicators. State tables go in and come out as DataFrames.
 
 A day's scoring is one batch job: the book, the last evaluations, the cointegration cache and the cluster cursor go in, the
-next ones come out.  Execution carries cash from pair to pair, so it is a loop over the day's pairs, max_k at most.
+next ones come out.  Execution carries cash from pair to pair, so it is a fold over the day's pairs, max_k at most.  ``runs`` takes
+many runs over many days.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -177,30 +180,55 @@ class Limits:
     target_deployed: float = 0.0
 
 
-def execute(ranked: list[dict], account: Account, min_pct: float, max_pct: float, short_fraction: float, gap: float = 0.0) -> list[dict]:
-    """Buys in order of score while the cash lasts; at most max_k pairs, so a loop over them.
+@dataclass(frozen=True)
+class Purse:
+    """What may still be spent, how much of it the target deployment wants, and how many pairs are to come."""
+
+    free: float
+    gap: float
+    left: int
+
+    def share(self, score: float, value: float, limits: Limits) -> float:
+        """A pair's part: by its score between the limits, and its part of the gap below the upper one."""
+        own = (limits.min_pct + score * (limits.max_pct - limits.min_pct)) * value
+        return min(own + self.gap / self.left, limits.max_pct * value) if self.gap > 0 and self.left > 0 else own
+
+    def spent(self, cost: float) -> Purse:
+        return Purse(self.free - cost, max(0.0, self.gap - cost), self.left - 1)
+
 
-    Part of the gap to the target deployment goes to each pair; what a buy costs closes it. A pair whose legs are held
-    the other way round, also since this call, is left out.
+def _orders(pairs: list[dict], purse: Purse, account: Account, limits: Limits, quote: Callable[[str, float], float | None]) -> tuple[Purse, list[dict]]:
+    """The pairs that get an order, best score first, and those whose lag has no price (bought is None): a fold over the ranked pairs.
+
+    quote(symbol, money): the quantity for so much money, None without a price. A pair is passed over, and takes nothing, if it costs more than
+    is left, if it is to be hedged and its lead can't be sold, or if a leg is held the other way round, also since this call.
     """
-    out, left = [], len(ranked)
-    for p in sorted(ranked, key=lambda p: (-p["score"], p["lead"], p["lag"])):
-        budget = (min_pct + p["score"] * (max_pct - min_pct)) * account.value
-        if gap > 0 and left > 0:
-            budget = min(budget + gap / left, max_pct * account.value)
-        cost = budget * (1 + short_fraction)
-        if account.cash < cost:
-            continue
-        if short_fraction > 0 and mirrored(p, account):
-            continue
-        account.cash -= cost
-        gap = max(0.0, gap - cost)
-        left -= 1
+    hedge = limits.short_fraction
+
+    def offer(state: tuple[Purse, list[dict]], p: dict) -> tuple[Purse, list[dict]]:
+        left, done = state
+        budget = left.share(p["score"], account.value, limits)
+        cost, sold = budget * (1 + hedge), quote(p["lead"], budget * hedge) if hedge > 0 else 0.0
+        if left.free < cost or (hedge > 0 and (not sold or mirrored(p, account))):
+            return state
+        bought = quote(p["lag"], budget)
+        order = {**p, "budget": budget, "cost": cost, "bought": bought, "sold": sold}
+        if bought is None:
+            return replace(left, left=left.left - 1), [*done, order]
+        if bought <= 0:
+            return state
         account.long.add(p["lag"])
-        if short_fraction > 0:
-            account.short.add(p["lead"])
-        out.append({**p, "budget": budget, "cost": cost})
-    return out
+        account.short.update([p["lead"]] if hedge > 0 else [])
+        return left.spent(cost), [*done, order]
+
+    return reduce(offer, sorted(pairs, key=lambda p: (-p["score"], p["lead"], p["lag"])), (purse, []))
+
+
+def execute(ranked: list[dict], account: Account, min_pct: float, max_pct: float, short_fraction: float, gap: float = 0.0) -> list[dict]:
+    """Buys in order of score while the cash lasts, in money: the pairs with budget and cost. At most max_k pairs."""
+    purse, orders = _orders(ranked, Purse(account.cash, gap, len(ranked)), account, Limits(min_pct, max_pct, short_fraction), lambda _, money: money)
+    account.cash = purse.free
+    return [{k: v for k, v in o.items() if k not in ("bought", "sold")} for o in orders]
 
 
 def mirrored(pair: dict, account: Account) -> bool:
@@ -236,32 +264,15 @@ def trade_day(actions: list[dict], account: Account, prices: dict[str, float], l
     free = account.cash - owed
     gap = max(0.0, limits.target_deployed * account.value - (account.value - free))
     buys = [p for p in actions if p["action"] == "buy" and p["lag"] not in account.quantity]
-    failed, left = [], len(buys)
-    for p in sorted(buys, key=lambda p: (-p["score"], p["lead"], p["lag"])):
-        budget = (limits.min_pct + p["score"] * (limits.max_pct - limits.min_pct)) * account.value
-        if gap > 0 and left > 0:
-            budget = min(budget + gap / left, limits.max_pct * account.value)
-        cost = budget * (1 + limits.short_fraction)
-        if free < cost or (limits.short_fraction > 0 and (mirrored(p, account) or not priced(p["lead"]))):
-            continue
-        if not priced(p["lag"]):
-            failed.append(p["lag"])
-            left -= 1
-            continue
-        quantity = round(budget / prices[p["lag"]], 6)
-        if quantity <= 0:
-            continue
-        trade(p, p["lag"], "buy", quantity, "long")
-        account.quantity[p["lag"]] = quantity
-        account.long.add(p["lag"])
+    quote = lambda symbol, money: round(money / prices[symbol], 6) if priced(symbol) else None
+    _, orders = _orders(buys, Purse(free, gap, len(buys)), account, limits, quote)
+    failed = [o["lag"] for o in orders if o["bought"] is None]
+    for o in (o for o in orders if o["bought"] is not None):
+        trade(o, o["lag"], "buy", o["bought"], "long")
+        account.quantity[o["lag"]] = o["bought"]
         if limits.short_fraction > 0:
-            sold = round(budget * limits.short_fraction / prices[p["lead"]], 6)
-            trade(p, p["lead"], "sell", sold, "short")
-            account.short_quantity[p["lead"], p["lag"]] = sold
-            account.short.add(p["lead"])
-        free -= cost
-        gap = max(0.0, gap - cost)
-        left -= 1
+            trade(o, o["lead"], "sell", o["sold"], "short")
+            account.short_quantity[o["lead"], o["lag"]] = o["sold"]
     return trades, failed
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -12,6 +13,7 @@ from ..operators import inference as I
 from ..operators import loop as L
 from ..operators import observe as O
 from ..operators import panel as P
+from ..operators import runs as R
 from ..operators import tuning as T
 from ..operators import unit_root as U
 from ..operators.ranks import quantiles
@@ -476,6 +478,34 @@ def _(t):
     return t.spark.createDataFrame(trades, "symbol string, side string, quantity double, price double, leg string, exit_reason string, lead string, lag string")
 
 
+def _run_settings(t):
+    """A run for each market segment: later ones begin later, with more cash and places."""
+    no = F.row_number().over(W.orderBy("run")) - 1  # a row for each segment
+    named = t.customer.groupBy(F.col("c_mktsegment").alias("run")).agg(F.round(F.sum("c_acctbal"), 2).alias("balance")).withColumn("no", no)
+    start = F.date_add(F.lit("1996-01-01").cast("date"), (30 * F.col("no")).cast("int"))
+    return named.select(
+        "run", start.alias("start"), F.date_add(start, 300).alias("end"), (F.lit(8) + F.col("no")).alias("budget"), (F.lit(4) + F.col("no")).alias("max_k"), F.lit(14).alias("cooldown"),
+        F.lit(0.02).alias("min_pct"), F.lit(0.2).alias("max_pct"), F.lit(0.5).alias("short_fraction"), F.lit(0.4).alias("target_deployed"), (100_000 + F.col("balance")).alias("cash"),
+    )
+
+
+SPANS = [("1996-01-01", "1996-04-30"), ("1996-05-01", "1996-08-31"), ("1996-09-01", "1997-04-30")]
+
+
+@query("ctrl_02_runs")
+def _(t):
+    runs = _run_settings(t)
+    events, _ = R.run_days(t.prices, _clustered(t), runs, R.opened(runs), TODAY, SPANS)
+    return events.where("kind = 'trade'").select("run", "day", "lead", "lag", "symbol", "side", F.col("reason").alias("exit_reason"), F.col("x").alias("quantity"), F.col("y").alias("price"))
+
+
+@query("ctrl_03_run_states")
+def _(t):
+    runs = _run_settings(t)
+    _, state = R.run_days(t.prices, _clustered(t), runs, R.opened(runs), TODAY, SPANS)
+    return state.select("run", "kind", "lead", "lag", "x", "y", "day")
+
+
 @query("flt_08_mirror_conflict", "with h as (select symbol, leg from (select symbol, leg, row_number() over (partition by symbol order by id desc) as k from trades) where k = 1), p as (select distinct 'C' || cast(c_custkey as varchar) as lead, 'C' || cast(c_custkey + 1 as varchar) as lag from customer) select lead, lag from p where not exists (select 1 from h where symbol = lag and leg = 'short') and not exists (select 1 from h where symbol = lead and leg = 'long')")
 def _(t):
     from ..operators.gates import without_mirrors
