@@ -1,9 +1,8 @@
 """Ranks, row numbers and exact quantiles without a task that holds a whole group.
 
-Values are counted first.  Approximate quantiles of a group, BUCKETS of them, part its values into
-buckets; sums per bucket give each bucket's offset, and only inside a bucket are rows put in order.  A value that is
-itself a bound has a bucket of its own, so a value that a third of all rows share is one row of the counts, and its
-rows can be parted further by their key.
+Values are counted first, and lie sorted over ranges that are written once, so neither a large group nor a value that a third of all rows
+share is one task's.  What stands before a row is a running sum within its range, the sums of the ranges before, less where its
+group begins.
 """
 
 from __future__ import annotations
@@ -12,41 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 64
-ALL = "__all"
+from ..sources.tables import counted, ranged
 
 
-def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(keys)) if keys else (df.withColumn(ALL, F.lit(0)), [ALL])
+def _begins(df: DataFrame, keys: list[str], at: str, n: Column) -> DataFrame:
+    """keys, __start, __total: the least ``at`` of each group, and its sum."""
+    return (df.groupBy(*keys) if keys else df).agg(F.min(at).alias("__start"), n.alias("__total"))
 
 
-def _bounds(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
-    """keys, out: at most BUCKETS - 1 different values, ascending."""
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    return df.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx(x, shares, 20 * BUCKETS))).alias(out))
-
-
-def _bucket(x: Column, bounds: Column) -> Column:
-    """Even numbers between bounds, odd ones for a bound itself."""
-    return 2 * F.size(F.filter(bounds, lambda b: b < x)) + F.array_contains(bounds, x).cast("int")
-
-
-def _offsets(counts: DataFrame, keys: list[str], order: list[str], n: str) -> DataFrame:
-    """Adds the sum of n over the key's earlier rows, and over all; a row for each bucket."""
-    w = W.partitionBy(*keys)
-    return counts.withColumn("__off", F.coalesce(F.sum(n).over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("__total", F.sum(n).over(w))
+def _with(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what their group has."""
+    return df.join(groups, keys) if keys else df.join(groups, F.col("__start").isNotNull())  # one row
 
 
 def rank_table(df: DataFrame, keys: list[str], x: str, weight: Column | None = None, **sums: Column) -> DataFrame:
     """keys, x, n, before, total: how often each value stands in its group (or its weight's sum), and how many rows are smaller. Nulls are left out. sums: more aggregates of each value."""
-    df, by = _keyed(df, keys)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(n.alias("n"), *[c.alias(k) for k, c in sums.items()]).where("n > 0")
-    dealt = counts.join(_bounds(counts, by, x, "__b"), by).withColumn("__id", _bucket(F.col(x), F.col("__b"))).drop("__b")
-    per = _offsets(dealt.groupBy(*by, "__id").agg(F.sum("n").alias("__n")), by, ["__id"], "__n").drop("__n")
-    inside = W.partitionBy(*by, "__id").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
-    got = dealt.join(per, [*by, "__id"]).withColumn("before", F.col("__off") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return got.select(*keys, x, "n", "before", F.col("__total").alias("total"), *sums)
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(n.alias("n"), *[c.alias(k) for k, c in sums.items()]).where("n > 0")
+    rows = ranged(counts, [*keys, x])
+    parts = rows.groupBy("__id").agg(F.sum("n").alias("__k"))  # a row for each range
+    offsets = parts.select("__id", F.coalesce(F.sum("__k").over(W.orderBy("__id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    inside = W.partitionBy("__id").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.join(offsets, "__id").withColumn("__before", F.col("__off") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    got = _with(rows, _begins(rows, keys, "__before", F.sum("n")), keys)
+    return got.select(*keys, x, "n", (F.col("__before") - F.col("__start")).alias("before"), F.col("__total").alias("total"), *sums)
 
 
 def with_average_rank(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
@@ -55,8 +43,8 @@ def with_average_rank(df: DataFrame, keys: list[str], x: str, out: str) -> DataF
     return df.join(ranks, [*keys, x])
 
 
-def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float], weight: Column | None = None) -> DataFrame:
-    """keys and a column for each named share: the exact quantile, between neighbours by linear interpolation."""
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float], weight: Column | None = None, **more: Column) -> DataFrame:
+    """keys and a column for each named share: the exact quantile, between neighbours by linear interpolation. more: aggregates over each group's values x, of which there are n."""
     table = rank_table(df, keys, x, weight)
     v, before, n = F.col(x).cast("double"), F.col("before"), F.col("n")
     cols, out = [], []
@@ -67,18 +55,11 @@ def quantiles(df: DataFrame, keys: list[str], x: str, shares: dict[str, float],
         cols.append(F.max(at - F.floor(at)).alias(f"__{name}_f"))
         lo, hi, f = (F.col(f"__{name}_{s}") for s in ("lo", "hi", "f"))
         out.append((lo + (hi - lo) * f).alias(name))
-    return (table.groupBy(*keys) if keys else table).agg(*cols).select(*keys, *out)
+    return (table.groupBy(*keys) if keys else table).agg(*cols, *[c.alias(k) for k, c in more.items()]).select(*keys, *out, *more)
 
 
 def numbered(df: DataFrame, keys: list[str], x: str, key: str, out: str, total: str | None = None) -> DataFrame:
     """Adds the row's number from 1 within its group by (x, key), key unique, and the group's size. Rows without x are left out."""
-    df, by = _keyed(df, keys)
-    rows = df.where(F.col(x).isNotNull())
-    bounds = _bounds(rows, by, x, "__b").join(_bounds(rows, by, key, "__k"), by)
-    dealt = rows.join(bounds, by).withColumn("__id", _bucket(F.col(x), F.col("__b"))).withColumn("__sub", F.when(F.col("__id") % 2 == 1, _bucket(F.col(key), F.col("__k"))).otherwise(0)).drop("__b", "__k")
-    per = _offsets(dealt.groupBy(*by, "__id", "__sub").agg(F.count(F.lit(1)).alias("__n")), by, ["__id", "__sub"], "__n").drop("__n")
-    inside = W.partitionBy(*by, "__id", "__sub").orderBy(x, key)
-    got = dealt.join(per, [*by, "__id", "__sub"]).withColumn(out, F.col("__off") + F.row_number().over(inside))
-    if total:
-        got = got.withColumn(total, F.col("__total"))
-    return got.drop("__id", "__sub", "__off", "__total", ALL)
+    rows = counted(df.where(F.col(x).isNotNull()), [*keys, x, key]).withColumnRenamed("__n", "__row")
+    got = _with(rows, _begins(rows, keys, "__row", F.count(F.lit(1))), keys).withColumn(out, F.col("__row") - F.col("__start") + 1)
+    return (got.withColumn(total, F.col("__total")) if total else got).drop("__row", "__start", "__total")

@@ -150,10 +150,11 @@ BIN = "select *, greatest(cast(ceil((row_number() over (partition by fold order
 
 @query("agg_19_tercile_outcomes", f"select fold, bin, N(count(*)) as n, R(avg(gross)) as mean, R(median(gross)) as median_, R(avg(case when gross > 0 then 1.0 else 0.0 end)) as win_rate, R(avg(gross) filter (where gross > 0)) as win_size, R(avg(case when gross < -1000 then 1.0 else 0.0 end)) as cat from ({BIN.format(x='corr_long', n=3)}) group by fold, bin")
 def _(t):
-    g = F.col("gross")
     x = P.quantile_bin(t.observations.select("fold", "obs_id", "corr_long", "gross"), ["fold"], "corr_long", "obs_id", 3)
-    means = x.groupBy("fold", "bin").agg(F.count("*").alias("n"), F.avg(g).alias("mean"), F.avg(F.when(g > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(g > 0, g)).alias("win_size"), F.avg(F.when(g < -1000, 1.0).otherwise(0.0)).alias("cat"))
-    return means.join(quantiles(x, ["fold", "bin"], "gross", {"median_": 0.5}), ["fold", "bin"])
+    g, n = F.col("gross"), F.col("n")
+    share = lambda c: F.sum(F.when(c, n).otherwise(0)) / F.sum(n)
+    means = {"mean": F.sum(g * n) / F.sum(n), "win_rate": share(g > 0), "win_size": F.sum(F.when(g > 0, g * n)) / F.sum(F.when(g > 0, n)), "cat": share(g < -1000)}
+    return quantiles(x, ["fold", "bin"], "gross", {"median_": 0.5}, None, **means, n=F.sum(n))
 
 
 TIMING = "case when next_results_t is null then 'none' when next_results_t <= 5 then 'near' when next_results_t <= hold_days then 'inside' else 'after' end"

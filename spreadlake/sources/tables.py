@@ -83,17 +83,23 @@ def insert_or_get_id(old: DataFrame, new: DataFrame, keys: list[str], scope: str
     return out.unionByName(alone.withColumn(id_, F.col("__n") + F.col("__last") + free).drop("__n", "__last"))
 
 
-def counted(df: DataFrame, order: list[str]) -> DataFrame:
-    """The rows, written, with __n, the row's number from 1 in the order: rows are dealt to ranges, and the sizes of the ranges before one are added."""
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows, written in order over ranges of it, with __id, the number of a row's range, and __at, which ascends in the order."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
-    order = [F.col(f"`{c}`") for c in order]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
-    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__at", T.LongType())])).parquet(folder).withColumn("__part", F.shiftright("__at", 33))
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__k"), F.min("__at").alias("__first"))  # a row for each range
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("__part", "__first", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__off"))
-    return rows.join(offsets, "__part").withColumn("__n", F.col("__at") - F.col("__first") + F.col("__off") + 1).drop("__at", "__part", "__first", "__off")
+    folder = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
+    by = [F.col(f"`{c}`") for c in order]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__at", T.LongType())])).parquet(folder)
+    return rows.withColumn("__id", F.shiftright("__at", 33))
+
+
+def counted(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows, written, with __n, the row's number from 1 in the order: the sizes of the ranges before its own are added."""
+    rows = ranged(df, order)
+    sizes = rows.groupBy("__id").agg(F.count("*").alias("__k"), F.min("__at").alias("__first"))  # a row for each range
+    before = W.orderBy("__id").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__id", "__first", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__off"))
+    return rows.join(offsets, "__id").withColumn("__n", F.col("__at") - F.col("__first") + F.col("__off") + 1).drop("__at", "__id", "__first", "__off")
 
 
 def span_of_last(as_of: str, days: int) -> tuple[Column, Column]:
