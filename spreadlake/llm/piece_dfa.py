@@ -19,6 +19,11 @@ its first synchronising bigram, and a tail that leads to the same state with the
 whatever the chunk was entered with.  Maps compose associatively (a map without tail
 concatenates its head with the next), so a prefix scan over the chunks gives every entry state;
 all tails run in step through the compiled table, then all heads.
+
+A long run without such a bigram is cut into pieces whose maps are worked out over the states that can enter them: those that
+short warm-ups before the piece end in, what the piece before leads these to, and every state found anywhere else whose
+remembered characters stand before the piece, until nothing new is met.  The maps, states to states with counts, compose by
+doubling, so no run is one lane however long it is.
 """
 
 from __future__ import annotations
@@ -32,6 +37,10 @@ OFFSET = 32  # added to a count change so that it fits in the low bits of a pack
 BITS = 6
 GONE = ("", 0)
 IDLE = 0  # the column of steps that do nothing
+LONG = 1024  # characters from which a run without a synchronising bigram is cut
+PIECE = 256
+WARM = 48  # characters of the longest warm-up
+WARM_UPS = 16  # before each piece, each a character shorter
 
 
 class PieceTransducer:
@@ -173,6 +182,65 @@ class PieceTransducer:
         out[order], count[order] = st, ct
         return out, count
 
+    def _counted(self, cols: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Counts of the spans from their states: short ones in step, long ones through the maps of their pieces."""
+        count = np.zeros(len(begin), dtype=np.int64)
+        long = end - begin > LONG
+        _, count[~long] = self._run(cols, begin[~long], end[~long], state[~long])
+        if long.any():
+            count[long] = self._composed(cols, begin[long], end[long], state[long])
+        return count
+
+    def _composed(self, cols: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray) -> np.ndarray:
+        per = -(-(end - begin) // PIECE)
+        first = np.cumsum(per) - per
+        span = np.repeat(np.arange(len(per)), per)
+        at = begin[span] + (np.arange(len(span)) - first[span]) * PIECE
+        stop = np.minimum(at + PIECE, end[span])
+        inner = np.setdiff1d(np.arange(len(span)), first)  # pieces with another before them
+        before = {int(j): "".join(self.chars[c] if c > 0 else "" for c in (self.of_column[k] for k in cols[max(0, at[j] - self.max_len) : at[j]])) for j in inner}
+        by_suffix: dict[int, dict[str, list[int]]] = {}
+
+        def entered(s: int) -> list[int]:
+            """The pieces before which the state's characters stand."""
+            tail = self.states[s][1]
+            if len(tail) not in by_suffix:
+                told = by_suffix[len(tail)] = {}
+                for j, text in before.items():
+                    told.setdefault(text[len(text) - len(tail) :], []).append(j)
+            return by_suffix[len(tail)].get(tail, [])
+
+        # Nodes are (piece, state that it is entered with).
+        node: dict[tuple[int, int], int] = {}
+        pieces, states, ends, counts = [], [], [], []
+        warm_at = (at[inner][:, None] - WARM + np.arange(WARM_UPS)).ravel()
+        warm_to = np.repeat(at[inner], WARM_UPS)
+        ended, _ = self._run(cols, warm_at, warm_to, np.full(len(warm_at), self.start, dtype=np.int64))
+        new = list(dict.fromkeys([*zip(first.tolist(), state.tolist(), strict=True), *zip(np.repeat(inner, WARM_UPS).tolist(), ended.tolist(), strict=True)]))
+        last = set((first + per - 1).tolist())
+        spread: set[int] = set()
+        while new:
+            for n in new:
+                node[n] = len(node)
+            j, s = (np.array(x, dtype=np.int64) for x in zip(*new, strict=True))
+            to, n_tokens = self._run(cols, at[j], stop[j], s)
+            pieces += j.tolist()
+            states += s.tolist()
+            ends += to.tolist()
+            counts += n_tokens.tolist()
+            met = dict.fromkeys((a + 1, b) for a, b in zip(j.tolist(), to.tolist(), strict=True) if a not in last)
+            for b in {b for _, b in met} - spread:
+                spread.add(b)
+                met.update(dict.fromkeys((a, b) for a in entered(b)))
+            new = [n for n in met if n not in node]
+        nxt = np.array([-1 if j in last else node[j + 1, e] for j, e in zip(pieces, ends, strict=True)], dtype=np.int64)
+        total = np.array(counts, dtype=np.int64)
+        while (nxt >= 0).any():  # maps of twice as many pieces at each step
+            on = nxt >= 0
+            total[on] += total[nxt[on]]
+            nxt[on] = nxt[nxt[on]]
+        return total[[node[n] for n in zip(first.tolist(), state.tolist(), strict=True)]]
+
     def counts(self, texts: list[str], chunk: int = 256) -> np.ndarray:
         """Tokens of each text: none for an empty one."""
         if len(self.states) > self.max_states:
@@ -214,7 +282,7 @@ class PieceTransducer:
         same = np.zeros(len(source), dtype=bool)
         same[:-1] = text_of[source[1:]] == text_of[source[:-1]]
         head_end = np.where(same, head_end, (first + lengths)[text_of[source]])
-        _, head_count = self._run(cols, end[closed], head_end, tail_state)
+        head_count = self._counted(cols, end[closed], head_end, tail_state)
         np.add.at(out, np.array([i for i, _ in kept])[text_of[source]], tail_count + head_count)
         return out
 
