@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .sources.folders import Files, shared_folder
 
@@ -41,6 +43,7 @@ DOUBLES = {"observations": ("corr_long", "corr_short", "coint_pvalue", "z_entry"
 # days reaches the scan and no query aggregates them anew.
 STORED = {"prices": ("lineitem", "part")}
 _written: dict[tuple, str] = {}
+_schemas: dict[str, StructType] = {}
 
 
 class Tables:
@@ -63,15 +66,19 @@ class Tables:
         return self._stored(name, df) if name in STORED else df
 
     def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        """The view as Parquet in the shared folder, sorted by day within ranges of days; anew if its tables have changed or it is gone."""
+        """The view as Parquet in the shared folder, sorted by day within ranges of days."""
+        return self.kept(name, STORED[name], lambda: df.repartitionByRange("day").sortWithinPartitions("day", "symbol"))
+
+    def kept(self, name: str, tables: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, written once for the session and directory and read from there; anew if one of the tables has changed or it is gone."""
         files = Files(self.spark, self.dir)
-        stamp = tuple(files.fs.getFileStatus(files.path(f"{self.dir}/{t}.parquet")).getModificationTime() for t in STORED[name])
+        stamp = tuple(files.fs.getFileStatus(files.path(f"{self.dir}/{t}.parquet")).getModificationTime() for t in tables)
         key = (self.spark.sparkContext.applicationId, self.dir, name, stamp)
         if key not in _written or not Files(self.spark, _written[key]).exists(f"{_written[key]}/_SUCCESS"):
-            folder = f"{shared_folder(self.spark)}/views/{name}-{uuid.uuid4().hex}"
-            df.repartitionByRange("day").sortWithinPartitions("day", "symbol").write.parquet(folder)
-            _written[key] = folder
-        return self.spark.read.schema(df.schema).parquet(_written[key])
+            folder, df = f"{shared_folder(self.spark)}/views/{name}-{uuid.uuid4().hex}", make()
+            df.write.parquet(folder)
+            _written[key], _schemas[folder] = folder, df.schema
+        return self.spark.read.schema(_schemas[_written[key]]).parquet(_written[key])
 
 
 def oracle(sql: str) -> str:

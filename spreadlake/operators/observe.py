@@ -114,11 +114,15 @@ def with_event_days(obs: DataFrame, aligned: DataFrame, events: DataFrame, entri
     events: symbol, day, results, surprise. An event falls on the pair's first trading day at or after it (an as-of join by pair).
     """
     from .asof import asof
-
-    pairs = obs.select(*P.PAIR).distinct()
-    legs = pairs.select(*P.PAIR, F.explode(F.array_distinct(F.array("lead", "lag"))).alias("symbol"))
-    dated = legs.join(events.groupBy("symbol", "day").agg(F.bool_or("results").alias("results"), F.bool_or("surprise").alias("surprise")), "symbol")
-    dated = dated.select(*P.PAIR, F.col("day").alias("event_day"), "results", "surprise")
+    from .intervals import points_in_windows
+
+    # Only events within some entry's span count: those are met by blocks of days, not all events of a leg.
+    spanned = F.explode(F.filter(F.array(*map(F.lit, entries)), lambda e: (F.col("pos") >= e) & (F.col("pos") <= e + horizon))).alias("entry")
+    spans = aligned.select(*P.PAIR, "day", "pos", spanned).groupBy(*KEY).agg(F.max(F.when(F.col("pos") == F.col("entry"), F.unix_date("day"))).alias("low"), F.max(F.unix_date("day")).alias("high"))
+    legs = spans.join(obs.select(*KEY).distinct(), [*KEY], "left_semi").select(*P.PAIR, "low", "high", F.explode(F.array_distinct(F.array("lead", "lag"))).alias("symbol"))
+    told = events.groupBy("symbol", "day").agg(F.bool_or("results").alias("results"), F.bool_or("surprise").alias("surprise"))
+    met = points_in_windows(told, F.unix_date("day"), legs, F.col("low") + 1, F.col("high"), ["symbol"])
+    dated = met.groupBy(*P.PAIR, F.col("day").alias("event_day")).agg(F.bool_or("results").alias("results"), F.bool_or("surprise").alias("surprise"))
     on = asof(dated, aligned.select(*P.PAIR, "day", "pos"), list(P.PAIR), "event_day", "day", forward=True).where("pos is not null")
     serving = F.filter(F.array(*map(F.lit, entries)), lambda e: (F.col("pos") > e) & (F.col("pos") <= e + horizon))
     each = on.select(*P.PAIR, "pos", "results", "surprise", F.explode(serving).alias("entry")).withColumn("t", F.col("pos") - F.col("entry"))

@@ -49,13 +49,13 @@ OUT = "cast(h as int) as h, cast(l as int) as l, r, R(mean) as mean, R(loss_cut)
 
 
 def replayed(t):
-    return O.replayed(aligned(t), ENTRIES, REPLAY)
+    """The replay is stored like a view: the queries below all read it."""
+    return t.kept("replay", ("lineitem", "part"), lambda: O.replayed(aligned(t), ENTRIES, REPLAY))
 
 
 def dated(t):
     ev = t.filing_events.select("symbol", F.date_add(F.lit("1992-01-01").cast("date"), (F.col("accession") % 2400).cast("int")).alias("day"), ((F.col("form") == "8-K") & (F.col("items") == "2.02,9.01")).alias("results"), ((F.col("form") == "8-K/A") & (F.col("items") == "4.02")).alias("surprise"))
-    rows = aligned(t)
-    return O.with_event_days(O.replayed(rows, ENTRIES, REPLAY), rows, ev.where("results or surprise"), ENTRIES, REPLAY.horizon).withColumn("fold", F.floor(F.col("entry") / 100).cast("long"))
+    return t.kept("dated_replay", ("lineitem", "part", "events"), lambda: O.with_event_days(replayed(t), aligned(t), ev.where("results or surprise"), ENTRIES, REPLAY.horizon)).withColumn("fold", F.floor(F.col("entry") / 100).cast("long"))
 
 
 def _chosen(x):
