@@ -185,16 +185,19 @@ def test_op1(spark, tmp_path):
     from spreadlake.llm import topk
 
     rows = [(i, [float(i % 7), float(-i % 5), 1.0]) for i in range(60)] + [(20, [3.0, 1.0, 2.0]), (7, [9.0, 9.0, 9.0]), (None, [1.0, 1.0, 1.0])]
-    rows += [(100, [1e30, 0.0, 0.0]), (120, [1.0, 2.0]), (140, None), (160, []), (180, [float("inf"), 0.0, 0.0])]
+    rows += [(100, [1e9, 0.0, 0.0]), (120, [1.0, 2.0]), (140, None), (160, []), (180, [float("inf"), 0.0, 0.0]), (200, [2.0, 1.0, 0.5, -3.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
-    part = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and len(v) == 3 and max(map(abs, v)) < 1e9]
+    part = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(map(math.isfinite, v))]
     want = Counter()
     for q, x in part:
         if q % 20 == 0:
-            best = sorted(((sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in part if i != q), key=lambda e: (-e[0], e[1]))[:20]
+            best = sorted(((sum(a * b for a, b in zip(x, v, strict=False)), i) for i, v in part if i != q), key=lambda e: (-e[0], e[1]))[:20]
             want.update((q, k + 1, i, s) for k, (s, i) in enumerate(best))
     got = entry.queries()["op1_topk_search"](spark, str(tmp_path)).collect()
     assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    huge = df.unionByName(spark.createDataFrame([(220, [1e30, 0.0, 0.0], 0)], df.schema))
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(huge, huge.where("vec_id % 20 = 0")).collect()
     few = topk.top_k(df.where("vec_id < 5"), df.where("vec_id = 0"), k=20).collect()
     assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"])] and len(few) == 4
