@@ -75,7 +75,7 @@ def complete_days(prices: DataFrame) -> DataFrame:
     """Days on which every symbol has a close."""
     n = prices.agg(F.countDistinct("symbol").alias("n"))
     per = prices.groupBy("day").agg(F.count("close").alias("k"))
-    return per.join(F.broadcast(n), F.col("k") == F.col("n")).select("day")
+    return per.join(n, F.col("k") == F.col("n")).select("day")
 
 
 def left_out_screen(df: DataFrame, group: str, x: str, p: float) -> DataFrame:
@@ -84,7 +84,7 @@ def left_out_screen(df: DataFrame, group: str, x: str, p: float) -> DataFrame:
     groups = df.select(F.col(group).alias("__g")).distinct().agg(F.collect_set("__g").alias("__gs"))
     each = own.join(F.broadcast(groups), F.col("own") > 0).select(F.explode("__gs").alias("__g"), group, x, "own").where(F.col("__g") != F.col(group))  # one row
     least = quantiles(each, ["__g"], x, {"__t": p}, weight=F.col("own"))
-    return df.join(F.broadcast(least), F.col(group) == F.col("__g")).where(F.col(x) >= F.col("__t")).drop("__g", "__t")
+    return df.join(least, F.col(group) == F.col("__g")).where(F.col(x) >= F.col("__t")).drop("__g", "__t")
 
 
 def top_unique(df: DataFrame, key: str, k: int, *order) -> DataFrame:

@@ -285,7 +285,7 @@ def _(t):
 def _(t):
     long = t.observations.unpivot("obs_id", ["corr_long", "corr_short", "z_depth"], "component", "x")
     top = long.groupBy("component").agg(F.max("x").alias("m"))  # three rows
-    x = long.join(F.broadcast(top), "component")
+    x = long.join(top, "component")
     return x.groupBy("component").agg(F.stddev_samp("x").alias("sd"), F.avg(F.when(F.col("x") == F.col("m"), 1.0).otherwise(0.0)).alias("at_max"), (F.stddev_samp("x") / 3).alias("weighted"))
 
 
@@ -382,14 +382,21 @@ def _(t):
     return t.observations.groupBy(F.width_bucket(g, F.lit(-2000.0), F.lit(2000.0), F.lit(20)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("agg_49_regression_p")
+def _p_sql(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation of n rows: the density of r integrated from 0 by Simpson's rule, in SQL."""
+    weight = "case when i = 0 or i = 1000 then 1 when i % 2 = 1 then 4 else 2 end"
+    area = f"abs({r}) / 3000 * sum({weight} * pow(1 - pow({r} * i / 1000.0, 2), ({n} - 2) / 2.0 - 1))"
+    return f"(select greatest(0, least(1, 1 - 2 * exp(lgamma(({n} - 1) / 2.0) - lgamma(0.5) - lgamma(({n} - 2) / 2.0)) * {area})) from range(0, 1001) k(i))"
+
+
+@query("agg_49_regression_p", f"with o as (select fold, corr_long as x, greatest(-1000, least(1000, gross)) as y from observations), g as (select fold, count(*) as n, regr_slope(y, x) as slope, corr(x, y) as r from o group by fold) select fold, N(n) as n, R(slope) as slope, R(r) as r, R({_p_sql('g.r', 'g.n')}) as p from g")
 def _(t):
     from ..operators.inference import slope_test
 
     return slope_test(t.observations, ["fold"], "corr_long", F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.col("gross"))))
 
 
-@query("agg_50_component_p")
+@query("agg_50_component_p", "with u as (" + " union all ".join(f"select '{c}' as component, {c} as x, gross from observations" for c in ("corr_long", "corr_short", "z_depth")) + f"), q as (select *, {AVGRANK.format(k='component', x='x')} as a, {AVGRANK.format(k='component', x='gross')} as b from u), g as (select component, count(*) as n, corr(x, gross) as pearson, corr(a, b) as rho from q group by component) select component, N(n) as n, R(pearson) as pearson, R(rho) as rho, R({_p_sql('g.pearson', 'g.n')}) as p_pearson, R({_p_sql('g.rho', 'g.n')}) as p_spearman from g")
 def _(t):
     from ..operators.inference import correlation_test
 

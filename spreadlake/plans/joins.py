@@ -12,7 +12,7 @@ from ..registry import query
 @query("join_01_common_days", "select a.day, R(a.close) as pl, R(b.close) as pg from prices a join prices b using (day) where a.symbol = 'Brand#11' and b.symbol = 'Brand#12'")
 def _(t):
     pair = t.spark.createDataFrame([("Brand#11", "Brand#12")], "lead string, lag string")
-    return P.align(t.prices.where("symbol in ('Brand#11', 'Brand#12')"), F.broadcast(pair)).select("day", "pl", "pg")
+    return P.align(t.prices.where("symbol in ('Brand#11', 'Brand#12')"), pair).select("day", "pl", "pg")
 
 
 @query("join_02_pairs_within_sector", "select a.symbol as lead, b.symbol as lag from ticker_metadata a join ticker_metadata b on a.sector = b.sector and a.symbol < b.symbol")
@@ -144,5 +144,5 @@ def _(t):
 
 @query("join_20_label_lookup", "select N(s_suppkey) as s_suppkey, n_name, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def _(t):
-    dim = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))  # a row per country
-    return t.supplier.join(F.broadcast(dim), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
+    dim = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))  # a row per country
+    return t.supplier.join(dim, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "r_name")
