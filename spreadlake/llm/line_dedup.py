@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join (op10): DataFrame functions only.
 
-A line is the set of its words.  A line goes when an earlier one, by (id, line number), has a Jaccard
+A line is the set of its words, named by 128 bits of two hashes.  A line goes when an earlier one, by (id, line number), has a Jaccard
 similarity of at least the threshold.  Lines of equal sets are one node.  A node's words are put in order of
 rarity; the prefix that any similar set must meet goes into an equi-join on words, whose condition is the
 length filter, the shorter prefix of the smaller set, the positional filter, and a lower bound of the
@@ -90,17 +90,23 @@ def _ranked(words: Column, table: bytes) -> Column:
     return F.sort_array(F.transform(different, number))
 
 
+def _check(words: Column) -> Column:
+    """A second name of the line's set, from the words themselves in their own order: lines of different sets share both with a probability of 2^-128, not 2^-64."""
+    return F.xxhash64(F.sort_array(F.array_distinct(words)))
+
+
 def _lines(docs: DataFrame, table: bytes, p: int, q: int, min_words: int) -> DataFrame:
     """doc_id, line_no, sid (name of the set), n (its size), s0, s1 (sketch), prefix: a row for each line with so many different words."""
     lines = docs.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
-    ranked = lines.select("doc_id", "line_no", _ranked(F.split("line", " ", -1), table).alias("r"))
+    words = F.split("line", " ", -1)
+    ranked = lines.select("doc_id", "line_no", _ranked(words, table).alias("r"), _check(F.array_append(words, "")).alias("c"))
     # A generator instead of a filter, which would be pushed below and rank the line twice.
-    some = ranked.selectExpr("doc_id", "line_no", f"explode(if(size(r) >= {max(1, min_words)}, array(r), array())) r")
+    some = ranked.selectExpr("doc_id", "line_no", "c", f"explode(if(size(r) >= {max(1, min_words)}, array(r), array())) r")
     side = "aggregate(r, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int)))"
     return some.selectExpr(
         "doc_id",
         "line_no",
-        "xxhash64(r) sid",
+        "named_struct('a', xxhash64(r), 'c', c) sid",
         "size(r) n",
         side.format("shiftright(x, 6) & 1") + " s0",
         side.format("1 ^ (shiftright(x, 6) & 1)") + " s1",
@@ -132,7 +138,7 @@ class _Verifier:
         # Lines of documents that may be named: bits of fixed number tell most of the others, so their texts are not moved.
         marks = _marks(named.select("doc_id").distinct())
         lines = docs.where(_marked(F.col("doc_id"), marks)).select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
-        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", F.split("line", " ", -1).alias("words")).withColumn("name", F.xxhash64(_ranked(F.col("words"), table)))
+        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", F.split("line", " ", -1).alias("words")).withColumn("name", F.struct(F.xxhash64(_ranked(F.col("words"), table)).alias("a"), _check(F.array_append("words", "")).alias("c")))
         # An id may stand for several texts: the line must have the set's name. A generator instead of a filter, which would become a key
         # of the join and be worked out for all lines.
         lines = lines.select("sid", F.explode(F.expr("if(name = sid, array(words), array())")).alias("words"))
