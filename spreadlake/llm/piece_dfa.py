@@ -63,7 +63,9 @@ class PieceTransducer:
         self.reset()
 
     def reset(self) -> None:
-        """Forgets the compiled part."""
+        """Forgets the compiled part, and what was learnt on the way."""
+        self.pairs.clear()
+        self.pieces_of.clear()
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.column = np.full(len(self.chars), -1, dtype=np.int32)  # class -> column, on first use
