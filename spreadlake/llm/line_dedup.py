@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join (op10): DataFrame functions only.
 
-A line is the set of its words, named by 128 bits of two hashes.  A line goes when an earlier one, by (id, line number), has a Jaccard
+A line is the set of its words, named by a hash of 64 bits; a second hash, of the words themselves, tells sets that share a name, and all but
+one of them get another.  A line goes when an earlier one, by (id, line number), has a Jaccard
 similarity of at least the threshold.  Lines of equal sets are one node.  A node's words are put in order of
 rarity; the prefix that any similar set must meet goes into an equi-join on words, whose condition is the
 length filter, the shorter prefix of the smaller set, the positional filter, and a lower bound of the
@@ -96,7 +97,7 @@ def _check(words: Column) -> Column:
 
 
 def _lines(docs: DataFrame, table: bytes, p: int, q: int, min_words: int) -> DataFrame:
-    """doc_id, line_no, sid (name of the set), n (its size), s0, s1 (sketch), prefix: a row for each line with so many different words."""
+    """doc_id, line_no, sid (name of the set), c (its second name), n (its size), s0, s1 (sketch), prefix: a row for each line with so many different words."""
     lines = docs.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
     words = F.split("line", " ", -1)
     ranked = lines.select("doc_id", "line_no", _ranked(words, table).alias("r"), _check(F.array_append(words, "")).alias("c"))
@@ -106,7 +107,8 @@ def _lines(docs: DataFrame, table: bytes, p: int, q: int, min_words: int) -> Dat
     return some.selectExpr(
         "doc_id",
         "line_no",
-        "named_struct('a', xxhash64(r), 'c', c) sid",
+        "xxhash64(r) sid",
+        "c",
         "size(r) n",
         side.format("shiftright(x, 6) & 1") + " s0",
         side.format("1 ^ (shiftright(x, 6) & 1)") + " s1",
@@ -132,16 +134,16 @@ def _meets(p: int, q: int) -> str:
 class _Verifier:
     """Holds whole sets of words of the nodes that have partners."""
 
-    def __init__(self, docs: DataFrame, at: DataFrame, table: bytes, p: int, q: int):
+    def __init__(self, docs: DataFrame, at: DataFrame, p: int, q: int):
         self.p, self.q = p, q
-        self.named = named = cut(at.select("at.*", "sid"))
+        self.named = named = cut(at.select("at.*", "sid", "c"))
         # Lines of documents that may be named: bits of fixed number tell most of the others, so their texts are not moved.
         marks = _marks(named.select("doc_id").distinct())
         lines = docs.where(_marked(F.col("doc_id"), marks)).select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
-        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", F.split("line", " ", -1).alias("words")).withColumn("name", F.struct(F.xxhash64(_ranked(F.col("words"), table)).alias("a"), _check(F.array_append("words", "")).alias("c")))
+        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", "c", F.split("line", " ", -1).alias("words")).withColumn("name", _check(F.array_append("words", "")))
         # An id may stand for several texts: the line must have the set's name. A generator instead of a filter, which would become a key
         # of the join and be worked out for all lines.
-        lines = lines.select("sid", F.explode(F.expr("if(name = sid, array(words), array())")).alias("words"))
+        lines = lines.select("sid", F.explode(F.expr("if(name = c, array(words), array())")).alias("words"))
         self.sets = cut(lines.select("sid", F.array_remove(F.array_distinct("words"), "").alias("words")).dropDuplicates(["sid"]))
 
     def similar(self, pairs: DataFrame) -> DataFrame:
@@ -176,31 +178,48 @@ def _resolved(entries: DataFrame, verifier: _Verifier, p: int, q: int) -> DataFr
     return cut(found if done is None else done.unionByName(found))
 
 
+def _position() -> Column:
+    return F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+
+
+def _named(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines whose sets have names of their own, and of sets on several lines the first position: at.
+
+    A position is one number, so that a set's lines are reduced where they are read: a line that a third of all documents share is one row
+    for each of their partitions. The same pass finds sets that share a name.
+    """
+    while True:
+        sets = made.groupBy("sid").agg(F.min(_position()).alias("at"), F.count("*").alias("lines"), F.min("c").alias("low"), F.max("c").alias("high"))
+        several = cut(sets.where("lines > 1").drop("lines"))
+        twice = several.where("low <> high").select("sid", "low")
+        if twice.isEmpty():
+            return made, several
+        other = F.when(F.col("c") != F.col("low"), F.xxhash64("sid", "c")).otherwise(F.col("sid"))
+        made = cut(made.join(twice, "sid", "left").withColumn("sid", other).select(*made.columns))
+
+
 def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no of every line to remove; lines of fewer than min_words different words are left alone."""
     p, q = similarity.numerator, similarity.denominator
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     table = _rarity(docs)
-    made = cut(_lines(docs, table, p, q, min_words))
+    made, several = _named(cut(_lines(docs, table, p, q, min_words)))
     nodes = made.groupBy("sid").agg(*(F.min(c).alias(c) for c in ("n", "s0", "s1", "prefix")))
     words = nodes.select("sid", "n", "s0", "s1", F.posexplode("prefix").alias("k", "word"))
     # Of two similar sets the smaller one has a common word among even fewer of its first.
     words = words.withColumn("brief", F.expr(f"k <= n - (n * {2 * p}L + {p + q - 1}) div {p + q}"))
     met = F.expr(f"a.word = b.word and a.sid <> b.sid and {_meets(p, q)} and {_close(p, q)}")
     near = cut(words.alias("a").join(words.alias("b"), met, "left_semi"))
-    placed = made.select("doc_id", "line_no", "sid")
-    at = cut(placed.join(near.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at")))
-    verifier = _Verifier(docs, at, table, p, q)
-    entries = cut(near.join(at, "sid"))
+    placed = made.select("doc_id", "line_no", "sid", "c")
+    at = cut(placed.join(near.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("c").alias("c")))
+    verifier = _Verifier(docs, at, p, q)
+    entries = cut(near.join(at.drop("c"), "sid"))
     drop(near)
     done = _resolved(entries, verifier, p, q).withColumn("gone", F.lit(True))
     drop(entries, at, verifier.named, verifier.sets)
-    # Of a set that no earlier one is similar to, the first line stays. A position is one number, so that a set's lines are reduced
-    # where they are read: a line that a third of all documents share is one row for each of their partitions.
-    position = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
-    several = placed.groupBy("sid").agg(F.min(position).alias("at"), F.count("*").alias("c")).where("c > 1").select("sid", "at")
-    start = cut(several.join(done, "sid", "full").select("sid", "at", "gone"))
-    return placed.join(start, "sid").where((position > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
+    # Of a set that no earlier one is similar to, the first line stays.
+    start = cut(several.select("sid", "at").join(done, "sid", "full").select("sid", "at", "gone"))
+    return placed.join(start, "sid").where((_position() > F.col("at")) | F.col("gone")).select("doc_id", "line_no").distinct()
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
