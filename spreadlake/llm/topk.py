@@ -40,7 +40,7 @@ QUERIES = 32768  # queries of a slice
 SLICE = 16 << 20  # bytes of a slice, unless one vector has more
 TOGETHER = 256  # queries that are held against a block at once
 HEAD = 16  # rotated coordinates of the partial sum
-FIRST = 16  # blocks of the first band
+FIRST = 2  # blocks of the first band
 BAND = 4  # each band of blocks is so many times as large as the one before
 
 VECTORS = pa.schema([("id", pa.int64()), ("v", pa.binary()), ("norm2", pa.float64()), ("d", pa.int32())])
@@ -144,7 +144,10 @@ def _visit(qid: np.ndarray, q: np.ndarray, tau: np.ndarray, vid: np.ndarray, v:
         s = np.concatenate([np.einsum("ij,ij->i", a, b) for a, b in whole])
     else:
         s = _scores(q[rows], v[cols])
-        hit = may[np.ix_(rows, cols)]
+        hit = may[np.ix_(rows, cols)] & (qid[rows][:, None] != vid[cols])
+        if k < s.shape[1]:  # what the block alone has k better ones of
+            open_ = np.where(hit, s, np.iinfo(np.int64).min)
+            hit &= s >= np.partition(open_, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
         r, c = np.nonzero(hit)
         s, r, c = s[r, c], rows[r], cols[c]
     good = (s >= tau[r]) & (qid[r] != vid[c])
