@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join (op10): DataFrame functions only.
 
-A line is the set of its words, named by a hash of 64 bits; a second hash, of the words themselves, tells sets that share a name, and all but
+A line is the set of its words, named by a hash of 64 bits; a second hash, made of other hashes of the words, tells sets that share a name, and all but
 one of them get another.  A line goes when an earlier one, by (id, line number), has a Jaccard
 similarity of at least the threshold.  Lines of equal sets are one node.  A node's words are put in order of
 rarity; the prefix that any similar set must meet goes into an equi-join on words, whose condition is the
@@ -34,6 +34,7 @@ BUCKETS = 1 << 18  # of the table of word counts: a byte each
 CHUNK = 1 << 12  # bytes of a table that a row holds on its way to the driver
 MARKS = 1 << 18  # bytes of the table of document ids
 HASH_BITS = 55  # of a word, below its rank
+SEED = 7  # of the words' other hashes
 ROUNDS = 2
 
 
@@ -92,35 +93,36 @@ def _ranked(words: Column, table: bytes) -> Column:
 
 
 def _check(words: Column) -> Column:
-    """A second name of the line's set, from the words themselves in their own order: lines of different sets share both with a probability of 2^-128, not 2^-64."""
-    return F.xxhash64(F.sort_array(F.array_distinct(words)))
+    """A second name of the line's set, from other hashes of its words: words that share the 55 bits of the first share these 64 with a probability of 2^-64."""
+    other = lambda w: F.xxhash64(F.lit(SEED), w)
+    return F.xxhash64(F.sort_array(F.array_remove(F.array_distinct(F.transform(words, other)), other(F.lit("")))))
 
 
 def _lines(docs: DataFrame, table: bytes, p: int, q: int, min_words: int) -> DataFrame:
     """doc_id, line_no, sid (name of the set), c (its second name), n (its size), s0, s1 (sketch), prefix: a row for each line with so many different words."""
     lines = docs.select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
     words = F.split("line", " ", -1)
-    ranked = lines.select("doc_id", "line_no", _ranked(words, table).alias("r"), _check(F.array_append(words, "")).alias("c"))
+    ranked = lines.select("doc_id", "line_no", _ranked(words, table).alias("r"), _check(words).alias("c"))
     # A generator instead of a filter, which would be pushed below and rank the line twice.
     some = ranked.selectExpr("doc_id", "line_no", "c", f"explode(if(size(r) >= {max(1, min_words)}, array(r), array())) r")
     side = "aggregate(r, 0L, (a, x) -> a ^ shiftleft({}, cast(x & 63 as int)))"
-    return some.selectExpr(
+    made = some.selectExpr(
         "doc_id",
         "line_no",
         "xxhash64(r) sid",
         "c",
         "size(r) n",
+        side.format("1L") + " s",
         side.format("shiftright(x, 6) & 1") + " s0",
-        side.format("1 ^ (shiftright(x, 6) & 1)") + " s1",
         # Similar sets share one of the first n - ceil(t n) + 1 words.
         f"transform(slice(r, 1, size(r) - cast((size(r) * {p}L + {q - 1}) div {q} as int) + 1), e -> cast(e & 2147483647 as int)) prefix",
     )
+    return made.selectExpr("doc_id", "line_no", "sid", "c", "n", "s0", "s ^ s0 s1", "prefix")
 
 
 def _close(p: int, q: int) -> str:
-    """Whether the sets of sides a and b may be similar, by size and sketch."""
-    common = f"((a.n + b.n) * {p}L + {p + q - 1}) div {p + q}"  # the least overlap of similar sets
-    return f"least(a.n, b.n) * {q}L >= greatest(a.n, b.n) * {p}L and {DISTANCE} <= a.n + b.n - 2 * ({common})"
+    """Whether the sets of sides a and b may be similar, by size and sketch: similar sets differ in (q - p) / (q + p) of their words together at most."""
+    return f"a.n * {q}L >= b.n * {p}L and b.n * {q}L >= a.n * {p}L and ({DISTANCE}) * {p + q}L <= (a.n + b.n) * {q - p}L"
 
 
 DISTANCE = "bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)"
@@ -140,7 +142,7 @@ class _Verifier:
         # Lines of documents that may be named: bits of fixed number tell most of the others, so their texts are not moved.
         marks = _marks(named.select("doc_id").distinct())
         lines = docs.where(_marked(F.col("doc_id"), marks)).select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("line_no", "line"))
-        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", "c", F.split("line", " ", -1).alias("words")).withColumn("name", _check(F.array_append("words", "")))
+        lines = lines.join(named, ["doc_id", "line_no"]).select("sid", "c", F.split("line", " ", -1).alias("words")).withColumn("name", _check(F.col("words")))
         # An id may stand for several texts: the line must have the set's name. A generator instead of a filter, which would become a key
         # of the join and be worked out for all lines.
         lines = lines.select("sid", F.explode(F.expr("if(name = c, array(words), array())")).alias("words"))
@@ -163,7 +165,7 @@ def _resolved(entries: DataFrame, verifier: _Verifier, p: int, q: int) -> DataFr
 
     for _ in range(ROUNDS):
         first = pool.groupBy("word").agg(F.min(F.struct("at", "sid", "n", "s0", "s1")).alias("b"))
-        tried = left(entries).alias("a").join(first, "word").where(f"b.at < a.at and a.sid <> b.sid and {_close(p, q)}")
+        tried = left(entries).alias("a").join(first, "word").where(f"{_close(p, q)} and b.at < a.at and a.sid <> b.sid")
         best = cut(tried.select(F.col("a.sid").alias("x"), F.struct(F.expr(DISTANCE).alias("d"), F.col("b.sid").alias("y")).alias("b")).groupBy("x").agg(F.min("b").alias("b")).select("x", "b.y"))
         seen = best if seen is None else seen.unionByName(best)
         found = cut(verifier.similar(best).select(F.col("x").alias("sid")))
@@ -172,7 +174,7 @@ def _resolved(entries: DataFrame, verifier: _Verifier, p: int, q: int) -> DataFr
         done = found if done is None else cut(done.unionByName(found))
         pool = pool.join(first.select("word", "b.sid"), ["word", "sid"], "left_anti")
     a, b = left(entries).alias("a"), entries.alias("b")
-    rest = a.join(b, F.expr(f"a.word = b.word and b.at < a.at and a.sid <> b.sid and {_meets(p, q)} and {_close(p, q)}"))
+    rest = a.join(b, F.expr(f"a.word = b.word and {_close(p, q)} and b.at < a.at and a.sid <> b.sid and {_meets(p, q)}"))
     rest = rest.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y")).distinct().join(seen, ["x", "y"], "left_anti")
     found = verifier.similar(rest).select(F.col("x").alias("sid")).distinct()
     return cut(found if done is None else done.unionByName(found))
@@ -208,7 +210,7 @@ def earliest(docs: DataFrame, similarity: Fraction = Fraction(3, 4), min_words:
     words = nodes.select("sid", "n", "s0", "s1", F.posexplode("prefix").alias("k", "word"))
     # Of two similar sets the smaller one has a common word among even fewer of its first.
     words = words.withColumn("brief", F.expr(f"k <= n - (n * {2 * p}L + {p + q - 1}) div {p + q}"))
-    met = F.expr(f"a.word = b.word and a.sid <> b.sid and {_meets(p, q)} and {_close(p, q)}")
+    met = F.expr(f"a.word = b.word and {_close(p, q)} and a.sid <> b.sid and {_meets(p, q)}")
     near = cut(words.alias("a").join(words.alias("b"), met, "left_semi"))
     placed = made.select("doc_id", "line_no", "sid", "c")
     at = cut(placed.join(near.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("c").alias("c")))

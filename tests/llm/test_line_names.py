@@ -31,3 +31,13 @@ def test_word_order_and_repeats_make_one_set(spark):
     docs = spark.createDataFrame([(1, "b a a c"), (2, " c  b a"), (3, "\ta b c d e f g\r")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in line_dedup.report(docs).collect()} == {1: 0, 2: 1, 3: 0}
     assert line_dedup._lines(docs, bytes(line_dedup.BUCKETS), 3, 4, 1).select("c").distinct().count() == 2
+
+
+def test_closeness_is_the_least_overlap(spark):
+    """Any sketch distance that two sets can have: close if and only if the least overlap of similar sets allows it."""
+    pairs = [(n, m, d) for n in range(1, 40) for m in range(1, 40) for d in range(abs(n - m) % 2, 40, 2)]
+    rows = spark.createDataFrame([(n, m, (1 << d) - 1) for n, m, d in pairs], "n int, m int, s long")
+    for p, q in ((3, 4), (1, 2), (9, 10)):
+        a = rows.selectExpr("struct(n, 0L s0, 0L s1) a", "struct(m n, s s0, 0L s1) b")
+        got = {(r["n"], r["m"], r["d"]) for r in a.where(line_dedup._close(p, q)).selectExpr("a.n n", "b.n m", "bit_count(b.s0) d").collect()}
+        assert got == {(n, m, d) for n, m, d in pairs if min(n, m) * q >= max(n, m) * p and d <= n + m - 2 * -(-(n + m) * p // (p + q))}
